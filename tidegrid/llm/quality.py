@@ -27,7 +27,7 @@ from .common import byte_batches, documents, pick, scratch, stored
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.7
 NAMES = (
-    "words", "word_length", "symbols", "digits", "upper", "stops", "commas", "pipes", "marks", "spread", "repeats", "line_repeats", "lines", "entropy", "long_words",
+    "words", "word_length", "symbols", "upper", "stops", "commas", "pipes", "marks", "spread", "repeats", "line_repeats", "lines", "entropy", "long_words",
 )
 
 _SYMBOLS = [c for c in range(33, 127) if chr(c) in "#$%&*+/<=>@[]\\^_`{}~"]
@@ -40,14 +40,13 @@ def statistics(text: str | None) -> list[float]:
     words = raw.split()
     n, size = len(words), max(1, len(raw))
     lines = raw.split(b"\n")
-    share = lambda k, of, least=0.002: math.log(least + k / max(1, of))
+    share = lambda k, of, least=0.002: math.log(least + k / (of + 10))  # noqa: E731  short texts say less
     seen = counts[counts > 0] / size
     letters = int(counts[65:91].sum() + counts[97:123].sum() + counts[128:].sum())
     return [
         math.log1p(n),
         math.log1p(letters / max(1, n)),
         share(int(counts[_SYMBOLS].sum()), size),
-        share(int(counts[48:58].sum()), size),
         share(int(counts[65:91].sum()), max(1, letters)),
         share(int(counts[46]), n, 0.01),
         share(int(counts[44]), n, 0.01),
