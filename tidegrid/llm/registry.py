@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from . import media, quality, url_filter
-
-QUERIES = {f.__name__: f for f in (url_filter.op1_url_filter, quality.op2_quality, media.op5_media_columns)}
+from . import decontaminate, media, packing, quality, substring, url_filter
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        url_filter.op1_url_filter, quality.op2_quality, substring.op3_substring, media.op5_media_columns, packing.op7_packing, decontaminate.op8_decontamination,
+    )
+}
 
 SQL = {"op1_url_filter": url_filter.oracle()}
