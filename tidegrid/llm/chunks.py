@@ -42,11 +42,10 @@ def _gather(columns: list[str], chunk_bytes: int):
             return out
 
         for b in batches:
-            at = 0
-            while at < b.num_rows:  # a batch is bounded in bytes, so whole batches are close enough
-                held.append(b.slice(at))
-                size += b.nbytes
-                at = b.num_rows
+            step = max(1, int(b.num_rows * chunk_bytes / max(1, b.nbytes)))
+            for at in range(0, b.num_rows, step):
+                held.append(b.slice(at, step))
+                size += held[-1].nbytes
                 if size >= chunk_bytes:
                     yield flush()
         if held:
@@ -55,19 +54,21 @@ def _gather(columns: list[str], chunk_bytes: int):
     return run
 
 
-def chunked(docs: DataFrame, order: list[str], rest: list[str], partitions: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Table (chunk, texts, rest): documents in the order of `order`; a smaller chunk number holds only earlier ones.
+def chunked(docs: DataFrame, rest: list[str], order: list[str] | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Table (chunk, texts, rest): documents as they are read or, with order, so that smaller chunk numbers hold earlier ones.
 
     `rest` are the other columns that come along. Rows with equal order may stand in either order.
     """
     spark = docs.sparkSession
     byte_batches(spark)
     df = docs.select(F.col("text"), *[F.col(f"`{c}`") for c in rest])
-    df = df.repartitionByRange(partitions, *[F.col(f"`{c}`").asc_nulls_first() for c in order[:1]]).sortWithinPartitions(*[F.col(f"`{c}`").asc_nulls_first() for c in order])
+    partitions = partitions_for(docs)
+    if order:
+        df = df.repartitionByRange(partitions, *[F.col(f"`{c}`").asc_nulls_first() for c in order[:1]]).sortWithinPartitions(*[F.col(f"`{c}`").asc_nulls_first() for c in order])
     kinds = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in df.select(*[F.col(f"`{c}`") for c in rest]).schema)
     rows = df.mapInArrow(_gather(rest, chunk_bytes), f"chunk long, texts array<string>, rest array<struct<{kinds}>>")
     name = f"tidegrid_{uuid.uuid4().hex}"
-    n = min(partitions, 4096)
+    n = min(max(partitions, 8), 4096)
     rows.write.option("path", f"{scratch(spark)}/chunks").option("compression", "zstd").format("parquet").bucketBy(n, "chunk").saveAsTable(name)
     return spark.table(name)
 
@@ -78,7 +79,7 @@ def partitions_for(docs: DataFrame) -> int:
     return max(1, -(-total // PARTITION_BYTES))
 
 
-def join_answers(table: DataFrame, answers: DataFrame) -> DataFrame:
+def join_answers(table: DataFrame, answers: DataFrame, name: str = "answers") -> DataFrame:
     """table with the answers (chunk, piece, body) of each chunk as an array; the table is not shuffled."""
-    per = answers.groupBy("chunk").agg(F.collect_list(F.struct("piece", "body")).alias("answers"))
+    per = answers.groupBy("chunk").agg(F.collect_list(F.struct("piece", "body")).alias(name))
     return table.join(per.hint("shuffle_hash"), "chunk", "left")

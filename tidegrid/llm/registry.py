@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, media, packing, quality, substring, url_filter
+from . import decontaminate, jaccard, language, license, media, packing, quality, substring, suffix, url_filter
 
 QUERIES = {
     f.__name__: f
     for f in (
-        url_filter.op1_url_filter, quality.op2_quality, substring.op3_substring, media.op5_media_columns, packing.op7_packing, decontaminate.op8_decontamination,
+        url_filter.op1_url_filter, quality.op2_quality, substring.op3_substring, suffix.op4_suffix_dedup, media.op5_media_columns, language.op6_language, packing.op7_packing, decontaminate.op8_decontamination, license.op9_license, jaccard.op10_jaccard_join,
     )
 }
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import runs
-from .chunks import chunked, join_answers, partitions_for
+from .chunks import chunked, join_answers
 from .common import documents, mixed, pick, run_hashes, scratch, stored, word_hashes
 
 WIDTH = 20
@@ -161,7 +161,7 @@ def _apply(width: int, n_ranges: int, names: list[str], texts_back: bool):
 def _marked(docs: DataFrame, rest: list[str], width: int, index: str | None) -> tuple[DataFrame, int]:
     """Chunks with the marks of each, and the number of key ranges."""
     spark = docs.sparkSession
-    table = chunked(docs, ["doc_id", "text"], rest, partitions_for(docs))
+    table = chunked(docs, rest, ["doc_id", "text"])
     total = table.select("texts").mapInArrow(_count(width), "n long").agg(F.sum("n")).first()[0] or 0
     old = None
     if index:
