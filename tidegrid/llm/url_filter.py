@@ -55,8 +55,8 @@ def blocks(rules: Iterable[Rule], size: int = BLOCK_BYTES) -> Iterator[list[tupl
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def rank(rule: str, key: str, verdict: str) -> tuple:
-    return len(rule), len(key), verdict == "allow", rule
+def rank(rule: str, verdict: str) -> tuple:
+    return len(rule), len(rule.split("/", 1)[0]), verdict == "allow", rule
 
 
 def sweep(keys: Sequence[str], paths: Sequence[str], rules: Sequence[tuple[str, str, str, str]]) -> list[tuple[str, str] | None]:
@@ -70,7 +70,7 @@ def sweep(keys: Sequence[str], paths: Sequence[str], rules: Sequence[tuple[str,
             at += 1
         while stack and not key.startswith(stack[-1][0]):  # those that have ended
             stack.pop()
-        best = max((r for r in stack if path.startswith(r[1])), key=lambda r: rank(r[2], r[0], r[3]), default=None)
+        best = max((r for r in stack if path.startswith(r[1])), key=lambda r: rank(r[2], r[3]), default=None)
         out.append(best and (best[2], best[3]))
     return out
 
@@ -81,7 +81,7 @@ def _sweeper(rules: list[tuple[str, str, str, str]], schema: pa.Schema) -> Calla
             keys, paths = b.column("key").to_pylist(), b.column("path").to_pylist()
             old = list(zip(b.column("rule").to_pylist(), b.column("verdict").to_pylist(), strict=True))
             for i, got in enumerate(sweep(keys, paths, rules)):
-                if got and (old[i][0] is None or (len(got[0]), got[1] == "allow") > (len(old[i][0]), old[i][1] == "allow")):
+                if got and (old[i][0] is None or rank(*got) > rank(*old[i])):
                     old[i] = got
             cols = [b.column(n) for n in b.schema.names if n not in ("rule", "verdict")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([o[0] for o in old], pa.string()), pa.array([o[1] for o in old], pa.string())], schema=schema)
