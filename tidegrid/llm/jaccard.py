@@ -11,9 +11,12 @@ union. Documents with equal sets are one node, named by the 128-bit digest of th
    - heavy sets, and light ones large enough to link with heavy ones, go into the inverted lists of their rarest
      shingles, so many that two linked sets always meet in a list (prefix filter, rarest first).
    The boundary is where the subsets of a set cost more rows than its lists and the candidates met there.
-3. Lists are scanned in two rounds. The first pairs each node with the first node of fitting size in a list and verifies these pairs on
-   the full sets; components of the verified links follow. The second pairs what is still apart within a list. A group of
-   many near copies is tied together in the first round, so its pairs are never all made, and no link is lost.
+3. Lists are scanned in two rounds. The first pairs each node with the head of the list, the one with the fewest
+   shingles of its own (in a group of copies the original, as a rule), and counts the shingles both share; components of
+   the links found follow. The second pairs what is still apart within a list, if three bounds allow a link: both sizes;
+   the places of the shingle in both prefixes; and what the two share with the head, plus at most what each shares with
+   others outside the head. A group of many near copies is tied together in the first round, so its pairs are never all
+   made, and no link is lost.
 
 Null and empty texts have an empty set and link with nothing. Rows that share a doc_id are documents of their own.
 """
@@ -136,7 +139,7 @@ def _frequencies(key: tuple, group: pa.Table) -> pa.Table:
     return pa.table({"chunk": group.column("chunk"), "piece": pa.array([key[0].as_py()] * n, pa.int32()), "body": pa.array(out, pa.binary()), "entries": pa.array([len(back) if not i else 0 for i in range(n)], pa.int64()), "distinct_keys": pa.array([len(keys) if not i else 0 for i in range(n)], pa.int64())})
 
 
-SETS = "chunk long, idx int, doc_id long, n int, node binary, tokens binary, lists array<long>, subsets array<long>"
+SETS = "chunk long, idx int, doc_id long, n int, node binary, s int, tokens binary, lists array<long>, places array<int>, subsets array<long>"
 
 
 def _six(s: np.ndarray) -> bytes:
@@ -153,12 +156,13 @@ def _eight(b: bytes) -> np.ndarray:
 def _classify(width: int, n_ranges: int, light: int):
     edges = runs.range_edges(n_ranges)
 
-    def one(s: np.ndarray, level: np.ndarray) -> tuple[bytes | None, list[int] | None, list[int] | None]:
+    def one(s: np.ndarray, level: np.ndarray) -> tuple:
+        """Number of shared shingles, the set, its rarest shared ones with their places in the prefix, its subsets."""
         n = len(s)
         shared = level > 0
         if int(shared.sum()) * OF < NEED * n:
-            return None, None, None
-        subsets = lists = None
+            return None, None, None, None, None
+        subsets = lists = places = None
         if n <= light:
             subsets = []
             for m in partners(n):
@@ -168,8 +172,9 @@ def _classify(width: int, n_ranges: int, light: int):
                     subsets += [_signed(xxhash.xxh3_64_intdigest(head + np.array(c, dtype=_U64).tobytes())) for c in combinations(s[shared], o)]
         if n * OF // NEED > light:
             order = np.lexsort((s, level))[: prefix(n)]
-            lists = [_signed(int(x)) for x in s[order[shared[order]]]]
-        return (_six(s) if lists else None), lists, subsets
+            places = np.flatnonzero(shared[order])
+            lists, places = [_signed(int(x)) for x in s[order[places]]], places.tolist()
+        return int(shared.sum()), (_six(s) if lists else None), lists or None, places or None, subsets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -186,16 +191,16 @@ def _classify(width: int, n_ranges: int, light: int):
                 doc_ids, seen, rows = rest.field("doc_id").to_pylist(), set(), []
                 for j, s in enumerate(sets):
                     if not len(s):
-                        rows.append((chunk, j, doc_ids[j], 0, None, None, None, None))
+                        rows.append((chunk, j, doc_ids[j], 0, *[None] * 6))
                         continue
                     node = node_of(s)
-                    more = (None, None, None)
+                    more = (None,) * 5
                     if node not in seen:
                         seen.add(node)
                         more = one(s, level[np.searchsorted(keys, s)])
                     rows.append((chunk, j, doc_ids[j], len(s), node, *more))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                cols = list(zip(*rows, strict=True)) if rows else [()] * 8
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+                cols = list(zip(*rows, strict=True)) if rows else [()] * 10
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in SETS.split(", ")])
 
     return run
@@ -205,28 +210,29 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keep, held, held_of = [], None, None
+        shared, linked, held, held_of = [], [], None, None
         for x, y in zip(b.column("ta"), b.column("tb"), strict=True):
             p, q = _eight(x.as_py()), y.as_py()
             if q != held_of:
                 held, held_of = _eight(q), q
-            shared = int(runs.member(p, held).sum())
-            keep.append(OF * shared >= NEED * (len(p) + len(held) - shared))
-        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            k = int(runs.member(p, held).sum())
+            shared.append(k)
+            linked.append(OF * k >= NEED * (len(p) + len(held) - k))
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(shared, pa.int32()), pa.array(linked, pa.bool_())], names=["a", "b", "shared", "linked"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full sets are close enough."""
+def _tested(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the number of shingles their full sets share, and whether that makes a link."""
     first = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
     both = first.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(_verify, "a binary, b binary")
+    return both.select("a", "b", "ta", "tb").mapInArrow(_count_shared, "a binary, b binary, shared int, linked boolean")
 
 
-def _fits(a, b):
-    """Sizes of a possible link."""
-    return (OF * a >= NEED * b) & (OF * b >= NEED * a)
+def _fits(a, b, most):
+    """Whether sets of sizes a and b that share `most` shingles at best can link."""
+    return (OF * a >= NEED * b) & (OF * b >= NEED * a) & ((OF + NEED) * most >= NEED * (a + b))
 
 
 def nodes_and_labels(docs: DataFrame, rest: list[str], width: int = WIDTH) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -243,28 +249,39 @@ def nodes_and_labels(docs: DataFrame, rest: list[str], width: int = WIDTH) -> tu
     found = join_answers(table, answers).select("chunk", "texts", "rest", "answers").mapInArrow(_classify(width, n_ranges, light), SETS)
     found = stored(found, f"{base}/sets")
 
-    sets = stored(found.where("lists IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("lists").alias("lists")), f"{base}/heavy")
-    lists = sets.select("node", "n", F.explode("lists").alias("token"))
+    sets = found.where("lists IS NOT NULL").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "s", "tokens", "lists", "places")])
+    sets = stored(sets, f"{base}/heavy")
+    lists = sets.select("node", "n", "s", F.explode(F.arrays_zip("lists", "places")).alias("p")).select("node", "n", "s", F.col("p.lists").alias("token"), F.col("p.places").alias("place"))
     # heads are stored before they are joined back: Spark then splits the list of a hot shingle over tasks
-    heads = stored(lists.groupBy("token").agg(F.min(F.struct("n", "node")).alias("head"), F.count("*").alias("m")).where("m > 1").select("token", "head"), f"{base}/heads")
-    near = lists.join(heads, "token").where(_fits(F.col("n"), F.col("head.n")) & (F.col("node") != F.col("head.node"))).select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct()
+    heads = lists.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "n", "node")).alias("head"), F.min("n").alias("smallest"), F.count("*").alias("m"))
+    heads = stored(heads.where("m > 1").select("token", "head", "smallest"), f"{base}/heads")
+    to_head = _fits(F.col("n"), F.col("head.n"), F.least("s", F.col("head.n") - F.col("head.own"))) & (F.col("node") != F.col("head.node"))
+    near = lists.join(heads, "token").where(to_head).select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct()
+    tested = stored(_tested(near, sets), f"{base}/tested")
     subsets = found.where("subsets IS NOT NULL").select("node", F.explode("subsets").alias("token")).distinct()
     tops = stored(subsets.groupBy("token").agg(F.min("node").alias("b"), F.count("*").alias("m")).where("m > 1").select("token", "b"), f"{base}/tops")
     tied = subsets.join(tops, "token").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b")
-    links = stored(_verified(near, sets).unionAll(tied).distinct(), f"{base}/links")
+    links = stored(tested.where("linked").select("a", "b").unionAll(tied).distinct(), f"{base}/links")
     labels = components(links)
 
-    # what is still apart within a list
-    own = sets.select("node", "n", "lists").join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), F.explode("lists").alias("token"))
+    # what is still apart within a list, without entries whose place leaves no partner of the list's sizes
+    room = F.floor((OF + NEED) * F.least(F.col("s"), F.col("n") - F.col("place")) / NEED) - F.col("n")  # largest partner
+    own = lists.join(heads, "token").withColumn("room", room).where(F.col("room") >= F.col("smallest"))
+    own = own.join(labels, "node", "left").select("node", "n", "s", "token", "room", F.col("head.node").alias("b"), F.coalesce("label", "node").alias("label"))
+    own = stored(own, f"{base}/own")
     split = stored(own.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token"), f"{base}/split")
-    left = stored(own.join(split, "token", "left_semi"), f"{base}/left")
+    left = own.join(split, "token", "left_semi").join(tested.select(F.col("a").alias("node"), "b", "shared"), ["node", "b"], "left")
+    left = stored(left.withColumn("shared", F.when(F.col("node") == F.col("b"), F.col("n")).otherwise(F.col("shared"))), f"{base}/left")
     x, y = left.alias("x"), left.alias("y")
-    apart = x.join(y, F.col("x.token") == F.col("y.token")).where((F.col("x.label") < F.col("y.label")) & _fits(F.col("x.n"), F.col("y.n")))
-    pairs = apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = stored(_verified(pairs, sets), f"{base}/more")
+    through = F.least("x.shared", "y.shared") + F.least(F.col("x.s") - F.col("x.shared"), F.col("y.s") - F.col("y.shared"))
+    most = F.least("x.s", "y.s", F.when(F.col("x.shared").isNotNull() & F.col("y.shared").isNotNull(), through).otherwise(F.col("x.s")))
+    may = (F.col("x.label") < F.col("y.label")) & (F.col("x.n") <= F.col("y.room")) & (F.col("y.n") <= F.col("x.room")) & _fits(F.col("x.n"), F.col("y.n"), most)
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & may).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    more = stored(_tested(pairs, sets).where("linked").select("a", "b"), f"{base}/more")
     if not more.isEmpty():
         labels = components(links.unionAll(more))
-    remove(spark, f"{base}/answers")
+    for t in ("answers", "own", "left"):
+        remove(spark, f"{base}/{t}")
     return table, found.select("chunk", "idx", "doc_id", "n", "node"), labels
 
 
