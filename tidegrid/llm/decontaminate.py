@@ -98,6 +98,17 @@ def banded_distance(pattern: np.ndarray, text: np.ndarray, first: int, last: int
     return int(row[best]), int(first + best + len(pattern))
 
 
+def dense(at: np.ndarray, fewest: int, span: int) -> np.ndarray:
+    """Of sorted places those that stand, with at least `fewest` in all, within `span`: a region needs as many shared q-grams."""
+    if len(at) < fewest or fewest <= 1:
+        return at[: len(at) if fewest <= 1 else 0]
+    first = np.flatnonzero(at[fewest - 1 :] - at[: len(at) - fewest + 1] <= span)
+    edge = np.zeros(len(at) + 1, dtype=np.int64)
+    edge[first] += 1
+    np.subtract.at(edge, first + fewest, 1)
+    return at[np.cumsum(edge[:-1]) > 0]
+
+
 class Index:
     """Q-grams of a block of windows: hash -> (window, place), and a bit table in front."""
 
@@ -107,6 +118,7 @@ class Index:
         self.n = np.array([len(c) for c in self.codes])
         self.k = np.array([budget(n) for n in self.n])
         self.least = np.array([bound(n, k) for n, k in zip(self.n, self.k, strict=True)])
+        self.fewest, self.span = int(self.least.min(initial=1 << 30)), int((self.n + self.k).max(initial=0))
         hashes = [grams(w[1]) for w in wins]
         h = np.concatenate([*hashes, np.empty(0, np.uint64)])
         win = np.repeat(np.arange(len(wins)), [len(x) for x in hashes])
@@ -120,6 +132,7 @@ class Index:
         """item -> (edits, end in the folded text, shared q-grams) of its best window."""
         h = grams(text)
         maybe = np.flatnonzero(self.bits[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
+        maybe = dense(maybe, self.fewest, self.span)
         if not len(maybe):
             return {}
         lo, hi = np.searchsorted(self.h, h[maybe], "left"), np.searchsorted(self.h, h[maybe], "right")
@@ -131,12 +144,13 @@ class Index:
         win, diag = self.win[at], np.repeat(maybe, n) - self.place[at]
         step = self.k[win] + 1
         band = np.floor_divide(diag, step)
-        key = np.concatenate([np.stack([win, band]), np.stack([win, band - 1])], axis=1)  # a band spans two steps, so each diagonal lies in two
-        both, counts = np.unique(key, axis=1, return_counts=True)
-        good = counts >= self.least[both[0]]
+        key = (win << 40) + band + (1 << 39)
+        key, counts = np.unique(np.concatenate([key, key - 1]), return_counts=True)  # a band spans two steps, so each diagonal lies in two
+        win, band = key >> 40, (key & ((1 << 40) - 1)) - (1 << 39)
+        good = counts >= self.least[win]
         found: dict[int, tuple[int, int, int]] = {}
         codes = None
-        for w, b, c in zip(both[0][good], both[1][good], counts[good], strict=True):
+        for w, b, c in zip(win[good], band[good], counts[good], strict=True):
             item, k = int(self.items[w]), int(self.k[w])
             if item in found and found[item][0] == 0:
                 continue
