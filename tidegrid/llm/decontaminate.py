@@ -8,7 +8,7 @@ that any k + 1 neighbours lie within one), bands that reach the bound become reg
 alignment confined to its band. A document is reported with an item if one of the item's windows aligns within its edit
 budget.
 
-Benchmark windows are sent to the tasks in blocks of at most `BLOCK_CHARS` characters; a larger benchmark takes more
+Benchmark windows are sent to the tasks in blocks of at most `BLOCK_CHARS` characters (or one item, should it be longer); a larger benchmark takes more
 scans, none of its items is dropped. Nothing is shuffled. Null or empty texts and items match nothing, as do items of
 fewer than Q characters; repeated rows and items are each reported.
 """
@@ -183,12 +183,13 @@ def blocks(benchmark: DataFrame, size: int = BLOCK_CHARS) -> Iterator[list[tuple
     """Windows of the benchmark, streamed to the driver and handed on in blocks of bounded size."""
     block, used = [], 0
     for r in pick(benchmark, "item_id", "text").where("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
-        for w in windows([(r["item_id"], r["text"])]):
-            if used + len(w[1]) > size:
-                yield block
-                block, used = [], 0
-            block.append(w)
-            used += len(w[1])
+        own = windows([(r["item_id"], r["text"])])  # the windows of one item stay together, so it is reported once
+        cost = sum(len(w[1]) for w in own)
+        if block and used + cost > size:
+            yield block
+            block, used = [], 0
+        block += own
+        used += cost
     if block:
         yield block
 
