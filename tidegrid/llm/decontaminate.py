@@ -1,6 +1,6 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Benchmark items are folded (lower case, single spaces) and cut into overlapping windows of `WINDOW` characters; shorter
+Benchmark items are folded (lower case, runs of anything but letters and digits as one space) and cut into overlapping windows of `WINDOW` characters; shorter
 items are one window. Two strings within k edits share at least n + 1 - q(k + 1) of the q-grams of a window of n
 characters, on diagonals that differ by at most k. So for every document the q-grams it shares with any window are
 found, counted per window in overlapping bands of diagonals (each 2k + 1 wide or wider, one every k + 1 diagonals, so
@@ -15,6 +15,7 @@ fewer than Q characters; repeated rows and items are each reported.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -34,8 +35,12 @@ _B = np.uint64(0xC2B2AE3D27D4EB4F)
 _BITS = 20
 
 
+_BETWEEN = re.compile(r"[\W_]+")
+
+
 def fold(text: str) -> str:
-    return " ".join(text.split()).lower()
+    """Lower-case letters and digits with single spaces between; punctuation and line breaks do not tell texts apart."""
+    return _BETWEEN.sub(" ", text).strip().lower()
 
 
 def grams(text: str) -> np.ndarray:
