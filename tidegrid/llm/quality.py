@@ -30,7 +30,8 @@ NAMES = (
     "words", "word_length", "symbols", "upper", "stops", "commas", "pipes", "marks", "spread", "repeats", "line_repeats", "lines", "entropy", "long_words",
 )
 
-_SYMBOLS = [c for c in range(33, 127) if chr(c) in "#$%&*+/<=>@[]\\^_`{}~"]
+#: Signs of broken markup; those of phone numbers, addresses and code are left out.
+_SYMBOLS = [ord(c) for c in "#$%&*^~"]
 
 
 def statistics(text: str | None) -> list[float]:
