@@ -224,3 +224,11 @@ def test_licenses(spark):
 
 def test_fixture_holds_what_it_should():
     assert len(brute.corpus()) == 121
+
+
+def test_sweep_leaves_nothing(spark, tmp_path):
+    from tidegrid.llm import chunks, common
+
+    chunks.chunked(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), ["doc_id"])
+    common.sweep(spark)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tidegrid_")]

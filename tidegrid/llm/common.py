@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -28,7 +30,9 @@ def scratch(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(spark, "_tidegrid_scratch", None)
         if not base:
-            base = spark._tidegrid_scratch = "file://" + tempfile.mkdtemp(prefix="tidegrid-")
+            folder = tempfile.mkdtemp(prefix="tidegrid-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            base = spark._tidegrid_scratch = "file://" + folder
     return f"{base.rstrip('/')}/tidegrid-{uuid.uuid4().hex}"
 
 
@@ -45,6 +49,18 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Drop every scratch table and folder below the shared folder. Only when no result that reads them is still to be written."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith("tidegrid_"):
+            spark.sql(f"DROP TABLE IF EXISTS `{t.name}`")
+    base = scratch(spark).rpartition("/")[0]
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    for f in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p):
+        if f.getPath().getName().startswith("tidegrid-"):
+            remove(spark, f.getPath().toString())
+
+
 def byte_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes, as document lengths differ by orders of magnitude."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
