@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language, license, media, packing, quality, substring, suffix, url_filter
+from . import decontaminate, jaccard, language, license, media, packing, quality, sql, substring, suffix, url_filter
 
 QUERIES = {
     f.__name__: f
@@ -11,4 +11,4 @@ QUERIES = {
     )
 }
 
-SQL = {"op1_url_filter": url_filter.oracle()}
+SQL = {"op1_url_filter": url_filter.oracle(), "op3_substring": sql.SUBSTRING, "op4_suffix_dedup": sql.SUFFIX, "op9_license": license.oracle(), "op10_jaccard_join": sql.JACCARD}

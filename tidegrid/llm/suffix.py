@@ -41,7 +41,7 @@ RANGE_ENTRIES = 1 << 20
 #: Bytes of text looked at in one go inside a chunk.
 BLOCK = 1 << 20
 #: Bytes of a chunk; its shared anchors are Python objects for a while.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 3 << 20
 
 _U64 = np.uint64
 _MUL = [_U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -113,11 +113,14 @@ def _blocks(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield first, held
 
 
-def _counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _anchors(texts: pa.Array) -> list[tuple[int, Anchors]]:
+    return [(first, Anchors(raws)) for first, raws in _blocks(texts)]
+
+
+def _counted(blocks: list[tuple[int, Anchors]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct anchor hashes of a chunk and in how many of its documents each is."""
     each = []
-    for _, raws in _blocks(texts):
-        a = Anchors(raws)
+    for _, a in blocks:
         if len(a.hash):
             order = np.lexsort((a.doc, a.hash))
             h, d = a.hash[order], a.doc[order]
@@ -131,7 +134,7 @@ def _send(n_ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                keys, counts = _counted(b.column("texts")[i].values)
+                keys, counts = _counted(_anchors(b.column("texts")[i].values))
                 cut = runs.cuts(keys, edges)
                 filled = np.flatnonzero(np.diff(cut))
                 body = [runs.encode(keys[cut[k] : cut[k + 1]]) for k in filled]
@@ -264,7 +267,8 @@ class Entries:
     """Distinct (suffix, left) pairs of a chunk's shared anchors, sorted within each range, with the anchors they stand for."""
 
     def __init__(self, texts: pa.Array, answers, edges: np.ndarray):
-        keys = _counted(texts)[0]
+        blocks = _anchors(texts)
+        keys = _counted(blocks)[0]
         cut = runs.cuts(keys, edges)
         shared = np.zeros(len(keys), dtype=bool)
         for a in answers or []:
@@ -273,21 +277,19 @@ class Entries:
         piece_of = np.searchsorted(edges, keys, side="right")
         self.rows: dict[tuple[int, bytes, bytes], tuple[int, int]] = {}  # -> (document, least l) of the first one
         self.where: list[tuple[int, tuple, int, int, int]] = []  # document, entry, place, first, last
-        for first_doc, raws in _blocks(texts):
-            a = Anchors(raws)
+        rows, where = self.rows, self.where
+        for first_doc, a in blocks:
             if not len(a.hash):
                 continue
             at = np.searchsorted(keys, a.hash)
             good = np.flatnonzero(shared[at])
-            data = a.data.tobytes()
-            for i in good.tolist():
-                p, lo, hi, d = int(a.place[i]), int(a.first[i]), int(a.last[i]), int(a.doc[i])
-                entry = int(piece_of[at[i]]), data[p : hi + SPAN], data[lo:p]
-                doc, base = first_doc + d, int(a.starts[d])
-                old = self.rows.get(entry)
-                if old is None:
-                    self.rows[entry] = doc, p - hi
-                self.where.append((doc, entry, p - base, lo - base, hi - base))
+            data, base = a.data.tobytes(), a.starts[a.doc[good]]
+            cols = (piece_of[at[good]], a.place[good], a.first[good], a.last[good], a.doc[good] + first_doc, base)
+            for piece, p, lo, hi, doc, b in zip(*[c.tolist() for c in cols], strict=True):
+                entry = piece, data[p : hi + SPAN], data[lo:p]
+                if entry not in rows:
+                    rows[entry] = doc, p - hi
+                where.append((doc, entry, p - b, lo - b, hi - b))
 
     def ordered(self) -> dict[int, list[tuple[int, bytes, bytes]]]:
         out: dict[int, list] = {}
@@ -373,24 +375,22 @@ def _cut(n_ranges: int):
                     m = np.zeros((len(own), 4), dtype=np.uint8)
                     m[:] = np.frombuffer(pa.decompress(a["body"], 4 * len(own), "zstd", asbytes=True), dtype=np.uint8).reshape(4, -1).T
                     marks.update(zip(own, m.view("<u4").ravel().tolist(), strict=True))
-                gone: dict[int, list[int]] = {}
+                gone: dict[int, list[tuple[int, int]]] = {}  # bytes from .. to that marked windows cover
                 for doc, entry, p, lo, hi in e.where:
-                    first_doc = e.rows[entry][0]
-                    mark = marks.get(entry, 0)
-                    if doc > first_doc:
-                        gone.setdefault(doc, []).extend(range(lo, hi + 1))
-                    elif mark:
-                        gone.setdefault(doc, []).extend(s for s in range(lo, hi + 1) if mark >> (p - s) & 1)
+                    if doc > e.rows[entry][0]:
+                        gone.setdefault(doc, []).append((lo, hi + SPAN))
+                    elif mark := marks.get(entry, 0):
+                        if mark == (1 << (p - lo + 1)) - (1 << (p - hi)):
+                            gone.setdefault(doc, []).append((lo, hi + SPAN))
+                        else:
+                            gone.setdefault(doc, []).extend((s, s + SPAN) for s in range(lo, hi + 1) if mark >> (p - s) & 1)
                 out = []
                 for d, t in enumerate(texts):
                     raw = _raw(t)
                     n, removed, spans, kept = len(raw), 0, 0, raw
-                    if starts := gone.get(d):
-                        at = np.unique(np.array(starts))
-                        edge = np.zeros(n + 1, dtype=np.int32)
-                        edge[at] += 1
-                        np.subtract.at(edge, at + SPAN, 1)
-                        hit = np.cumsum(edge[:-1]) > 0
+                    if parts := gone.get(d):
+                        at, end = np.array(parts).T
+                        hit = np.cumsum(np.bincount(at, minlength=n + 1) - np.bincount(end, minlength=n + 1))[:-1] > 0
                         removed, spans = int(hit.sum()), int(np.count_nonzero(np.diff(np.concatenate([[0], hit.astype(np.int8)])) == 1))
                         kept = np.frombuffer(raw, dtype=np.uint8)[~hit].tobytes()
                     out.append((n, removed, spans, hashlib.sha256(kept).hexdigest()))
