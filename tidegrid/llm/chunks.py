@@ -18,6 +18,8 @@ from .common import byte_batches, scratch
 
 CHUNK_BYTES = 6 << 20
 PARTITION_BYTES = 12 << 20
+#: A partition streams its chunks, so its size is no matter of memory; these keep the number of tasks in hand.
+MANY, LARGE = 20_000, 512 << 20
 
 
 def _gather(columns: list[str], chunk_bytes: int):
@@ -68,15 +70,15 @@ def chunked(docs: DataFrame, rest: list[str], order: list[str] | None = None, ch
     kinds = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in df.select(*[F.col(f"`{c}`") for c in rest]).schema)
     rows = df.mapInArrow(_gather(rest, chunk_bytes), f"chunk long, texts array<string>, rest array<struct<{kinds}>>")
     name = f"tidegrid_{uuid.uuid4().hex}"
-    n = min(max(partitions, 8), 4096)
+    n = min(max(partitions, 8), 65_536)
     rows.write.option("path", f"{scratch(spark)}/chunks").option("compression", "zstd").format("parquet").bucketBy(n, "chunk").saveAsTable(name)
     return spark.table(name)
 
 
 def partitions_for(docs: DataFrame) -> int:
-    """About one partition for every PARTITION_BYTES of text."""
+    """About one partition for every PARTITION_BYTES of text; beyond MANY partitions they grow, up to LARGE bytes each."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(1, -(-total // PARTITION_BYTES))
+    return max(1, min(-(-total // PARTITION_BYTES), max(MANY, -(-total // LARGE))))
 
 
 def join_answers(table: DataFrame, answers: DataFrame, name: str = "answers") -> DataFrame:
