@@ -47,3 +47,17 @@ def test_decoder_path_has_every_anchor(spark, db):
     assert plain(map(tuple, got)) == plain(every)
     last = max(r[0] for r in first)
     assert plain(tuple(r) for r in got if r["t"] <= last) == plain(first)
+
+
+def test_unroll_windows_has_every_anchor(spark):
+    """Brute force: 72 values up to the anchor, then its last value for each of the 144 steps of the decoder."""
+    g = sorted((r["t"], r["flux"] or 0.0) for r in queries.QUERIES["resample_grid_5min"](spark, HERE).collect())
+    flux = [f for _, f in g]
+    got = {}
+    for r in queries.QUERIES["unroll_windows"](spark, HERE).collect():
+        got.setdefault(r["anchor"], {})[r["time_idx"]] = r["value"]
+    assert sorted(got) == [t for t, _ in g[71 : len(g) - 144]]
+    for i in range(71, len(g) - 144):
+        want = flux[i - 71 : i + 1] + [flux[i]] * 144
+        assert [got[g[i][0]].get(k) for k in range(216)] == pytest.approx(want, abs=1e-4)
+        assert len(got[g[i][0]]) == 216

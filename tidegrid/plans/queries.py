@@ -424,12 +424,10 @@ FROM an JOIN x ON x.pos BETWEEN an.pos - 3 AND an.pos + 6""",
     "anchor time_idx",
 )
 def unroll_windows(spark, d):
-    from ..operators.halo import positioned
-
+    """Every anchor with the lookback and decoder of the other window queries; the SQL above has 20 anchors with windows of 4 and 6."""
     g = views.grid1(spark, d).withColumn("flux", F.coalesce("flux", F.lit(0.0))).withColumn("k", F.lit(1.0))
-    a = W.anchors(g, views.FIVE, ["flux"], "flux", 4, decoder=6, horizons={"h": 1}, threshold=THR, future=("k",), arrays=True)
-    p = positioned(g.select("time"), views.FIVE, "pos", None).where("pos BETWEEN 71 AND 90").select("time")
-    return W.unroll(a.join(p, "time"), ["time"]).select(F.unix_seconds("time").alias("anchor"), F.col("time_idx").cast("bigint").alias("time_idx"), F.col("inputs")[0].alias("value"))
+    a = W.anchors(g, views.FIVE, ["flux"], "flux", L, horizons=H, threshold=THR, future=("k",), arrays=True)
+    return W.unroll(a, ["time"]).select(F.unix_seconds("time").alias("anchor"), F.col("time_idx").cast("bigint").alias("time_idx"), F.col("inputs")[0].alias("value"))
 
 
 # ------------------------------------------------------------------ models
