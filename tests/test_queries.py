@@ -61,3 +61,16 @@ def test_unroll_windows_has_every_anchor(spark):
         want = flux[i - 71 : i + 1] + [flux[i]] * 144
         assert [got[g[i][0]].get(k) for k in range(216)] == pytest.approx(want, abs=1e-4)
         assert len(got[g[i][0]]) == 216
+
+
+def test_gbt_quantiles_has_every_anchor_and_horizon(spark):
+    """Four fifths of the fitted targets lie between the outer quantiles, and the median is nearer than a constant."""
+    got = {r["t"]: r for r in queries.QUERIES["gbt_quantiles"](spark, HERE).collect()}
+    want = {r["t"]: r for r in queries.QUERIES["supervised_targets"](spark, HERE).collect()}
+    assert sorted(got) == sorted(want)
+    for h in queries.H:
+        y = {t: r[f"y_{h}"] for t, r in want.items()}
+        mid = sorted(y.values())[len(y) // 2]
+        assert all(got[t][f"{h}_q10"] <= got[t][f"{h}_q50"] <= got[t][f"{h}_q90"] and 0 <= got[t][f"{h}_p"] <= 1 for t in y)
+        assert sum(got[t][f"{h}_q10"] - 1e-5 <= v <= got[t][f"{h}_q90"] + 1e-5 for t, v in y.items()) / len(y) == pytest.approx(0.8, abs=0.05)
+        assert sum(abs(got[t][f"{h}_q50"] - v) for t, v in y.items()) < sum(abs(mid - v) for v in y.values())

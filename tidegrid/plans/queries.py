@@ -684,11 +684,11 @@ def refm_fit(spark, d):
 
 @query()
 def gbt_quantiles(spark, d):
+    """Fitted on all anchors and predicted for all of them, every horizon."""
     a = views.anchor_frame(spark, d)
     x = a.join(W.window_stats(views.filled(spark, d), views.FIVE, ["flux"], L).drop("flux"), "time")
-    x = W.every_nth(x, views.FIVE, 4)
-    m = models.BoostedTrees({"nowcast": 8}, THR, inputs=["flux_last", "flux_mean", "flux_std", "flux_min", "flux_max"], trees=5, depth=3).fit(x)
-    return m.predict(x).select("time", "nowcast_q10", "nowcast_q50", "nowcast_q90", "nowcast_p")
+    m = models.BoostedTrees(H, THR, inputs=["flux_last", "flux_mean", "flux_std", "flux_min", "flux_max"]).fit(x)
+    return m.predict(x).select("time", *[f"{h}_{c}" for h in H for c in ("q10", "q50", "q90", "p")])
 
 
 @query()
