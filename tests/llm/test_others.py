@@ -195,6 +195,18 @@ def test_passages_are_found_and_others_left(spark):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_excerpts_are_found_at_every_offset():
+    r = random.Random(4)
+    say = lambda k: " ".join("".join(r.choices("abcdefghijklmnop", k=r.randint(2, 9))) for _ in range(k))
+    item = say(70)
+    index = decontaminate.Index(decontaminate.windows([(7, item)]))
+    for n in (80, 100, 120):
+        for at in range(len(item) - n + 1):
+            assert 7 in index.matches(decontaminate.fold(f"{say(30)} {item[at : at + n]} {say(30)}")), (n, at)
+    assert not any(index.matches(say(200)) for _ in range(50))
+    assert not any(index.matches(decontaminate.fold(f"{say(30)} {item[at : at + 40]} {say(30)}")) for at in range(len(item) - 40))
+
+
 def test_banded_distance_is_that_of_the_full_table():
     r = random.Random(1)
     for _ in range(200):

@@ -1,6 +1,7 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Benchmark items are folded (lower case, runs of anything but letters and digits as one space) and cut into overlapping windows of `WINDOW` characters; shorter
+Benchmark items are folded (lower case, runs of anything but letters and digits as one space) and cut into overlapping windows of `WINDOW` characters, and
+of `PASSAGE` characters every `STRIDE`, so that an excerpt of PASSAGE + STRIDE - 1 characters, some 13 words, holds a whole passage wherever it starts; shorter
 items are one window. Two strings within k edits share at least n + 1 - q(k + 1) of the q-grams of a window of n
 characters, on diagonals that differ by at most k. So for every document the q-grams it shares with any window are
 found, counted per window in overlapping bands of diagonals (each 2k + 1 wide or wider, one every k + 1 diagonals, so
@@ -27,6 +28,8 @@ from .common import byte_batches, documents, pick
 
 Q = 8
 WINDOW = 96
+PASSAGE = 72
+STRIDE = 8
 RATE = 0.08
 BLOCK_CHARS = 4 << 20
 
@@ -71,9 +74,11 @@ def windows(items: Iterable[tuple[int, str]]) -> list[tuple[int, str]]:
     out = []
     for item, text in items:
         text = fold(text or "")
-        last = max(0, len(text) - WINDOW)
-        starts = sorted({*range(0, last, WINDOW // 2), last})
-        out += [(item, text[s : s + WINDOW]) for s in starts if len(text[s : s + WINDOW]) >= Q]
+        for width, step in ((WINDOW, WINDOW // 2), (PASSAGE, STRIDE)):
+            if width == WINDOW or len(text) > PASSAGE:  # a shorter item is one window already
+                last = max(0, len(text) - width)
+                starts = sorted({*range(0, last, step), last})
+                out += [(item, text[s : s + width]) for s in starts if len(text[s : s + width]) >= Q]
     return out
 
 
