@@ -74,3 +74,9 @@ def test_gbt_quantiles_has_every_anchor_and_horizon(spark):
         assert all(got[t][f"{h}_q10"] <= got[t][f"{h}_q50"] <= got[t][f"{h}_q90"] and 0 <= got[t][f"{h}_p"] <= 1 for t in y)
         assert sum(got[t][f"{h}_q10"] - 1e-5 <= v <= got[t][f"{h}_q90"] + 1e-5 for t, v in y.items()) / len(y) == pytest.approx(0.8, abs=0.05)
         assert sum(abs(got[t][f"{h}_q50"] - v) for t, v in y.items()) < sum(abs(mid - v) for v in y.values())
+
+
+def test_manifest_upsert_counts_every_event(spark, db):
+    got = {r["file"]: (r["n_records"], r["first_t"], r["last_t"]) for r in queries.QUERIES["manifest_upsert"](spark, HERE).collect()}
+    want = {r[0]: r[1:] for r in db.execute("SELECT event_type, count(*), min(epoch_us(ts) // 1000000), max(epoch_us(ts) // 1000000) FROM events GROUP BY 1").fetchall()}
+    assert got == want
