@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tidegrid.llm import decontaminate, jaccard, packing, quality, substring
 from tidegrid.llm.common import scratch, stored
 
+#: A byte of a word, as the substring stage tells words apart.
+WORD = r"[^\x20\x09-\x0D]"
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -25,9 +27,10 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that an earlier document has; n_chars follows, a text of which nothing is left goes."""
-    left = substring.without_repeats(docs)
-    return left.withColumn("n_chars", F.length("text").cast("bigint")).where("text IS NULL OR trim(text) <> ''").select(*docs.columns)
+    """Texts without passages that an earlier document has; n_chars follows, a text that had words and lost them all goes."""
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    left = substring.without_repeats(docs.withColumn("__worded", worded))
+    return left.withColumn("n_chars", F.length("text").cast("bigint")).where(worded | ~F.col("__worded")).select(*docs.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,3 +63,11 @@ def test_run_equals_the_stages(spark, tables):
     pytest.importorskip("public_tokenizers")
     out = corpus_pipeline.run(spark, tables)
     assert out.count() > 0 and corpus_pipeline.ORACLE_SQL is None and json.dumps([n for n, _ in corpus_pipeline.STAGES])
+
+
+def test_texts_without_words_pass_the_substring_stage(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, None), (2, ""), (3, "   "), (4, "\t\n "), (5, words), (6, words), (7, "short text"), (8, "\u00a0")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.without_repeats(spark, docs, "")
+    assert left.columns == docs.columns and sorted((x["doc_id"], x["text"]) for x in left.collect()) == [x for x in rows if x[0] != 6]
