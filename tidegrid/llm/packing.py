@@ -3,13 +3,16 @@
 Documents are tokenised once and cut into whole sequences and one rest each. Rest lengths are counted in classes of
 `GRAIN` tokens; the histogram, whose size is bounded by the sequence length alone, is all that reaches the driver. There
 a linear program over packing patterns is solved by column generation: a revised simplex keeps the basis, a knapsack
-dynamic program over class sizes finds the pattern of least reduced cost, until none gains more than `GAP`. Pattern
+dynamic program over class sizes finds the pattern of least reduced cost, until none gains more than `GAP` or after
+`ROUNDS` columns (which costs a little padding, never a piece). Pattern
 counts are rounded down, what is left is packed best-fit. Every piece has a rank within its class (its place in its task
 plus a running sum of task counts), and rank arithmetic assigns it to a copy of a pattern, so no class, however many
 pieces it holds, meets in one task.
 
 Defined results: null text counts as empty, its document is the closing id alone. Repeated rows are packed like any
-other. Ids are those of the tokenizer file's byte-level BPE; text pieces between spaces are encoded once and remembered
+other; equal ones may change places. Tasks are ordered by the number of their partition, so a table read in the same
+splits is packed the same way each time. A text of any length is cut into as many pieces as it needs; an empty table
+gives no rows; of the table's columns only doc_id and text are looked at, whatever the others are called. Ids are those of the tokenizer file's byte-level BPE; text pieces between spaces are encoded once and remembered
 in a bounded table (`CACHE`). Inside a sequence longer classes stand first.
 """
 
@@ -17,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import re
-import secrets
 import struct
 import zlib
 from collections import defaultdict
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,12 +36,16 @@ from .common import byte_batches, documents, pick, scratch, stored
 LENGTH = 2048
 GRAIN = 8
 GAP = 2e-3
+ROUNDS = 4000
 CACHE = 400_000
 CLOSING = 1
 SPECIAL = "<|endoftext|>"
 
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _ODD = re.compile(r"\s ")
+_SPACE = re.compile(r"\s+")
+#: Length of a run of white space from which on the tokenizer file itself encodes a piece.
+WIDE = 10_000
 
 
 class Encoder(dict):
@@ -48,16 +55,25 @@ class Encoder(dict):
     reaches across such a place, so pieces can be encoded on their own.
     """
 
-    def __init__(self, ranks_file: str, pattern: str, special: int):
+    def __init__(self, ranks_file: str, pattern: str, special: int, whole_file: str):
         import tiktoken
 
         super().__init__()
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_file, "rb"))}
         self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.special = struct.pack("<I", special)
+        self.special, self.whole_file, self.whole = struct.pack("<I", special), whole_file, None
+
+    def _whole(self, piece: str) -> list[int]:
+        """Ids from the tokenizer file itself, for white space longer than the faster encoder's pattern engine bears."""
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.whole_file)
+        return self.whole.encode(piece, add_special_tokens=False).ids
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encode(piece), dtype="<u4").tobytes()
+        wide = len(piece) >= WIDE and any(len(m[0]) >= WIDE for m in _SPACE.finditer(piece))
+        ids = np.array((self._whole if wide else self.encode)(piece), dtype="<u4").tobytes()
         if len(piece) <= 48:
             if len(self) >= CACHE:
                 self.clear()
@@ -83,8 +99,8 @@ class Encoder(dict):
 def encoder(folder: str | None = None) -> Encoder:
     import public_tokenizers
 
-    path = f"{folder}/byte_bpe_50k.tiktoken" if folder else public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return Encoder(str(path), public_tokenizers.PATTERN, 50256)
+    ranks, whole = (f"{folder}/{n}" if folder else str(public_tokenizers.path(n)) for n in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json"))
+    return Encoder(ranks, public_tokenizers.PATTERN, 50256, whole)
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, chunk long, rank long"
@@ -92,7 +108,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def _cut(length: int, grain: int, folder: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, chunk, ranks = encoder(folder), secrets.randbits(62), defaultdict(int)
+        enc, chunk, ranks = encoder(folder), TaskContext.get().partitionId(), defaultdict(int)
         closing = struct.pack("<I", CLOSING)
         for b in batches:
             rows = []
@@ -132,7 +148,7 @@ def best_pattern(worth: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     return float(best[room]), pattern
 
 
-def column_generation(demand: np.ndarray, room: int, gap: float = GAP, limit: int = 4000) -> list[tuple[np.ndarray, float]]:
+def column_generation(demand: np.ndarray, room: int, gap: float = GAP, rounds: int = ROUNDS) -> list[tuple[np.ndarray, float]]:
     """Patterns and their fractional counts: least number of sequences that hold demand[i] pieces of class i + 1."""
     there = np.flatnonzero(demand)
     m = len(there)
@@ -142,7 +158,7 @@ def column_generation(demand: np.ndarray, room: int, gap: float = GAP, limit: in
     basis = [np.where(np.arange(m) == i, room // sizes[i], 0) for i in range(m)]
     inverse = np.diag(1.0 / np.array([room // s for s in sizes]))
     amount = inverse @ demand[there]
-    for _ in range(limit):
+    for _ in range(rounds):
         duals = inverse.sum(axis=0)
         worth = np.zeros(room)
         worth[sizes - 1] = np.maximum(duals, 0)
