@@ -9,7 +9,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch handed to Python; rows can be very long, so bytes bound memory and rows do not.
@@ -76,6 +76,11 @@ def pick(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast(kinds.get(c, "string")).alias(c) for c in columns])
 
 
+def sampled(column: str, share: float) -> Column:
+    """Condition that holds for about this share of the values of a column, by the whole range of a 64-bit hash, so that no share is rounded to nothing."""
+    return F.xxhash64(column) < F.lit(int(max(0.0, min(1.0, share)) * (1 << 64)) - (1 << 63)) if share < 1 else F.lit(True)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash, so that its high bits are as good as its low ones."""
     h = h.astype(_U64, copy=True)

@@ -8,7 +8,9 @@ One scale and one offset, fitted on at most `CALIBRATION_ROWS` labelled rows, tu
 
 Class sums are taken over all labelled rows that are not held out. Labels, language, source and doc_id never enter a
 score. Null text counts as empty text; empty texts get a score as any other. Repeated rows each get their row; a
-repeated label counts once, the larger winning. If a class has no labelled rows, every score is 0.5.
+repeated label counts once, the larger winning. If a class has no labelled rows, every score is 0.5. Texts of any length
+are read whole, a document at a time; an empty table gives no rows; a score of exactly THRESHOLD is accepted; only
+doc_id and text are looked at, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_batches, documents, pick, scratch, stored
+from .common import byte_batches, documents, pick, sampled, scratch, stored
 
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.7
@@ -160,9 +162,8 @@ def fit(labelled: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Discri
     covs = [shrunk(table[k, 2:].reshape(p, p), table[k, 0], table[k, 1]) for k in (0, 1)]
     model = Discriminant(shift, scale, means, covs, counts)
     # a share of all labelled rows by hash, so that no task sends the driver more than its part
-    share = int(min(1.0, 0.9 * calibration_rows / sum(counts)) * 1_000_000)
-    rows = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).select("x", "y").limit(calibration_rows).collect()
-    model.calibrate(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], dtype=float))
+    rows = labelled.where(sampled("doc_id", 0.9 * calibration_rows / sum(counts))).select("x", "y").limit(calibration_rows).collect()
+    model.calibrate(np.array([r["x"] for r in rows], dtype=float).reshape(-1, p), np.array([r["y"] for r in rows], dtype=float))
     return model
 
 
