@@ -13,7 +13,9 @@ Byte-pair tables are fitted on at most `TRAIN_DOCS` documents whose language is
 (crc32(doc_id) mod 4 = 2); a document's given language is never an input of its own result.
 
 Null or empty text gives equal likelihoods, so the other evidence decides; without any the most frequent language. A
-tie goes to the language that is first in the alphabet. Repeated rows each get their row.
+tie goes to the language that is first in the alphabet. Repeated rows each get their row. Pages of any length and with
+any number of unclosed tags are read in one walk. Without any document of known language the only language is `und`; an
+empty table gives no rows; columns beside those named here are not looked at, whatever they are called.
 """
 
 from __future__ import annotations
@@ -27,23 +29,52 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_batches, documents, pick, scratch, stored
+from .common import byte_batches, documents, pick, sampled, scratch, stored
 
 TRAIN_DOCS = 4000
 TEMPER = 40.0
 SMOOTH = 8.0
 
-_HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+_CLOSES = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style")}
+_OPENS = re.compile(r"<(script|style)\b", re.I)
+_ROOT = re.compile(r"<html\b", re.I)
+_DECLARED = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
 
 
 def visible(page: str) -> str:
-    """Text of a page without tags, scripts and styles."""
-    return html.unescape(_HIDDEN.sub(" ", page))
+    """Text of a page without tags, comments, scripts and styles, in one walk: an end that was not found once is not looked for again."""
+    out, at, closed = [], 0, {"-->": True, "script": True, "style": True}
+    while (lt := page.find("<", at)) >= 0:
+        out.append(page[at:lt])
+        end = -1
+        if page.startswith("<!--", lt):
+            if closed["-->"]:
+                end = page.find("-->", lt + 4) + 3
+                closed["-->"] = end > 2
+                end = end if end > 2 else -1
+        elif (opens := _OPENS.match(page, lt)) and closed[name := opens[1].lower()]:
+            found = _CLOSES[name].search(page, opens.end())
+            closed[name] = found is not None
+            end = found.end() if found else -1
+        if end < 0:
+            end = page.find(">", lt) + 1
+            if not end:  # a bracket that opens nothing
+                out.append(page[lt:])
+                break
+        out.append(" ")
+        at = end
+    else:
+        out.append(page[at:])
+    return html.unescape("".join(out))
 
 
 def declared(page: str) -> str | None:
-    found = _DECLARED.search(page)
+    """The language that the first html tag declares."""
+    root = _ROOT.search(page)
+    if not root:
+        return None
+    end = page.find(">", root.end())
+    found = _DECLARED.search(page, root.end(), end if end >= 0 else len(page))
     return found[1].lower() if found else None
 
 
@@ -56,13 +87,16 @@ def pairs(text: str) -> np.ndarray:
 
 
 def _sum_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, byte pair, number) of a task's texts, pairs that do not occur left out."""
     sums: dict[str, np.ndarray] = {}
     for b in batches:
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
             c = pairs(text.as_py() or "")
             if len(c):
                 sums[lang] = sums.get(lang, 0) + c
-    yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.string()), pa.array([v.astype("<i8").tobytes() for v in sums.values()], pa.binary())], names=["lang", "c"])
+    for lang, c in sums.items():
+        at = np.flatnonzero(c)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], names=["lang", "pair", "n"])
 
 
 def held_out() -> Column:
@@ -72,12 +106,10 @@ def held_out() -> Column:
 def fit(docs: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages and, per byte pair, the log share in each."""
     known = pick(docs, "doc_id", "lang", "text").where("lang IS NOT NULL AND doc_id IS NOT NULL").where(~held_out())
-    share = int(min(1.0, 0.9 * most / max(1, known.count())) * 1_000_000)  # by hash, so that no task gathers more than its part
-    ids = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).select("doc_id").limit(most).distinct()
+    sample = known.where(sampled("doc_id", 0.9 * most / max(1, known.count()))).select("lang", "text").limit(most)
     total: dict[str, np.ndarray] = {}
-    sample = known.join(F.broadcast(ids), "doc_id").select("lang", "text")  # at most `most` ids
-    for r in sample.mapInArrow(_sum_pairs, "lang string, c binary").toLocalIterator():
-        total[r["lang"]] = total.get(r["lang"], 0) + np.frombuffer(r["c"], dtype="<i8")
+    for r in sample.mapInArrow(_sum_pairs, "lang string, pair int, n long").groupBy("lang", "pair").agg(F.sum("n").alias("n")).collect():  # rows bounded by the sample and by 65,536 pairs a language
+        total.setdefault(r["lang"], np.zeros(65536, dtype=np.int64))[r["pair"]] = r["n"]
     langs = sorted(total)
     if not langs:
         return ["und"], np.zeros((65536, 1))
