@@ -3,19 +3,26 @@
 A rule is a host and a path prefix. The host of a URL is turned round label by label and closed with a separator
 (`blog.example.com` -> `com.example.blog.`), so that the rules of one host and of all its subdomains become one
 interval of keys. URLs are sorted by that key inside each partition (no shuffle, so a host with a third of the rows
-is no burden), rules are sorted once, and one sweep merges both, keeping the rules whose interval is open on a stack.
-Nested intervals make the stack a chain of ever longer hosts; the longest rule on it whose path fits decides.
+is no burden), hosts with rules are sorted once, and one sweep over the whole partition merges both, keeping the hosts
+whose interval is open on a stack. Nested intervals make the stack a chain of ever longer hosts. The paths of one host
+are sorted too and are intervals themselves: a search finds the last one that starts at or before the URL's path, and
+the chain of those that enclose it leads to the longest that fits, so a host with very many paths costs a logarithm.
 
 Rules are shipped in blocks of at most `BLOCK_BYTES`; a larger rule table is swept block by block, each adding to the
 best rule so far, so that what is shipped has a bound and no rule is dropped.
 
 Defined results: a null URL or one without `://` has empty host and path; it fits no rule, as do empty hosts. Repeated
 rows stay repeated. Of two fitting rules the longer (host and path together) wins, then the longer host, then `allow`.
+URLs of any length are looked at whole; an empty table gives no rows, no rules the default verdict for all; only
+page_id and url are looked at, whatever other columns are called.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -59,28 +66,61 @@ def rank(rule: str, verdict: str) -> tuple:
     return len(rule), len(rule.split("/", 1)[0]), verdict == "allow", rule
 
 
-def sweep(keys: Sequence[str], paths: Sequence[str], rules: Sequence[tuple[str, str, str, str]]) -> list[tuple[str, str] | None]:
-    """For keys in sorted order, the (rule, verdict) that fits each best; rules in sorted order too."""
-    out, stack, at = [], [], 0
-    for key, path in zip(keys, paths, strict=True):
-        while at < len(rules) and rules[at][0] <= key:  # intervals that open before this key
-            while stack and not rules[at][0].startswith(stack[-1][0]):
+class Paths:
+    """The rules of one host, sorted by path, each with the longest one before it whose path it extends."""
+
+    def __init__(self, rules: Sequence[tuple[str, str, str, str]]):
+        best: dict[str, tuple[str, str]] = {}
+        for _, path, rule, verdict in rules:
+            if path not in best or rank(rule, verdict) > rank(*best[path]):
+                best[path] = rule, verdict
+        self.paths, self.rules, self.outer = sorted(best), [], []
+        stack: list[int] = []
+        for i, path in enumerate(self.paths):
+            while stack and not path.startswith(self.paths[stack[-1]]):
+                stack.pop()
+            self.rules.append(best[path])
+            self.outer.append(stack[-1] if stack else -1)
+            stack.append(i)
+
+    def longest(self, path: str) -> tuple[str, str] | None:
+        i = bisect_right(self.paths, path) - 1
+        while i >= 0 and not path.startswith(self.paths[i]):
+            i = self.outer[i]
+        return self.rules[i] if i >= 0 else None
+
+
+def hosts(rules: Sequence[tuple[str, str, str, str]]) -> list[tuple[str, Paths]]:
+    """(key, its paths) in the order of keys, from rules in sorted order."""
+    return [(key, Paths(list(own))) for key, own in groupby(rules, key=itemgetter(0))]
+
+
+class Sweep:
+    """Merges keys, given in sorted order, with hosts in sorted order; keeps its place from one batch of keys to the next."""
+
+    def __init__(self, hosts: Sequence[tuple[str, Paths]]):
+        self.hosts, self.stack, self.at = hosts, [], 0
+
+    def best(self, key: str, path: str) -> tuple[str, str] | None:
+        """The (rule, verdict) that fits best."""
+        hosts, stack = self.hosts, self.stack
+        while self.at < len(hosts) and hosts[self.at][0] <= key:  # intervals that open before this key
+            while stack and not hosts[self.at][0].startswith(stack[-1][0]):
                 stack.pop()
-            stack.append(rules[at])
-            at += 1
+            stack.append(hosts[self.at])
+            self.at += 1
         while stack and not key.startswith(stack[-1][0]):  # those that have ended
             stack.pop()
-        best = max((r for r in stack if path.startswith(r[1])), key=lambda r: rank(r[2], r[3]), default=None)
-        out.append(best and (best[2], best[3]))
-    return out
+        return max((r for _, own in stack if (r := own.longest(path))), key=lambda r: rank(*r), default=None)
 
 
 def _sweeper(rules: list[tuple[str, str, str, str]], schema: pa.Schema) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sweep = Sweep(hosts(rules))
         for b in batches:
-            keys, paths = b.column("key").to_pylist(), b.column("path").to_pylist()
             old = list(zip(b.column("rule").to_pylist(), b.column("verdict").to_pylist(), strict=True))
-            for i, got in enumerate(sweep(keys, paths, rules)):
+            for i, (key, path) in enumerate(zip(b.column("key").to_pylist(), b.column("path").to_pylist(), strict=True)):
+                got = sweep.best(key, path)
                 if got and (old[i][0] is None or rank(*got) > rank(*old[i])):
                     old[i] = got
             cols = [b.column(n) for n in b.schema.names if n not in ("rule", "verdict")]
