@@ -10,8 +10,11 @@ alignment confined to its band. A document is reported with an item if one of th
 budget.
 
 Benchmark windows are sent to the tasks in blocks of at most `BLOCK_CHARS` characters (or one item, should it be longer); a larger benchmark takes more
-scans, none of its items is dropped. Nothing is shuffled. Null or empty texts and items match nothing, as do items of
-fewer than Q characters; repeated rows and items are each reported.
+scans, none of its items is dropped. A document is walked in strides of `WALK` q-grams that overlap by a whole region, so
+memory follows neither its length nor how often a q-gram repeats in it; equal windows of an item count once. Nothing is
+shuffled. Null or empty texts and items match nothing, as do items of fewer than Q folded characters; repeated rows and
+items are each reported; of equally good alignments the first is told. An empty table or benchmark gives no rows; only
+doc_id, item_id and text are looked at, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -32,6 +35,9 @@ PASSAGE = 72
 STRIDE = 8
 RATE = 0.08
 BLOCK_CHARS = 4 << 20
+#: Q-grams of a document that are looked up in one go, and hits counted in one go.
+WALK = 1 << 14
+HITS = 1 << 18
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -78,34 +84,41 @@ def windows(items: Iterable[tuple[int, str]]) -> list[tuple[int, str]]:
             if width == WINDOW or len(text) > PASSAGE:  # a shorter item is one window already
                 last = max(0, len(text) - width)
                 starts = sorted({*range(0, last, step), last})
-                out += [(item, text[s : s + width]) for s in starts if len(text[s : s + width]) >= Q]
+                out += dict.fromkeys((item, text[s : s + width]) for s in starts if len(text[s : s + width]) >= Q)
     return out
 
 
-def banded_distance(pattern: np.ndarray, text: np.ndarray, first: int, last: int, k: int) -> tuple[int, int]:
-    """Least edits that turn pattern into a piece of text, and that piece's end, using only diagonals first..last.
+def banded_distances(pattern: np.ndarray, text: np.ndarray, firsts: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each band of `width` diagonals from firsts[i] on: least edits that turn pattern into a piece of text within it, and that piece's end.
 
-    Diagonal d is text position less pattern position; rows run over the pattern, cells over the diagonals.
+    Diagonal d is text position less pattern position; rows run over the pattern, cells over bands and their diagonals.
+    More than k edits are told as k + 1, end -1.
     """
-    width = last - first + 1
     far = k + 1 + len(pattern)
     steps = np.arange(width)
-    row = np.where((steps + first >= 0) & (steps + first <= len(text)), 0, far)  # the piece may start anywhere
+    diagonals = np.asarray(firsts)[:, None] + steps
+    row = np.where((diagonals >= 0) & (diagonals <= len(text)), 0, far)  # the piece may start anywhere
     for i, c in enumerate(pattern):
-        at = steps + first + i  # text position that a substitution in this row consumes
+        at = diagonals + i  # text position that a substitution in this row consumes
         inside = (at >= 0) & (at < len(text))
-        same = np.zeros(width, dtype=bool)
-        same[inside] = text[at[inside]] == c
+        same = inside & (text[np.where(inside, at, 0)] == c) if len(text) else inside
         new = np.where(inside, row + ~same, far)
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)  # a pattern character without one in the text
-        end = at + 1  # text consumed after this row
-        new[(end < 0) | (end > len(text))] = far
-        row = np.minimum.accumulate(new - steps) + steps  # text characters without one in the pattern
-        row[(end < 0) | (end > len(text))] = far
+        new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)  # a pattern character without one in the text
+        out = (at < -1) | (at >= len(text))  # text consumed after this row
+        new[out] = far
+        row = np.minimum.accumulate(new - steps, axis=1) + steps  # text characters without one in the pattern
+        row[out] = far
         if row.min() > k:
-            return k + 1, -1
-    best = int(row.argmin())
-    return int(row[best]), int(first + best + len(pattern))
+            return np.full(len(row), k + 1), np.full(len(row), -1)
+    best = row.argmin(axis=1)
+    edits = np.minimum(row[np.arange(len(row)), best], k + 1)
+    return edits, np.where(edits <= k, diagonals[:, 0] + best + len(pattern), -1)
+
+
+def banded_distance(pattern: np.ndarray, text: np.ndarray, first: int, last: int, k: int) -> tuple[int, int]:
+    """One band, diagonals first..last."""
+    edits, ends = banded_distances(pattern, text, np.array([first]), last - first + 1, k)
+    return int(edits[0]), int(ends[0])
 
 
 def dense(at: np.ndarray, fewest: int, span: int) -> np.ndarray:
@@ -143,34 +156,49 @@ class Index:
         h = grams(text)
         maybe = np.flatnonzero(self.bits[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
         maybe = dense(maybe, self.fewest, self.span)
-        if not len(maybe):
-            return {}
-        lo, hi = np.searchsorted(self.h, h[maybe], "left"), np.searchsorted(self.h, h[maybe], "right")
-        n = hi - lo
-        maybe, lo, n = maybe[n > 0], lo[n > 0], n[n > 0]
-        if not len(maybe):
-            return {}
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        win, diag = self.win[at], np.repeat(maybe, n) - self.place[at]
-        step = self.k[win] + 1
-        band = np.floor_divide(diag, step)
-        key = (win << 40) + band + (1 << 39)
-        key, counts = np.unique(np.concatenate([key, key - 1]), return_counts=True)  # a band spans two steps, so each diagonal lies in two
-        win, band = key >> 40, (key & ((1 << 40) - 1)) - (1 << 39)
-        good = counts >= self.least[win]
         found: dict[int, tuple[int, int, int]] = {}
-        codes = None
-        for w, b, c in zip(win[good], band[good], counts[good], strict=True):
-            item, k = int(self.items[w]), int(self.k[w])
-            if item in found and found[item][0] == 0:
-                continue
-            if codes is None:
-                codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-            edits, end = banded_distance(self.codes[w], codes, int(b) * (k + 1) - k, (int(b) + 2) * (k + 1) + k, k)
-            if edits <= k and (item not in found or edits < found[item][0]):
-                found[item] = edits, end, int(c)
+        codes, at = None, 0
+        while at < len(maybe):
+            end = int(np.searchsorted(maybe, maybe[at] + WALK + self.span))  # every region lies within one stride
+            for w, bands, shared in self._regions(h, maybe[at:end]):
+                item, k = int(self.items[w]), int(self.k[w])
+                if item in found and found[item][0] == 0:
+                    continue
+                if codes is None:
+                    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+                edits, ends = banded_distances(self.codes[w], codes, bands * (k + 1) - k, 4 * k + 3, k)
+                i = int(edits.argmin())
+                if edits[i] <= k and (item not in found or edits[i] < found[item][0]):
+                    found[item] = int(edits[i]), int(ends[i]), int(shared[i])
+            at = int(np.searchsorted(maybe, maybe[at] + WALK)) if end < len(maybe) else end
         return found
 
+    def _regions(self, h: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(window, its bands of diagonals that reach the bound, q-grams shared in each), of q-grams at these places."""
+        lo, hi = np.searchsorted(self.h, h[places], "left"), np.searchsorted(self.h, h[places], "right")
+        n = hi - lo
+        places, lo, n = places[n > 0], lo[n > 0], n[n > 0]
+        keys, counts = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        total = np.cumsum(n)
+        at = 0
+        while at < len(n):
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + HITS, "right")))
+            m, first = n[at:end], lo[at:end]
+            hit = np.repeat(first - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
+            win = self.win[hit]
+            band = np.floor_divide(np.repeat(places[at:end], m) - self.place[hit], self.k[win] + 1)
+            key = (win << 40) + band + (1 << 39)
+            new, more = np.unique(np.concatenate([key, key - 1]), return_counts=True)  # a band spans two steps, so each diagonal lies in two
+            keys, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            counts = np.bincount(back, weights=np.concatenate([counts, more]), minlength=len(keys)).astype(np.int64)
+            at = end
+        win, band = keys >> 40, (keys & ((1 << 40) - 1)) - (1 << 39)
+        good = counts >= self.least[win]
+        win, band, counts = win[good], band[good], counts[good]
+        edges = np.flatnonzero(np.concatenate([[True], win[1:] != win[:-1], [True]])) if len(win) else [0]
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield int(win[a]), band[a:b], counts[a:b]
+
 
 FOUND = "doc_id long, item_id long, edits int, region_end long, shared int"
 
