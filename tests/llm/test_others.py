@@ -1,7 +1,6 @@
 """URL filter, quality, media, language, packing, decontamination, licenses."""
 
 import hashlib
-import io
 import math
 import random
 import tarfile
@@ -13,8 +12,6 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm import decontaminate, language, license, media, packing, quality, url_filter
 
-from . import brute
-
 
 # ------------------------------------------------------------------ URL filter
 URLS = [None, "", "no scheme", "http://", "https://A.Example.com/en/7?x", "http://com/en/", "http://xcom/en/", "http://b.example.net/de/81#t", "http://example.net/de/7", "ftp://q.org/es/?a/b", "http://e.com?/en/", "http://w.example.com:80/en/7", "http://a..com/en/x"] * 2
@@ -99,7 +96,7 @@ def test_media_round_trip(spark, tmp_path):
         f.seek(r["offset"])
         assert hashlib.sha256(f.read(r["media_bytes"])).hexdigest() == r["media_sha256"]
     assert media.decode(media.encode(b"ab " * 64)) == b"ab " * 64
-    assert io.BytesIO and media.media_columns(docs.limit(0), f"file://{tmp_path}/n").count() == 0
+    assert media.media_columns(docs.limit(0), f"file://{tmp_path}/n").count() == 0
 
 
 # ------------------------------------------------------------------ language
@@ -234,13 +231,92 @@ def test_licenses(spark):
     assert license.scan(df.limit(0)).count() == 0
 
 
-def test_fixture_holds_what_it_should():
-    assert len(brute.corpus()) == 121
-
-
 def test_sweep_leaves_nothing(spark, tmp_path):
     from tidegrid.llm import chunks, common
 
     chunks.chunked(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), ["doc_id"])
     common.sweep(spark)
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("tidegrid_")]
+
+
+def test_hostile_texts_stay_within_time_and_memory():
+    """Very many repeats, unclosed tags and long white space, a megabyte each."""
+    import time
+
+    index = decontaminate.Index(decontaminate.windows([(1, "a" * 2000), (2, "x y z " * 40)]))
+    began = time.time()
+    assert index.matches("a" * 300_000)[1][0] == 0 and set(index.matches("ab" * 100_000)) == set()
+    for piece in ("<script ", "<!--", "<html ", "<style", "</script", "<"):
+        page = piece * (1_000_000 // len(piece))
+        assert language.declared(page) is None and isinstance(language.visible(page), str)
+    assert language.visible("a<b>c</b><!-- x --> d<SCRIPT>z<</script >e < f") == "a c   d e < f"
+    assert language.declared("<p lang=fr><html x='1' lang=DE>") == "de"
+    e = pytest.importorskip("public_tokenizers") and packing.encoder()
+    assert len(e.ids("a" + " " * 1_000_000)) // 4 >= 1_000_000 and len(e.ids("x" * 200_000)) // 4 == 25_000
+    assert time.time() - began < 60
+
+
+def test_shares_of_a_sample_are_never_rounded_to_nothing(spark):
+    from tidegrid.llm.common import sampled
+
+    d = spark.range(200_000)
+    assert d.where(sampled("id", 0.01)).count() == pytest.approx(2000, rel=0.15) and d.where(sampled("id", 3.0)).count() == 200_000
+    assert str(sampled("id", 4000 / 1e11)) != str(sampled("id", 0.0))  # a share of 4e-8 is still a share
+
+
+def test_packing_is_the_same_each_time_and_ids_are_those_of_the_tokenizer(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choices(["alpha", "été", "x1,", "\n\n", "don't"], k=r.randint(0, 200)))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(20, "doc_id")
+    first, second = (packing.packed(docs, 128).toPandas().sort_values(["doc_id", "start"]).reset_index(drop=True) for _ in range(2))
+    assert first.equals(second)
+    t, texts = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json"))), dict(rows)
+    ids = {i: np.array([*t.encode(x, add_special_tokens=False).ids, 1], dtype="<u4") for i, x in texts.items()}
+    assert all(zlib.crc32(ids[d][s : s + n].tobytes()) == c and len(ids[d]) == k for d, s, n, c, k in first[["doc_id", "start", "length", "ids_crc32", "doc_tokens"]].itertuples(index=False))
+    assert first.groupby("doc_id").length.sum().to_dict() == {i: len(x) for i, x in ids.items()}
+
+
+def test_url_paths_form_intervals():
+    r = random.Random(11)
+    paths = ["/" + "".join(r.choices("ab", k=r.randint(0, 6))) for _ in range(200)]
+    own = url_filter.Paths([("com.", p, "com" + p, "block") for p in paths])
+    for _ in range(500):
+        q = "/" + "".join(r.choices("abc", k=r.randint(0, 9)))
+        want = max((p for p in paths if q.startswith(p)), key=len, default=None)
+        got = own.longest(q)
+        assert (got and got[0]) == (want and "com" + want)
+
+
+def plain_quality(rows, labels):
+    """The same discriminant, from a matrix of all rows at once."""
+    x = {d: np.array(quality.statistics(t)) for d, t in rows}
+    out = lambda d: zlib.crc32(str(d).encode()) % 4 == 2
+    known = [(x[d], y) for d, y in labels if d in x and not out(d)]
+    a, y = np.array([k[0] for k in known]), np.array([k[1] for k in known])
+    shift, scale = a.mean(axis=0), a.std(axis=0)
+    scale[scale < 1e-4] = 1.0
+    z = (a - shift) / scale
+    means = [z[y == k].mean(axis=0) for k in (0, 1)]
+    covs = []
+    for k in (0, 1):
+        c = z[y == k] - means[k]
+        covs.append(quality.shrunk(c.T @ c, len(c), ((c**2).sum(axis=1) ** 2).sum()))
+    diff = lambda v: sum(s * (-0.5 * (v - m) @ np.linalg.inv(c) @ (v - m) - 0.5 * np.linalg.slogdet(c)[1] + math.log((y == k).sum())) for s, k, m, c in ((-1, 0, means[0], covs[0]), (1, 1, means[1], covs[1])))
+    squash = lambda v: np.arcsinh(diff((v - shift) / scale) / 2)
+    f, w = np.array([[squash(v), 1.0] for v in a]), np.array([1.0, 0.0])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(f @ w, -30, 30)))
+        w -= np.clip(np.linalg.solve((f * (p * (1 - p))[:, None]).T @ f + 1e-2 * np.eye(2), f.T @ (p - y) + 1e-2 * (w - [1, 0])), -1, 1)
+    return {d: 1 / (1 + np.exp(-np.clip(w[0] * squash(v) + w[1], -30, 30))) for d, v in x.items()}
+
+
+def test_quality_equals_a_plain_version(spark):
+    docs, labels = labelled(spark, 300)
+    rows = [(r["doc_id"], r["text"]) for r in docs.where("text IS NULL OR text <> 'again'").collect()]
+    want = plain_quality(rows, [tuple(r) for r in labels.collect()])
+    got = quality.scored(docs.where("text IS NULL OR text <> 'again'"), labels).collect()
+    assert max(abs(r["score"] - want[r["doc_id"]]) for r in got) < 1e-6 and len(got) == len(rows)
+    assert all(r["predicted"] == int(r["score"] >= 0.7) for r in got)
