@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from .common import byte_batches, scratch
@@ -20,6 +20,8 @@ CHUNK_BYTES = 6 << 20
 PARTITION_BYTES = 12 << 20
 #: A partition streams its chunks, so its size is no matter of memory; these keep the number of tasks in hand.
 MANY, LARGE = 20_000, 512 << 20
+#: Partitions of an exchange of runs at most; what a scheduler bears, at every size.
+MOST_PARTITIONS = 100_000
 
 
 def _gather(columns: list[str], chunk_bytes: int):
@@ -81,6 +83,11 @@ def partitions_for(docs: DataFrame) -> int:
     return max(1, min(-(-total // PARTITION_BYTES), max(MANY, -(-total // LARGE))))
 
 
+def by_range(sent: DataFrame, n_ranges: int) -> GroupedData:
+    """Runs grouped by key range, a partition for each range; beyond MOST_PARTITIONS a task takes several, one after another."""
+    return sent.repartition(min(n_ranges, MOST_PARTITIONS), "piece").groupBy("piece")
+
+
 def join_answers(table: DataFrame, answers: DataFrame, name: str = "answers") -> DataFrame:
     """table with the answers (chunk, piece, body) of each chunk as an array; the table is not shuffled."""
     per = answers.groupBy("chunk").agg(F.collect_list(F.struct("piece", "body")).alias(name))

@@ -16,8 +16,13 @@ window need only be compared with the windows of equal anchors.
    common prefixes of 50 - l and agree in the l bytes before the anchor; the first document of each such class keeps it.
    The answers return to the chunks, which unite the marked windows and cut them out.
 
-A passage of very many documents is one entry a chunk. Null text counts as empty. Rows that share a doc_id count as
-documents of their own, in the order of their texts, nulls first.
+A passage of very many documents is one entry a chunk. An anchor with more than `HOT` occurrences in all, whose contexts
+may differ, is not left to one range: each window around it is an entry of its own, dealt out by the hash of its 50
+bytes, so that equal windows still meet and different ones spread over all ranges.
+
+Null text counts as empty. Rows that share a doc_id count as documents of their own, in the order of their texts, nulls
+first. Texts of any length are looked at whole, a megabyte at a time with overlaps of a window; an empty table gives no
+rows; only doc_id and text are looked at, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -27,17 +32,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import runs
-from .chunks import chunked, join_answers
+from .chunks import by_range, chunked, join_answers
 from .common import documents, mixed, pick, scratch, stored
 
 SPAN = 50
 GRAM = 24
 REACH = SPAN - GRAM
 RANGE_ENTRIES = 1 << 20
+#: Occurrences of an anchor beyond which its windows are dealt out one by one.
+HOT = RANGE_ENTRIES // 4
 #: Bytes of text looked at in one go inside a chunk.
 BLOCK = 1 << 20
 #: Bytes of a chunk; its shared anchors are Python objects for a while.
@@ -64,11 +72,12 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 
 class Anchors:
-    """Anchors of a block of texts: place in the block, hash, first and last start of the windows they stand for, document."""
+    """Anchors of a block of texts, or of a piece of one: place in the block, hash, first and last start of the windows they stand for, document."""
 
-    def __init__(self, raws: list[bytes]):
+    def __init__(self, raws: list[bytes], skipped: int = 0):
+        """`skipped`: bytes of the first document that stand before this block."""
         ends = np.cumsum([len(r) for r in raws], dtype=np.int64)
-        self.starts = ends - [len(r) for r in raws]
+        self.starts = ends - [len(r) for r in raws] - skipped
         self.data = np.frombuffer(b"".join(raws), dtype=np.uint8)
         n = len(self.data) - SPAN + 1
         self.place = self.first = self.last = self.doc = np.empty(0, dtype=np.int64)
@@ -99,26 +108,36 @@ def _raw(t) -> bytes:
     return (t.as_py() or "").encode("utf-8", "surrogatepass")
 
 
-def _blocks(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    """Documents of a chunk a few at a time, with the number of the first."""
+def _blocks(texts: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Documents of a chunk a few at a time, with the number of the first; a long one in pieces, with the bytes before each.
+
+    Pieces overlap by a window less one byte, so that each window is in one piece.
+    """
     held, size, first = [], 0, 0
     for i, t in enumerate(texts):
         raw = _raw(t)
+        if len(raw) > BLOCK:
+            if held:
+                yield first, 0, held
+            held, size, first = [], 0, i + 1
+            for at in range(0, len(raw), BLOCK):
+                yield i, at, [raw[at : at + BLOCK + SPAN - 1]]
+            continue
         held.append(raw)
         size += len(raw)
         if size >= BLOCK:
-            yield first, held
+            yield first, 0, held
             held, size, first = [], 0, i + 1
     if held:
-        yield first, held
+        yield first, 0, held
 
 
 def _anchors(texts: pa.Array) -> list[tuple[int, Anchors]]:
-    return [(first, Anchors(raws)) for first, raws in _blocks(texts)]
+    return [(first, Anchors(raws, skipped)) for first, skipped, raws in _blocks(texts)]
 
 
 def _counted(blocks: list[tuple[int, Anchors]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct anchor hashes of a chunk and in how many of its documents each is."""
+    """Distinct anchor hashes of a chunk and in how many of its documents each is (pieces of a long one count apart)."""
     each = []
     for _, a in blocks:
         if len(a.hash):
@@ -138,7 +157,7 @@ def _send(n_ranges: int):
                 cut = runs.cuts(keys, edges)
                 filled = np.flatnonzero(np.diff(cut))
                 body = [runs.encode(keys[cut[k] : cut[k + 1]]) for k in filled]
-                more = [runs.bits(counts[cut[k] : cut[k + 1]] > 1) for k in filled]
+                more = [pa.compress(np.minimum(counts[cut[k] : cut[k + 1]], 65535).astype("<u2").tobytes(), "zstd", asbytes=True) for k in filled]
                 yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array([b.column("chunk")[i].as_py()] * len(body), pa.int64()), pa.array(body, pa.binary()), pa.array(more, pa.binary())], names=["piece", "chunk", "body", "more"])
 
     return run
@@ -147,16 +166,22 @@ def _send(n_ranges: int):
 MARKS = "chunk long, piece int, body binary"
 
 
-def _shared(key: tuple, group: pa.Table) -> pa.Table:
-    """For each chunk's run which keys some other document has."""
-    each = [runs.decode(x.as_py()) for x in group.column("body")]
-    own = [runs.flags(x.as_py(), len(k)) for x, k in zip(group.column("more"), each, strict=True)]
-    _, back, counts = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
-    out, at = [], 0
-    for k, m in zip(each, own, strict=True):
-        out.append(runs.bits((counts[back[at : at + len(k)]] > 1) | m))
-        at += len(k)
-    return pa.table({"chunk": group.column("chunk"), "piece": pa.array([key[0].as_py()] * len(out), pa.int32()), "body": pa.array(out, pa.binary())})
+def _shared(hot: int):
+    """For each chunk's run a byte a key: 0 if no other document has it, 1 if one has, 2 if it is hot."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        each = [runs.decode(x.as_py()) for x in group.column("body")]
+        own = [np.frombuffer(pa.decompress(x.as_py(), 2 * len(k), "zstd", asbytes=True), dtype="<u2") for x, k in zip(group.column("more"), each, strict=True)]
+        _, back = np.unique(np.concatenate(each), return_inverse=True)
+        total = np.bincount(back, weights=np.concatenate(own))
+        level = (total > 1).astype(np.uint8) + (total > hot)
+        out, at = [], 0
+        for k in each:
+            out.append(pa.compress(level[back[at : at + len(k)]].tobytes(), "zstd", asbytes=True))
+            at += len(k)
+        return pa.table({"chunk": group.column("chunk"), "piece": pa.array([key[0].as_py()] * len(out), pa.int32()), "body": pa.array(out, pa.binary())})
+
+    return run
 
 
 def common(a: bytes, b: bytes, known: int) -> int:
@@ -263,39 +288,54 @@ def _unpack(body: bytes):
     return col(0), col(1), col(2), col(3), doc, whole[8 * n : 8 * n + rest], whole[8 * n + rest :]
 
 
+class Group:
+    """Entries of one chunk for one range: distinct (suffix, left) pairs in sorted order, and the anchors they stand for."""
+
+    def __init__(self, piece: int, rows: dict[tuple[bytes, bytes], tuple[int, int]], where: list[tuple]):
+        self.piece, self.rows, self.where = piece, rows, where  # rows: entry -> document and least l of its first anchor
+        self.order = sorted(rows)
+
+
 class Entries:
-    """Distinct (suffix, left) pairs of a chunk's shared anchors, sorted within each range, with the anchors they stand for."""
+    """The shared anchors of a chunk, handed out range by range, so that only those of one are Python objects at a time."""
 
     def __init__(self, texts: pa.Array, answers, edges: np.ndarray):
         blocks = _anchors(texts)
         keys = _counted(blocks)[0]
         cut = runs.cuts(keys, edges)
-        shared = np.zeros(len(keys), dtype=bool)
+        level = np.zeros(len(keys), dtype=np.uint8)
         for a in answers or []:
             lo, hi = cut[a["piece"]], cut[a["piece"] + 1]
-            shared[lo:hi] = runs.flags(a["body"], hi - lo)
+            level[lo:hi] = np.frombuffer(pa.decompress(a["body"], int(hi - lo), "zstd", asbytes=True), dtype=np.uint8)
         piece_of = np.searchsorted(edges, keys, side="right")
-        self.rows: dict[tuple[int, bytes, bytes], tuple[int, int]] = {}  # -> (document, least l) of the first one
-        self.where: list[tuple[int, tuple, int, int, int]] = []  # document, entry, place, first, last
-        rows, where = self.rows, self.where
-        for first_doc, a in blocks:
+        self.data = [a.data.tobytes() for _, a in blocks]
+        cols = []  # range, block, place, first and last start in the block, document, its start
+        for k, (first_doc, a) in enumerate(blocks):
             if not len(a.hash):
                 continue
             at = np.searchsorted(keys, a.hash)
-            good = np.flatnonzero(shared[at])
-            data, base = a.data.tobytes(), a.starts[a.doc[good]]
-            cols = (piece_of[at[good]], a.place[good], a.first[good], a.last[good], a.doc[good] + first_doc, base)
-            for piece, p, lo, hi, doc, b in zip(*[c.tolist() for c in cols], strict=True):
-                entry = piece, data[p : hi + SPAN], data[lo:p]
+            for good, hot in ((np.flatnonzero(level[at] == 1), False), (np.flatnonzero(level[at] == 2), True)):
+                if not len(good):
+                    continue
+                n = (a.last[good] - a.first[good] + 1) if hot else np.ones(len(good), dtype=np.int64)
+                row = np.repeat(good, n)
+                lo = np.repeat(a.first[good] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(len(row)) if hot else a.first[good]
+                piece = np.searchsorted(edges, np.array([xxhash.xxh3_64_intdigest(self.data[k][x : x + SPAN]) for x in lo.tolist()], dtype=_U64), side="right") if hot else piece_of[at[good]]
+                cols.append(np.stack([piece, np.full(len(row), k), a.place[row], lo, lo if hot else a.last[good], a.doc[row] + first_doc, a.starts[a.doc[row]]]))
+        self.cols = np.concatenate([*cols, np.empty((7, 0), dtype=np.int64)], axis=1)
+        self.cols = self.cols[:, np.lexsort((self.cols[5], self.cols[0]))]  # by range, there by document
+
+    def groups(self) -> Iterator[Group]:
+        edges = np.flatnonzero(np.diff(self.cols[0], prepend=-1, append=-1))
+        for a, b in zip(edges, edges[1:], strict=False):
+            rows, where = {}, []
+            for block, p, lo, hi, doc, start in zip(*self.cols[1:, a:b].tolist(), strict=True):
+                data = self.data[block]
+                entry = data[p : hi + SPAN], data[lo:p]
                 if entry not in rows:
                     rows[entry] = doc, p - hi
-                where.append((doc, entry, p - b, lo - b, hi - b))
-
-    def ordered(self) -> dict[int, list[tuple[int, bytes, bytes]]]:
-        out: dict[int, list] = {}
-        for e in sorted(self.rows):
-            out.setdefault(e[0], []).append(e)
-        return out
+                where.append((doc, entry, p - start, lo - start, hi - start))
+            yield Group(int(self.cols[0, a]), rows, where)
 
 
 def _exchange(n_ranges: int):
@@ -304,11 +344,10 @@ def _exchange(n_ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                e = Entries(b.column("texts")[i].values, b.column("answers")[i].as_py(), edges)
                 pieces, body = [], []
-                for piece, rows in e.ordered().items():
-                    pieces.append(piece)
-                    body.append(_pack([r[1] for r in rows], [r[2] for r in rows], np.array([e.rows[r][1] for r in rows]), np.array([e.rows[r][0] for r in rows])))
+                for g in Entries(b.column("texts")[i].values, b.column("answers")[i].as_py(), edges).groups():
+                    pieces.append(g.piece)
+                    body.append(_pack([e[0] for e in g.order], [e[1] for e in g.order], np.array([g.rows[e][1] for e in g.order]), np.array([g.rows[e][0] for e in g.order])))
                 yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.int32()), pa.array([b.column("chunk")[i].as_py()] * len(body), pa.int64()), pa.array(body, pa.binary())], names=["piece", "chunk", "body"])
 
     return run
@@ -367,29 +406,31 @@ def _cut(n_ranges: int):
         for b in batches:
             for i in range(b.num_rows):
                 texts = b.column("texts")[i].values
-                e = Entries(texts, b.column("answers")[i].as_py(), edges)
-                rows = e.ordered()
-                marks: dict[tuple, int] = {}
-                for a in b.column("found")[i].as_py() or []:
-                    own = rows[a["piece"]]
-                    m = np.zeros((len(own), 4), dtype=np.uint8)
-                    m[:] = np.frombuffer(pa.decompress(a["body"], 4 * len(own), "zstd", asbytes=True), dtype=np.uint8).reshape(4, -1).T
-                    marks.update(zip(own, m.view("<u4").ravel().tolist(), strict=True))
-                gone: dict[int, list[tuple[int, int]]] = {}  # bytes from .. to that marked windows cover
-                for doc, entry, p, lo, hi in e.where:
-                    if doc > e.rows[entry][0]:
-                        gone.setdefault(doc, []).append((lo, hi + SPAN))
-                    elif mark := marks.get(entry, 0):
-                        if mark == (1 << (p - lo + 1)) - (1 << (p - hi)):
-                            gone.setdefault(doc, []).append((lo, hi + SPAN))
-                        else:
-                            gone.setdefault(doc, []).extend((s, s + SPAN) for s in range(lo, hi + 1) if mark >> (p - s) & 1)
+                found = {a["piece"]: a["body"] for a in b.column("found")[i].as_py() or []}
+                gone = [np.empty((3, 0), dtype=np.int64)]  # document, bytes from .. to that marked windows cover
+                for g in Entries(texts, b.column("answers")[i].as_py(), edges).groups():
+                    m = np.zeros((len(g.order), 4), dtype=np.uint8)
+                    m[:] = np.frombuffer(pa.decompress(found[g.piece], 4 * len(g.order), "zstd", asbytes=True), dtype=np.uint8).reshape(4, -1).T
+                    marks, mine = dict(zip(g.order, m.view("<u4").ravel().tolist(), strict=True)), []
+                    for doc, entry, p, lo, hi in g.where:
+                        if doc > g.rows[entry][0]:
+                            mine.append((doc, lo, hi + SPAN))
+                        elif mark := marks[entry]:
+                            if mark == (1 << (p - lo + 1)) - (1 << (p - hi)):
+                                mine.append((doc, lo, hi + SPAN))
+                            else:
+                                mine += [(doc, s, s + SPAN) for s in range(lo, hi + 1) if mark >> (p - s) & 1]
+                    if mine:
+                        gone.append(np.array(mine, dtype=np.int64).T)
+                gone = np.concatenate(gone, axis=1)
+                gone = gone[:, np.argsort(gone[0], kind="stable")]
+                cut = np.searchsorted(gone[0], np.arange(len(texts) + 1))
                 out = []
                 for d, t in enumerate(texts):
                     raw = _raw(t)
                     n, removed, spans, kept = len(raw), 0, 0, raw
-                    if parts := gone.get(d):
-                        at, end = np.array(parts).T
+                    if cut[d] < cut[d + 1]:
+                        _, at, end = gone[:, cut[d] : cut[d + 1]]
                         hit = np.cumsum(np.bincount(at, minlength=n + 1) - np.bincount(end, minlength=n + 1))[:-1] > 0
                         removed, spans = int(hit.sum()), int(np.count_nonzero(np.diff(np.concatenate([[0], hit.astype(np.int8)])) == 1))
                         kept = np.frombuffer(raw, dtype=np.uint8)[~hit].tobytes()
@@ -401,7 +442,7 @@ def _cut(n_ranges: int):
     return run
 
 
-def removed_bytes(docs: DataFrame) -> DataFrame:
+def removed_bytes(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     docs = pick(docs, "doc_id", "text")
     base = scratch(docs.sparkSession)
@@ -409,9 +450,9 @@ def removed_bytes(docs: DataFrame) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_ranges = max(1, -(-total // (10 * RANGE_ENTRIES)))  # about one anchor in fourteen bytes
     sent = table.select("chunk", "texts").mapInArrow(_send(n_ranges), "piece int, chunk long, body binary, more binary")
-    answers = stored(sent.groupBy("piece").applyInArrow(_shared, MARKS), f"{base}/shared")
+    answers = stored(by_range(sent, n_ranges).applyInArrow(_shared(hot), MARKS), f"{base}/shared")
     runs_of = join_answers(table, answers).select("chunk", "texts", "answers").mapInArrow(_exchange(n_ranges), "piece int, chunk long, body binary")
-    found = stored(runs_of.groupBy("piece").applyInArrow(_merge, MARKS), f"{base}/found")
+    found = stored(by_range(runs_of, n_ranges).applyInArrow(_merge, MARKS), f"{base}/found")
     both = join_answers(join_answers(table, answers), found, "found")
     return both.select("texts", "rest", "answers", "found").mapInArrow(_cut(n_ranges), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
