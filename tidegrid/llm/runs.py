@@ -1,7 +1,8 @@
-"""Sorted runs of 64-bit keys: coding, slicing into key ranges, and a small log-structured set of runs.
+"""Sorted runs of 64-bit keys: coding, slicing into key ranges, and a small log-structured set of runs of verified keys.
 
 Keys are dealt out by range. Each chunk of documents sorts its own keys and sends every range one coded run, so a key
-that occurs in very many documents is one entry a chunk, not one a document.
+that occurs in very many documents is one entry a chunk, not one a document. An entry of the log is a key and a proof, a
+second hash of the same words; two entries are the same only if both agree.
 """
 
 from __future__ import annotations
@@ -51,36 +52,61 @@ def member(keys: np.ndarray, run: np.ndarray) -> np.ndarray:
     return run[at] == keys
 
 
-def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    both = np.concatenate([a, b])
-    both.sort(kind="stable")
-    return both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+Run = tuple[np.ndarray, np.ndarray]
+EMPTY: Run = (np.empty(0, dtype=_U64), np.empty(0, dtype=_U64))
+
+
+def verified(entries: Run, run: Run) -> np.ndarray:
+    """Which entries (keys, proofs) are in a run sorted by key and proof: keys are merge-joined, proofs of equal keys compared."""
+    (keys, proofs), (rk, rp) = entries, run
+    at = np.searchsorted(rk, keys)
+    left, out = np.flatnonzero(at < len(rk)), np.zeros(len(keys), dtype=bool)
+    at = at[left]
+    while len(left):  # once more for each further proof that a key of the run has
+        same = rk[at] == keys[left]
+        left, at = left[same], at[same]
+        equal = rp[at] == proofs[left]
+        out[left[equal]] = True
+        left, at = left[~equal], at[~equal] + 1
+        left, at = left[at < len(rk)], at[at < len(rk)]
+    return out
+
+
+def ordered(keys: np.ndarray, proofs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by key and proof, and which entries in that order differ from the one before."""
+    order = np.lexsort((proofs, keys))
+    k, p = keys[order], proofs[order]
+    return order, np.concatenate([[True], (k[1:] != k[:-1]) | (p[1:] != p[:-1])]) if len(k) else np.empty(0, dtype=bool)
+
+
+def merged(a: Run, b: Run) -> Run:
+    keys, proofs = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    order, new = ordered(keys, proofs)
+    return keys[order][new], proofs[order][new]
 
 
 class Log:
     """Immutable sorted runs, each at least twice as long as the next; adding one compacts those it makes too close."""
 
-    def __init__(self, runs: list[np.ndarray] | None = None):
-        self.runs: list[np.ndarray] = []
-        for r in sorted(runs or [], key=len, reverse=True):
-            self.add(r)
+    def __init__(self):
+        self.runs: list[Run] = []
 
-    def seen(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), dtype=bool)
+    def seen(self, entries: Run) -> np.ndarray:
+        out = np.zeros(len(entries[0]), dtype=bool)
         for r in self.runs:
-            out |= member(keys, r)
+            out |= verified(entries, r)
         return out
 
-    def add(self, run: np.ndarray) -> None:
-        if not len(run):
+    def add(self, run: Run) -> None:
+        if not len(run[0]):
             return
         self.runs.append(run)
-        while len(self.runs) > 1 and len(self.runs[-2]) < 2 * len(self.runs[-1]):
+        while len(self.runs) > 1 and len(self.runs[-2][0]) < 2 * len(self.runs[-1][0]):
             b, a = self.runs.pop(), self.runs.pop()
             self.runs.append(merged(a, b))
 
-    def compacted(self) -> np.ndarray:
-        out = np.empty(0, dtype=_U64)
+    def compacted(self) -> Run:
+        out = EMPTY
         for r in reversed(self.runs):
             out = merged(out, r)
         return out

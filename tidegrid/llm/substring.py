@@ -1,24 +1,33 @@
 """Substring dedup with a log-structured fingerprint index.
 
-Documents are put in order of doc_id and cut into chunks, the batches of the index. Each chunk fingerprints every window
-of 20 words and sorts the distinct fingerprints; every range of the fingerprint space gets the chunk's share as one
-run. A range keeps a log of sorted immutable runs: it merge-joins each new run with them, in the order of the chunks,
-marks the fingerprints that are in the log already, and adds the run, compacting runs of like length. The marks go back to the chunk, which removes each
-word that a marked window covers, or a window that the chunk itself has had before.
-
-An entry is 64 bits: 48 order and place it, 16 come from a second hash of the same words and verify a match, so that
-windows with different words are taken for one another with odds of 2 to the -64 a pair.
-
-`index` names a folder that keeps the compacted runs for later batches: documents of an earlier call count as earlier
-than all of this one, and only new documents are read.
+Documents are put in order of doc_id and cut into chunks, the batches of the index. A window is 20 consecutive words; its
+key is a 64-bit hash of them, its proof a second 64-bit hash from other hashes of the same words.
+
+1. Each chunk sorts the distinct keys of its windows and sends every range of the key space its share as one coded run.
+   Ranges answer which keys another chunk has too; text that occurs once ends here.
+2. For the others chunks send keys with their proofs. A range keeps a log of sorted immutable runs: it merge-joins each
+   new run with them, in the order of the chunks, verifies matches by their proofs, marks the entries that are in the
+   log, and adds the run, compacting runs of like length.
+3. The marks go back to the chunk, which removes each word that a marked window covers, or one that the chunk itself has
+   had before. Windows with different words count as equal with odds of 2 to the -128 a pair.
+
+`index` names a folder that keeps windows for later batches: documents of an earlier call count as earlier than all of
+this one, and only new documents are read. The folder holds immutable runs, each a table with a row per key range, and
+versions, each a list of runs; the last complete version counts, so a call that is lost leaves the index as it was. A
+call merge-joins all its windows with the runs there are and adds one run; runs less than twice as long as what is added
+to them are compacted into it. The number of ranges, a power of two, follows the size of history and batch together;
+runs stored in other ranges are sliced anew as they are read.
 
 Words are runs of bytes other than space and 0x09-0x0D. Null text has none; a text of fewer than 20 words loses nothing.
-Rows that share a doc_id count as documents of their own, in the order of their texts, nulls first.
+Rows that share a doc_id count as documents of their own, in the order of their texts, nulls first; equal rows are
+repeats of one another. Texts of any length are looked at whole, one chunk at a time; an empty table gives no rows; only
+doc_id and text are looked at, whatever other columns are called.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,22 +36,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import runs
-from .chunks import chunked, join_answers
-from .common import documents, mixed, pick, run_hashes, scratch, stored, word_hashes
+from .chunks import by_range, chunked, join_answers
+from .common import children, documents, pick, remove, run_hashes, scratch, stored, word_hashes
 
 WIDTH = 20
 #: Entries of one key range; a task of the merge holds a few times that.
 RANGE_ENTRIES = 1 << 20
-#: Words of a chunk are at least this many bytes, space included; bounds the entries from the bytes.
-_LOW = np.uint64(0xFFFF)
-
-
-def fingerprints(words: list[bytes], width: int = WIDTH) -> np.ndarray:
-    """One entry per window: 48 bits of one hash, 16 of a second one."""
-    h = word_hashes(words)
-    a = run_hashes(h, width)
-    b = run_hashes(mixed(h ^ np.uint64(0x5851F42D4C957F2D)), width)
-    return (a & ~_LOW) | (b >> np.uint64(48))
+SEED = 0x5851F42D
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -50,15 +50,71 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def _keys(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Entries of all windows of a chunk in order, and each document's number of words."""
+    """Keys of all windows of a chunk in order, and each document's number of words."""
     each, n = [], []
     for t in texts:
         w = _words(t.as_py())
         n.append(len(w))
-        each.append(fingerprints(w, width))
+        each.append(run_hashes(word_hashes(w), width))
     return np.concatenate([*each, np.empty(0, np.uint64)]), np.array(n, dtype=np.int64)
 
 
+def _proofs(texts: pa.Array, n: np.ndarray, needed: np.ndarray, width: int) -> np.ndarray:
+    """Proofs of the windows of each document that has one that is needed."""
+    out, at = np.zeros(len(needed), dtype=np.uint64), 0
+    for t, k in zip(texts, n.tolist(), strict=True):
+        m = max(0, k - width + 1)
+        if needed[at : at + m].any():
+            out[at : at + m] = run_hashes(word_hashes(_words(t.as_py()), SEED), width)
+        at += m
+    return out
+
+
+class Chunk:
+    """Windows of a chunk; `shared` tells for each whether its key is in another chunk (or all are to be sent)."""
+
+    def __init__(self, texts: pa.Array, answers, edges: np.ndarray, width: int, everything: bool):
+        self.edges = edges
+        self.keys, self.n = _keys(texts, width)
+        distinct, back, counts = np.unique(self.keys, return_inverse=True, return_counts=True)
+        shared = np.full(len(distinct), everything)
+        cut = runs.cuts(distinct, edges)
+        for a in answers or []:
+            lo, hi = cut[a["piece"]], cut[a["piece"] + 1]
+            shared[lo:hi] = runs.flags(a["body"], hi - lo)
+        self.shared, again = shared[back], counts[back] > 1
+        self.proofs = _proofs(texts, self.n, self.shared | again, width)
+        self.repeats = np.zeros(len(self.keys), dtype=bool)
+        at, order, new = self._entries(again)
+        self.repeats[at[order[~new]]] = True  # the order is stable, so the first of equal windows is the earliest
+
+    def _entries(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.flatnonzero(pick)
+        return at, *runs.ordered(self.keys[at], self.proofs[at])
+
+    def sent(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Distinct shared entries by range: (range, keys, proofs)."""
+        at, order, new = self._entries(self.shared)
+        at = at[order[new]]
+        keys, proofs = self.keys[at], self.proofs[at]
+        cut = runs.cuts(keys, self.edges)
+        for k in np.flatnonzero(np.diff(cut)).tolist():
+            yield k, keys[cut[k] : cut[k + 1]], proofs[cut[k] : cut[k + 1]]
+
+    def marked(self, found) -> np.ndarray:
+        """Which windows are repeats, from the marks of the ranges and from the chunk itself."""
+        at, order, new = self._entries(self.shared)
+        number = np.cumsum(new) - 1
+        cut = runs.cuts(self.keys[at[order[new]]], self.edges)
+        seen = np.zeros(int(new.sum()), dtype=bool)
+        for a in found or []:
+            lo, hi = cut[a["piece"]], cut[a["piece"] + 1]
+            seen[lo:hi] = runs.flags(a["body"], hi - lo)
+        out = self.repeats.copy()
+        out[at[order]] |= seen[number]
+        return out
+
+
 def _count(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -67,41 +123,84 @@ def _count(width: int):
     return run
 
 
+def _rows(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+
 def _send(width: int, n_ranges: int):
     edges = runs.range_edges(n_ranges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                keys = np.unique(_keys(b.column("texts")[i].values, width)[0])
+                keys, chunk = np.unique(_keys(b.column("texts")[i].values, width)[0]), b.column("chunk")[i].as_py()
                 cut = runs.cuts(keys, edges)
-                filled = np.flatnonzero(np.diff(cut))
-                body = [runs.encode(keys[cut[k] : cut[k + 1]]) for k in filled]
-                yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array([b.column("chunk")[i].as_py()] * len(body), pa.int64()), pa.array(body, pa.binary())], names=["piece", "chunk", "body"])
+                yield _rows(["piece", "chunk", "body"], [pa.int32(), pa.int64(), pa.binary()], [(k, chunk, runs.encode(keys[cut[k] : cut[k + 1]])) for k in np.flatnonzero(np.diff(cut)).tolist()])
 
     return run
 
 
-MARKS = "chunk long, piece int, body binary"
+SHARED = "chunk long, piece int, body binary"
+
+
+def _shared(key: tuple, group: pa.Table) -> pa.Table:
+    """For each chunk's run which keys another chunk has; nothing for runs without any."""
+    each = [runs.decode(x.as_py()) for x in group.column("body")]
+    _, back, counts = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+    rows, at = [], 0
+    for chunk, k in zip(group.column("chunk").to_pylist(), each, strict=True):
+        many = counts[back[at : at + len(k)]] > 1
+        at += len(k)
+        if many.any():
+            rows.append((chunk, key[0].as_py(), runs.bits(many)))
+    return pa.Table.from_batches([_rows(["chunk", "piece", "body"], [pa.int64(), pa.int32(), pa.binary()], rows)])
+
+
+ENTRIES = "piece int, chunk long, body binary, proofs binary"
+_ENTRY_KINDS = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+
+
+def _prove(width: int, n_ranges: int, everything: bool):
+    edges = runs.range_edges(n_ranges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                own = Chunk(b.column("texts")[i].values, None if everything else b.column("answers")[i].as_py(), edges, width, everything)
+                chunk = b.column("chunk")[i].as_py()
+                yield _rows(["piece", "chunk", "body", "proofs"], _ENTRY_KINDS, [(k, chunk, runs.encode(x), y.astype("<u8").tobytes()) for k, x, y in own.sent()])
+
+    return run
+
+
+#: Chunk numbers of stored runs: those that stay, and those that this call compacts.
+STAYS, COMPACTED = -2, -1
+MARKS = "chunk long, piece int, body binary, proofs binary, n long"
 
 
 def _merge(keep: bool):
-    """One range: runs in the order of their chunks against the log; chunk -1 is the index of earlier calls."""
+    """One range: stored runs, then runs in the order of their chunks, against the log; with keep also the run to be stored."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        order = np.argsort(group.column("chunk").to_numpy(), kind="stable")
-        log, out = runs.Log(), []
-        chunks, bodies = group.column("chunk").to_pylist(), group.column("body")
-        for i in order:
-            mine = runs.decode(bodies[int(i)].as_py())
+        piece, chunks = key[0].as_py(), group.column("chunk").to_pylist()
+        log, stays, rows = runs.Log(), runs.Log(), []
+        for i in sorted(range(len(chunks)), key=chunks.__getitem__):
+            mine = runs.decode(group.column("body")[i].as_py()), np.frombuffer(group.column("proofs")[i].as_py(), dtype="<u8")
+            if chunks[i] == STAYS:
+                stays.add(mine)
+                continue
             if chunks[i] >= 0:
-                seen = log.seen(mine)
+                old = stays.seen(mine)
+                seen = old | log.seen(mine)
                 if seen.any():
-                    out.append((chunks[i], runs.bits(seen)))
+                    rows.append((chunks[i], piece, runs.bits(seen), None, int(seen.sum())))
+                mine = mine[0][~old], mine[1][~old]
             log.add(mine)
         if keep:
-            out.append((-1, runs.encode(log.compacted())))
-        return pa.table({"chunk": pa.array([o[0] for o in out], pa.int64()), "piece": pa.array([key[0].as_py()] * len(out), pa.int32()), "body": pa.array([o[1] for o in out], pa.binary())})
+            keys, proofs = log.compacted()
+            rows.append((-1, piece, runs.encode(keys), proofs.astype("<u8").tobytes(), len(keys)))
+        return pa.Table.from_batches([_rows(["chunk", "piece", "body", "proofs", "n"], [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64()], rows)])
 
     return run
 
@@ -115,39 +214,26 @@ def covered(n_words: int, marked: np.ndarray, width: int) -> np.ndarray:
     return np.cumsum(d[:-1]) > 0
 
 
-def _apply(width: int, n_ranges: int, names: list[str], texts_back: bool):
+def _apply(width: int, n_ranges: int, everything: bool, names: list[str], texts_back: bool):
     edges = runs.range_edges(n_ranges)
 
-    def removed(texts: pa.Array, answers) -> Iterator[tuple[int, np.ndarray]]:
-        keys, n = _keys(texts, width)
-        distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        seen = np.zeros(len(distinct), dtype=bool)
-        cut = runs.cuts(distinct, edges)
-        for a in answers or []:
-            lo, hi = cut[a["piece"]], cut[a["piece"] + 1]
-            seen[lo:hi] = runs.flags(a["body"], hi - lo)
-        marked = seen[back] | (first[back] < np.arange(len(keys)))
-        at = 0
-        for k in n:
-            m = max(0, int(k) - width + 1)
-            yield int(k), marked[at : at + m]
-            at += m
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 texts, rest = b.column("texts")[i].values, b.column("rest")[i].values
-                rows = []
-                for t, (n, marked) in zip(texts, removed(texts, b.column("answers")[i].as_py()), strict=True):
-                    text = t.as_py()
-                    gone = covered(n, marked, width) if marked.any() else None
+                chunk = Chunk(texts, b.column("answers")[i].as_py(), edges, width, everything)
+                marked, rows, at = chunk.marked(b.column("found")[i].as_py()), [], 0
+                for t, n in zip(texts, chunk.n.tolist(), strict=True):
+                    text, mine = t.as_py(), marked[at : at + max(0, n - width + 1)]
+                    at += len(mine)
+                    gone = covered(n, mine, width) if mine.any() else None
                     if texts_back:
                         rows.append(text if gone is None else b" ".join(w for w, g in zip(_words(text), gone, strict=True) if not g).decode("utf-8", "surrogatepass"))
                     else:
                         words = _words(text)
                         kept = words if gone is None else [w for w, g in zip(words, gone, strict=True) if not g]
                         rows.append((n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-                own = {c: rest.field(c) for c in rest.type.names} if hasattr(rest.type, "names") else {rest.type.field(j).name: rest.field(j) for j in range(rest.type.num_fields)}
+                own = {rest.type.field(j).name: rest.field(j) for j in range(rest.type.num_fields)}
                 if texts_back:
                     own["text"] = pa.array(rows, pa.string())
                     yield pa.RecordBatch.from_arrays([own[c] for c in names], names=names)
@@ -158,42 +244,98 @@ def _apply(width: int, n_ranges: int, names: list[str], texts_back: bool):
     return run
 
 
-def _marked(docs: DataFrame, rest: list[str], width: int, index: str | None) -> tuple[DataFrame, int]:
-    """Chunks with the marks of each, and the number of key ranges."""
-    spark = docs.sparkSession
+class Index:
+    """Stored runs of a folder, as its last complete version lists them: (name, number of ranges, entries)."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        whole = [v for v in children(spark, f"{folder}/versions") if "_SUCCESS" in children(spark, f"{folder}/versions/{v}")]
+        self.version = max(map(int, whole), default=0)
+        listed = spark.read.parquet(f"{folder}/versions/{self.version:08d}").collect() if whole else []  # a handful of rows
+        self.runs = sorted((tuple(r) for r in listed), key=lambda r: r[2])
+        self.entries = sum(r[2] for r in self.runs)
+
+    def compacts(self, new: int) -> int:
+        """How many of the shortest runs a run of `new` entries takes in, so that each stays at least twice as long as the next."""
+        i = 0
+        while i < len(self.runs) and self.runs[i][2] < 2 * new:
+            new += self.runs[i][2]
+            i += 1
+        return i
+
+    def rows(self, n_ranges: int, compacted: int) -> DataFrame | None:
+        """All stored entries in the given ranges."""
+        out = None
+        for i, (name, _, _) in enumerate(self.runs):
+            chunk = COMPACTED if i < compacted else STAYS
+            part = self.spark.read.schema("piece int, body binary, proofs binary").parquet(f"{self.folder}/runs/{name}").mapInArrow(_slice(n_ranges, chunk), ENTRIES)
+            out = part if out is None else out.unionAll(part)
+        return out
+
+    def replace(self, run: DataFrame, n_ranges: int, compacted: int) -> None:
+        """Store a run in place of the shortest ones, then the version that lists it, then delete what no version needs."""
+        name = uuid.uuid4().hex
+        run.write.parquet(f"{self.folder}/runs/{name}")
+        n = self.spark.read.parquet(f"{self.folder}/runs/{name}").agg(F.sum("n")).first()[0] or 0
+        listed = [*self.runs[compacted:], *([(name, n_ranges, n)] if n else [])]
+        self.spark.createDataFrame(listed, "run string, n_ranges int, entries long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/versions/{self.version + 1:08d}")
+        for old in {r[0] for r in self.runs[:compacted]} | ({name} if not n else set()):
+            remove(self.spark, f"{self.folder}/runs/{old}")
+
+
+def _slice(n_ranges: int, chunk: int):
+    edges = runs.range_edges(n_ranges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for body, proofs in zip(b.column("body"), b.column("proofs"), strict=True):
+                keys, p = runs.decode(body.as_py()), np.frombuffer(proofs.as_py(), dtype="<u8")
+                cut = runs.cuts(keys, edges)
+                yield _rows(["piece", "chunk", "body", "proofs"], _ENTRY_KINDS, [(k, chunk, runs.encode(keys[cut[k] : cut[k + 1]]), p[cut[k] : cut[k + 1]].tobytes()) for k in np.flatnonzero(np.diff(cut)).tolist()])
+
+    return run
+
+
+def ranges_for(entries: int) -> int:
+    """The least power of two of ranges that hold at most RANGE_ENTRIES each on average."""
+    return 1 << max(0, (max(1, entries) - 1) // RANGE_ENTRIES).bit_length()
+
+
+def _marked(docs: DataFrame, rest: list[str], width: int, folder: str | None) -> tuple[DataFrame, int]:
+    """Chunks with the shared keys (answers) and the marks (found) of each, and the number of key ranges."""
+    spark, base = docs.sparkSession, scratch(docs.sparkSession)
     table = chunked(docs, rest, ["doc_id", "text"])
     total = table.select("texts").mapInArrow(_count(width), "n long").agg(F.sum("n")).first()[0] or 0
-    old = None
+    index = Index(spark, folder) if folder else None
+    n_ranges = ranges_for(total + (index.entries if index else 0))
     if index:
-        try:
-            old = spark.read.parquet(f"{index}/current")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-    n_ranges = old.first()["n_ranges"] if old is not None and not old.isEmpty() else max(1, -(-total // RANGE_ENTRIES))
-    sent = table.select("chunk", "texts").mapInArrow(_send(width, n_ranges), "piece int, chunk long, body binary")
-    if old is not None:
-        sent = sent.unionByName(old.select("piece", F.lit(-1).cast("bigint").alias("chunk"), "body"))
-    marks = sent.repartition(n_ranges, "piece").groupBy("piece").applyInArrow(_merge(bool(index)), MARKS) if n_ranges <= 20_000 else sent.groupBy("piece").applyInArrow(_merge(bool(index)), MARKS)
-    marks = stored(marks, f"{scratch(spark)}/marks")
+        compacted = index.compacts(total)
+        both = table.withColumn("answers", F.lit(None).cast("array<struct<piece:int,body:binary>>"))
+        sent = table.select("chunk", "texts").mapInArrow(_prove(width, n_ranges, True), ENTRIES)
+        old = index.rows(n_ranges, compacted)
+        sent = sent if old is None else sent.unionAll(old)
+    else:
+        keys = table.select("chunk", "texts").mapInArrow(_send(width, n_ranges), "piece int, chunk long, body binary")
+        answers = stored(by_range(keys, n_ranges).applyInArrow(_shared, SHARED), f"{base}/shared")
+        both = join_answers(table, answers)
+        sent = both.where("answers IS NOT NULL").select("chunk", "texts", "answers").mapInArrow(_prove(width, n_ranges, False), ENTRIES)
+    marks = stored(by_range(sent, n_ranges).applyInArrow(_merge(bool(index)), MARKS), f"{base}/marks")
     if index:
-        new = stored(marks.where("chunk = -1").select("piece", "body", F.lit(n_ranges).alias("n_ranges")), f"{scratch(spark)}/index")
-        new.write.mode("overwrite").parquet(f"{index}/next")
-        spark.read.parquet(f"{index}/next").write.mode("overwrite").parquet(f"{index}/current")
-    return join_answers(table, marks.where("chunk >= 0")), n_ranges
+        index.replace(marks.where("chunk = -1 AND n > 0").select("piece", "body", "proofs", "n"), n_ranges, compacted)
+    return join_answers(both, marks.where("chunk >= 0"), "found"), n_ranges
 
 
 def removed_words(docs: DataFrame, width: int = WIDTH, index: str | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
     chunks, n_ranges = _marked(pick(docs, "doc_id", "text"), ["doc_id"], width, index)
-    return chunks.select("texts", "rest", "answers").mapInArrow(_apply(width, n_ranges, [], False), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return chunks.select("texts", "rest", "answers", "found").mapInArrow(_apply(width, n_ranges, bool(index), [], False), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, index: str | None = None) -> DataFrame:
     """docs with repeated words taken out of text (kept words joined by one space; untouched texts stay as they are)."""
     rest = [c for c in docs.columns if c != "text"]
     chunks, n_ranges = _marked(docs, rest, width, index)
-    return chunks.select("texts", "rest", "answers").mapInArrow(_apply(width, n_ranges, docs.columns, True), docs.schema)
+    return chunks.select("texts", "rest", "answers", "found").mapInArrow(_apply(width, n_ranges, bool(index), docs.columns, True), docs.schema)
 
 
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
