@@ -30,4 +30,5 @@ def components(links: DataFrame) -> DataFrame:
         at += 1
         labels = new.select("node", "label")
         if not moved:
+            remove(spark, f"{base}/links")
             return labels

@@ -7,10 +7,12 @@ union. Documents with equal sets are one node, named by the 128-bit digest of th
    over all documents (one entry a chunk and shingle, so a shingle of very many documents is no burden).
 2. A set whose shingles are not at least three quarters shared can have no partner and is done. Of the others
    - light sets, up to a size boundary, enumerate their subsets of the size that a link with each partner size requires;
-     sharing one is proof of a link, so each list only has to be tied to its first node;
+     a set that shares one with a set of that size is linked with it, so each need only be tied to the first of the
+     partner size in the subset's list (and the tie is checked);
    - heavy sets, and light ones large enough to link with heavy ones, go into the inverted lists of their rarest
      shingles, so many that two linked sets always meet in a list (prefix filter, rarest first).
-   The boundary is where the subsets of a set cost more rows than its lists and the candidates met there.
+   The boundary is where the subsets of a set cost more rows than its lists and the candidates met there, from the mean
+   number of sets that hold a shingle.
 3. Lists are scanned in two rounds. The first pairs each node with the head of the list, the one with the fewest
    shingles of its own (in a group of copies the original, as a rule), and counts the shingles both share; components of
    the links found follow. The second pairs what is still apart within a list, if three bounds allow a link: both sizes;
@@ -18,7 +20,9 @@ union. Documents with equal sets are one node, named by the 128-bit digest of th
    others outside the head. A group of many near copies is tied together in the first round, so its pairs are never all
    made, and no link is lost.
 
-Null and empty texts have an empty set and link with nothing. Rows that share a doc_id are documents of their own.
+Null and empty texts have an empty set and link with nothing. Rows that share a doc_id are documents of their own; equal
+rows are one node and so linked. Texts of any length give their whole set, one chunk of documents at a time; an empty
+table gives no rows; only doc_id and text are looked at, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import runs
-from .chunks import chunked, join_answers
+from .chunks import by_range, chunked, join_answers
 from .common import documents, pick, remove, run_hashes, scratch, stored, word_hashes
 from .components import components
 
@@ -43,8 +47,8 @@ NEED, OF = 75, 100
 RANGE_ENTRIES = 1 << 20
 #: Rows that verifying one candidate costs as much as, for the boundary between light and heavy sets.
 CANDIDATE_COST = 2
-#: No set above this size is light, whatever the cost estimate says (subsets grow as binomials).
-MOST_LIGHT = 12
+#: Sizes tried beyond the best one so far; from there on the subsets, which grow as binomials, only get dearer.
+AHEAD = 8
 
 _U64 = np.uint64
 
@@ -82,10 +86,11 @@ def subset_rows(n: int, light: int) -> int:
     return sum(comb(n, least_shared(n, m)) for m in partners(n) if m <= light and least_shared(n, m) <= min(n, m))
 
 
-def boundary(mean_list: float, most: int = MOST_LIGHT) -> int:
+def boundary(mean_list: float) -> int:
     """Largest size for which enumerating subsets is no dearer than scanning lists of this mean length."""
-    best = 0
-    for n in range(1, most + 1):
+    best = n = 0
+    while n < best + AHEAD:
+        n += 1
         if subset_rows(n, n) <= prefix(n) * (1 + CANDIDATE_COST * max(0.0, mean_list - 1)):
             best = n
     return best
@@ -120,7 +125,7 @@ def _send(width: int, n_ranges: int):
     return run
 
 
-ANSWERS = "chunk long, piece int, body binary, entries long, distinct_keys long"
+ANSWERS = "chunk long, piece int, body binary, holders long, distinct_keys long"
 
 
 def _frequencies(key: tuple, group: pa.Table) -> pa.Table:
@@ -136,10 +141,10 @@ def _frequencies(key: tuple, group: pa.Table) -> pa.Table:
         level = np.where(df > n, 1 + np.floor(2 * np.log2(df)), 0).astype(np.uint8)
         out.append(pa.compress(level.tobytes(), "zstd", asbytes=True))
     n = len(out)
-    return pa.table({"chunk": group.column("chunk"), "piece": pa.array([key[0].as_py()] * n, pa.int32()), "body": pa.array(out, pa.binary()), "entries": pa.array([len(back) if not i else 0 for i in range(n)], pa.int64()), "distinct_keys": pa.array([len(keys) if not i else 0 for i in range(n)], pa.int64())})
+    return pa.table({"chunk": group.column("chunk"), "piece": pa.array([key[0].as_py()] * n, pa.int32()), "body": pa.array(out, pa.binary()), "holders": pa.array([int(total.sum()) if not i else 0 for i in range(n)], pa.int64()), "distinct_keys": pa.array([len(keys) if not i else 0 for i in range(n)], pa.int64())})
 
 
-SETS = "chunk long, idx int, doc_id long, n int, node binary, s int, tokens binary, lists array<long>, places array<int>, subsets array<long>"
+SETS = "chunk long, idx int, doc_id long, n int, node binary, s int, tokens binary, lists array<long>, places array<int>, subsets array<struct<m: int, token: long>>"
 
 
 def _six(s: np.ndarray) -> bytes:
@@ -169,12 +174,12 @@ def _classify(width: int, n_ranges: int, light: int):
                 o = least_shared(n, m)
                 if m <= light and o <= min(n, m):
                     head = np.array([min(n, m), max(n, m)], dtype=_U64).tobytes()
-                    subsets += [_signed(xxhash.xxh3_64_intdigest(head + np.array(c, dtype=_U64).tobytes())) for c in combinations(s[shared], o)]
+                    subsets += [(m, _signed(xxhash.xxh3_64_intdigest(head + np.array(c, dtype=_U64).tobytes()))) for c in combinations(s[shared], o)]
         if n * OF // NEED > light:
             order = np.lexsort((s, level))[: prefix(n)]
             places = np.flatnonzero(shared[order])
             lists, places = [_signed(int(x)) for x in s[order[places]]], places.tolist()
-        return int(shared.sum()), (_six(s) if lists else None), lists or None, places or None, subsets
+        return int(shared.sum()), (_six(s) if lists or subsets else None), lists or None, places or None, subsets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -199,9 +204,9 @@ def _classify(width: int, n_ranges: int, light: int):
                         seen.add(node)
                         more = one(s, level[np.searchsorted(keys, s)])
                     rows.append((chunk, j, doc_ids[j], len(s), node, *more))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.struct([("m", pa.int32()), ("token", pa.int64())]))]
                 cols = list(zip(*rows, strict=True)) if rows else [()] * 10
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in SETS.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["chunk", "idx", "doc_id", "n", "node", "s", "tokens", "lists", "places", "subsets"])
 
     return run
 
@@ -243,25 +248,25 @@ def nodes_and_labels(docs: DataFrame, rest: list[str], width: int = WIDTH) -> tu
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_ranges = max(1, -(-total // (5 * RANGE_ENTRIES)))  # a shingle a word, and hardly a word below five bytes
     sent = table.select("chunk", "texts").mapInArrow(_send(width, n_ranges), "piece int, chunk long, body binary, many binary")
-    answers = stored(sent.groupBy("piece").applyInArrow(_frequencies, ANSWERS), f"{base}/answers")
-    size = answers.agg(F.sum("entries"), F.sum("distinct_keys")).first()
+    answers = stored(by_range(sent, n_ranges).applyInArrow(_frequencies, ANSWERS), f"{base}/answers")
+    size = answers.agg(F.sum("holders"), F.sum("distinct_keys")).first()
     light = boundary((size[0] or 0) / max(1, size[1] or 0))
     found = join_answers(table, answers).select("chunk", "texts", "rest", "answers").mapInArrow(_classify(width, n_ranges, light), SETS)
     found = stored(found, f"{base}/sets")
 
-    sets = found.where("lists IS NOT NULL").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "s", "tokens", "lists", "places")])
+    sets = found.where("tokens IS NOT NULL").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "s", "tokens", "lists", "places")])
     sets = stored(sets, f"{base}/heavy")
     lists = sets.select("node", "n", "s", F.explode(F.arrays_zip("lists", "places")).alias("p")).select("node", "n", "s", F.col("p.lists").alias("token"), F.col("p.places").alias("place"))
     # heads are stored before they are joined back: Spark then splits the list of a hot shingle over tasks
     heads = lists.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "n", "node")).alias("head"), F.min("n").alias("smallest"), F.count("*").alias("m"))
     heads = stored(heads.where("m > 1").select("token", "head", "smallest"), f"{base}/heads")
     to_head = _fits(F.col("n"), F.col("head.n"), F.least("s", F.col("head.n") - F.col("head.own"))) & (F.col("node") != F.col("head.node"))
-    near = lists.join(heads, "token").where(to_head).select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct()
-    tested = stored(_tested(near, sets), f"{base}/tested")
-    subsets = found.where("subsets IS NOT NULL").select("node", F.explode("subsets").alias("token")).distinct()
-    tops = stored(subsets.groupBy("token").agg(F.min("node").alias("b"), F.count("*").alias("m")).where("m > 1").select("token", "b"), f"{base}/tops")
-    tied = subsets.join(tops, "token").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b")
-    links = stored(tested.where("linked").select("a", "b").unionAll(tied).distinct(), f"{base}/links")
+    near = lists.join(heads, "token").where(to_head).select(F.col("node").alias("a"), F.col("head.node").alias("b"))
+    subsets = found.where("subsets IS NOT NULL").select("node", "n", F.explode("subsets").alias("x")).select("node", "n", "x.m", "x.token").distinct()
+    tops = stored(subsets.groupBy("token", F.col("n").alias("m")).agg(F.min("node").alias("b")), f"{base}/tops")
+    tied = subsets.join(tops, ["token", "m"]).where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b")
+    tested = stored(_tested(near.unionAll(tied).distinct(), sets), f"{base}/tested")
+    links = tested.where("linked").select("a", "b")
     labels = components(links)
 
     # what is still apart within a list, without entries whose place leaves no partner of the list's sizes
@@ -280,9 +285,10 @@ def nodes_and_labels(docs: DataFrame, rest: list[str], width: int = WIDTH) -> tu
     more = stored(_tested(pairs, sets).where("linked").select("a", "b"), f"{base}/more")
     if not more.isEmpty():
         labels = components(links.unionAll(more))
-    for t in ("answers", "own", "left"):
+    found = stored(found.select("chunk", "idx", "doc_id", "n", "node"), f"{base}/found")
+    for t in ("answers", "sets", "heavy", "heads", "tops", "tested", "own", "split", "left", "more"):
         remove(spark, f"{base}/{t}")
-    return table, found.select("chunk", "idx", "doc_id", "n", "node"), labels
+    return table, found, labels
 
 
 def grouped(docs: DataFrame, width: int = WIDTH) -> DataFrame:
