@@ -1,6 +1,7 @@
 """Substring, suffix and Jaccard operators against plain versions."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -55,6 +56,26 @@ def test_suffix(spark, small_chunks):
     same(suffix.removed_bytes(frame(spark, ROWS, extra=True)), brute.suffix(ROWS))
 
 
+def test_suffix_windows_of_hot_anchors_are_dealt_out(spark, small_chunks):
+    """A common header between varied neighbours; with hot=3 most shared anchors go window by window."""
+    header = "This header stands in every document, word for word, and is longer than a window. "
+    rows = [(i, f"{i * 7919} before it {i}" + header + f"after {i % 5} it {i * 104729} " * 3) for i in range(60)]
+    same(suffix.removed_bytes(frame(spark, rows), hot=3), brute.suffix(rows))
+    same(suffix.removed_bytes(frame(spark, ROWS), hot=3), brute.suffix(ROWS))
+
+
+def test_suffix_long_texts_in_overlapping_pieces(monkeypatch):
+    """Pieces stand for the same windows with the same anchors as the whole text."""
+    text = " ".join(t or "" for _, t in ROWS)
+
+    def windows():
+        return sorted((doc + int(a.doc[j]), s - int(a.starts[a.doc[j]]), int(a.place[j] - a.starts[a.doc[j]])) for doc, a in suffix._anchors(pa.array(["x" * 80, text, None, text[:900]])) for j in range(len(a.doc)) for s in range(int(a.first[j]), int(a.last[j]) + 1))
+
+    whole = windows()
+    monkeypatch.setattr(suffix, "BLOCK", 700)
+    assert windows() == whole and len(whole) == 31 + len(text.encode()) - 49 + len(text[:900].encode()) - 49
+
+
 def test_suffix_same_document_keeps_its_own_repeats(spark):
     t = "abcdefghij" * 30
     same(suffix.removed_bytes(frame(spark, [(1, t), (2, "x" + t[:60])])), brute.suffix([(1, t), (2, "x" + t[:60])]))
@@ -73,6 +94,25 @@ def test_jaccard_small_sets_and_repeated_rows(spark):
     same(jaccard.grouped(frame(spark, [(5, "a b c d e f"), (5, "a b c d e f"), (None, None)])), [(5, 2, 5), (5, 2, 5), (None, 0, None)])
 
 
+@pytest.mark.parametrize("light", [0, 7, 11])
+def test_sets_of_like_sizes_at_the_threshold(spark, light, monkeypatch):
+    """Every split into light and heavy gives the same links; sets of six that share five are none, those with a set of five are."""
+    r = np.random.default_rng(3)
+    monkeypatch.setattr(jaccard, "boundary", lambda mean: light)
+    texts = set()
+    for _ in range(260):
+        n = int(r.integers(5, 14))
+        at = int(r.integers(0, 3))
+        w = [f"v{i}" for i in range(at, at + n)]
+        if r.random() < 0.5:
+            w[int(r.integers(0, n))] = f"u{int(r.integers(0, 4))}"
+        if r.random() < 0.5:
+            w.append(f"t{int(r.integers(0, 9))}")
+        texts.add(" ".join(w))
+    rows = list(enumerate(sorted(texts)))
+    same(jaccard.grouped(frame(spark, rows)), brute.jaccard(rows))
+
+
 def test_many_near_copies(spark):
     import random
 
@@ -97,7 +137,10 @@ def test_empty_table(spark, operator):
 
 
 def test_boundary_follows_the_cost():
-    assert jaccard.boundary(1.0) <= jaccard.boundary(3.0) <= jaccard.MOST_LIGHT
+    assert 0 < jaccard.boundary(1.0) <= jaccard.boundary(3.0) <= jaccard.boundary(50.0) < jaccard.boundary(1e5)
+    for mean in (1.0, 2.5, 40.0, 1e4):  # no larger size is cheaper
+        best = jaccard.boundary(mean)
+        assert all(jaccard.subset_rows(n, n) > jaccard.prefix(n) * (1 + jaccard.CANDIDATE_COST * (mean - 1)) for n in range(best + 1, 60))
     for n in range(1, 60):
         for m in jaccard.partners(n):
             o = jaccard.least_shared(n, m)
@@ -129,12 +172,43 @@ def test_log_compacts_and_finds():
     log, seen = runs.Log(), set()
     r = np.random.default_rng(2)
     for _ in range(40):
-        k = np.unique(r.integers(0, 3000, 60).astype(np.uint64))
-        assert log.seen(k).tolist() == [int(x) in seen for x in k]
-        log.add(k)
-        seen |= set(k.tolist())
-        assert all(len(a) >= 2 * len(b) for a, b in zip(log.runs, log.runs[1:], strict=False))
-    assert set(log.compacted().tolist()) == seen
+        pairs = sorted(set(zip(r.integers(0, 800, 60).tolist(), r.integers(0, 4, 60).tolist(), strict=True)))  # keys with several proofs
+        e = tuple(np.array(c, dtype=np.uint64) for c in zip(*pairs, strict=True))
+        assert log.seen(e).tolist() == [x in seen for x in pairs]
+        log.add(e)
+        seen |= set(pairs)
+        assert all(len(a[0]) >= 2 * len(b[0]) for a, b in zip(log.runs, log.runs[1:], strict=False))
+    assert list(zip(*(c.tolist() for c in log.compacted()), strict=True)) == sorted(seen)
+
+
+def test_windows_of_equal_keys_but_other_words_stay(spark, small_chunks, monkeypatch):
+    """A key of two bits makes nearly all windows collide; proofs tell them apart."""
+    rows = ROWS[:60]
+    texts = pa.array([t for _, t in rows])
+    monkeypatch.setattr(substring, "_keys", lambda texts, width, plain=substring._keys: (plain(texts, width)[0] >> np.uint64(62), plain(texts, width)[1]))
+    own = substring.Chunk(texts, None, runs.range_edges(1), 20, True)
+    want, seen = [], set()
+    for _, t in rows:
+        w = (t or "").encode().split()
+        for i in range(len(w) - 19):
+            want.append(tuple(w[i : i + 20]) in seen)
+            seen.add(tuple(w[i : i + 20]))
+    assert own.marked(None).tolist() == want
+
+
+def test_index_that_begins_small_is_dealt_anew(spark, small_chunks, tmp_path):
+    """Many batches, the first of a few words; runs stay apart by size, ranges follow the history, and a lost call leaves it alone."""
+    folder = f"file://{tmp_path}/ix"
+    rows = [r for r in ROWS if r[0] < 900]
+    parts = [rows[:1], rows[1:40], rows[40:44], rows[44:46], rows[46:]]
+    got = []
+    for i, part in enumerate(parts):
+        got += substring.removed_words(frame(spark, part), index=folder).collect()
+        index = substring.Index(spark, folder)
+        assert index.version == i + 1 and all(b[2] >= 2 * a[2] for a, b in zip(index.runs, index.runs[1:], strict=False))
+        (tmp_path / f"ix/versions/{index.version + 1:08d}").mkdir()  # a call that was lost before it was done
+    assert sorted(map(tuple, got)) == sorted(brute.substring(rows))
+    assert index.runs[-1][1] > 1 and len(list((tmp_path / "ix/runs").iterdir())) == len(index.runs)
 
 
 def test_components_of_chains_and_stars(spark):

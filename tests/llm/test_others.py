@@ -219,18 +219,100 @@ def test_banded_distance_is_that_of_the_full_table():
 
 
 # ------------------------------------------------------------------ licenses
+APACHE = """/*
+ * Copyright 2020 Someone
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ */
+int main() { return 0; }
+"""
+GNU = """# This program is free software{p} you can redistribute it and/or modify
+# it under the terms of the GNU {kind}General Public License as published by
+# the Free Software Foundation{q} either version {v} of the License, or
+# (at your option) any later version.
+x = 1
+"""
+
+
 def test_licenses(spark):
+    mit = 'The MIT License (MIT)\n\nCopyright (c) 2019 A. Nobody\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n'
+    clauses = [t for n, t in license.TEMPLATES if n.startswith("BSD") and "1. " in t]
     files = [
         ("a", "repo/LICENSE", "Released under the MIT License."), ("b", "repo/src/x.py", "code\n" * 50), ("c", "repo/src/deep/y.py", None), ("d", "repo/vendor/COPYING", "This work is licensed under the GNU General Public License, version 3."),
         ("e", "repo/vendor/lib/z.c", "# Licensed under the Apache License, Version 2.0.\n" + "int x;\n" * 40), ("f", "repo/vendor/lib/w.c", "int y;"), ("g", "other/q.c", "license plates are collected " + "here " * 30), ("h", None, "Released under the MIT License."), ("b2", "repo/src/x.py", ""),
+        ("i", "m/COPYING", mit[mit.index("Permission"):]), ("j", "m/sub/k.c", "int z;"), ("k", "n/LICENSE.txt", mit), ("l", "p/a.c", APACHE), ("m", "p/b.py", GNU.format(p=":", kind="Affero ", q=",", v=3)), ("n", "p/c.py", GNU.format(p=";", kind="", q=";", v=2)),
+        ("o", "p/d.py", GNU.format(p=":", kind="", q=",", v=3)), ("p", "p/e.py", GNU.format(p=";", kind="Lesser ", q=";", v="2.1").replace("program", "library")), ("q", "p/f.rs", "// SPDX-License-Identifier: MIT\nfn main() {}\n"), ("r", "p/g.rs", "// SPDX-License-Identifier: GPL-2.0\n"),
+        ("s", "i/LICENSE", "ISC License\n\nCopyright (c) 2021, B. Body\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n"),
+        ("t", "g/COPYING", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc.\n"), ("u", "y/LICENSE", clauses[0].replace(": 1.", ":\n\n1.").replace(" 2. ", "\n\n2. ")),
+        ("v", "y2/LICENSE", clauses[1].replace(": 1.", ":\n\n1.").replace(" 2. ", "\n\n2. ").replace(" 3. ", "\n\n3. ")), ("w", "w/x.txt", "The weather was free of clouds and the public works were under way. " * 20),
     ]
     df = spark.createDataFrame(files, "fid string, path string, text string").withColumn("license", F.lit("clash"))
     got = {r["fid"]: r for r in license.scan(df).collect()}
-    assert {k: r["license"] for k, r in got.items()} == {"a": "MIT", "b": "MIT", "c": "MIT", "d": "GPL-3.0", "e": "Apache-2.0", "f": "GPL-3.0", "g": None, "h": "MIT", "b2": "MIT"}
+    want = {"a": "MIT", "b": "MIT", "c": "MIT", "d": "GPL-3.0", "e": "Apache-2.0", "f": "GPL-3.0", "g": None, "h": "MIT", "b2": "MIT", "i": "MIT", "j": "MIT", "k": "MIT", "l": "Apache-2.0", "m": "AGPL-3.0", "n": "GPL-2.0", "o": "GPL-3.0", "p": "LGPL-2.1", "q": "MIT", "r": "GPL-2.0", "s": "ISC", "t": "GPL-2.0", "u": "BSD-2-Clause", "v": "BSD-3-Clause", "w": None}
+    assert {k: r["license"] for k, r in got.items()} == want
     assert got["f"]["inherited_from"] == "repo/vendor" and got["e"]["own_license"] == "Apache-2.0" and got["c"]["own_license"] is None
     assert license.scan(df.limit(0)).count() == 0
 
 
+def test_repeated_files_do_not_license_their_folder(spark):
+    """A notice of a quarter of a file's words stays so however often the file is there."""
+    text = "Released under the MIT License.\n" + "word other thing else more\n" * 3
+    df = spark.createDataFrame([("a", "r/x/1", text)] * 5 + [("b", "r/x/2", "plain text")], "fid string, path string, text string")
+    got = license.scan(df).collect()
+    assert len(got) == 6 and all(r["license"] == ("MIT" if r["fid"] == "a" else None) for r in got)
+
+
+def test_license_scores_equal_plain_cosines(spark):
+    from collections import Counter
+    import re
+
+    r = random.Random(7)
+    templates = license.templates()
+    lines = [x for _, t in templates for x in (t, " ".join(r.sample(t.split(), k=max(1, len(t.split()) - 2))), t[: len(t) // 2])] + ["the of and to this", "some other line altogether", "été ÉTÉ license"]
+    rows = [(i, f"d/{i}", "\n".join(r.choice(["", "# "]) + r.choice([*lines, ""]) for _ in range(r.randint(0, 6)))) for i in range(60)]
+    words = lambda t: re.findall(rb"[a-z0-9\x80-\xff]+", t.encode().translate(license._FOLD))
+    terms = lambda ws: Counter([*ws, *zip(ws, ws[1:], strict=False)])
+    known = {t for _, x in templates for t in terms(words(x))}
+    all_lines = [w for _, _, t in rows for x in t.split("\n") if (w := words(x))]
+    holding = Counter(t for w in all_lines for t in set(terms(w)) & known)
+    idf = lambda t: math.log((1 + len(all_lines)) / (1 + holding[t])) + 1 if t in known else math.log(1 + len(all_lines)) + 1
+
+    def unit(ws):
+        v = {t: n * idf(t) for t, n in terms(ws).items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    ours = [(n, unit(words(t))) for n, t in templates]
+
+    def parts(text):
+        split = [(x, words(x)) for x in text.split("\n")]
+        out = [[w] for _, w in split if w]
+        block, head, lead = [], [], True
+        for x, w in [*split, ("", [])]:
+            if w:
+                block.append(w)
+                lead = lead and x.startswith("#")
+                if lead:
+                    head.append(w)
+            else:
+                out += [block] if len(block) > 1 else []
+                block = []
+        out += [head] if len(head) > 1 else []
+        return [[w for line in p for w in line] for p in out]
+
+    want = {}
+    for fid, _, text in rows:
+        best = min(((-round(sum(x * v.get(t, 0.0) for t, x in unit(p).items()), 9), n) for p in parts(text) for n, v in ours), default=(0.0, None))
+        want[fid] = (best[1], -best[0]) if -best[0] >= license.LEAST else (None, None)
+    got = {x["fid"]: (x["own_license"], x["score"]) for x in license.scan(spark.createDataFrame(rows, "fid long, path string, text string")).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(a is None or abs(a - want[k][1]) < 2e-9 for k, (_, a) in got.items())
+
+
 def test_sweep_leaves_nothing(spark, tmp_path):
     from tidegrid.llm import chunks, common
 
