@@ -30,7 +30,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Texts without passages that an earlier document has; n_chars follows, a text that had words and lost them all goes."""
     worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     left = substring.without_repeats(docs.withColumn("__worded", worded))
-    return left.withColumn("n_chars", F.length("text").cast("bigint")).where(worded | ~F.col("__worded")).select(*docs.columns)
+    return left.withColumn("n_chars", F.length("text").cast("bigint")).where(worded | ~F.col("__worded")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
