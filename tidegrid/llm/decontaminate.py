@@ -3,10 +3,10 @@
 Benchmark items are folded (lower case, runs of anything but letters and digits as one space) and cut into overlapping windows of `WINDOW` characters, and
 of `PASSAGE` characters every `STRIDE`, so that an excerpt of PASSAGE + STRIDE - 1 characters, some 13 words, holds a whole passage wherever it starts; shorter
 items are one window. Two strings within k edits share at least n + 1 - q(k + 1) of the q-grams of a window of n
-characters, on diagonals that differ by at most k. So for every document the q-grams it shares with any window are
-found, counted per window in overlapping bands of diagonals (each 2k + 1 wide or wider, one every k + 1 diagonals, so
-that any k + 1 neighbours lie within one), bands that reach the bound become regions, and each region is verified by an
-alignment confined to its band. A document is reported with an item if one of the item's windows aligns within its edit
+characters, on diagonals that differ by at most k. So for every document the q-grams it shares with benchmark texts are
+found and counted in overlapping bands of diagonals (each 2k + 1 wide or wider, one every k + 1 diagonals, so that any
+k + 1 neighbours lie within one), first per text with the least bound of its windows, then, where that is met, per
+window. Bands that reach the bound become regions, and each region is verified by an alignment confined to its band. A document is reported with an item if one of the item's windows aligns within its edit
 budget.
 
 Benchmark windows are sent to the tasks in blocks of at most `BLOCK_CHARS` characters (or one item, should it be longer); a larger benchmark takes more
@@ -25,6 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import byte_batches, documents, pick
@@ -75,16 +76,20 @@ def bound(n: int, k: int) -> int:
     return n + 1 - Q * (k + 1)
 
 
-def windows(items: Iterable[tuple[int, str]]) -> list[tuple[int, str]]:
-    """(item_id, folded window)."""
+def windows(items: Iterable[tuple[int, str]]) -> list[tuple[int, int, int, str]]:
+    """(item_id, number of its text, place, folded window), equal windows of a text once."""
     out = []
     for item, text in items:
         text = fold(text or "")
+        unit = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
         for width, step in ((WINDOW, WINDOW // 2), (PASSAGE, STRIDE)):
             if width == WINDOW or len(text) > PASSAGE:  # a shorter item is one window already
                 last = max(0, len(text) - width)
-                starts = sorted({*range(0, last, step), last})
-                out += dict.fromkeys((item, text[s : s + width]) for s in starts if len(text[s : s + width]) >= Q)
+                first: dict[str, int] = {}
+                for s in sorted({*range(0, last, step), last}):
+                    if len(w := text[s : s + width]) >= Q:
+                        first.setdefault(w, s)
+                out += [(item, unit, s, w) for w, s in first.items()]
     return out
 
 
@@ -133,21 +138,31 @@ def dense(at: np.ndarray, fewest: int, span: int) -> np.ndarray:
 
 
 class Index:
-    """Q-grams of a block of windows: hash -> (window, place), and a bit table in front."""
+    """Q-grams of a block of windows: hash -> (text, place) to find where shared ones gather, hash -> (window, place) to count there."""
 
-    def __init__(self, wins: list[tuple[int, str]]):
+    def __init__(self, wins: list[tuple[int, int, int, str]]):
         self.items = np.array([w[0] for w in wins], dtype=np.int64)
-        self.codes = [np.frombuffer(w[1].encode("utf-32-le", "surrogatepass"), dtype="<u4") for w in wins]
+        self.codes = [np.frombuffer(w[3].encode("utf-32-le", "surrogatepass"), dtype="<u4") for w in wins]
         self.n = np.array([len(c) for c in self.codes])
         self.k = np.array([budget(n) for n in self.n])
         self.least = np.array([bound(n, k) for n, k in zip(self.n, self.k, strict=True)])
         self.fewest, self.span = int(self.least.min(initial=1 << 30)), int((self.n + self.k).max(initial=0))
-        hashes = [grams(w[1]) for w in wins]
+        hashes = [grams(w[3]) for w in wins]
         h = np.concatenate([*hashes, np.empty(0, np.uint64)])
-        win = np.repeat(np.arange(len(wins)), [len(x) for x in hashes])
-        place = np.concatenate([*[np.arange(len(x)) for x in hashes], np.empty(0, int)]).astype(np.int64)
+        sizes = [len(x) for x in hashes]
+        win = np.repeat(np.arange(len(wins)), sizes)
+        place = np.concatenate([*[np.arange(n) for n in sizes], np.empty(0, int)]).astype(np.int64)
         order = np.argsort(h, kind="stable")
         self.h, self.win, self.place = h[order], win[order], place[order]
+        # texts: the largest step of bands and the least bound of their windows hold for all of them
+        _, unit = np.unique(np.array([w[1] for w in wins], dtype=np.uint64), return_inverse=True)
+        self.step, self.lowest = np.zeros(unit.max(initial=-1) + 1, dtype=np.int64), np.full(unit.max(initial=-1) + 1, 1 << 40)
+        np.maximum.at(self.step, unit, self.k + 1)
+        np.minimum.at(self.lowest, unit, self.least)
+        at = (unit[win] << 40) + np.repeat(np.array([w[2] for w in wins], dtype=np.int64), sizes) + place
+        at, first = np.unique(at, return_index=True)
+        order = np.argsort(h[first], kind="stable")
+        self.text_h, self.text_unit, self.text_place = h[first][order], (at >> 40)[order], (at & ((1 << 40) - 1))[order]
         self.bits = np.zeros(1 << _BITS, dtype=bool)
         self.bits[(self.h >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
@@ -160,7 +175,8 @@ class Index:
         codes, at = None, 0
         while at < len(maybe):
             end = int(np.searchsorted(maybe, maybe[at] + WALK + self.span))  # every region lies within one stride
-            for w, bands, shared in self._regions(h, maybe[at:end]):
+            near = self._gathered(h, maybe[at:end])
+            for w, bands, shared in self._regions(h, near) if len(near) else ():
                 item, k = int(self.items[w]), int(self.k[w])
                 if item in found and found[item][0] == 0:
                     continue
@@ -173,6 +189,51 @@ class Index:
             at = int(np.searchsorted(maybe, maybe[at] + WALK)) if end < len(maybe) else end
         return found
 
+    def _gathered(self, h: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Of these places those with q-grams in a band of diagonals of a benchmark text that holds as many as its least demanding window asks for."""
+        lo, hi = np.searchsorted(self.text_h, h[places], "left"), np.searchsorted(self.text_h, h[places], "right")
+        has = np.flatnonzero(hi > lo)
+        has = has[np.isin(places[has], dense(places[has], self.fewest, self.span), assume_unique=True)]
+        if not len(has):
+            return places[:0]
+        lo, n, places = lo[has], (hi - lo)[has], places[has]
+        total = np.concatenate([[0], np.cumsum(n)])
+        cuts = [0]
+        while cuts[-1] < len(n):
+            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(total, total[cuts[-1]] + HITS, "right")) - 1))
+
+        def bands(a: int, b: int) -> np.ndarray:
+            m = n[a:b]
+            hit = np.repeat(lo[a:b] - (total[a:b] - total[a]), m) + np.arange(total[b] - total[a])
+            unit = self.text_unit[hit]
+            return (unit << 40) + np.floor_divide(np.repeat(places[a:b], m) - self.text_place[hit], self.step[unit]) + (1 << 39)
+
+        keys, counts, last = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), None
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            last = bands(a, b)
+            new, more = np.unique(last, return_counts=True)
+            if len(cuts) == 2:
+                keys, counts = new, more
+            else:
+                keys, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
+                counts = np.bincount(back, weights=np.concatenate([counts, more]), minlength=len(keys)).astype(np.int64)
+        # two neighbouring steps make a band
+        upper = np.flatnonzero(keys[1:] - keys[:-1] == 1)
+        both = counts.copy()
+        both[upper] += counts[upper + 1]
+        good = both >= self.lowest[keys >> 40]
+        good[1:] |= good[:-1] & (keys[1:] - keys[:-1] == 1)
+        keys = keys[good]
+        if not len(keys):
+            return places[:0]
+        keep = np.zeros(len(places), dtype=bool)
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            mine = last if len(cuts) == 2 else bands(a, b)
+            at = np.searchsorted(keys, mine)
+            at[at == len(keys)] = 0
+            keep[a:b] = np.logical_or.reduceat(keys[at] == mine, total[a:b] - total[a])
+        return places[keep]
+
     def _regions(self, h: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(window, its bands of diagonals that reach the bound, q-grams shared in each), of q-grams at these places."""
         lo, hi = np.searchsorted(self.h, h[places], "left"), np.searchsorted(self.h, h[places], "right")
@@ -217,12 +278,12 @@ def _scan(index: Index):
     return run
 
 
-def blocks(benchmark: DataFrame, size: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
+def blocks(benchmark: DataFrame, size: int = BLOCK_CHARS) -> Iterator[list[tuple[int, int, int, str]]]:
     """Windows of the benchmark, streamed to the driver and handed on in blocks of bounded size."""
     block, used = [], 0
     for r in pick(benchmark, "item_id", "text").where("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
         own = windows([(r["item_id"], r["text"])])  # the windows of one item stay together, so it is reported once
-        cost = sum(len(w[1]) for w in own)
+        cost = sum(len(w[3]) for w in own)
         if block and used + cost > size:
             yield block
             block, used = [], 0
