@@ -204,6 +204,41 @@ def test_excerpts_are_found_at_every_offset():
     assert not any(index.matches(decontaminate.fold(f"{say(30)} {item[at : at + 40]} {say(30)}")) for at in range(len(item) - 40))
 
 
+def test_matches_equal_those_of_plain_alignments(spark):
+    """Every window of every item against every text, without q-grams or bands."""
+    r = random.Random(12)
+    say = lambda k, letters="abcdef": " ".join("".join(r.choices(letters, k=r.randint(2, 6))) for _ in range(k))
+
+    def edits(pattern: str, text: str) -> int:
+        t, j = np.array([ord(c) for c in text]), np.arange(len(text) + 1)
+        row = np.zeros(len(text) + 1, dtype=int)
+        for c in pattern:
+            new = np.concatenate([[row[0] + 1], np.minimum(row[:-1] + (t != ord(c)), row[1:] + 1)])
+            row = np.minimum.accumulate(new - j) + j
+        return int(row.min())
+
+    items = [(i, say(r.randint(3, 45))) for i in range(8)] + [(8, "ab " * 50), (9, "a" * 130)]
+    rows = []
+    for d in range(80):
+        text = list(say(r.randint(1, 60)))
+        item = r.choice(items)[1]
+        at = r.randint(0, max(0, len(item) - 60))
+        piece = list(item[at : at + r.randint(20, 140)])
+        for _ in range(r.randint(0, 9)):
+            i = r.randrange(len(piece))
+            piece[i] = r.choice([piece[i] + "z", "", "q"])
+        rows.append((d, "".join(text) + " " + "".join(piece) + " " + say(5)))
+    want = {}
+    for d, text in rows:
+        folded = decontaminate.fold(text)
+        for item, _, _, w in decontaminate.windows(items):
+            e = edits(w, folded)
+            if e <= decontaminate.budget(len(w)):
+                want[d, item] = min(e, want.get((d, item), 99))
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x["doc_id"], x["item_id"]): x["edits"] for x in got} == want and len(want) > 30 and len({d for d, _ in want}) < 80
+
+
 def test_banded_distance_is_that_of_the_full_table():
     r = random.Random(1)
     for _ in range(200):
