@@ -1,10 +1,13 @@
 """Forecasters, scalers, payloads and streams."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidegrid import functions as X
+from tidegrid.operators.quantiles import exact_quantiles
 from tidegrid.plans import models
+from tidegrid.sources.folders import read_version
 from tidegrid.streaming import online
 
 H = {"a": 1}
@@ -111,4 +114,83 @@ def test_event_time_plans(spark, tmp_path):
     q = src().writeStream.foreachBatch(online.keep_latest(f"{tmp_path}/t")).option("checkpointLocation", f"{tmp_path}/cp").start()
     q.processAllAvailable()
     q.stop()
-    assert spark.read.parquet(f"{tmp_path}/t/latest").first()["x"] == 19.0
+    assert read_version(spark, f"file://{tmp_path}/t").first()["x"] == 19.0
+    online.keep_latest(f"file://{tmp_path}/t")(rows.where("x < 3"), 7)  # a batch that comes again changes nothing
+    assert read_version(spark, f"file://{tmp_path}/t").first()["x"] == 19.0
+    (tmp_path / "t/v000000000099").mkdir()  # a version that was lost before it was complete
+    assert read_version(spark, f"file://{tmp_path}/t").first()["x"] == 19.0
+
+
+def test_whole_vector_in_a_stream_equals_the_batch_one(spark, tmp_path):
+    lags, rolling = {"log_flux_e2": (1, 12), "vsw": (30,)}, {"vsw": ((12, "mean"), (24, "std"), (24, "max")), "log_flux_e2": ((24, "mean"),), "bz_gsm": ((12, "min"),)}
+    i = F.col("id")
+    rows = spark.range(240).select(
+        F.concat(F.lit("s"), (i % 2).cast("string")).alias("sat_id"), F.timestamp_seconds(F.floor(i / 2) * 300 + 1_600_000_200).alias("time"), F.sin("id").alias("log_flux_e2"),
+        F.when(i % 11 != 4, 400 + 30 * F.cos(i / 7)).alias("vsw"), (5 + F.sin(i / 3)).alias("density"), (3 * F.cos(i / 5)).alias("bz_gsm"), F.lit(4.0).alias("bt"),
+    )
+    (tmp_path / "in").mkdir()
+    src = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    cut = [1_600_000_200 + 300 * k for k in (0, 50, 51, 90, 120)]
+    q = None
+    for a, b in zip(cut, cut[1:], strict=False):
+        rows.where((F.unix_seconds("time") >= a) & (F.unix_seconds("time") < b)).write.mode("append").parquet(f"{tmp_path}/in")
+        q = q or online.stream_vector(src, lags, rolling).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").start()
+        q.processAllAvailable()
+    q.stop()
+    s = spark.read.parquet(f"{tmp_path}/out").orderBy("sat_id", "time").toPandas()
+    b = online.batch_vector(rows, lags, rolling).orderBy("sat_id", "time").toPandas()
+    assert len(s) == len(b) == 240 and set(s.columns) == set(b.columns)
+    for c in s.columns:
+        if c not in ("sat_id", "time"):
+            x, y = s[c].astype(float), b[c].astype(float)
+            assert (x.isna() == y.isna()).all() and (x - y).abs().fillna(0).max() < 1e-9, c
+
+
+def test_serving(spark, tmp_path):
+    from tidegrid.streaming import serve
+
+    cache = serve.ForecastCache(2)
+    for k in "abc":
+        cache.put(k, k.upper())
+    assert cache.get("a") is None and cache.get("c") == "C" and (cache.hits, cache.misses, len(cache)) == (1, 1, 2)
+    path, table = f"file://{tmp_path}/f", [(2.0, 0.3)] * 24
+    assert serve.answer(spark, path, "s")[0] == 503
+    rows = spark.createDataFrame([("s", 1_600_000_000, 2.5), ("s", 1_600_000_300, 3.5), ("z", 1_600_000_000, 1.0)], "sat_id string, t long, last double").select("sat_id", F.timestamp_seconds("t").alias("time"), "last")
+    serve.refresh(path, [models.Persistence()], table)(rows, 0)
+    assert serve.answer(spark, path, "s", "6h")[1]["model"] == "table"  # nothing is fitted
+    serve.refresh(path, [models.Persistence().fit(rows)], table)(rows.withColumn("time", F.timestamp_seconds(F.unix_seconds("time") + 600)), 1)
+    code, body = serve.answer(spark, path, "s", "6h")
+    assert code == 200 and body["model"] == "persistence" and body["q50"] == pytest.approx(10**3.5) and body["issued_utc"] == "2020-09-13T12:41:40Z"
+    assert serve.answer(spark, path, "s", "9h")[0] == 404 and serve.check_vector([1.0], 2)[0] == 422 and set(serve.answer(spark, path, "z")[1]["horizons"]) == {"nowcast", "6h", "12h"}
+    sent = []
+    push = serve.push_changes(sent.append)
+    for epoch in (0, 1):
+        push(read_version(spark, path), epoch)
+    assert sorted(x["sat_id"] for x in sent) == ["s", "z"]
+    long = spark.range(1000).select(F.lit("s").alias("sat_id"), F.timestamp_seconds(F.col("id") * 300).alias("time"))
+    assert serve.history(long).agg(F.min("time"), F.count("*")).first()[1] == 288
+
+
+def test_exact_quantiles_equal_numpy(spark):
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal(0, 1, 3000), r.integers(0, 5, 3000).astype(float), [1e6, -1e6, 0.0]])
+    g = (np.arange(len(x)) % 3).tolist()
+    df = spark.createDataFrame([(a, float(b)) for a, b in zip(g, x, strict=True)] + [(0, None), (7, None)], "g int, v double")
+    ps = (0.0, 0.1, 0.5, 0.9, 0.99, 1.0)
+    got = {q["g"]: q["q"] for q in exact_quantiles(df, ["g"], "v", ps).collect()}
+    assert set(got) == {0, 1, 2}
+    for k, q in got.items():
+        np.testing.assert_allclose(q, np.quantile(x[np.array(g) == k], ps), rtol=1e-12, atol=1e-12)
+    assert exact_quantiles(df.where("g = 7"), [], "v", ps).count() == 0
+
+
+def test_linear_filter_equals_least_squares(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(400, 3))
+    y = x @ [1.5, -2.0, 0.3] + 0.7 + r.normal(0, 0.1, 400)
+    df = spark.createDataFrame([(*map(float, row), float(t)) for row, t in zip(x, y, strict=True)], "a double, b double, c double, y_6h double")
+    m = models.LinearFilter({"6h": 72}, 3.0, inputs=["a", "b", "c"]).fit(df)
+    a = np.column_stack([x, np.ones(400)])
+    w = np.linalg.lstsq(a, y, rcond=None)[0]
+    np.testing.assert_allclose([*m.models["6h"][0], m.models["6h"][1]], w, atol=1e-8)
+    assert m.sigma["6h"] == pytest.approx((y - a @ w).std(), abs=1e-9)

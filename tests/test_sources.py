@@ -94,3 +94,85 @@ def test_settings():
     assert s.lookback == 12 and s.model == "refm" and s.params == {"ridge": 1}
     with pytest.raises(ValueError):
         settings_from({"nope": 1})
+
+
+def test_cdf_forms(spark, tmp_path):
+    """Compressed as a whole, column-major, and equal times in a file, of which the last value counts."""
+    import gzip
+    import struct
+
+    t = [1_435_708_500_000_000 + i * 300_000_000 for i in range(4)]
+    plain = cdf.cdf_bytes([t[0], t[1], t[1], t[3]], {"a": [1.0, 2.0, 3.0, 4.0]})
+    body = gzip.compress(plain[8:])
+    packed = plain[:4] + b"\xcc\xcc\x00\x01" + struct.pack(">qiqqi", len(body) + 32, 10, 40 + len(body), len(plain) - 8, 0) + body + struct.pack(">qiiiii", 28, 11, 5, 0, 1, 5)
+    (tmp_path / "z.cdf").write_bytes(packed)
+    w = cdf.wide(cdf.read_cdf(spark, [f"file://{tmp_path}/z.cdf"]), ["a"]).orderBy("time").collect()
+    assert [r["a"] for r in w] == [1.0, 3.0, 4.0]
+    f = cdf.File(plain)
+    f.vars["a"].dims, f.vars["a"].n, f.row_major = (2, 2), 1, False
+    assert f.values("a").tolist() == [[[1.0, 3.0], [2.0, 4.0]]]
+    with pytest.raises(ValueError, match="files of their own"):
+        cdf.File(plain[:43] + bytes([plain[43] & ~2]) + plain[44:])
+
+
+def test_cdf_files_by_period(spark, tmp_path):
+    d = synthetic.time_axis(spark, 60).select("time", F.col("i").cast("double").alias("vsw"), F.lit(None).cast("double").alias("kp"), F.lit("s1").alias("sat_id"))
+    files = cdf.write_cdf_files(d, f"file://{tmp_path}/c", kind="omni", keys=("sat_id",)).collect()
+    assert sorted(r["path"].rpartition("/")[2] for r in files) == ["s1-202001.cdf", "s1-202002.cdf"] and sum(r["n"] for r in files) == 60 * 288
+    back = cdf.wide(cdf.read_cdf(spark, [r["path"] for r in files]), ["vsw", "kp"])
+    assert back.join(d, ["time", "vsw"]).count() == 60 * 288 and back.where("kp IS NOT NULL").count() == 0
+
+
+@pytest.fixture
+def server(tmp_path):
+    """A local archive: HAPI answers by hour, and a list of two CDF files."""
+    import http.server
+    import threading
+    from urllib.parse import parse_qs, urlparse
+
+    day = 1_704_067_200
+    for k in range(2):
+        cdf.write_cdf(f"{tmp_path}/f{k}.cdf", [(day + 86400 * k + 300 * i) * 1_000_000 for i in range(3)], {"B": [float(k), float("nan"), 2.0]})
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            u = urlparse(self.path)
+            q = {k: v[0] for k, v in parse_qs(u.query).items()}
+            if u.path == "/hapi/info":
+                body = json.dumps({"parameters": [{"name": "Time"}, {"name": "V", "fill": "9999"}, {"name": "B", "size": [2], "fill": None}, {"name": "W"}]})
+            elif u.path == "/hapi/data":
+                hour = int(q["time.min"][11:13])
+                body = f"{q['time.min']},{400 + hour},1.5,2.5,x\n{q['time.min'][:14]}30:00Z,9999,3.5,4.5,7\n"
+            elif u.path.startswith("/cda/D/data/"):
+                body = json.dumps({"FileDescription": [{"Name": f"http://127.0.0.1:{self.server.server_port}/f{k}.cdf"} for k in range(2)]})
+            elif u.path.endswith(".cdf"):
+                body = (tmp_path / u.path[1:]).read_bytes()
+            else:
+                self.send_error(404)
+                return
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body if isinstance(body, bytes) else body.encode())
+
+        def log_message(self, *a):
+            pass
+
+    s = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{s.server_port}"
+    s.shutdown()
+
+
+def test_fetches(spark, server):
+    from tidegrid.sources import fetch
+
+    h = fetch.fetch_hapi(spark, f"{server}/hapi", "D", ["V", "B", "W"], "2024-01-01T00:00:00Z", "2024-01-01T03:00:00Z", hours=1).orderBy("time").collect()
+    assert [(r["V"], r["B"], r["W"]) for r in h] == [x for k in range(3) for x in ((400.0 + k, 1.5, None), (None, 3.5, 7.0))]
+    c = fetch.fetch_cdaweb(spark, "D", ["B", "absent"], "2024-01-01", "2024-01-03", base=f"{server}/cda").orderBy("time").collect()
+    assert [(r["B"], r["absent"]) for r in c] == [(0.0, None), (None, None), (2.0, None), (1.0, None), (None, None), (2.0, None)]
+    assert fetch.resolve_server("cdaweb").startswith("https://")
+    with pytest.raises(ValueError, match="unknown server"):
+        fetch.resolve_server("nowhere")
+    with pytest.raises(RuntimeError, match="check the network"):
+        fetch.get(f"{server}/none")
+    assert fetch.resolve_source(spark, lambda s: s.range(1)).count() == 1 and fetch.resolve_source(spark).isStreaming

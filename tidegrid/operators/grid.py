@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ballistic_lag, null_if_nan
 from ..schema import KNOWN_FUTURE, MERGED_COLUMNS, Grid
+from .halo import CHUNK_STEPS, previous_time
 
 AGGREGATES = {
     "mean": F.avg, "max": F.max, "min": F.min, "sum": F.sum, "count": F.count, "median": F.median,
@@ -36,9 +37,17 @@ def resample(df: DataFrame, grid: Grid, columns: Sequence[str], how: str = "mean
     bins = tidy.groupBy(*grid.keys, bin_start(F.col(grid.time), grid.step).alias("__bin")).agg(*[_aggregate(h, c, grid.time).alias(c) for c, h in how_of.items()]).withColumnRenamed("__bin", grid.time)
     if not complete:
         return bins
-    span = bins.groupBy(*grid.keys).agg(F.min(grid.time).alias("a"), F.max(grid.time).alias("b")).where(F.col("a").isNotNull())
-    full = span.select(*grid.keys, F.explode(F.sequence("a", "b", F.make_dt_interval(secs=F.lit(grid.step)))).alias(grid.time))
-    return full.join(bins, [*grid.keys, grid.time], "left")
+    return time_axis(df, grid).join(bins, [*grid.keys, grid.time], "left")
+
+
+def time_axis(df: DataFrame, grid: Grid, chunk_steps: int = CHUNK_STEPS) -> DataFrame:
+    """Every bin from the first to the last of each series, made chunk by chunk, so that no row holds a whole axis."""
+    t = F.floor(F.unix_micros(grid.time) / (grid.step * 1_000_000)).cast("bigint")
+    span = df.groupBy(*grid.keys).agg(F.min(t).alias("__a"), F.max(t).alias("__b")).where("__a IS NOT NULL")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = span.withColumn("__c", F.explode(F.sequence(F.floor(F.col("__a") / chunk_steps), F.floor(F.col("__b") / chunk_steps)))).repartition(n, *grid.keys, "__c")
+    bins = F.sequence(F.greatest("__a", F.col("__c") * chunk_steps), F.least("__b", (F.col("__c") + 1) * chunk_steps - 1))
+    return chunks.select(*grid.keys, F.explode(bins).alias("__t")).select(*grid.keys, F.timestamp_seconds(F.col("__t") * grid.step).alias(grid.time))
 
 
 def row_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -60,11 +69,15 @@ def keep_last(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]) -
     return best.select(*by, "__r.*").select(*df.columns)
 
 
+def time_steps(df: DataFrame, grid: Grid) -> DataFrame:
+    """One row: missing times, repeated ones, steps other than the grid's, and rows."""
+    d = previous_time(df.select(*grid.keys, F.col(grid.time)), grid, "__p").select(F.col(grid.time), (F.unix_seconds(grid.time) - F.unix_seconds("__p")).alias("d"))
+    return d.agg(F.count_if(F.col(grid.time).isNull()).alias("nulls"), F.count_if(F.col("d") == 0).alias("repeats"), F.count_if((F.col("d") != grid.step) & (F.col("d") != 0)).alias("odd"), F.count("*").alias("n"))
+
+
 def check_time(df: DataFrame, grid: Grid) -> list[str]:
     """What is wrong with the time column: missing, repeated, or not in steps of the grid."""
-    w = Window.partitionBy(*(grid.keys or [F.lit(0)])).orderBy(grid.time)
-    d = df.select(F.col(grid.time), (F.unix_seconds(grid.time) - F.unix_seconds(F.lag(grid.time).over(w))).alias("d"))
-    r = d.agg(F.count_if(F.col(grid.time).isNull()).alias("nulls"), F.count_if(F.col("d") == 0).alias("repeats"), F.count_if((F.col("d") != grid.step) & (F.col("d") != 0)).alias("odd"), F.count("*").alias("n")).first()
+    r = time_steps(df, grid).first()
     out = [f"{r['nulls']} missing times"] * (r["nulls"] > 0) + [f"{r['repeats']} repeated times"] * (r["repeats"] > 0)
     return out + [f"{r['odd']} steps other than {grid.step} s"] * (r["odd"] > 0 and r["n"] > 2)
 

@@ -52,20 +52,43 @@ def carried(df: DataFrame, grid: Grid, values: dict[str, Column], chunk_steps: i
     return out.withColumns({name: F.coalesce(F.col(name), F.col(f"__c{i}")) for i, name in enumerate(values)}).drop("__chunk", *[f"__{k}{i}" for k in "vc" for i in range(len(values))])
 
 
-def positioned(df: DataFrame, grid: Grid, name: str = "pos", total: str | None = "n_rows", chunk_steps: int = CHUNK_STEPS) -> DataFrame:
-    """0-based position by time within each series, and the number of rows of the series."""
+def positioned(df: DataFrame, grid: Grid, name: str = "pos", total: str | None = "n_rows", chunk_steps: int = CHUNK_STEPS, order: Sequence[str] = ()) -> DataFrame:
+    """0-based position by time (then `order`) within each series, and the number of rows of the series."""
     df = df.withColumn("__chunk", chunk_of(grid, chunk_steps))
     counts = df.groupBy(*grid.keys, "__chunk").agg(F.count("*").alias("__n"))
     by = Window.partitionBy(*(grid.keys or [F.lit(0)]))
     counts = counts.select(
         *grid.keys, "__chunk", F.coalesce(F.sum("__n").over(by.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"), F.sum("__n").over(by).alias("__total")
     )
-    out = df.withColumn("__r", F.row_number().over(spec(grid, "__chunk"))).join(counts, [*grid.keys, "__chunk"])
+    out = df.withColumn("__r", F.row_number().over(Window.partitionBy(*grid.keys, "__chunk").orderBy(grid.time, *order))).join(counts, [*grid.keys, "__chunk"])
     out = out.withColumn(name, F.col("__base") + F.col("__r") - 1)
     if total:
         out = out.withColumn(total, F.col("__total"))
     return out.drop("__chunk", "__base", "__total", "__r")
 
 
+def rows_windowed(df: DataFrame, grid: Grid, before: int, add: Callable[[DataFrame, WindowSpec], DataFrame], order: Sequence[str] = (), chunk_rows: int = CHUNK_STEPS) -> DataFrame:
+    """add(df, window) over frames that reach at most `before` rows back, for series without a uniform step.
+
+    Rows are cut into chunks by their position in the series; `order` tells rows of equal time apart.
+    """
+    size = max(chunk_rows, before)
+    d = positioned(df, grid, "__at", None, order=order)
+    chunk = F.floor(F.col("__at") / size).cast("bigint")
+    d = d.withColumn("__home", chunk).withColumn("__chunk", F.explode(F.when(F.pmod("__at", F.lit(size)) >= size - before, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))))
+    w = Window.partitionBy(*grid.keys, "__chunk").orderBy("__at")
+    return add(d, w).where(F.col("__home") == F.col("__chunk")).drop("__home", "__chunk", "__at")
+
+
+def previous_time(df: DataFrame, grid: Grid, name: str, chunk_steps: int = CHUNK_STEPS) -> DataFrame:
+    """The time of the row before, however far back: within a chunk by a window, for its first row from the ends of chunks."""
+    df = df.withColumn("__chunk", chunk_of(grid, chunk_steps))
+    ends = df.groupBy(*grid.keys, "__chunk").agg(F.max(grid.time).alias("__last"))
+    by = Window.partitionBy(*(grid.keys or [F.lit(0)])).orderBy("__chunk")
+    ends = ends.select(*grid.keys, "__chunk", F.lag("__last").over(by).alias("__before"))
+    out = df.withColumn(name, F.lag(grid.time).over(spec(grid, "__chunk"))).join(ends, [*grid.keys, "__chunk"], "left")
+    return out.withColumn(name, F.coalesce(name, "__before")).drop("__chunk", "__before")
+
+
 def names(columns: Sequence[str] | str) -> list[str]:
     return [columns] if isinstance(columns, str) else list(columns)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import finite
 from ..schema import QUANTILES
+from .quantiles import value_range
 
 
 def _on(*cols: Column):
@@ -125,7 +126,7 @@ def roc_auc(df: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> Da
     """
     d = df.where(finite(F.col(score)) & F.col(truth).isNotNull())
     per = d.groupBy(*by, F.col(score).cast("double").alias("__s")).agg(F.count_if(F.col(truth) == 1).alias("__p"), F.count_if(F.col(truth) != 1).alias("__n"))
-    per = per.withColumn("__c", score_range(F.col("__s")))
+    per = per.withColumn("__c", value_range(F.col("__s")))
     heads = per.groupBy(*by, "__c").agg(F.sum("__n").alias("__cn"))
     over = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
     heads = heads.select(*by, "__c", F.coalesce(F.sum("__cn").over(over), F.lit(0)).alias("__below"))
@@ -135,11 +136,6 @@ def roc_auc(df: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> Da
     return per.groupBy(*by).agg(ratio(won, F.sum("__p").cast("double") * F.sum("__n")).alias("roc_auc"), F.sum("__p").alias("n_pos"), F.sum("__n").alias("n_neg"))
 
 
-def score_range(s: Column) -> Column:
-    """A whole number that never falls as s grows, 256 to each doubling of 1 + |s|."""
-    return F.floor(F.signum(s) * F.log2(F.abs(s) + 1) * 256).cast("bigint")
-
-
 def reliability(df: DataFrame, prob: str, truth: str, n_bins: int = 10) -> DataFrame:
     """Every bin with its centre, observed frequency (NULL if empty) and count; edges are multiples of the rounded 1/n_bins, so 0.3 lies in the third of ten bins."""
     edges = [*[i * (1 / n_bins) for i in range(n_bins)], 1.0]
@@ -150,9 +146,12 @@ def reliability(df: DataFrame, prob: str, truth: str, n_bins: int = 10) -> DataF
     return all_bins.join(bins, "bin", "left").select("bin", "centre", "observed", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def by_horizon(df: DataFrame, key: Sequence[str], horizons: Mapping[str, int], columns: Mapping[str, str]) -> DataFrame:
-    """One row per horizon: columns maps a name to a pattern with {h}, as y -> y_{h}."""
-    rows = [F.struct(F.lit(h).alias("horizon"), *[F.col(pat.format(h=h)).cast("double").alias(n) for n, pat in columns.items()]) for h in horizons]
+def by_horizon(df: DataFrame, key: Sequence[str], horizons: Mapping[str, int], columns: Mapping[str, str], models: Sequence[str] = ()) -> DataFrame:
+    """One row per horizon: columns maps a name to a pattern with {h}, as y -> y_{h}; with models one per model, {m} in patterns, too."""
+    rows = [
+        F.struct(*([F.lit(m).alias("model")] if models else []), F.lit(h).alias("horizon"), *[F.col(pat.format(h=h, m=m)).cast("double").alias(n) for n, pat in columns.items()])
+        for m in (models or [""]) for h in horizons
+    ]
     return df.select(*key, F.explode(F.array(*rows)).alias("r")).select(*key, "r.*")
 
 

@@ -11,11 +11,13 @@ from typing import ClassVar
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import gaussian_quantiles, logistic_exceedance, lut_bin, survival
+from ..operators.quantiles import exact_quantiles
 from ..schema import ALERT_LOG10, HORIZON_STEPS, QUANTILES
+from ..sources.sinks import load_state, save_state
 
 
 class Forecaster:
@@ -51,6 +53,10 @@ class Persistence(Forecaster):
         return df.withColumns({k: c for h in self.horizons for k, c in self._columns(h, [x, x, x], x, (x >= self.threshold).cast("double")).items()})
 
 
+#: Bin number that stands for all rows of a horizon while quantiles are computed.
+ALL = -1
+
+
 class Climatology(Forecaster):
     """Mean, quantiles and exceedance frequency per bin of the target time; unseen bins take those of all rows.
 
@@ -61,9 +67,10 @@ class Climatology(Forecaster):
 
     def fit(self, df: DataFrame) -> Climatology:
         long = df.select(F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"bin_{h}").cast("int").alias("bin"), F.col(f"y_{h}").alias("y")) for h in self.horizons])).alias("r")).select("r.*").where("y IS NOT NULL")
-        stats = [F.avg("y").alias("mean"), F.percentile("y", F.array(*[F.lit(t) for t in QUANTILES])).alias("q"), F.avg((F.col("y") >= self.threshold).cast("double")).alias("freq"), F.count("*").alias("n")]
-        both = long.groupBy("horizon", "bin").agg(*stats).unionByName(long.groupBy("horizon").agg(*stats).withColumn("bin", F.lit(None).cast("int")))
-        table = both.select("horizon", "bin", "mean", *[F.col("q")[i].alias(n) for i, n in enumerate(("q10", "q50", "q90"))], "freq", "n")
+        long = long.withColumn("bin", F.explode(F.array_compact(F.array("bin", F.lit(ALL)))))
+        stats = long.groupBy("horizon", "bin").agg(F.avg("y").alias("mean"), F.avg((F.col("y") >= self.threshold).cast("double")).alias("freq"), F.count("*").alias("n"))
+        q = exact_quantiles(long, ["horizon", "bin"], "y", QUANTILES)
+        table = stats.join(q, ["horizon", "bin"]).select("horizon", F.when(F.col("bin") != ALL, F.col("bin")).alias("bin"), "mean", *[F.col("q")[i].alias(n) for i, n in enumerate(("q10", "q50", "q90"))], "freq", "n")
         self.table = df.sparkSession.createDataFrame(table.collect(), table.schema)  # at most a row per horizon and bin, so it is not computed again
         self.fitted = True
         return self
@@ -176,6 +183,42 @@ REGISTRY: dict[str, type[Forecaster]] = {c.name: c for c in (Persistence, Climat
 REGISTRY |= {n: _absent(n, lib) for n, lib in (("tft", "torch"), ("nhits", "torch"), ("foundation", "a pretrained model"), ("onnx", "an exported graph"))}
 
 
+def save_model(m: Forecaster, spark: SparkSession, path: str) -> None:
+    """A fitted forecaster as a table of one JSON row, tree ensembles beside it in their own format."""
+    m._require()
+    state = {"name": m.name, "horizons": m.horizons, "threshold": m.threshold, "params": m.params}
+    if isinstance(m, Climatology):
+        state["table"] = [list(r) for r in m.table.collect()]  # at most a row per horizon and bin
+    elif isinstance(m, LinearFilter):
+        state |= {"models": {h: [list(map(float, w)), float(b)] for h, (w, b) in m.models.items()}, "sigma": m.sigma}
+    elif isinstance(m, BoostedTrees):
+        state["leaves"] = {h: sorted(map(list, table.items())) for h, (_, table, _) in m.models.items()}
+        state["classified"] = [h for h, (_, _, c) in m.models.items() if c is not None]
+        for h, (reg, _, cls) in m.models.items():
+            reg.write().overwrite().save(f"{path}/trees/{h}/value")
+            if cls is not None:
+                cls.write().overwrite().save(f"{path}/trees/{h}/exceeds")
+    save_state(spark, state, f"{path}/state")
+
+
+def load_model(spark: SparkSession, path: str) -> Forecaster:
+    from pyspark.ml.classification import GBTClassificationModel
+    from pyspark.ml.regression import GBTRegressionModel
+
+    state = load_state(spark, f"{path}/state")
+    m = build_model(state["name"], horizons=state["horizons"], threshold=state["threshold"], **state["params"])
+    if isinstance(m, Climatology):
+        m.table = spark.createDataFrame([tuple(r) for r in state["table"]], "horizon string, bin int, mean double, q10 double, q50 double, q90 double, freq double, n long")
+    elif isinstance(m, LinearFilter):
+        m.inputs, m.models, m.sigma = list(m.params["inputs"]), {h: (w, b) for h, (w, b) in state["models"].items()}, state["sigma"]
+    elif isinstance(m, BoostedTrees):
+        m.inputs = list(m.params["inputs"])
+        tree = lambda h, kind, cls: cls.load(f"{path}/trees/{h}/{kind}")
+        m.models = {h: (tree(h, "value", GBTRegressionModel), {k: v for k, v in state["leaves"][h]}, tree(h, "exceeds", GBTClassificationModel) if h in state["classified"] else None) for h in m.horizons}
+    m.fitted = True
+    return m
+
+
 def register_model(name: str, cls: type[Forecaster]) -> None:
     REGISTRY[name] = cls
 
@@ -200,12 +243,14 @@ def fit_scaler(df: DataFrame, columns: Sequence[str], kind: str = "standard") ->
     if kind not in ("standard", "robust"):
         raise ValueError(f"unknown scaler {kind!r}")
     if kind == "standard":
-        aggs = [a for c in columns for a in (F.avg(c).alias(f"c_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]
+        r = df.agg(*[a for c in columns for a in (F.avg(c).alias(f"c_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first()
+        found = {c: (r[f"c_{c}"], r[f"s_{c}"]) for c in columns}
     else:
-        aggs = [a for c in columns for a in (F.percentile(c, F.lit(0.5)).alias(f"c_{c}"), (F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))).alias(f"s_{c}"))]
-    r = df.agg(*aggs).first()
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).cast("double").alias("v")) for c in columns])).alias("r")).select("r.*")
+        found = {r["channel"]: (r["q"][1], r["q"][2] - r["q"][0]) for r in exact_quantiles(long, ["channel"], "v", (0.25, 0.5, 0.75)).collect()}  # a row per column
     ok = lambda x: x is not None and x == x and abs(x) != float("inf")
-    return {"kind": kind, "columns": list(columns), "center": [r[f"c_{c}"] if ok(r[f"c_{c}"]) else 0.0 for c in columns], "scale": [r[f"s_{c}"] if ok(r[f"s_{c}"]) and r[f"s_{c}"] > 0 else 1.0 for c in columns]}
+    each = [found.get(c, (None, None)) for c in columns]
+    return {"kind": kind, "columns": list(columns), "center": [m if ok(m) else 0.0 for m, _ in each], "scale": [x if ok(x) and x > 0 else 1.0 for _, x in each]}
 
 
 def apply_scaler(df: DataFrame, state: Mapping, inverse: bool = False) -> DataFrame:

@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 from ..functions import alert_level, climatology_bin, cyclic, exceeds, hour_of_day, log10_floor, mask_invalid, quantised_kp
 from ..operators import clean as C
 from ..operators import grid as G
+from ..operators import halo
 from ..operators import metrics as M
 from ..operators import windows as W
+from ..schema import DECODER_STEPS
+from ..sources import cdf, feeds
+from ..sources.folders import scratch
 from . import models, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,8 +134,8 @@ SELECT count(*) AS n_rows, count_if(vsw IS NULL) AS vsw_null, count_if(abs(bz_gs
 )
 def validate_grid(spark, d):
     g = views.grid_n(spark, d)
-    w = g.select("*", (F.unix_seconds("time") - F.lag(F.unix_seconds("time")).over(Window.orderBy("time"))).alias("step"))
-    return w.agg(F.count("*").alias("n_rows"), F.count_if(F.col("vsw").isNull()).alias("vsw_null"), F.count_if(F.abs("bz_gsm") == float("inf")).alias("bz_inf"), F.count_if(F.col("flux_e2") > 200).alias("flux_high"), F.count_if(F.col("step") != 3600).cast("int").alias("bad_steps"))
+    ranges = g.agg(F.count_if(F.col("vsw").isNull()).alias("vsw_null"), F.count_if(F.abs("bz_gsm") == float("inf")).alias("bz_inf"), F.count_if(F.col("flux_e2") > 200).alias("flux_high"))
+    return G.time_steps(g, views.HOUR).join(ranges).select(F.col("n").alias("n_rows"), "vsw_null", "bz_inf", "flux_high", F.col("odd").cast("int").alias("bad_steps"))  # one row each
 
 
 @query("SELECT o_orderkey, CASE WHEN o_totalprice >= 1000 AND o_totalprice <= 200000 AND NOT abs(o_totalprice - 150000) <= 1e-8 + 1e-5 * 150000 THEN o_totalprice END AS price FROM orders", "o_orderkey")
@@ -152,7 +156,7 @@ def harmonise_columns(spark, d):
 
 
 @query(
-    """WITH m AS (SELECT event_type AS file, count(*) AS n_records, min(epoch_us(ts) // 1000000) AS first_t, max(epoch_us(ts) // 1000000) AS last_t, avg((value > 100)::INT) AS fill_fraction FROM events WHERE event_id % 2 = 0 GROUP BY 1),
+    """WITH m AS (SELECT event_type AS file, count(*) AS n_records, min(epoch_us(ts) // 1000000) AS first_t, max(epoch_us(ts) // 1000000) AS last_t, avg((value > 100)::INT) AS fill_fraction FROM events GROUP BY 1),
 u AS (SELECT event_type AS file, count(*) AS n_records, min(epoch_us(ts) // 1000000) AS first_t, max(epoch_us(ts) // 1000000) AS last_t, avg((value > 100)::INT) AS fill_fraction FROM events WHERE event_type IN ('click', 'view') GROUP BY 1)
 --
 SELECT * FROM u UNION ALL SELECT * FROM m WHERE file NOT IN (SELECT file FROM u)""",
@@ -209,6 +213,90 @@ def forward_fill(spark, d):
     return C.forward_fill(views.grid1(spark, d), views.FIVE, "flux")
 
 
+# ------------------------------------------------------------------ one series per event type, with gaps
+GK = """WITH b AS (SELECT event_type AS k, (epoch_us(ts) // 300000000) * 300 AS t, avg(value) AS flux FROM events GROUP BY 1, 2),
+g AS (SELECT s.k, s.t, b.flux FROM (SELECT k, unnest(range(min(t), max(t) + 300, 300)) AS t FROM b GROUP BY k) s LEFT JOIN b USING (k, t)),
+i AS (SELECT k, t, flux, sum((flux IS NOT NULL)::INT) OVER (PARTITION BY k ORDER BY t) AS grp FROM g),
+r AS (SELECT k, t, flux, sum((flux IS NULL)::INT) OVER (PARTITION BY k, grp) AS run,
+  max(t) FILTER (WHERE flux IS NOT NULL) OVER (PARTITION BY k ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pt,
+  min(t) FILTER (WHERE flux IS NOT NULL) OVER (PARTITION BY k ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nt FROM i),
+q AS (SELECT r.k, r.t, r.flux, CASE WHEN r.flux IS NULL THEN run ELSE 0 END AS len, pt, nt, p.flux AS pv, n.flux AS nv
+  FROM r LEFT JOIN g p ON p.k = r.k AND p.t = pt LEFT JOIN g n ON n.k = r.k AND n.t = nt),
+s AS (SELECT k, t, CASE WHEN flux IS NULL AND len <= 6 AND pt IS NOT NULL AND nt IS NOT NULL THEN pv + (nv - pv) * (t - pt) / (nt - pt) ELSE flux END AS flux,
+  (flux IS NULL AND len <= 6 AND pt IS NOT NULL AND nt IS NOT NULL)::TINYINT AS flux_imputed FROM q),
+f AS (SELECT k, t, last_value(flux IGNORE NULLS) OVER (PARTITION BY k ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS flux FROM s),
+w AS (SELECT k, t, flux AS last, lead(flux, 8) OVER o AS y_nowcast, lead(flux, 72) OVER o AS y_6h, lead(flux, 144) OVER o AS y_12h,
+  count(*) OVER (PARTITION BY k ORDER BY t ROWS BETWEEN 71 PRECEDING AND CURRENT ROW) AS nb, count(*) OVER (PARTITION BY k ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 144 FOLLOWING) AS na FROM f WINDOW o AS (PARTITION BY k ORDER BY t)),
+a AS (SELECT k, t, last, y_nowcast, y_6h, y_12h FROM w WHERE nb = 72 AND na = 144)"""
+
+
+@query(f"{GK}\n--\nSELECT k AS event_type, t, flux FROM g", "event_type t")
+def keyed_grid(spark, d):
+    return views.grid_k(spark, d)
+
+
+@query(f"{GK}\n--\nSELECT k AS event_type, t, flux, len::BIGINT AS gap_len FROM q", "event_type t gap_len")
+def keyed_gap_lengths(spark, d):
+    return C.gap_lengths(views.grid_k(spark, d), views.KEYED, "flux")
+
+
+@query(f"{GK}\n--\nSELECT k AS event_type, t, flux, flux_imputed FROM s", "event_type t flux_imputed")
+def keyed_interpolate(spark, d):
+    return C.interpolate_short(views.grid_k(spark, d), views.KEYED, "flux", 6)
+
+
+def _filled_k(spark, d):
+    return C.forward_fill(C.interpolate_short(views.grid_k(spark, d), views.KEYED, "flux", 6).drop("flux_imputed"), views.KEYED, "flux")
+
+
+@query(f"{GK}\n--\nSELECT k AS event_type, t, flux FROM f", "event_type t")
+def keyed_forward_fill(spark, d):
+    return _filled_k(spark, d)
+
+
+@query(
+    f"""{GK}
+--
+SELECT k AS event_type, t, flux, lag(flux, 12) OVER (PARTITION BY k ORDER BY t) AS flux_lag12, avg(flux) OVER x AS flux_roll72_mean, stddev_samp(flux) OVER x AS flux_roll72_std FROM g
+WINDOW x AS (PARTITION BY k ORDER BY t ROWS BETWEEN 71 PRECEDING AND CURRENT ROW)""",
+    "event_type t",
+)
+def keyed_features(spark, d):
+    g = views.grid_k(spark, d)
+    return W.feature_matrix(g, views.KEYED, {"flux": (12,)}, {"flux": ((72, "mean"), (72, "std"))}).drop("tod_sin", "tod_cos", "doy_sin", "doy_cos")
+
+
+@query(f"{GK}\n--\nSELECT k AS event_type, t, last, y_nowcast, y_6h, y_12h FROM a WHERE last IS NOT NULL AND t >= (SELECT min(t) FROM f z WHERE z.k = a.k AND z.flux IS NOT NULL) + 71 * 300", "event_type t")
+def keyed_anchors(spark, d):
+    """Anchors of each series whose window has no missing value."""
+    a = W.anchors(_filled_k(spark, d).withColumn("last", F.col("flux")), views.KEYED, ["flux"], "flux", L, horizons=H, threshold=THR, future=(), keep=("last",))
+    return a.drop(*[f"y_exceed_{h}" for h in H])
+
+
+@query(
+    f"""{GK},
+z AS (SELECT k, t, row_number() OVER (PARTITION BY k ORDER BY t) - 1 AS pos, count(*) OVER (PARTITION BY k) AS n FROM a)
+--
+SELECT k AS event_type, t, CASE WHEN pos < floor(n * 0.7) - 144 THEN 'train' WHEN pos >= floor(n * 0.7) + 144 AND pos < floor(n * 0.85) - 144 THEN 'val' WHEN pos >= floor(n * 0.85) + 144 THEN 'test' END AS split FROM z""",
+    "event_type t split",
+)
+def keyed_split(spark, d):
+    a = W.anchors(_filled_k(spark, d), views.KEYED, ["flux"], "flux", L, horizons=H, threshold=THR, future=())
+    return W.chronological_split(a.select("event_type", "time"), views.KEYED, 0.7, 0.15, 144)
+
+
+@query(
+    f"""{GK},
+m AS (SELECT k, t, flux, median(flux) OVER (PARTITION BY k ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS med FROM f),
+dv AS (SELECT k, t, flux, med, abs(flux - med) AS dev FROM m)
+--
+SELECT k AS event_type, t, flux > 0 AND coalesce(dev > 3 * 1.4826 * median(dev) OVER (PARTITION BY k ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), false) AS flux_outlier FROM dv""",
+    "event_type t flux_outlier",
+)
+def keyed_hampel(spark, d):
+    return C.hampel(_filled_k(spark, d), views.KEYED, "flux").select("event_type", "time", "flux_outlier")
+
+
 # ------------------------------------------------------------------ features
 @query(f"{G1}\n--\nSELECT t, flux, lag(flux, 1) OVER (ORDER BY t) AS flux_lag1, lag(flux, 12) OVER (ORDER BY t) AS flux_lag12, lag(flux, 288) OVER (ORDER BY t) AS flux_lag288 FROM g", "t")
 def lags(spark, d):
@@ -338,6 +426,36 @@ def fill_absent(spark, d):
     return G.fill_absent(n, {"kp": 2.0, "f107": 100.0}, {"copy": "flux_e2"}).drop("flux_e2")
 
 
+# ------------------------------------------------------------------ sources, over payloads and files made from the tables
+@query(GN + "\n--\nSELECT t, flux_e2, vsw, density FROM n", "t")
+def cdf_round_trip(spark, d):
+    """Hourly channels written to CDF files, one for each month, and read back."""
+    names = ["flux_e2", "vsw", "density"]
+    files = cdf.write_cdf_files(views.grid_n(spark, d).select("time", *names), scratch(spark), names)
+    return cdf.wide(cdf.read_cdf(spark, [r["path"] for r in files.select("path").collect()], names), names)  # one path a month
+
+
+@query(GN + "\n--\nSELECT t, vsw, density, bz_gsm FROM n", "t")
+def feed_lists(spark, d):
+    """Wind speed, density and field as JSON lists with a header, a payload a day, parsed and joined as feeds are."""
+    def payloads(cols: dict) -> DataFrame:
+        g = views.grid_n(spark, d).select(F.date_trunc("day", "time").alias("day"), F.array(F.date_format("time", "yyyy-MM-dd HH:mm:ss"), *[F.col(c).cast("string") for c in cols]).alias("r"))
+        head = ["time_tag", *cols.values()]
+        bodies = g.groupBy("day").agg(F.to_json(F.concat(F.array(F.array(*[F.lit(h) for h in head])), F.collect_list("r"))).alias("body"))
+        return feeds.finalise(feeds.lists_of(bodies, head))
+
+    return feeds.solar_wind(payloads({"vsw": "speed", "density": "density"}), payloads({"bz_gsm": "bz"})).select("time", "vsw", "density", "bz_gsm")
+
+
+@query("SELECT epoch_us(ts) // 1000000 AS t, value AS flux_e2 FROM events WHERE event_type = 'purchase'", "t")
+def feed_records(spark, d):
+    """Flux records of two energy channels as JSON objects, a payload a day, of which one channel counts."""
+    e = views.events(spark, d)
+    r = F.struct(F.concat(F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")).alias("time_tag"), F.when(F.col("event_type") == "purchase", ">=2 MeV").otherwise(">=0.8 MeV").alias("energy"), F.col("value").alias("flux"))
+    bodies = e.groupBy(F.date_trunc("day", "time").alias("day")).agg(F.to_json(F.collect_list(r)).alias("body"))
+    return feeds.electrons(feeds.finalise(feeds.records_of(bodies, ["time_tag", "energy", "flux"])))
+
+
 # ------------------------------------------------------------------ windows and splits
 @query(f"{G1A}\n--\nSELECT * FROM a", "t y_exceed_nowcast y_exceed_6h y_exceed_12h")
 def supervised_targets(spark, d):
@@ -397,13 +515,12 @@ def refm_design(spark, d):
 
 @query(
     f"""{G1A},
-q AS (SELECT * FROM a ORDER BY t LIMIT 50), st AS (SELECT unnest(range(1, 145)) AS step)
+st AS (SELECT unnest(range(1, 145)) AS step)
 --
-SELECT t, step, CASE WHEN step <= 8 THEN last + (y_nowcast - last) * step / 8.0 WHEN step <= 72 THEN y_nowcast + (y_6h - y_nowcast) * (step - 8) / 64.0 ELSE y_6h + (y_12h - y_6h) * (step - 72) / 72.0 END AS value FROM q, st""",
+SELECT t, step, CASE WHEN step <= 8 THEN last + (y_nowcast - last) * step / 8.0 WHEN step <= 72 THEN y_nowcast + (y_6h - y_nowcast) * (step - 8) / 64.0 ELSE y_6h + (y_12h - y_6h) * (step - 72) / 72.0 END AS value FROM a, st""",
     "t step",
 )
 def decoder_path(spark, d):
-    """Every anchor; the SQL above has the first 50 only."""
     return W.decoder_path(views.anchor_frame(spark, d), "last", H).select("time", F.col("step").cast("bigint").alias("step"), "value")
 
 
@@ -419,14 +536,14 @@ def causal_convolution(spark, d):
 
 @query(
     f"""{G1},
-x AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS pos, coalesce(flux, 0) AS flux FROM g), an AS (SELECT t AS anchor, pos FROM x WHERE pos BETWEEN 71 AND 90)
+x AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS pos, coalesce(flux, 0) AS flux, count(*) OVER () AS n FROM g),
+an AS (SELECT t AS anchor, pos, k FROM x, range(0, {L + DECODER_STEPS}) r(k) WHERE pos >= {L - 1} AND pos + {DECODER_STEPS} < n)
 --
-SELECT an.anchor, x.pos - an.pos + 3 AS time_idx, CASE WHEN x.pos <= an.pos THEN x.flux ELSE (SELECT flux FROM x z WHERE z.pos = an.pos) END::FLOAT::DOUBLE AS value
-FROM an JOIN x ON x.pos BETWEEN an.pos - 3 AND an.pos + 6""",
+SELECT an.anchor, an.k AS time_idx, x.flux::FLOAT::DOUBLE AS value FROM an JOIN x ON x.pos = an.pos - {L - 1} + least(an.k, {L - 1})""",
     "anchor time_idx",
 )
 def unroll_windows(spark, d):
-    """Every anchor with the lookback and decoder of the other window queries; the SQL above has 20 anchors with windows of 4 and 6."""
+    """Every anchor with the lookback and decoder of the other window queries."""
     g = views.grid1(spark, d).withColumn("flux", F.coalesce("flux", F.lit(0.0))).withColumn("k", F.lit(1.0))
     a = W.anchors(g, views.FIVE, ["flux"], "flux", L, horizons=H, threshold=THR, future=("k",), arrays=True)
     return W.unroll(a, ["time"]).select(F.unix_seconds("time").alias("anchor"), F.col("time_idx").cast("bigint").alias("time_idx"), F.col("inputs")[0].alias("value"))
@@ -606,6 +723,17 @@ def pinball_crps_picp(spark, d):
 EVAL_ROWS = "(SELECT 'climatology' AS model, * FROM pc UNION ALL SELECT 'persistence', * FROM pp)"
 
 
+def _both(spark, d):
+    """Rows of both models from one frame of test anchors, so that the anchors are computed once to fit and once to predict."""
+    a = W.chronological_split(_with_bins(views.anchor_frame(spark, d)), views.FIVE, 0.7, 0.15, 144)
+    p = W.select_split(a, "test")
+    for m in (models.Persistence(H, THR), models.Climatology(H, THR).fit(W.select_split(a, "train"))):
+        p = m.predict(p)
+        p = p.withColumnsRenamed({f"{h}_{c}": f"{m.name}_{h}_{c}" for h in H for c in ("pred", "p", "q10", "q50", "q90")})
+    cols = {"y": "y_{h}", "ref": "last"} | {c: f"{{m}}_{{h}}_{c}" for c in ("pred", "p", "q10", "q50", "q90")}
+    return M.by_horizon(p, ["time"], H, cols, ("persistence", "climatology"))
+
+
 @query(
     TEST + f"""
 --
@@ -614,7 +742,7 @@ SELECT model, horizon, sqrt(avg((y - pred) ** 2)) AS rmse, 1 - avg((y - pred) **
     "model horizon",
 )
 def compare_models(spark, d):
-    t = M.evaluate(_scored(spark, d).unionByName(_scored(spark, d, "climatology")), THR)
+    t = M.evaluate(_both(spark, d), THR)
     return t.select("model", "horizon", "rmse", "pe", "skill", "hits", "brier", "picp", "picp_nominal")
 
 
@@ -626,7 +754,7 @@ SELECT arg_max(model, mean) AS model, max(mean) AS mean FROM m""",
     "model",
 )
 def best_model(spark, d):
-    return M.best_model(M.evaluate(_scored(spark, d).unionByName(_scored(spark, d, "climatology")), THR))
+    return M.best_model(M.evaluate(_both(spark, d), THR))
 
 
 @query(f"SELECT event_type, coalesce(avg((value >= {THR})::INT), 0) AS fraction FROM events GROUP BY 1", "event_type")
@@ -677,8 +805,8 @@ def daily_fluence(spark, d):
 @query()
 def refm_fit(spark, d):
     x = W.filter_design(views.grid_n(spark, d), views.HOUR, 24, 12, flux="flux_e2", chunk_steps=4096).withColumn("last", F.col("flux_last"))
-    w = Window.orderBy("time")
-    x = x.withColumns({f"y_{h}": F.lead("flux_e2", k).over(w) for h, k in (("nowcast", 1), ("6h", 6), ("12h", 12))})
+    ahead = {"nowcast": 1, "6h": 6, "12h": 12}
+    x = halo.windowed(x, views.HOUR, 0, 12, lambda d, w: d.withColumns({f"y_{h}": F.lead("flux_e2", k).over(w) for h, k in ahead.items()}))
     m = models.LinearFilter({"nowcast": 1, "6h": 6, "12h": 12}, THR, inputs=["v_last", "v_mean", "v_recent", "v_recent_max", "v_change", "flux_last"]).fit(x)
     p = m.predict(x)
     return M.by_horizon(p, ["time"], H, {"y": "y_{h}", "pred": "{h}_pred", "q10": "{h}_q10", "q90": "{h}_q90", "p": "{h}_p"})
@@ -693,7 +821,11 @@ def gbt_quantiles(spark, d):
     return m.predict(x).select("time", *[f"{h}_{c}" for h in H for c in ("q10", "q50", "q90", "p")])
 
 
-@query()
+@query(
+    """SELECT event_type AS sat_id, epoch_us(ts) // 1000000 AS t, value AS x, count(*) OVER w AS n, avg(value) OVER w AS mean, stddev_samp(value) OVER w AS std, max(value) OVER w AS high, min(value) OVER w AS low,
+ lag(value) OVER (PARTITION BY event_type ORDER BY ts, value) AS lag1 FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, value ROWS BETWEEN 71 PRECEDING AND CURRENT ROW)""",
+    "sat_id t n",
+)
 def online_features(spark, d):
     from ..streaming.online import batch_replay
 
@@ -701,8 +833,15 @@ def online_features(spark, d):
     return batch_replay(e, window=72)
 
 
-@query()
+@query(
+    f"""WITH z AS (SELECT event_id, ({THR} - value) / 25.0 AS z FROM events),
+r AS (SELECT i / 400.0 AS u, CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END / 1200.0 AS w FROM range(0, 401) x(i))
+--
+SELECT event_id, 0.5 - sum(w * least(greatest(z, -9), 9) * exp(-power(u * least(greatest(z, -9), 9), 2) / 2)) / sqrt(2 * pi()) AS p FROM z, r GROUP BY event_id""",
+    "event_id",
+)
 def normal_survival(spark, d):
+    """The SQL integrates the density by Simpson's rule."""
     from ..functions import survival
 
     return views.events(spark, d).select("event_id", survival(THR, F.col("value"), F.lit(25.0)).alias("p"))

@@ -29,6 +29,14 @@ def grid1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.resample(events(spark, sf_dir).select("time", F.col("value").alias("flux")), FIVE, ["flux"])
 
 
+KEYED = Grid(keys=("event_type",), step=300)
+
+
+def grid_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_type, time, flux: five-minute means of each type, a series each; most bins are empty."""
+    return G.resample(events(spark, sf_dir).select("event_type", "time", F.col("value").alias("flux")), KEYED, ["flux"])
+
+
 CHANNELS = ("flux_e2", "flux_seed", "vsw", "density", "bz_gsm")
 
 

@@ -20,6 +20,9 @@ CDF_FILL = -1e31
 MERGED_COLUMNS = (
     "flux_e2", "log_flux_e2", "flux_seed", "log_flux_seed", "vsw", "density", "pdyn", "bz_gsm", "bt", "ae", "al", "kp", "sym_h", "f107", "mlt", "longitude",
 )
+CDF_KINDS = {
+    "goes": ("flux_e2", "flux_seed", "longitude", "mlt"), "omni": ("vsw", "density", "pdyn", "bz_gsm", "bt", "ae", "al", "kp", "sym_h", "f107"),
+}
 KNOWN_FUTURE = ("tod_sin", "tod_cos", "doy_sin", "doy_cos", "mlt_sin", "mlt_cos")
 STATIC = ("sat_id", "longitude")
 

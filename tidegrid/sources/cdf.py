@@ -1,8 +1,9 @@
-"""CDF version 3 files in plain Python, as a Spark data source and as functions.
+"""CDF version 3 files: a small decoder, and frames read and written through Spark's and Arrow's file systems.
 
-Single-file, row-major files are read, compressed variable blocks included; numbers and strings of the common types. The
-data source `cdf` gives long rows (time, var, value), one partition a file, and reads only the variables asked for;
-`wide` pivots them in one shuffle, the last value of a time winning.
+Single-file CDFs are read, row- or column-major, compressed as a whole or by blocks of a variable; numbers and strings of
+the common types. Spark's binary file source brings the bytes, from wherever Spark reads, and each file becomes long rows
+(time, var, value) in Arrow batches, of the variables asked for only; `wide` pivots them in one shuffle, the last value
+of a time winning. Frames are written as one file per period.
 """
 
 from __future__ import annotations
@@ -13,14 +14,14 @@ from bisect import bisect_right
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
-from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..schema import CDF_FILL
+from ..schema import CDF_FILL, CDF_KINDS
 
 # Type numbers of the format, and the days from which one more leap second counts (the first with ten).
 TYPES = {1: "i1", 2: "i2", 4: "i4", 8: "i8", 11: "u1", 12: "u2", 14: "u4", 21: "f4", 22: "f8", 31: "f8", 32: "c16", 33: "i8", 41: "i1", 44: "f4", 45: "f8"}
@@ -52,6 +53,20 @@ def unix_ns_of(tt: int) -> int:
     return guess
 
 
+def unix_us_of(tt: np.ndarray) -> np.ndarray:
+    """Microseconds since 1970 of an array of TT2000 values."""
+    leaps, guess = np.array(_LEAPS), tt + _ORIGIN_NS
+    for _ in range(2):
+        seconds = 9 + np.searchsorted(leaps, guess / 1e9, side="right") - 32
+        guess = tt + _ORIGIN_NS - seconds * 1_000_000_000
+    return guess // 1000
+
+
+def _opened(path: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of an address or of a local path."""
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+
+
 @dataclass
 class Variable:
     name: str
@@ -66,12 +81,18 @@ class Variable:
 class File:
     """Directory of one file; values are decoded on demand."""
 
-    def __init__(self, path: str):
-        self.data = Path(path).read_bytes()
-        if self.data[:4] != b"\xcd\xf3\x00\x01":
-            raise ValueError(f"{path} is not a CDF file of version 3")
-        if self.data[4:8] != b"\x00\x00\xff\xff":
-            raise ValueError(f"{path} is compressed as a whole, which is not supported")
+    def __init__(self, data: bytes, name: str = "the file"):
+        if data[:4] != b"\xcd\xf3\x00\x01":
+            raise ValueError(f"{name} is not a CDF file of version 3")
+        if data[4:8] == b"\xcc\xcc\x00\x01":  # one compressed record that holds all others
+            cpr, size = struct.unpack_from(">qq", data, 8 + 12)
+            if struct.unpack_from(">i", data, cpr + 12)[0] != 5:
+                raise ValueError(f"{name} is compressed as a whole in another way than gzip")
+            data = data[:4] + b"\x00\x00\xff\xff" + zlib.decompress(data[8 + 32 : cpr], 47)[:size]
+        self.data = data
+        if not self._at(8 + 32, ">i")[0] & 2:
+            raise ValueError(f"{name} keeps its variables in files of their own")
+        self.row_major = bool(self._at(8 + 32, ">i")[0] & 1)
         gdr = self._at(8 + 12, ">q")[0]
         encoding = self._at(8 + 28, ">i")[0]
         self.order = ">" if encoding in (1, 2, 5, 7, 9, 11, 12) else "<"
@@ -141,7 +162,9 @@ class File:
                 raw = self.data[at + 12 : at + size]
             n = min(last, v.n - 1) - first + 1
             out[first : first + n] = np.frombuffer(raw, dtype=dtype, count=n * per).reshape(n, per)
-        return out.reshape((v.n, *v.dims))
+        if self.row_major:
+            return out.reshape((v.n, *v.dims))
+        return out.reshape((v.n, *v.dims[::-1])).transpose(0, *range(len(v.dims), 0, -1))
 
     def data_variables(self) -> list[str]:
         typed = {n: str(v.attrs["VAR_TYPE"]).lower() for n, v in self.vars.items() if "VAR_TYPE" in v.attrs}
@@ -158,7 +181,7 @@ class File:
             raise ValueError(f"{name} has no time variable")
         t, kind = self.values(dep), self.vars[dep].kind
         if kind == TT2000:
-            return np.array([unix_ns_of(int(x)) // 1000 for x in t], dtype=np.int64)
+            return unix_us_of(t.astype(np.int64))
         if kind == EPOCH:
             return np.round((t - _EPOCH0_MS) * 1000).astype(np.int64)
         if kind == EPOCH16:
@@ -188,64 +211,95 @@ def _number(x) -> float | None:
         return None
 
 
+def open_cdf(path: str) -> File:
+    """One file, at a local path or an address that Arrow reads."""
+    fs, at = _opened(path)
+    with fs.open_input_file(at) as f:
+        return File(f.read(), path)
+
+
 def list_variables(path: str) -> list[str]:
-    return list(File(path).vars)
+    return list(open_cdf(path).vars)
 
 
 def list_data_variables(path: str) -> list[str]:
-    return File(path).data_variables()
+    return open_cdf(path).data_variables()
 
 
 def variable_meta(path: str, name: str) -> dict:
-    v = File(path).vars[name]
+    v = open_cdf(path).vars[name]
     pick = {k.lower(): v.attrs.get(k) for k in ("DEPEND_0", "UNITS", "CATDESC")}
     return pick | {k.lower(): _number(v.attrs.get(k)) for k in ("FILLVAL", "VALIDMIN", "VALIDMAX")} | {"source_var": name}
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, paths: list[str], variables: list[str] | None):
-        self.paths, self.variables = paths, variables
-
-    def partitions(self):
-        return [InputPartition(p) for p in self.paths]
+LONG = "time timestamp, var string, value double, file string, place long"
 
-    def read(self, partition):
-        f = File(partition.value)
-        for name in self.variables if self.variables is not None else f.data_variables():
-            if name in f.vars:
-                for t, x in zip(*f.series(name), strict=True):
-                    yield datetime.fromtimestamp(t / 1e6, UTC), name, None if np.isnan(x) else float(x), partition.value
 
+def long_batches(data: bytes, file: str, variables: Sequence[str] | None) -> Iterator[pa.RecordBatch]:
+    """One Arrow batch per variable that the file has; values that are filled or out of range are null."""
+    f = File(data, file)
+    for name in variables if variables is not None else f.data_variables():
+        if name in f.vars:
+            t, x = f.series(name)
+            n = len(t)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(t, pa.timestamp("us", tz="UTC")), pa.array([name] * n, pa.string()), pa.array(x, pa.float64(), from_pandas=True), pa.array([file] * n, pa.string()), pa.array(np.arange(n), pa.int64())],
+                names=["time", "var", "value", "file", "place"],
+            )
 
-class CdfSource(DataSource):
-    """spark.read.format("cdf").option("variables", "a,b").load("file1,file2")"""
 
-    @classmethod
-    def name(cls):
-        return "cdf"
+def _decode(variables: list[str] | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                yield from long_batches(content.as_py(), path, variables)
 
-    def schema(self):
-        return "time timestamp, var string, value double, file string"
-
-    def reader(self, schema):
-        v = self.options.get("variables")
-        return _Reader([p for p in self.options["path"].split(",") if p], v.split(",") if v else None)
+    return run
 
 
 def read_cdf(spark: SparkSession, paths: Sequence[str], variables: Sequence[str] | None = None) -> DataFrame:
-    """Long rows (time, var, value, file)."""
-    spark.dataSource.register(CdfSource)
-    r = spark.read.format("cdf")
-    return (r.option("variables", ",".join(variables)) if variables is not None else r).load(",".join(paths))
+    """Long rows (time, var, value, file, place in the file)."""
+    files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
+    return files.mapInArrow(_decode(list(variables) if variables is not None else None), LONG)
 
 
 def wide(long: DataFrame, variables: Sequence[str]) -> DataFrame:
-    """time and one column a variable; of several values at a time the one of the last file wins."""
-    aggs = [F.max_by("value", F.when(F.col("var") == v, F.col("file"))).alias(v) for v in variables]
+    """time and one column a variable; of several values at a time the last one of the last file wins."""
+    last = F.struct("file", "place")
+    aggs = [F.max_by("value", F.when(F.col("var") == v, last)).alias(v) for v in variables]
     return long.groupBy("time").agg(*aggs) if aggs else long.select("time").limit(0)
 
 
 def write_cdf(path: str, times_us: Sequence[int], columns: Mapping[str, Sequence[float]], attrs: Mapping[str, Mapping] | None = None) -> None:
+    """One file at a local path or an address that Arrow writes."""
+    fs, at = _opened(path)
+    with fs.open_output_stream(at) as f:
+        f.write(cdf_bytes(times_us, columns, attrs))
+
+
+def write_cdf_files(df: DataFrame, folder: str, columns: Sequence[str] | None = None, kind: str | None = None, keys: Sequence[str] = (), period: str = "yyyyMM", time: str = "time") -> DataFrame:
+    """A file for each series and period, below folder; one row (path, n) a file, from which read_cdf can go on.
+
+    `kind` picks the columns of a ground-truth (`goes`) or driver (`omni`) file. A period is the most that one task holds.
+    """
+    if kind is not None and kind not in CDF_KINDS:
+        raise ValueError(f"unknown kind {kind!r}; known are {sorted(CDF_KINDS)}")
+    names = [c for c in (columns if columns is not None else CDF_KINDS[kind] if kind else df.columns) if c in df.columns and c != time and c not in keys]
+    cols = [F.col(c).cast("double").alias(c) for c in names]
+    part = F.concat_ws("-", *[F.col(k).cast("string") for k in keys], F.date_format(time, period))
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by("t")
+        path = f"{folder.rstrip('/')}/{key[0].as_py()}.cdf"
+        fs, root = _opened(folder)
+        fs.create_dir(root, recursive=True)
+        write_cdf(path, group.column("t").to_numpy(), {c: group.column(c).to_numpy() for c in names})
+        return pa.table({"path": pa.array([path], pa.string()), "n": pa.array([group.num_rows], pa.int64())})
+
+    return df.where(F.col(time).isNotNull()).select(part.alias("part"), F.unix_micros(time).alias("t"), *cols).groupBy("part").applyInArrow(run, "path string, n long")
+
+
+def cdf_bytes(times_us: Sequence[int], columns: Mapping[str, Sequence[float]], attrs: Mapping[str, Mapping] | None = None) -> bytes:
     """One file with a TT2000 `Epoch` and DOUBLE variables; NaN becomes the fill value."""
     names = ["Epoch", *columns]
     data = {"Epoch": np.array([tt2000_of(int(t) * 1000) for t in times_us], dtype="<i8")}
@@ -290,4 +344,4 @@ def write_cdf(path: str, times_us: Sequence[int], columns: Mapping[str, Sequence
             link = entry + 12
     fix(gdr + 36, len(out))
     struct.pack_into(">i", out, gdr + 48, len(keys))
-    Path(path).write_bytes(bytes(out))
+    return bytes(out)

@@ -25,22 +25,28 @@ def get_json(url: str, timeout: float = 20.0):
         return json.loads(r.read())
 
 
+def lists_of(bodies: DataFrame, header: Sequence[str], body: str = "body") -> DataFrame:
+    """Rows of payloads, one a row of `bodies`, that are lists of lists with a header first."""
+    rows = bodies.select(F.posexplode(F.from_json(body, "array<array<string>>")).alias("i", "r")).where("i > 0")
+    return rows.select(*[F.get("r", F.lit(j)).alias(str(c)) for j, c in enumerate(header)])
+
+
+def records_of(bodies: DataFrame, names: Sequence[str], body: str = "body") -> DataFrame:
+    """Rows of payloads that are lists of objects."""
+    rows = bodies.select(F.explode(F.from_json(body, "array<map<string,string>>")).alias("r"))
+    return rows.select(*[F.try_element_at("r", F.lit(c)).alias(c) for c in names])
+
+
 def parse_lists(spark: SparkSession, text: str) -> DataFrame:
     """A list of lists whose first one is the header; fewer than two lists give an empty frame."""
     head = json.loads(text)[:1]
-    if not head:
-        return spark.createDataFrame([], "time string")
-    rows = spark.createDataFrame([(text,)], "body string").select(F.posexplode(F.from_json("body", "array<array<string>>")).alias("i", "r")).where("i > 0")
-    return rows.select(*[F.get("r", F.lit(j)).alias(str(c)) for j, c in enumerate(head[0])])
+    return lists_of(spark.createDataFrame([(text,)], "body string"), head[0]) if head else spark.createDataFrame([], "time string")
 
 
 def parse_records(spark: SparkSession, text: str) -> DataFrame:
     """A list of objects; the columns are the keys in order of appearance."""
     names = list(dict.fromkeys(k for r in json.loads(text) for k in r))
-    if not names:
-        return spark.createDataFrame([], "time string")
-    rows = spark.createDataFrame([(text,)], "body string").select(F.explode(F.from_json("body", "array<map<string,string>>")).alias("r"))
-    return rows.select(*[F.try_element_at("r", F.lit(c)).alias(c) for c in names])
+    return records_of(spark.createDataFrame([(text,)], "body string"), names) if names else spark.createDataFrame([], "time string")
 
 
 def finalise(df: DataFrame) -> DataFrame:

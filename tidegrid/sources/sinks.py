@@ -54,3 +54,9 @@ def plot_forecast(df: DataFrame, horizon: str, points: int = 500) -> DataFrame:
 
 def plot_skill(table: DataFrame, metric: str = "skill") -> DataFrame:
     return table.groupBy("model").pivot("horizon").agg(F.first(metric))
+
+
+def plot_reliability(long: DataFrame, n_bins: int = 10) -> DataFrame:
+    """Points of a reliability diagram, a line per horizon: rows (horizon, bin, centre, observed, n) of the bins that have any, from rows (horizon, p, o)."""
+    b = F.least(F.floor(F.col("p") * n_bins), F.lit(n_bins - 1)).cast("int")
+    return long.where("p IS NOT NULL AND o IS NOT NULL").groupBy("horizon", b.alias("bin")).agg(F.avg(F.col("o").cast("double")).alias("observed"), F.count("*").alias("n")).withColumn("centre", (F.col("bin") + 0.5) / n_bins)

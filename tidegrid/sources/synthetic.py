@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,20 +45,23 @@ def ou_process(df: DataFrame, noise: str, name: str, theta: float, sigma: float,
         return part
 
     own = block.groupBy(*keys, "__b").applyInPandas(run, T.StructType([*block.schema.fields, T.StructField("__own", T.DoubleType()), T.StructField("__k", T.LongType())]))
-    ends = own.groupBy(*keys, "__b").agg(F.max_by("__own", "__k").alias("e"), F.max("__k").alias("n"))
-    # few rows, one for each block: the recursion over blocks
-    seq = ends.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__b", "e", "n"))).alias("s")) if keys else ends.agg(F.array_sort(F.collect_list(F.struct("__b", "e", "n"))).alias("s"))
-    start = F.array(F.struct(F.lit(None).cast("bigint").alias("b"), F.lit(float(x0)).alias("x")))
-    step = lambda acc, r: F.concat(acc, F.array(F.struct(r["__b"].alias("b"), (r["e"] + F.pow(F.lit(decay), r["n"]) * F.element_at(acc, -1)["x"]).alias("x"))))
-    carry = seq.select(*keys, F.posexplode(F.aggregate("s", start, step)).alias("p", "r"), "s")
-    carry = carry.where(F.col("p") < F.size("s")).select(*keys, F.get("s", F.col("p"))["__b"].alias("__b"), F.col("r.x").alias("__x"))
-    out = own.join(F.broadcast(carry), [*keys, "__b"])  # one row a block
+    # the recursion over blocks is the same filter again, with a row a block; blocks far back weigh nothing (decay ** steps), so a window of a few is exact to rounding
+    ends = own.groupBy(*keys, "__b").agg(F.max_by("__own", "__k").alias("__e"), F.max("__k").alias("__n"))
+    by = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__b")
+    far = max(1, math.ceil(45 / (steps * -math.log(max(decay, 1e-9))))) if 0 < decay < 1 else None
+    if far is None or far > 64:
+        raise ValueError("theta must lie between 0.0002 and 1, so that the past fades within 64 blocks")
+    back = [(F.lag("__e", k).over(by), F.sum("__n").over(by.rowsBetween(-k + 1, -1)) if k > 1 else F.lit(0)) for k in range(1, far + 1)]
+    before = F.sum("__n").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    carry = sum((F.coalesce(e * F.pow(F.lit(decay), n), F.lit(0.0)) for e, n in back), F.lit(0.0)) + F.lit(float(x0)) * F.pow(F.lit(decay), F.coalesce(before, F.lit(0)))
+    carry = ends.select(*keys, "__b", carry.alias("__x"))
+    out = own.join(carry, [*keys, "__b"])
     return out.withColumn(name, F.col("__own") + F.pow(F.lit(decay), F.col("__k")) * F.col("__x")).drop("__b", "__own", "__k", "__x")
 
 
 def solar_wind(spark: SparkSession, days: float, seed: int = 0, start: str = "2020-01-01") -> DataFrame:
     """Speed with 27-day streams, density against it, field and activity indices."""
-    d = time_axis(spark, days, start).withColumns({"__a": F.randn(seed), "__b": F.randn(seed + 1), "__c": F.randn(seed + 2)})
+    d = time_axis(spark, days, start).withColumns({"__a": noise("i", 3 * seed), "__b": noise("i", 3 * seed + 1), "__c": noise("i", 3 * seed + 2)})
     for k, (theta, s) in {"__a": (0.005, 3.0), "__b": (0.02, 0.35), "__c": (0.05, 0.5)}.items():
         d = ou_process(d, k, f"{k}x", theta, s)
     phase = F.unix_seconds("time") * (2 * math.pi / (27 * 86400.0))
@@ -73,21 +76,42 @@ def solar_wind(spark: SparkSession, days: float, seed: int = 0, start: str = "20
 def flux(df: DataFrame, longitude: float = 83.0, seed: int = 0) -> DataFrame:
     """Electron flux that follows the speed with a delay and a daily course."""
     d = causal_convolve(df, FIVE, "vsw", decay_kernel(200.0, 288), "__drive").withColumn("mlt", local_time(F.col("time"), F.lit(longitude)))
-    log = F.lit(2.0) + (F.col("__drive") - 400) / 150 + 0.4 * F.cos((F.col("mlt") - 12) * (2 * math.pi / 24)) + 0.05 * F.randn(seed + 5)
+    log = F.lit(2.0) + (F.col("__drive") - 400) / 150 + 0.4 * F.cos((F.col("mlt") - 12) * (2 * math.pi / 24)) + 0.05 * noise(F.unix_seconds("time"), 3 * seed + 5)
     d = d.withColumns({"flux_e2": F.pow(F.lit(10.0), log), "longitude": F.lit(longitude)}).drop("__drive")
     return d.withColumn("log_flux_e2", log10_floor(F.col("flux_e2")))
 
 
 def inject_spikes(df: DataFrame, column: str, rate: float = 0.002, factor: float = 50.0, seed: int = 0) -> DataFrame:
-    return df.withColumn(column, F.when(F.rand(seed) < rate, F.col(column) * factor).otherwise(F.col(column)))
+    return df.withColumn(column, F.when(F.pmod(F.xxhash64(F.unix_seconds("time"), F.lit(seed), F.lit("spike")), F.lit(1_000_000)) < int(rate * 1_000_000), F.col(column) * factor).otherwise(F.col(column)))
 
 
-def inject_gaps(df: DataFrame, column: str, share: float = 0.03, longest: int = 6, seed: int = 0) -> DataFrame:
-    """Blocks of up to `longest` rows lose their value, about `share` of all rows; adds `<column>_imputed`."""
-    block = F.floor(F.unix_seconds("time") / (FIVE.step * longest))
-    u = F.pmod(F.xxhash64(block, F.lit(seed)), F.lit(10_000)) / 10_000.0
-    gone = u < share
-    return df.withColumns({f"{column}_imputed": gone.cast("tinyint"), column: F.when(~gone, F.col(column))})
+def noise(i: Column | str, seed: int) -> Column:
+    """Standard normal values that depend on a row's number and the seed alone, however the rows are partitioned."""
+    u = lambda k: (F.pmod(F.xxhash64(i, F.lit(seed), F.lit(k)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+    return F.sqrt(-2 * F.log(u(0))) * F.cos(2 * math.pi * u(1))
+
+
+def inject_gaps(df: DataFrame, column: str, share: float = 0.03, longest: int = 6, seed: int = 0, long_share: float = 0.0, long_steps: int = 144) -> DataFrame:
+    """Blocks of up to `longest` rows lose their value, about `share` of all rows; of `long_steps` rows, about `long_share`.
+
+    Adds `<column>_imputed`. At most half of all rows go, whatever the shares.
+    """
+    def gone(length: int, part: float, salt: int) -> Column:
+        block = F.floor(F.unix_seconds("time") / (FIVE.step * length))
+        start = F.pmod(F.xxhash64(block, F.lit(seed), F.lit(salt)), F.lit(length))  # a gap may begin within its block
+        u = F.pmod(F.xxhash64(block, F.lit(seed), F.lit(salt + 1)), F.lit(10_000)) / 10_000.0
+        at = F.pmod(F.unix_seconds("time") / FIVE.step, F.lit(length))
+        return (u < 2 * part) & (at >= start)
+
+    scale = min(1.0, 0.5 / max(share + long_share, 1e-9))
+    hit = gone(longest, share * scale, 0) | gone(long_steps, long_share * scale, 10)
+    return df.withColumns({f"{column}_imputed": hit.cast("tinyint"), column: F.when(~hit, F.col(column))})
+
+
+def replay(df: DataFrame, hours: float = 24.0) -> DataFrame:
+    """The last hours of a frame, without spikes and gaps of its own, as a stand-in for a live feed."""
+    end = df.agg(F.max(F.unix_seconds("time"))).first()[0]
+    return df.where(F.unix_seconds("time") > F.lit(end) - int(hours * 3600)) if end is not None else df
 
 
 def demo_dataset(spark: SparkSession, days: float = 10, seed: int = 0, longitude: float = 83.0, sat_id: str = "sat-1") -> DataFrame:

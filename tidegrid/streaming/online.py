@@ -6,11 +6,19 @@ import math
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from ..functions import add_coupling, add_cyclic
+from ..operators.clean import forward_fill
+from ..operators.halo import carried, rows_windowed
+from ..operators.windows import LAGS, ROLLING, feature_matrix
+from ..schema import Grid
+from ..sources.folders import read_version, write_version
+
 
 class RingBuffer:
     """The last `size` values; 0 is the oldest, -1 the newest."""
@@ -90,6 +98,8 @@ class MonotonicDeque:
         return self.items[0][1]
 
 
+#: Setting that stateful features need; the session's owner makes it.
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 FEATURES = "sat_id string, time timestamp, x double, n long, mean double, std double, high double, low double, lag1 double"
 
 
@@ -130,17 +140,20 @@ class OnlineFeatures(StatefulProcessor):
 
 
 def stream_features(stream: DataFrame, window: int = 72) -> DataFrame:
-    """Streaming frame (sat_id, time, x) with its features; needs the RocksDB state store."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Streaming frame (sat_id, time, x) with its features; the session must use the RocksDB state store (ROCKSDB)."""
     return stream.groupBy("sat_id").transformWithStateInPandas(OnlineFeatures(window), FEATURES, "Append", "None")
 
 
 def batch_replay(df: DataFrame, window: int = 72) -> DataFrame:
-    """The same features over a batch, by window functions."""
-    by = Window.partitionBy("sat_id").orderBy("time")
-    w = by.rowsBetween(-(window - 1), 0)
-    d = df.withColumn("x", F.last("x", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))).where("x IS NOT NULL")
-    return d.select("sat_id", "time", "x", F.count("x").over(w).alias("n"), F.avg("x").over(w).alias("mean"), F.stddev_samp("x").over(w).alias("std"), F.max("x").over(w).alias("high"), F.min("x").over(w).alias("low"), F.lag("x").over(by).alias("lag1"))
+    """The same features over a batch, by window functions over chunks of each series; rows of equal time go by value."""
+    series = Grid(keys=("sat_id",))
+
+    def add(d, w):
+        by = w.rowsBetween(-(window - 1), 0)
+        return d.select("*", F.count("x").over(by).alias("n"), F.avg("x").over(by).alias("mean"), F.stddev_samp("x").over(by).alias("std"), F.max("x").over(by).alias("high"), F.min("x").over(by).alias("low"), F.lag("x").over(w).alias("lag1"))
+
+    d = carried(df.select("sat_id", "time", "x"), series, {"__x": F.col("x")}).withColumn("x", F.col("__x")).drop("__x").where("x IS NOT NULL")
+    return rows_windowed(d, series, window - 1, add, order=("x",)).select("sat_id", "time", "x", "n", "mean", "std", "high", "low", "lag1")
 
 
 def event_grid(stream: DataFrame, step: str = "5 minutes", late: str = "10 minutes", keys: tuple[str, ...] = ("sat_id",)) -> DataFrame:
@@ -155,22 +168,64 @@ def without_repeats(stream: DataFrame, late: str = "10 minutes", keys: tuple[str
 
 
 def keep_latest(path: str, keys: tuple[str, ...] = ("sat_id",)):
-    """For foreachBatch: a table with each key's newest row, rebuilt under a new name each batch and then renamed."""
+    """For foreachBatch: a table with each key's newest row, a new version a batch; a repeated batch changes nothing."""
 
     def run(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        rest = [c for c in batch.columns if c not in keys]
-        old = None
-        try:
-            old = spark.read.schema(batch.schema).parquet(f"{path}/latest")
-            old.limit(0).count()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = None
+        old = read_version(batch.sparkSession, path)
         both = batch if old is None else batch.unionByName(old)
-        new = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), "time").alias("r")).select(*keys, "r.*").select(*batch.columns)
-        new.write.mode("overwrite").parquet(f"{path}/batch")
-        spark.read.schema(batch.schema).parquet(f"{path}/batch").write.mode("overwrite").parquet(f"{path}/latest")
+        rest = [c for c in batch.columns if c not in keys]
+        newest = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), "time").alias("r")).select(*keys, "r.*")
+        write_version(newest.select(*batch.columns), path)
 
     return run
+
+
+#: Channels that a sample brings, carried forward where missing.
+CHANNELS = ("log_flux_e2", "log_flux_seed", "vsw", "density", "pdyn", "bz_gsm", "bt", "ae", "al", "kp", "sym_h", "f107")
+
+
+def vector_columns(lags=LAGS, rolling=ROLLING) -> list[str]:
+    return [*CHANNELS, *[f"{c}_lag{k}" for c, ks in lags.items() for k in ks], *[f"{c}_roll{n}_{s}" for c, ks in rolling.items() for n, s in ks]]
+
+
+class OnlineVector(StatefulProcessor):
+    """The whole feature vector per series: state is the last samples of all channels, as many as the longest lag or width."""
+
+    def __init__(self, lags=LAGS, rolling=ROLLING):
+        self.lags, self.rolling = dict(lags), dict(rolling)
+        self.reach = max([1, *(k for ks in self.lags.values() for k in ks), *(n for ks in self.rolling.values() for n, _ in ks)])
+
+    def init(self, handle) -> None:
+        self.recent = handle.getValueState("recent", "v binary")
+
+    def handleInputRows(self, key, rows, timer) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values("time", kind="stable")
+        held = self.recent.get()
+        old = np.frombuffer(held[0], dtype="<f8").reshape(-1, len(CHANNELS)) if held else np.empty((0, len(CHANNELS)))
+        x = pd.DataFrame(np.concatenate([old, new[list(CHANNELS)].to_numpy(dtype=float)]), columns=list(CHANNELS)).ffill()
+        self.recent.update((x.to_numpy(dtype="<f8")[-self.reach :].tobytes(),))
+        out = {c: x[c] for c in CHANNELS}
+        out |= {f"{c}_lag{k}": x[c].shift(k) for c, ks in self.lags.items() for k in ks}
+        out |= {f"{c}_roll{n}_{s}": getattr(x[c].rolling(n, min_periods=2 if s == "std" else 1), s)() for c, ks in self.rolling.items() for n, s in ks}
+        done = pd.DataFrame(out).iloc[len(old) :].astype(object).where(lambda d: d.notna(), None)
+        done.insert(0, "time", new["time"].to_numpy())
+        done.insert(0, "sat_id", key[0])
+        yield done
+
+    def close(self) -> None:
+        pass
+
+
+def stream_vector(stream: DataFrame, lags=LAGS, rolling=ROLLING) -> DataFrame:
+    """Streaming frame (sat_id, time, channels) with lags and rolling values from state, coupling and cyclic columns as expressions."""
+    cols = vector_columns(lags, rolling)
+    samples = stream.select("sat_id", "time", *[F.col(c).cast("double").alias(c) if c in stream.columns else F.lit(None).cast("double").alias(c) for c in CHANNELS])
+    out = samples.groupBy("sat_id").transformWithStateInPandas(OnlineVector(lags, rolling), "sat_id string, time timestamp, " + ", ".join(f"{c} double" for c in cols), "Append", "None")
+    return add_cyclic(add_coupling(out))
+
+
+def batch_vector(df: DataFrame, lags=LAGS, rolling=ROLLING, grid: Grid | None = None) -> DataFrame:
+    """The same over a batch on a uniform grid."""
+    grid = grid or Grid(keys=("sat_id",))
+    d = df.select("sat_id", "time", *[F.col(c).cast("double").alias(c) if c in df.columns else F.lit(None).cast("double").alias(c) for c in CHANNELS])
+    return feature_matrix(forward_fill(d, grid, CHANNELS), grid, lags, rolling)
