@@ -6,7 +6,6 @@ without moving its texts again.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from .common import byte_batches, scratch
+from .common import byte_batches, scratch, scratch_table
 
 CHUNK_BYTES = 6 << 20
 PARTITION_BYTES = 12 << 20
@@ -71,7 +70,7 @@ def chunked(docs: DataFrame, rest: list[str], order: list[str] | None = None, ch
         df = df.repartitionByRange(partitions, *[F.col(f"`{c}`").asc_nulls_first() for c in order[:1]]).sortWithinPartitions(*[F.col(f"`{c}`").asc_nulls_first() for c in order])
     kinds = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in df.select(*[F.col(f"`{c}`") for c in rest]).schema)
     rows = df.mapInArrow(_gather(rest, chunk_bytes), f"chunk long, texts array<string>, rest array<struct<{kinds}>>")
-    name = f"tidegrid_{uuid.uuid4().hex}"
+    name = scratch_table(spark)
     n = min(max(partitions, 8), 65_536)
     rows.write.option("path", f"{scratch(spark)}/chunks").option("compression", "zstd").format("parquet").bucketBy(n, "chunk").saveAsTable(name)
     return spark.table(name)

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folders import children, passing, remove, run_id, scratch, scratch_table
+
+__all__ = ["byte_batches", "children", "distinct", "documents", "double_hashes", "mixed", "passing", "pick", "remove", "run_hashes", "run_id", "sampled", "scratch", "scratch_table", "stored", "sweep", "word_hashes"]
+
 #: Bytes of one Arrow batch handed to Python; rows can be very long, so bytes bound memory and rows do not.
 BATCH_BYTES = 8 << 20
 
@@ -19,53 +18,21 @@ _U64 = np.uint64
 _GOLD = _U64(0x9E3779B97F4A7C15)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder name below the shared folder of spark.checkpoint.dir.
-
-    Only where that is unset and Spark runs in one JVM is a local folder used instead.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = getattr(spark, "_tidegrid_scratch", None)
-        if not base:
-            folder = tempfile.mkdtemp(prefix="tidegrid-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-            base = spark._tidegrid_scratch = "file://" + folder
-    return f"{base.rstrip('/')}/tidegrid-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, path: str) -> DataFrame:
     """df written as Parquet at path and read again: lineage ends in the shared folder."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table that no later step reads."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def children(spark: SparkSession, path: str) -> list[str]:
-    """Names in a folder; none where there is no such folder."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
-
-
 def sweep(spark: SparkSession) -> None:
-    """Drop every scratch table and folder below the shared folder. Only when no result that reads them is still to be written."""
+    """Drop the scratch tables and folders of this run. Only when no result that reads them is still to be written."""
     for t in spark.catalog.listTables():
-        if t.name.startswith("tidegrid_"):
+        if t.name.startswith(f"tidegrid_{run_id(spark)}_"):
             spark.sql(f"DROP TABLE IF EXISTS `{t.name}`")
     base = scratch(spark).rpartition("/")[0]
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-    for f in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p):
-        if f.getPath().getName().startswith("tidegrid-"):
-            remove(spark, f.getPath().toString())
+    for name in children(spark, base):
+        if name.startswith(f"tidegrid-{run_id(spark)}-"):
+            remove(spark, f"{base}/{name}")
 
 
 def byte_batches(spark: SparkSession) -> None:
@@ -105,6 +72,18 @@ def word_hashes(words: list[bytes], seed: int = 0) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=_U64, count=len(words))
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorting is far faster here than the hash table that np.unique takes for this."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
+def double_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of a 128-bit hash of each word."""
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), dtype=">u8").reshape(-1, 2)
+    return both[:, 1].astype(_U64), both[:, 0].astype(_U64)
+
+
 def run_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """Hash of every run of `width` consecutive word hashes; empty if there are fewer.
 

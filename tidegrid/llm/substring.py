@@ -1,7 +1,7 @@
 """Substring dedup with a log-structured fingerprint index.
 
 Documents are put in order of doc_id and cut into chunks, the batches of the index. A window is 20 consecutive words; its
-key is a 64-bit hash of them, its proof a second 64-bit hash from other hashes of the same words.
+key is a 64-bit hash of them, its proof a second one, from the other halves of the 128-bit hashes of the words.
 
 1. Each chunk sorts the distinct keys of its windows and sends every range of the key space its share as one coded run.
    Ranges answer which keys another chunk has too; text that occurs once ends here.
@@ -37,53 +37,50 @@ from pyspark.sql import functions as F
 
 from . import runs
 from .chunks import by_range, chunked, join_answers
-from .common import children, documents, pick, remove, run_hashes, scratch, stored, word_hashes
+from .common import children, distinct, documents, double_hashes, pick, remove, run_hashes, scratch, stored
 
 WIDTH = 20
 #: Entries of one key range; a task of the merge holds a few times that.
 RANGE_ENTRIES = 1 << 20
-SEED = 0x5851F42D
 
 
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def _keys(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all windows of a chunk in order, and each document's number of words."""
-    each, n = [], []
-    for t in texts:
-        w = _words(t.as_py())
-        n.append(len(w))
-        each.append(run_hashes(word_hashes(w), width))
-    return np.concatenate([*each, np.empty(0, np.uint64)]), np.array(n, dtype=np.int64)
+class Windows:
+    """All windows of a chunk in order: the words, where each document ends, each window's first word, key and proof."""
 
+    def __init__(self, texts: pa.Array, width: int):
+        self.words, ends = [], [0]
+        for t in texts:
+            self.words += _words(t.as_py())
+            ends.append(len(self.words))
+        self.ends = np.array(ends, dtype=np.int64)
+        n = np.diff(self.ends)
+        many = np.maximum(n - width + 1, 0)  # windows of each document
+        self.first = np.repeat(self.ends[:-1] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(many) else self.ends[:0]
+        low, self._high = double_hashes(self.words)
+        self.keys = run_hashes(low, width)[self.first] if len(self.first) else np.empty(0, np.uint64)
+        self.width = width
 
-def _proofs(texts: pa.Array, n: np.ndarray, needed: np.ndarray, width: int) -> np.ndarray:
-    """Proofs of the windows of each document that has one that is needed."""
-    out, at = np.zeros(len(needed), dtype=np.uint64), 0
-    for t, k in zip(texts, n.tolist(), strict=True):
-        m = max(0, k - width + 1)
-        if needed[at : at + m].any():
-            out[at : at + m] = run_hashes(word_hashes(_words(t.as_py()), SEED), width)
-        at += m
-    return out
+    def proofs(self) -> np.ndarray:
+        return run_hashes(self._high, self.width)[self.first] if len(self.first) else np.empty(0, np.uint64)
 
 
 class Chunk:
     """Windows of a chunk; `shared` tells for each whether its key is in another chunk (or all are to be sent)."""
 
     def __init__(self, texts: pa.Array, answers, edges: np.ndarray, width: int, everything: bool):
-        self.edges = edges
-        self.keys, self.n = _keys(texts, width)
-        distinct, back, counts = np.unique(self.keys, return_inverse=True, return_counts=True)
-        shared = np.full(len(distinct), everything)
-        cut = runs.cuts(distinct, edges)
+        own = Windows(texts, width)
+        self.edges, self.words, self.ends, self.first, self.keys, self.proofs = edges, own.words, own.ends, own.first, own.keys, own.proofs()
+        keys, back, counts = np.unique(self.keys, return_inverse=True, return_counts=True)
+        shared = np.full(len(keys), everything)
+        cut = runs.cuts(keys, edges)
         for a in answers or []:
             lo, hi = cut[a["piece"]], cut[a["piece"] + 1]
             shared[lo:hi] = runs.flags(a["body"], hi - lo)
         self.shared, again = shared[back], counts[back] > 1
-        self.proofs = _proofs(texts, self.n, self.shared | again, width)
         self.repeats = np.zeros(len(self.keys), dtype=bool)
         at, order, new = self._entries(again)
         self.repeats[at[order[~new]]] = True  # the order is stable, so the first of equal windows is the earliest
@@ -134,7 +131,7 @@ def _send(width: int, n_ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                keys, chunk = np.unique(_keys(b.column("texts")[i].values, width)[0]), b.column("chunk")[i].as_py()
+                keys, chunk = distinct(Windows(b.column("texts")[i].values, width).keys), b.column("chunk")[i].as_py()
                 cut = runs.cuts(keys, edges)
                 yield _rows(["piece", "chunk", "body"], [pa.int32(), pa.int64(), pa.binary()], [(k, chunk, runs.encode(keys[cut[k] : cut[k + 1]])) for k in np.flatnonzero(np.diff(cut)).tolist()])
 
@@ -205,13 +202,10 @@ def _merge(keep: bool):
     return run
 
 
-def covered(n_words: int, marked: np.ndarray, width: int) -> np.ndarray:
-    """Which words a marked window covers."""
-    d = np.zeros(n_words + 1, dtype=np.int32)
-    at = np.flatnonzero(marked)
-    d[at] += 1
-    np.subtract.at(d, at + width, 1)
-    return np.cumsum(d[:-1]) > 0
+def covered(n_words: int, starts: np.ndarray, width: int) -> np.ndarray:
+    """Which words windows with these first words cover."""
+    d = np.bincount(starts, minlength=n_words + 1) - np.bincount(starts + width, minlength=n_words + 1)
+    return np.cumsum(d[:n_words]) > 0
 
 
 def _apply(width: int, n_ranges: int, everything: bool, names: list[str], texts_back: bool):
@@ -222,17 +216,15 @@ def _apply(width: int, n_ranges: int, everything: bool, names: list[str], texts_
             for i in range(b.num_rows):
                 texts, rest = b.column("texts")[i].values, b.column("rest")[i].values
                 chunk = Chunk(texts, b.column("answers")[i].as_py(), edges, width, everything)
-                marked, rows, at = chunk.marked(b.column("found")[i].as_py()), [], 0
-                for t, n in zip(texts, chunk.n.tolist(), strict=True):
-                    text, mine = t.as_py(), marked[at : at + max(0, n - width + 1)]
-                    at += len(mine)
-                    gone = covered(n, mine, width) if mine.any() else None
+                gone = covered(len(chunk.words), chunk.first[chunk.marked(b.column("found")[i].as_py())], width)
+                before, rows = np.concatenate([[0], np.cumsum(gone)]), []
+                for t, lo, hi in zip(texts, chunk.ends[:-1].tolist(), chunk.ends[1:].tolist(), strict=True):
+                    removed = int(before[hi] - before[lo])
+                    kept = [w for w, g in zip(chunk.words[lo:hi], gone[lo:hi].tolist(), strict=True) if not g] if removed else None
                     if texts_back:
-                        rows.append(text if gone is None else b" ".join(w for w, g in zip(_words(text), gone, strict=True) if not g).decode("utf-8", "surrogatepass"))
+                        rows.append(b" ".join(kept).decode("utf-8", "surrogatepass") if removed else t.as_py())
                     else:
-                        words = _words(text)
-                        kept = words if gone is None else [w for w, g in zip(words, gone, strict=True) if not g]
-                        rows.append((n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+                        rows.append((hi - lo, removed, hashlib.sha256(b" ".join(kept if removed else chunk.words[lo:hi])).hexdigest()))
                 own = {rest.type.field(j).name: rest.field(j) for j in range(rest.type.num_fields)}
                 if texts_back:
                     own["text"] = pa.array(rows, pa.string())
