@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import runs
 from .chunks import by_range, chunked, join_answers
-from .common import documents, pick, remove, run_hashes, scratch, stored, word_hashes
+from .common import distinct, documents, pick, remove, run_hashes, scratch, stored, word_hashes
 from .components import components
 
 WIDTH = 5
@@ -61,7 +61,7 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     h = word_hashes(words)
     if len(words) < width:
         return run_hashes(h, len(words)) ^ _U64(len(words))
-    return np.unique(run_hashes(h, width))
+    return distinct(run_hashes(h, width))
 
 
 def node_of(s: np.ndarray) -> bytes:
