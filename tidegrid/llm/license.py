@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_batches, documents, mixed, scratch, stored, word_hashes
+from .common import byte_batches, distinct, documents, mixed, scratch, stored, word_hashes
 
 LEAST = 0.6
 HALF = 0.5
@@ -146,7 +146,7 @@ def _parts(b: pa.RecordBatch) -> Parts:
 def vocabulary(texts: list[str]) -> np.ndarray:
     """Terms that templates hold, sorted."""
     p = Parts([t.replace("\n", " ").encode() for t in texts], [False] * len(texts))
-    return np.unique(p.terms(p.lines)[0])
+    return distinct(p.terms(p.lines)[0])
 
 
 def _find(vocabulary: np.ndarray, terms: np.ndarray) -> np.ndarray:
@@ -213,7 +213,7 @@ def _holding(known: np.ndarray):
             p = _parts(b)
             terms, part = p.terms(p.lines)
             at = _find(known, terms)
-            pairs = np.unique(part[at >= 0] * len(known) + at[at >= 0])
+            pairs = distinct(part[at >= 0] * len(known) + at[at >= 0])
             total[:-1] += np.bincount(pairs % len(known), minlength=len(known))
             total[-1] += len(p.lines)
         at = np.flatnonzero(total)
