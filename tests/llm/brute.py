@@ -24,6 +24,21 @@ def substring(rows, width=20):
     return out
 
 
+def without_repeats(rows, width=20):
+    """(doc_id, text without repeated words, whether it had words); untouched texts stay as they are."""
+    seen, out = set(), []
+    for d, t in order(rows):
+        w = (t or "").split()
+        gone = [False] * len(w)
+        for i in range(len(w) - width + 1):
+            k = tuple(w[i : i + width])
+            if k in seen:
+                gone[i : i + width] = [True] * width
+            seen.add(k)
+        out.append((d, " ".join(x for x, g in zip(w, gone, strict=True) if not g) if any(gone) else t, bool(w)))
+    return out
+
+
 def suffix(rows, span=50):
     seen, out = set(), []
     for d, t in order(rows):

@@ -185,7 +185,13 @@ def test_windows_of_equal_keys_but_other_words_stay(spark, small_chunks, monkeyp
     """A key of two bits makes nearly all windows collide; proofs tell them apart."""
     rows = ROWS[:60]
     texts = pa.array([t for _, t in rows])
-    monkeypatch.setattr(substring, "_keys", lambda texts, width, plain=substring._keys: (plain(texts, width)[0] >> np.uint64(62), plain(texts, width)[1]))
+
+    class Coarse(substring.Windows):
+        def __init__(self, texts, width):
+            super().__init__(texts, width)
+            self.keys = self.keys >> np.uint64(62)
+
+    monkeypatch.setattr(substring, "Windows", Coarse)
     own = substring.Chunk(texts, None, runs.range_edges(1), 20, True)
     want, seen = [], set()
     for _, t in rows:

@@ -1,15 +1,18 @@
 """The corpus pipeline, each stage against a plain version over its own input."""
 
-import json
 import random
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tidegrid.llm import decontaminate
 from tidegrid.llm.common import scratch, stored
 
 from . import brute
+from .test_others import plain_quality
 
 
 @pytest.fixture(scope="module")
@@ -59,10 +62,38 @@ def test_stages(spark, tables):
     assert after.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
 
 
-def test_run_equals_the_stages(spark, tables):
-    pytest.importorskip("public_tokenizers")
-    out = corpus_pipeline.run(spark, tables)
-    assert out.count() > 0 and corpus_pipeline.ORACLE_SQL is None and json.dumps([n for n, _ in corpus_pipeline.STAGES])
+def plain_edits(pattern: str, text: str) -> int:
+    """Least edits that turn pattern into a piece of text."""
+    t, j = np.array([ord(c) for c in text]), np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, dtype=int)
+    for c in pattern:
+        new = np.concatenate([[row[0] + 1], np.minimum(row[:-1] + (t != ord(c)), row[1:] + 1)])
+        row = np.minimum.accumulate(new - j) + j
+    return int(row.min())
+
+
+def test_run_equals_a_plain_version_of_the_whole(spark, tables):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    table = lambda n: spark.read.parquet(f"{tables}/{n}.parquet").collect()
+    rows = [(r["doc_id"], r["text"]) for r in table("documents")]
+    score = plain_quality(rows, [(r["doc_id"], r["quality"]) for r in table("labels")])
+    rows = [(d, t) for d, t in rows if score[d] >= 0.7]
+    kept = {c for _, n, c in brute.jaccard(rows) if n} | {d for d, n, _ in brute.jaccard(rows) if not n}
+    rows = [r for r in rows if r[0] in kept]
+    rows = [(d, t) for d, t, had in brute.without_repeats(rows) if t.split() or not had]
+    windows = decontaminate.windows([(r["item_id"], r["text"]) for r in table("benchmark")])
+    clean = lambda t: not any(plain_edits(w, t) <= decontaminate.budget(len(w)) for _, _, _, w in windows)
+    rows = [(d, t) for d, t in rows if clean(decontaminate.fold(t))]
+    t = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    want = {d: np.array([*t.encode(x, add_special_tokens=False).ids, 1], dtype="<u4") for d, x in rows}
+    out = corpus_pipeline.run(spark, tables).toPandas()
+    assert out.groupby("doc_id").length.sum().to_dict() == {d: len(x) for d, x in want.items()} and 20 < len(want) < len(score)
+    for d, s, n, crc in out[["doc_id", "start", "length", "ids_crc32"]].itertuples(index=False):
+        assert zlib.crc32(want[d][s : s + n].tobytes()) == crc
+    for _, g in out.sort_values("offset").groupby("sequence_id"):
+        assert g.offset.tolist() == [0, *g.length.cumsum()[:-1]] and g.length.sum() <= 2048
 
 
 def test_texts_without_words_pass_the_substring_stage(spark):
