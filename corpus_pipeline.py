@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm import decontaminate, jaccard, packing, quality, substring
-from tidegrid.llm.common import scratch, stored
+from tidegrid.llm.common import passing, scratch, stored
 
 #: A byte of a word, as the substring stage tells words apart.
 WORD = r"[^\x20\x09-\x0D]"
@@ -53,5 +53,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = scratch(spark)
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"{base}/{name}")
+        with passing(spark):  # what a stage keeps for itself goes once its rows are written
+            docs = stored(stage(spark, docs, sf_dir), f"{base}/{name}")
     return docs
