@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.folders import children, passing, remove, run_id, scratch, scratch_table
 
-__all__ = ["byte_batches", "children", "distinct", "documents", "double_hashes", "mixed", "passing", "pick", "remove", "run_hashes", "run_id", "sampled", "scratch", "scratch_table", "stored", "sweep", "word_hashes"]
+__all__ = ["byte_batches", "children", "distinct", "documents", "double_hashes", "mixed", "passing", "pick", "plain_names", "remove", "run_hashes", "run_id", "sampled", "scratch", "scratch_table", "stored", "sweep", "word_hashes"]
 
 #: Bytes of one Arrow batch handed to Python; rows can be very long, so bytes bound memory and rows do not.
 BATCH_BYTES = 8 << 20
@@ -50,6 +50,11 @@ def pick(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast(kinds.get(c, "string")).alias(c) for c in columns])
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """df with all columns but doc_id and text renamed by their place, as functions over batches cannot take every name; `toDF` gives them back."""
+    return df.toDF(*[c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(df.columns)])
+
+
 def sampled(column: str, share: float) -> Column:
     """Condition that holds for about this share of the values of a column, by the whole range of a 64-bit hash, so that no share is rounded to nothing."""
     return F.xxhash64(column) < F.lit(int(max(0.0, min(1.0, share)) * (1 << 64)) - (1 << 63)) if share < 1 else F.lit(True)

@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import byte_batches, documents, pick
+from .common import byte_batches, documents, pick, plain_names
 
 Q = 8
 WINDOW = 96
@@ -313,9 +313,10 @@ def _clean(index: Index, at: int):
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark passage, unchanged."""
     byte_batches(docs.sparkSession)
+    left = plain_names(docs)
     for b in blocks(benchmark):
-        docs = docs.mapInArrow(_clean(Index(b), docs.columns.index("text")), docs.schema)
-    return docs
+        left = left.mapInArrow(_clean(Index(b), docs.columns.index("text")), left.schema)
+    return left.toDF(*docs.columns)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import runs
 from .chunks import by_range, chunked, join_answers
-from .common import distinct, documents, pick, remove, run_hashes, scratch, stored, word_hashes
+from .common import distinct, documents, pick, plain_names, remove, run_hashes, scratch, stored, word_hashes
 from .components import components
 
 WIDTH = 5
@@ -316,13 +316,13 @@ def _keep(names: list[str]):
 
 def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of docs without all but one of each component: that of the smallest doc_id (of such, the first one read)."""
-    rest = [c for c in docs.columns if c != "text"]
-    table, found, labels = nodes_and_labels(docs, rest, width)
+    plain = plain_names(docs)
+    table, found, labels = nodes_and_labels(plain, [c for c in plain.columns if c != "text"], width)
     best = found.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "chunk", "idx")).alias("first"))
     best = best.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("first")).select("first.*")
     stay = best.select("chunk", "idx").unionAll(found.where("n = 0").select("chunk", "idx"))
     kept = stay.groupBy("chunk").agg(F.collect_list("idx").alias("kept"))
-    return table.join(kept.hint("shuffle_hash"), "chunk").select("texts", "rest", "kept").mapInArrow(_keep(docs.columns), docs.schema)
+    return table.join(kept.hint("shuffle_hash"), "chunk").select("texts", "rest", "kept").mapInArrow(_keep(plain.columns), plain.schema).toDF(*docs.columns)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_batches, documents, pick, sampled, scratch, stored
+from .common import byte_batches, documents, pick, plain_names, sampled, scratch, stored
 
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.7
@@ -195,7 +195,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return s.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def _kept(model: Discriminant | None, at: int, names: list[str]):
+def _kept(model: Discriminant | None, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array([statistics(t.as_py()) for t in b.column(at)], dtype=float).reshape(b.num_rows, len(NAMES))
@@ -210,7 +210,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs whose score reaches the threshold, unchanged; all of them if nothing is labelled."""
     spark = docs.sparkSession
     model = train(stored(featured(docs), scratch(spark)), labels)
-    return docs.mapInArrow(_kept(model, docs.columns.index("text"), docs.columns), docs.schema)
+    plain = plain_names(docs)
+    return plain.mapInArrow(_kept(model, docs.columns.index("text")), plain.schema).toDF(*docs.columns)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

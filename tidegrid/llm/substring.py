@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import runs
 from .chunks import by_range, chunked, join_answers
-from .common import children, distinct, documents, double_hashes, pick, remove, run_hashes, scratch, stored
+from .common import children, distinct, documents, double_hashes, pick, plain_names, remove, run_hashes, scratch, stored
 
 WIDTH = 20
 #: Entries of one key range; a task of the merge holds a few times that.
@@ -325,9 +325,9 @@ def removed_words(docs: DataFrame, width: int = WIDTH, index: str | None = None)
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, index: str | None = None) -> DataFrame:
     """docs with repeated words taken out of text (kept words joined by one space; untouched texts stay as they are)."""
-    rest = [c for c in docs.columns if c != "text"]
-    chunks, n_ranges = _marked(docs, rest, width, index)
-    return chunks.select("texts", "rest", "answers", "found").mapInArrow(_apply(width, n_ranges, bool(index), docs.columns, True), docs.schema)
+    plain = plain_names(docs)
+    chunks, n_ranges = _marked(plain, [c for c in plain.columns if c != "text"], width, index)
+    return chunks.select("texts", "rest", "answers", "found").mapInArrow(_apply(width, n_ranges, bool(index), plain.columns, True), plain.schema).toDF(*docs.columns)
 
 
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
