@@ -388,10 +388,10 @@ def _merge(key: tuple, group: pa.Table) -> pa.Table:
             continue
         stretch = np.cumsum(lcp < SPAN - x)[mine].astype(_U64)
         same = mixed(h[mine] ^ (stretch * _MUL[1]))
-        by = np.lexsort((when[mine], same))
+        by = np.argsort(same)
         s, w = same[by], when[mine][by]
         new = np.concatenate([[True], s[1:] != s[:-1]])
-        least = w[np.flatnonzero(new)][np.cumsum(new) - 1]
+        least = np.minimum.reduceat(w, np.flatnonzero(new))[np.cumsum(new) - 1]
         marks[mine[by[w > least]]] |= _U64(1) << _U64(x)
     out = np.empty(n, dtype=_U64)
     out[array] = marks
