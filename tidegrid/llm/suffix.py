@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import runs
 from .chunks import by_range, chunked, join_answers
-from .common import documents, mixed, pick, scratch, stored
+from .common import distinct, documents, mixed, pick, scratch, stored
 
 SPAN = 50
 GRAM = 24
@@ -301,7 +301,7 @@ class Entries:
 
     def __init__(self, texts: pa.Array, answers, edges: np.ndarray):
         blocks = _anchors(texts)
-        keys = _counted(blocks)[0]
+        keys = distinct(np.concatenate([*[a.hash for _, a in blocks], np.empty(0, _U64)]))
         cut = runs.cuts(keys, edges)
         level = np.zeros(len(keys), dtype=np.uint8)
         for a in answers or []:
