@@ -40,3 +40,42 @@ g AS (SELECT q.doc_id, sum(hi - lo + 1) AS n_removed, count(lo) AS n_spans, list
 SELECT doc_id, octet_length(raw)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
  sha256(CASE WHEN kept IS NULL THEN raw ELSE list_reduce(kept, lambda x, y: x || y) END) AS kept_sha256 FROM b LEFT JOIN g USING (doc_id)
 """
+
+#: Unsigned CRC-32 of the decimal text of `doc_id`, bit by bit.
+CRC32 = r"""xor(list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::UBIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+ lambda a, x: xor(xor(a, x) >> 1, (xor(a, x) & 1) * 3988292384)), 4294967295)"""
+
+MERKLE = rf"""
+WITH RECURSIVE d AS (SELECT *, coalesce('=' || lang, '') AS g, {CRC32} % 3 = 0 AS touched FROM documents),
+e AS (SELECT d.*, CASE WHEN touched THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS shown_text,
+ coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head FROM d),
+h AS (SELECT doc_id, g, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf, sha256(head || coalesce(octet_length(encode(shown_text)) || ':' || shown_text, '-')) AS shown FROM e),
+l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY g) AS n FROM h),
+t AS (SELECT g, 0 AS lvl, idx, n, leaf AS digest FROM l
+ UNION ALL SELECT g, lvl + 1, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM t WHERE n > 1 GROUP BY g, lvl, idx // 8, n),
+s AS (SELECT g, lvl, digest AS subroot, row_number() OVER (ORDER BY g) - 1 AS idx, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS lvl, idx, n, subroot AS digest FROM s
+ UNION ALL SELECT lvl + 1, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM u WHERE n > 1 GROUP BY lvl, idx // 8, n),
+f AS (SELECT g, lvl, idx, coalesce(string_agg(digest, '') OVER (PARTITION BY g, lvl, idx // 8 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft,
+ coalesce(string_agg(digest, '') OVER (PARTITION BY g, lvl, idx // 8 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt FROM t WHERE n > 1),
+v AS (SELECT lvl, idx, coalesce(string_agg(digest, '') OVER (PARTITION BY lvl, idx // 8 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft,
+ coalesce(string_agg(digest, '') OVER (PARTITION BY lvl, idx // 8 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt FROM u WHERE n > 1),
+p AS (SELECT l.g, l.idx, f.lvl, lft, rgt FROM l JOIN f ON f.g = l.g AND f.idx = l.idx // (8 ** f.lvl)::BIGINT
+ UNION ALL SELECT l.g, l.idx, s.lvl + v.lvl, lft, rgt FROM l JOIN s ON s.g = l.g JOIN v ON v.idx = s.idx // (8 ** v.lvl)::BIGINT),
+o AS (SELECT g, idx, 0 AS lvl, shown AS digest FROM l
+ UNION ALL SELECT o.g, o.idx, o.lvl + 1, sha256(lft || o.digest || rgt) FROM o JOIN p ON p.g = o.g AND p.idx = o.idx AND p.lvl = o.lvl),
+q AS (SELECT g, idx, string_agg(lft || rgt, '' ORDER BY lvl) AS proof FROM p GROUP BY g, idx),
+z AS (SELECT g, idx, arg_max(digest, lvl) AS folded_root FROM o GROUP BY g, idx)
+SELECT l.doc_id, l.leaf, s.subroot, r.digest AS root, sha256(coalesce(q.proof, '')) AS proof_sha256, z.folded_root, z.folded_root = r.digest AS verified
+FROM l JOIN s ON s.g = l.g JOIN z ON z.g = l.g AND z.idx = l.idx LEFT JOIN q ON q.g = l.g AND q.idx = l.idx CROSS JOIN (SELECT digest FROM u WHERE n = 1) r
+"""
+
+FIM = r"""
+WITH u AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS ls, sha256('7:' || doc_id) AS h FROM documents),
+k AS (SELECT *, len(ls) AS n, ('0x' || h[1:8])::UBIGINT AS h1, ('0x' || h[9:16])::UBIGINT AS h2, ('0x' || h[17:24])::UBIGINT AS h3, ('0x' || h[25:32])::UBIGINT AS h4 FROM u),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1))::BIGINT AS a, greatest(h1 % (n + 1), h2 % (n + 1))::BIGINT AS z,
+ CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT *, array_to_string(ls[1:a], '') AS pre, array_to_string(ls[a + 1:z], '') AS mid, array_to_string(ls[z + 1:], '') AS suf FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p
+"""
