@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.folders import children, passing, remove, run_id, scratch, scratch_table
 
-__all__ = ["byte_batches", "children", "distinct", "documents", "double_hashes", "mixed", "passing", "pick", "plain_names", "remove", "run_hashes", "run_id", "sampled", "scratch", "scratch_table", "stored", "sweep", "word_hashes"]
+__all__ = ["byte_batches", "children", "distinct", "documents", "double_hashes", "mixed", "passing", "pick", "plain_names", "ranked", "remove", "run_hashes", "run_id", "sampled", "scratch", "scratch_table", "stored", "sweep", "word_hashes"]
 
 #: Bytes of one Arrow batch handed to Python; rows can be very long, so bytes bound memory and rows do not.
 BATCH_BYTES = 8 << 20
@@ -55,6 +55,27 @@ def plain_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(df.columns)])
 
 
+#: Places of a task within what monotonically_increasing_id() gives.
+TASK_SHIFT = 33
+
+
+def ranked(rows: DataFrame, group: str, order: list[Column], base: str) -> tuple[DataFrame, int]:
+    """rows with their place `idx` in the group and its size `n`; the size of the largest group.
+
+    Rows are sorted by range of (group, order) and stored; a row's place within its range and the number of rows of the
+    group in the ranges before give its place in the group, so no group is ordered in one task, however large it is.
+    """
+    sort = [F.col(group).asc(), *order]
+    at = F.monotonically_increasing_id()
+    rows = stored(rows.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("at", at).withColumn("part", F.shiftright("at", TASK_SHIFT)), f"{base}/sorted")
+    held = rows.groupBy(group, "part").agg(F.min("at").alias("first"), F.count("*").alias("m"))
+    of = Window.partitionBy(group)
+    before = F.sum("m").over(of.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = stored(held.select(group, "part", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"), F.sum("m").over(of).alias("n")), f"{base}/starts")
+    largest = starts.agg(F.max("n")).first()[0] or 0
+    return rows.join(starts, [group, "part"]).withColumn("idx", F.col("at") + F.col("shift")).drop("at", "part", "shift"), largest
+
+
 def sampled(column: str, share: float) -> Column:
     """Condition that holds for about this share of the values of a column, by the whole range of a 64-bit hash, so that no share is rounded to nothing."""
     return F.xxhash64(column) < F.lit(int(max(0.0, min(1.0, share)) * (1 << 64)) - (1 << 63)) if share < 1 else F.lit(True)

@@ -22,14 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, pick, scratch, stored
+from .common import documents, pick, ranked, scratch, stored
 
 FAN = 8
 #: What a leaf hashes, in this order.
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Places of a task within what monotonically_increasing_id() gives.
-TASK_SHIFT = 33
 
 
 def digest(*parts: Column) -> Column:
@@ -46,19 +44,6 @@ def leaf(values: list[Column]) -> Column:
     return digest(*[field(v) for v in values])
 
 
-def _placed(rows: DataFrame, order: list[str], base: str) -> tuple[DataFrame, int]:
-    """rows with their place `idx` in the group `g` and its size `n`; the largest size."""
-    sort = [F.col("g").asc(), *[F.col(c).asc_nulls_first() for c in order]]
-    at = F.monotonically_increasing_id()
-    rows = stored(rows.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("at", at).withColumn("part", F.shiftright("at", TASK_SHIFT)), f"{base}/sorted")
-    held = rows.groupBy("g", "part").agg(F.min("at").alias("first"), F.count("*").alias("m"))
-    of = Window.partitionBy("g")
-    before = F.sum("m").over(of.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = stored(held.select("g", "part", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"), F.sum("m").over(of).alias("n")), f"{base}/starts")
-    largest = starts.agg(F.max("n")).first()[0] or 0
-    return rows.join(starts, ["g", "part"]).withColumn("idx", F.col("at") + F.col("shift")).drop("at", "part", "shift"), largest
-
-
 def _siblings(nodes: DataFrame, fan: int) -> DataFrame:
     """nodes with their run, and the digests of the run's others to the left and to the right of each."""
     nodes = nodes.withColumn("run", F.floor(F.col("idx") / fan)).withColumn("slot", F.col("idx") - F.col("run") * fan)
@@ -103,12 +88,12 @@ def proofs(docs: DataFrame, leaves: dict[str, Column], group: Column, fan: int =
     base = scratch(spark)
     first = next(iter(leaves))
     rows = docs.select(F.coalesce(F.concat(F.lit("="), group.cast("string")), F.lit("")).alias("g"), "doc_id", *[c.alias(k) for k, c in leaves.items()])
-    placed, largest = _placed(stored(rows, f"{base}/leaves"), ["doc_id", first], f"{base}/low")
+    placed, largest = ranked(stored(rows, f"{base}/leaves"), "g", [F.col(c).asc_nulls_first() for c in ("doc_id", first)], f"{base}/low")
     low = _climb(placed.withColumn("digest", F.col(first)), largest, fan, f"{base}/low")
     tops = low[0].where("n = 1").select("g", "digest")
     for level in low[1:]:
         tops = tops.unionAll(level.where("n = 1").select("g", "digest"))
-    tops, many = _placed(tops.select(F.lit("").alias("g"), F.col("g").alias("of"), "digest"), ["of"], f"{base}/tops")
+    tops, many = ranked(tops.select(F.lit("").alias("g"), F.col("g").alias("of"), "digest"), "g", [F.col("of").asc()], f"{base}/tops")
     high = _climb(tops, many, fan, f"{base}/high")
     root = high[-1].select("g", F.col("digest").alias("root"), F.array().cast("array<struct<left:string,right:string>>").alias("steps"))
     ends = stored(_descend(high, root, fan).select(F.col("of").alias("g"), F.col("digest").alias("subroot"), "root", "steps"), f"{base}/ends")

@@ -27,11 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_batches, documents, pick, remove, scratch, stored
+from .common import byte_batches, documents, pick, ranked, remove, scratch, stored
 from .components import components
 
 WIDTH, SEED, RADIUS = 4, 42, 4
@@ -120,30 +119,20 @@ def apart(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) ->
     return np.max([gaps[:, :, x:y].sum(axis=2) for x, y in zip(ends, ends[1:], strict=False)], axis=0)
 
 
-def _tiles(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, held = TaskContext.get().partitionId(), 0, np.empty(0, dtype=_U64)
-
-        def tile(prints: np.ndarray) -> pa.RecordBatch:
+def _boxed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(b.num_rows):
+            prints = b.column("prints")[i].values.to_numpy().view(_U64)
             low, high = (x[0].tolist() for x in box(counts(prints), len(prints)))
-            cols = [pa.array([(part << 24) + seq], pa.int64()), pa.array([low], pa.list_(pa.int16())), pa.array([high], pa.list_(pa.int16())), pa.array([prints.tobytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, names=["tile", "low", "high", "body"])
-
-        for b in batches:
-            held = np.concatenate([held, b.column("print").to_numpy().view(_U64)])
-            while len(held) >= size:
-                yield tile(held[:size])
-                held, seq = held[size:], seq + 1
-        if len(held):
-            yield tile(held)
-
-    return run
+            cols = [b.column("tile").slice(i, 1), pa.array([low], pa.list_(pa.int16())), pa.array([high], pa.list_(pa.int16())), pa.array([prints.tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["tile", "low", "high", "body"])
 
 
 def tiles(prints: DataFrame, size: int = TILE) -> DataFrame:
-    """Distinct fingerprints as tiles (tile, low, high, body)."""
-    sort = _order()
-    return prints.select("print").repartitionByRange(*sort).sortWithinPartitions(*sort, "print").mapInArrow(_tiles(size), "tile long, low array<short>, high array<short>, body binary")
+    """Distinct fingerprints as tiles (tile, low, high, body); tiles are full but for the last one, however many tasks sort them."""
+    placed, _ = ranked(prints.select(F.lit(0).alias("g"), "print"), "g", [*_order(), F.col("print").asc()], scratch(prints.sparkSession))
+    rows = placed.groupBy(F.floor(F.col("idx") / size).alias("tile")).agg(F.array_sort(F.collect_list(F.struct("idx", "print"))).alias("rows"))
+    return rows.select("tile", F.col("rows.print").alias("prints")).mapInArrow(_boxed, "tile long, low array<short>, high array<short>, body binary")
 
 
 def tile_pairs(table: DataFrame, radius: int) -> DataFrame:
@@ -220,7 +209,7 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, small: int
     base = scratch(spark)
     table = stored(tiles(prints, tile), f"{base}/tiles")
     pairs = stored(tile_pairs(table, radius), f"{base}/pairs")
-    many = max(1, min(2 * pairs.count(), MOST_TASKS))
+    many = max(1, min(pairs.count(), MOST_TASKS))
     byte_batches(spark)
     rows = pairs.join(table.select(F.col("tile").alias("a"), F.col("body").alias("x")), "a").join(table.select(F.col("tile").alias("b"), F.col("body").alias("y")), "b")
     return rows.select("a", "b", "x", "y").repartition(many, "a", "b").mapInArrow(_links(radius, small), "a long, b long")
