@@ -74,3 +74,23 @@ def test_evaluate_and_report(spark):
     assert r["skill"] == pytest.approx(0.75) and r["picp"] == 1.0 and r["roc_auc"] == 0.5
     assert M.best_model(t).first()["model"] == "m" and "| h | m | 0.75 |" in M.markdown(t, ["h"], ["skill"])
     assert M.tidy(t).where("metric = 'rmse'").first()["value"] == pytest.approx(0.5)
+
+
+def test_report_of_all_sets_equals_reports_of_each(spark):
+    """Scores over sets of models and horizons are those of evaluate() on the rows of the set; persistence comes along by itself."""
+    i = F.col("id")
+    long = spark.range(400).select(
+        F.when(i % 2 == 0, "m1").otherwise("m2").alias("model"), F.when(i % 8 < 5, "6h").otherwise("12h").alias("horizon"), (F.sin("id") * 3).alias("y"), (F.sin(i + 0.3) * 3).alias("pred"), (F.sin(i - 1) * 3).alias("ref"),
+        F.abs(F.cos("id")).alias("p"), (F.sin("id") * 3 - 1).alias("q10"), F.cos("id").alias("q50"), (F.sin("id") * 2 + 1).alias("q90"), i.alias("key"),
+    )
+    full = M.with_persistence(long, "m1", 1.0)
+    assert full.where("model = 'persistence'").count() == 200 and full.where("model = 'persistence' AND pred = ref AND q10 = ref AND p = CAST(ref >= 1 AS DOUBLE)").count() == 200
+    got = {(r["model"], r["horizon"]): r.asDict() for r in M.report(full, 1.0).collect()}
+    want = {}
+    for models, horizons in ((True, True), (True, False), (False, True), (False, False)):
+        d = full if models else full.withColumn("model", F.lit(M.ALL))
+        for r in M.evaluate(d if horizons else d.withColumn("horizon", F.lit(M.ALL)), 1.0).collect():
+            want[r["model"], r["horizon"]] = r.asDict()
+    assert got.keys() == want.keys() and len(got) == 12
+    for k, w in want.items():
+        assert set(got[k]) == set(w) and all(got[k][c] == pytest.approx(v) if isinstance(v, float) else got[k][c] == v for c, v in w.items()), k

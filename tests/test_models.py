@@ -1,5 +1,7 @@
 """Forecasters, scalers, payloads and streams."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from tidegrid import functions as X
 from tidegrid.operators.quantiles import exact_quantiles
 from tidegrid.plans import models
+from tidegrid.plans import trees as trees_module
 from tidegrid.sources.folders import read_version
 from tidegrid.streaming import online
 
@@ -42,6 +45,98 @@ def test_boosted_trees(spark, frame):
     assert r["a_q10"] <= r["a_q50"] <= r["a_q90"] and r["a_p"] > 0.5 and m.importance("a")["last"] == pytest.approx(1.0)
 
 
+def plain_trees(x, targets, taus, trees, depth, bins, rate, least):
+    """The same boosting by sorting and looping: scores of every model for every row."""
+    edges = [sorted(set(np.quantile(x[:, j], [k / bins for k in range(1, bins)]))) for j in range(x.shape[1])]
+    binned = np.stack([[sum(e < v for e in es) for v in x[:, j]] for j, es in enumerate(edges)], axis=1)
+    out = np.zeros((len(x), len(taus)))
+    for m, tau in enumerate(taus):
+        y = targets[:, m]
+        ok = ~np.isnan(y)
+        logistic = tau == trees_module.LOGISTIC
+        p = min(max(y[ok].mean(), 1e-6), 1 - 1e-6)
+        f = np.full(len(x), np.log(p / (1 - p)) if logistic else np.quantile(y[ok], tau))
+        for _ in range(trees):
+            prob = 1 / (1 + np.exp(-f))
+            g, h = (y - prob, prob * (1 - prob)) if logistic else (tau - (y < f), np.ones(len(x)))
+            node = np.zeros(len(x), dtype=int)
+            for d in range(depth):
+                for k in range(2**d - 1, 2 ** (d + 1) - 1):
+                    own = (node == k) & ok
+                    worth = lambda r: g[r].sum() ** 2 / h[r].sum() if h[r].sum() > 0 else 0.0  # noqa: B023, E731
+                    best = (0.0, 0, 0)
+                    for j in range(x.shape[1]):
+                        for b in range(len(edges[j])):
+                            left = own & (binned[:, j] <= b)
+                            if left.sum() >= least and own.sum() - left.sum() >= least:
+                                best = max(best, (round(worth(left) + worth(own & ~left) - worth(own), 9), -j, -b))
+                    if best[0] > 0:
+                        node = np.where(node == k, 2 * k + 1 + (binned[:, -best[1]] > -best[2]), node)
+            for k in set(node[ok]):
+                own = (node == k) & ok
+                f = np.where(node == k, f + rate * (g[own].sum() / h[own].sum() if logistic else np.quantile((y - f)[own], tau)), f)
+        out[:, m] = f
+    return out
+
+
+def test_quantile_trees_equal_a_plain_version(spark):
+    r = np.random.default_rng(4)
+    x = np.round(r.normal(0, 1, (300, 3)), 3)
+    y = 2 * x[:, 0] + np.where(x[:, 1] > 0.3, 3, 0) + r.gamma(2, 1, 300)
+    taus = [0.1, 0.5, 0.9, trees_module.LOGISTIC]
+    targets = np.stack([y, y, y, (y > 2).astype(float)], axis=1)
+    targets[::23] = np.nan
+    rows = [(i, *map(float, a), [(m, float(v)) for m, v in enumerate(t) if v == v]) for i, (a, t) in enumerate(zip(x, targets, strict=True))]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, targets array<struct<m: int, y: double>>").repartition(3)
+    size = {"trees": 4, "depth": 3, "bins": 8, "rate": 0.3, "least": 10}
+    e = trees_module.fit(df, ["a", "b", "c"], taus, **size)
+    got = np.array([q["f"] for q in df.withColumn("f", e.score()).orderBy("id").select("f").collect()])
+    np.testing.assert_allclose(got, plain_trees(x, targets, taus, **size), atol=1e-9)
+    again = trees_module.Ensemble(**json.loads(json.dumps(e.state())))
+    assert df.limit(0).withColumn("f", e.score()).count() == 0
+    np.testing.assert_array_equal(got, np.array([q["f"] for q in df.withColumn("f", again.score()).orderBy("id").select("f").collect()]))
+
+
+def test_each_quantile_has_its_own_loss(spark):
+    """On rows never seen, skewed noise whose width depends on an input: outer quantiles beat the median moved by a constant."""
+    r = np.random.default_rng(9)
+    a = r.uniform(0, 1, 3000)
+    y = 5 * a + r.exponential(0.2 + 3 * a)
+    df = spark.createDataFrame([(i, float(v), float(w)) for i, (v, w) in enumerate(zip(a, y, strict=True))], "id int, last double, y_a double")
+    m = models.BoostedTrees(H, 5.0, inputs=["last"], trees=12, depth=3).fit(df.where("id < 2000"))
+    p = m.predict(df.where("id >= 2000")).toPandas()
+    pin = lambda q, t: np.maximum(t * (p.y_a - q), (t - 1) * (p.y_a - q)).mean()
+    rest = (y[:2000] - 5 * a[:2000]) - np.median(y[:2000] - 5 * a[:2000])
+    for c, t in (("a_q10", 0.1), ("a_q90", 0.9)):
+        assert pin(p[c], t) < 0.97 * pin(p.a_q50 + np.quantile(rest, t), t)
+    assert 0.74 < ((p.y_a >= p.a_q10) & (p.y_a <= p.a_q90)).mean() < 0.86
+    assert np.mean((p.a_p - (p.y_a >= 5)) ** 2) < 0.8 * np.var(p.y_a >= 5)
+
+
+def test_models_without_targets_or_with_one_class(spark, frame):
+    m = models.BoostedTrees({"a": 1, "none": 2}, 1e9, inputs=["last"], trees=2, depth=2).fit(frame.withColumn("y_none", F.lit(None).cast("double")))
+    r = m.predict(frame).first()
+    assert r["a_p"] < 0.01 and r["none_q50"] == 0.0
+
+
+def test_least_squares_from_sums_equal_numpy(spark):
+    """Large offsets, an input that others determine, one that never changes, and targets that are missing for some horizons."""
+    r = np.random.default_rng(2)
+    x = np.column_stack([r.normal(400, 30, 500), r.normal(1e6, 2, 500), r.normal(0, 1, 500)])
+    y = 0.3 * x[:, 0] - 2 * x[:, 1] + x[:, 2] + r.normal(0, 0.5, 500)
+    rows = [(i, *map(float, a), float(a[0] + a[2]), 7.0, float(v), float(v * 2) if i % 3 else None) for i, (a, v) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows, "id int, u double, v double, w double, same double, flat double, y_a double, y_b double").repartition(4)
+    m = models.LinearFilter({"a": 1, "b": 2}, 3.0, inputs=["u", "v", "w", "same", "flat"]).fit(df)
+    p = m.predict(df).orderBy("id").toPandas()
+    for h, keep in (("a", np.ones(500, bool)), ("b", np.arange(500) % 3 > 0)):
+        design = np.column_stack([x - x.mean(0), np.ones(500)])
+        t = y * (2 if h == "b" else 1)
+        w = np.linalg.lstsq(design[keep], t[keep], rcond=None)[0]
+        np.testing.assert_allclose(p[f"{h}_pred"], design @ w, atol=1e-5)
+        assert m.sigma[h] == pytest.approx(np.std(t[keep] - (design @ w)[keep]), rel=1e-5)
+    assert models.LinearFilter(H, 3.0, inputs=["u"]).fit(df.where("y_a IS NULL")).models["a"][0] == [0.0]
+
+
 def test_registry():
     with pytest.raises(RuntimeError, match="torch"):
         models.build_model("tft")
@@ -83,10 +178,10 @@ def test_state_classes():
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    rows = spark.range(300).select(F.concat(F.lit("s"), (F.col("id") % 2).cast("string")).alias("sat_id"), F.timestamp_seconds(F.col("id") * 60).alias("time"), F.when(F.col("id") % 7 != 3, F.sin("id")).alias("x"))
-    parts = [rows.where((F.unix_seconds("time") >= 6000 * k) & (F.unix_seconds("time") < 6000 * (k + 1))) for k in range(3)]
+    rows = spark.range(300).select(F.concat(F.lit("s"), (F.col("id") % 2).cast("string")).alias("sat_id"), F.timestamp_seconds(F.col("id") * 60 + 6000).alias("time"), F.when(F.col("id") % 7 != 3, F.sin("id")).alias("x"))
+    parts = [rows.where((F.unix_seconds("time") >= 6000 * k) & (F.unix_seconds("time") < 6000 * (k + 1))) for k in range(1, 4)]
     parts[0].write.parquet(f"{tmp_path}/in")
-    q = online.stream_features(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), 20).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").start()
+    q = online.stream_features(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), 20, "0 seconds", 60).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").start()
     q.processAllAvailable()
     for p in parts[1:]:
         p.write.mode("append").parquet(f"{tmp_path}/in")
@@ -134,7 +229,7 @@ def test_whole_vector_in_a_stream_equals_the_batch_one(spark, tmp_path):
     q = None
     for a, b in zip(cut, cut[1:], strict=False):
         rows.where((F.unix_seconds("time") >= a) & (F.unix_seconds("time") < b)).write.mode("append").parquet(f"{tmp_path}/in")
-        q = q or online.stream_vector(src, lags, rolling).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").start()
+        q = q or online.stream_vector(src, lags, rolling, '0 seconds').writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").start()
         q.processAllAvailable()
     q.stop()
     s = spark.read.parquet(f"{tmp_path}/out").orderBy("sat_id", "time").toPandas()
@@ -162,13 +257,16 @@ def test_serving(spark, tmp_path):
     code, body = serve.answer(spark, path, "s", "6h")
     assert code == 200 and body["model"] == "persistence" and body["q50"] == pytest.approx(10**3.5) and body["issued_utc"] == "2020-09-13T12:41:40Z"
     assert serve.answer(spark, path, "s", "9h")[0] == 404 and serve.check_vector([1.0], 2)[0] == 422 and set(serve.answer(spark, path, "z")[1]["horizons"]) == {"nowcast", "6h", "12h"}
+    both = rows.withColumn("bin", F.lit(1))
+    half = models.Climatology({"6h": 72}, 3.0)
+    half.table, half.fitted = spark.createDataFrame([("6h", 1, 1.0, 0.5, 1.0, 1.5, 0.2, 3), ("6h", None, None, None, None, None, None, 0)], "horizon string, bin int, mean double, q10 double, q50 double, q90 double, freq double, n long"), True
+    some = serve.predict_chain(both.withColumn("bin_6h", F.when(F.col("sat_id") == "s", 1)), [half, models.Persistence({"6h": 72}).fit(rows)], table, {"6h": 72}).collect()
+    assert {r["sat_id"]: r["model"] for r in some} == {"s": "climatology", "z": "persistence"} and all(r["6h_pred"] == (1.0 if r["sat_id"] == "s" else r["last"]) for r in some)
     sent = []
     push = serve.push_changes(sent.append)
     for epoch in (0, 1):
         push(read_version(spark, path), epoch)
     assert sorted(x["sat_id"] for x in sent) == ["s", "z"]
-    long = spark.range(1000).select(F.lit("s").alias("sat_id"), F.timestamp_seconds(F.col("id") * 300).alias("time"))
-    assert serve.history(long).agg(F.min("time"), F.count("*")).first()[1] == 288
 
 
 def test_exact_quantiles_equal_numpy(spark):

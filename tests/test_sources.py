@@ -166,13 +166,13 @@ def server(tmp_path):
 def test_fetches(spark, server):
     from tidegrid.sources import fetch
 
-    h = fetch.fetch_hapi(spark, f"{server}/hapi", "D", ["V", "B", "W"], "2024-01-01T00:00:00Z", "2024-01-01T03:00:00Z", hours=1).orderBy("time").collect()
+    h = fetch.fetch_hapi(spark, None, "D", ["V", "B", "W"], "2024-01-01T00:00:00Z", "2024-01-01T03:00:00Z", hours=1, url=f"{server}/hapi/").orderBy("time").collect()
     assert [(r["V"], r["B"], r["W"]) for r in h] == [x for k in range(3) for x in ((400.0 + k, 1.5, None), (None, 3.5, 7.0))]
     c = fetch.fetch_cdaweb(spark, "D", ["B", "absent"], "2024-01-01", "2024-01-03", base=f"{server}/cda").orderBy("time").collect()
     assert [(r["B"], r["absent"]) for r in c] == [(0.0, None), (None, None), (2.0, None), (1.0, None), (None, None), (2.0, None)]
-    assert fetch.resolve_server("cdaweb").startswith("https://")
-    with pytest.raises(ValueError, match="unknown server"):
-        fetch.resolve_server("nowhere")
+    assert fetch.archive() == fetch.archive("cdaweb") and len({fetch.archive(n) for n in fetch.HAPI_SERVERS}) == 7 and fetch.archive("amda", "http://other/") == "http://other"
+    with pytest.raises(ValueError, match="no archive is called"):
+        fetch.archive("nowhere")
     with pytest.raises(RuntimeError, match="check the network"):
         fetch.get(f"{server}/none")
     assert fetch.resolve_source(spark, lambda s: s.range(1)).count() == 1 and fetch.resolve_source(spark).isStreaming

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .operators import metrics as M
 from .operators import windows as W
 from .operators.clean import preprocess
-from .operators.grid import resample, validate_merged
+from .operators.grid import feature_rules, merged_rules, resample
 from .plans.models import build_model, load_model, save_model
 from .schema import Grid, Settings, settings_from
 from .session import session
@@ -59,9 +59,21 @@ def ingest(spark, a) -> None:
 def clean(spark, a) -> None:
     raw = sinks.read_grid(spark, a.source)
     done = preprocess(raw, Grid(), [c for c in CHANNELS if c in raw.columns], _settings(a))
-    for p in validate_merged(done):
+    wrong, rules = merged_rules(done)
+    for p in wrong:
         print("note:", p)
-    sinks.write_grid(done, a.out)
+    _written(done, rules, lambda d: sinks.write_grid(d, a.out))
+
+
+def _written(df, rules, write) -> None:
+    """Write, and say afterwards which rules the rows that were written break."""
+    def note(found: dict[str, int]) -> None:
+        for name, n in found.items():
+            print(f"note: {name} ({n} rows)")
+
+    seen, verdict = sinks.gate(rules, note)(df)
+    write(seen)
+    verdict()
 
 
 def features(spark, a) -> None:
@@ -70,12 +82,13 @@ def features(spark, a) -> None:
     inputs = [c for c in f.columns if c in CHANNELS or "_lag" in c or "_roll" in c]
     d = W.anchors(f.withColumn("last", F.col(a.target)), Grid(), inputs, a.target, s.lookback, decoder=s.decoder, horizons=s.horizons, threshold=s.threshold, keep=("last", *inputs))
     d = W.every_nth(d, Grid(), s.stride, s.max_windows) if s.stride > 1 or s.max_windows else d
-    W.chronological_split(d, Grid(), s.train, s.val, -(-(s.lookback + s.decoder) // s.stride)).write.mode("overwrite").parquet(a.out)
+    d = W.chronological_split(d, Grid(), s.train, s.val, -(-(s.lookback + s.decoder) // s.stride))
+    _written(d, feature_rules(d, inputs, "last")[1], lambda x: x.write.mode("overwrite").parquet(a.out))
 
 
 def fetched(spark, a) -> None:
     names = a.variables.split(",")
-    get = fetch.fetch_hapi(spark, a.server, a.dataset, names, a.start, a.stop) if a.server else fetch.fetch_cdaweb(spark, a.dataset, names, a.start, a.stop)
+    get = fetch.fetch_hapi(spark, a.server, a.dataset, names, a.start, a.stop, url=a.url) if a.server or a.url else fetch.fetch_cdaweb(spark, a.dataset, names, a.start, a.stop)
     sinks.write_grid(resample(get, Grid(), names), a.out)
 
 
@@ -118,11 +131,14 @@ def evaluate(spark, a) -> None:
 
 
 def served(spark, a) -> None:
-    """Forecast each new sample of a folder of Parquet samples into a table of latest forecasts; once drains the folder and ends."""
+    """Forecast each new sample of a folder of Parquet samples into a table of latest forecasts; once drains the folder and ends.
+
+    Samples up to `late` behind the newest are waited for and put in order; those that come later still are left out.
+    """
     s = _settings(a)
     predictors = [load_model(spark, a.trained)] if a.trained else []
     samples = spark.readStream.schema(spark.read.parquet(a.source).schema).parquet(a.source)
-    rows = online.stream_vector(samples).withColumn("last", F.col("log_flux_e2"))
+    rows = online.stream_vector(samples, late=a.late).withColumn("last", F.col("log_flux_e2"))
     q = rows.writeStream.foreachBatch(serve.refresh(a.out, predictors, [(2.0, 0.3)] * 24, s.horizons, s.threshold)).option("checkpointLocation", f"{a.out}.checkpoint")
     q = (q.trigger(availableNow=True) if a.once else q.trigger(processingTime="60 seconds")).start()
     q.awaitTermination()
@@ -146,10 +162,10 @@ def main(argv: list[str] | None = None) -> None:
     series = [("--days", {"type": float, "default": 10}), ("--seed", {"type": int, "default": 0})]
     model, trained, split = ("--model", {"default": None}), ("--trained", {"default": None}), ("--split", {"default": "test"})
     for name, f, args in (
-        ("synth", synth, series), ("fetch", fetched, [("--server", {"default": None}), ("--dataset", need), ("--variables", need), ("--start", need), ("--stop", need)]),
+        ("synth", synth, series), ("fetch", fetched, [("--server", {"default": None}), ("--url", {"default": None}), ("--dataset", need), ("--variables", need), ("--start", need), ("--stop", need)]),
         ("ingest", ingest, [("--files", {"nargs": "+", "required": True}), ("--variables", need)]), ("export", export, [source, ("--kind", {"default": None})]),
         ("clean", clean, [source]), ("features", features, [source, ("--target", {"default": "log_flux_e2"})]), ("baseline", baseline, [source, split, ("--models", {"default": "persistence"})]),
-        ("train", train, [source, model]), ("evaluate", evaluate, [source, split, trained, model]), ("serve", served, [source, trained, model, ("--once", {"action": "store_true"})]), ("demo", demo, series),
+        ("train", train, [source, model]), ("evaluate", evaluate, [source, split, trained, model]), ("serve", served, [source, trained, model, ("--once", {"action": "store_true"}), ("--late", {"default": "0 seconds"})]), ("demo", demo, series),
     ):
         s = sub.add_parser(name)
         for option, kw in [*args, ("--out", {"required": True}), ("--config", {"default": None})]:

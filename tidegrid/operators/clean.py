@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dynamic_pressure, log10_floor, or_mask
 from ..schema import MAD_TO_SIGMA, Grid, Settings
 from .grid import keep_last
-from .halo import CHUNK_STEPS, carried, names, windowed
+from .halo import CHUNK_STEPS, carried, names, surrounded, windowed
 
 
 def _median(c: Column) -> Column:
@@ -37,13 +37,9 @@ def hampel(df: DataFrame, grid: Grid, columns: Sequence[str] | str, window: int
 
 def gap_lengths(df: DataFrame, grid: Grid, column: str, name: str = "gap_len", chunk_steps: int = CHUNK_STEPS) -> DataFrame:
     """Length in steps of the run of missing values a row is part of, 0 where there is a value; of any length."""
-    t = F.unix_seconds(F.col(grid.time))
-    df = carried(df, grid, {"__p": F.when(F.col(column).isNotNull(), t)}, chunk_steps)
-    df = carried(df, grid, {"__q": F.when(F.col(column).isNotNull(), t)}, chunk_steps, ahead=True)
-    ends = df.groupBy(*grid.keys).agg(F.min(t).alias("__a"), F.max(t).alias("__b"))
-    df = df.join(ends, list(grid.keys)) if grid.keys else df.crossJoin(F.broadcast(ends))  # one row
-    run = (F.coalesce("__q", F.col("__b") + grid.step) - F.coalesce("__p", F.col("__a") - grid.step)) / grid.step - 1
-    return df.withColumn(name, F.when(F.col(column).isNull(), run).otherwise(0).cast("bigint")).drop("__p", "__q", "__a", "__b")
+    d = surrounded(df, grid, F.col(column).isNotNull(), chunk_steps)
+    run = (F.coalesce("__after", F.col("__last") + grid.step) - F.coalesce("__before", F.col("__first") - grid.step)) / grid.step - 1
+    return d.withColumn(name, F.when(F.col(column).isNull(), run).otherwise(0).cast("bigint")).drop("__before", "__after", "__first", "__last")
 
 
 def gap_classes(df: DataFrame, grid: Grid, column: str, max_gap: int, chunk_steps: int = CHUNK_STEPS) -> DataFrame:

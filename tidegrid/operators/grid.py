@@ -31,13 +31,20 @@ def _aggregate(how: str, column: str, time: str) -> Column:
 
 
 def resample(df: DataFrame, grid: Grid, columns: Sequence[str], how: str = "mean", overrides: Mapping[str, str] | None = None, complete: bool = True) -> DataFrame:
-    """One row per bin; with complete also for empty bins between the first and the last of each series."""
+    """One row per bin; with complete also for empty bins between the first and the last of each series.
+
+    Empty bins go into the same aggregate as rows without values, so nothing has to be joined afterwards.
+    """
     how_of = {c: (overrides or {}).get(c, how) for c in columns}
-    tidy = df.withColumns({c: null_if_nan(F.col(c)) for c, kind in df.dtypes if c in columns and kind in ("double", "float")})
-    bins = tidy.groupBy(*grid.keys, bin_start(F.col(grid.time), grid.step).alias("__bin")).agg(*[_aggregate(h, c, grid.time).alias(c) for c, h in how_of.items()]).withColumnRenamed("__bin", grid.time)
-    if not complete:
-        return bins
-    return time_axis(df, grid).join(bins, [*grid.keys, grid.time], "left")
+    kinds = dict(df.dtypes)
+    value = {c: null_if_nan(F.col(c)) if kinds[c] in ("double", "float") else F.col(c) for c in columns}
+    rows = df.select(*grid.keys, grid.time, *[v.alias(c) for c, v in value.items()], bin_start(F.col(grid.time), grid.step).alias("__bin"), F.lit(1).alias("__one"))
+    if complete:
+        empty = time_axis(df, grid).withColumnRenamed(grid.time, "__bin")
+        rows = rows.where(F.col(grid.time).isNotNull()).unionByName(empty, allowMissingColumns=True)
+    made = {c: _aggregate(h, c, grid.time) for c, h in how_of.items()}
+    made = {c: F.when(F.count("__one") > 0, a) if how_of[c] == "count" else a for c, a in made.items()}  # no rows, no count
+    return rows.groupBy(*grid.keys, "__bin").agg(*[a.alias(c) for c, a in made.items()]).withColumnRenamed("__bin", grid.time)
 
 
 def time_axis(df: DataFrame, grid: Grid, chunk_steps: int = CHUNK_STEPS) -> DataFrame:
@@ -82,32 +89,49 @@ def check_time(df: DataFrame, grid: Grid) -> list[str]:
     return out + [f"{r['odd']} steps other than {grid.step} s"] * (r["odd"] > 0 and r["n"] > 2)
 
 
-def _problems(df: DataFrame, required: Sequence[str], ranges: Mapping[str, Column]) -> list[str]:
+def _columns(df: DataFrame, required: Sequence[str]) -> tuple[list[str], list[str]]:
+    """What is wrong with the columns of a frame, and those of them that can be looked into."""
     kinds = dict(df.dtypes)
     out = [f"{c} is missing" for c in required if c not in kinds]
     out += [f"{c} is {kinds[c]}, not double" for c in required if kinds.get(c, "double") not in ("double", "float")]
-    there = [c for c in required if kinds.get(c) in ("double", "float")]
-    checks = {f"{c} has infinite values": F.abs(F.col(c)) == F.lit(float("inf")) for c in there} | {k: v for k, v in ranges.items()}
-    if checks:
-        r = df.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(f"c{i}") for i, c in enumerate(checks.values())]).first()
-        out += [f"{name} ({r[i]} rows)" for i, name in enumerate(checks) if r[i]]
-    return out
+    return out, [c for c in required if kinds.get(c) in ("double", "float")]
 
 
-def validate_merged(df: DataFrame) -> list[str]:
-    """Problems of a merged frame, found in one aggregate pass."""
-    has = set(df.columns)
-    ranges = {}
+def merged_rules(df: DataFrame) -> tuple[list[str], dict[str, Column]]:
+    """What is wrong with the columns of a merged frame, and conditions that none of its rows may meet."""
+    out, there = _columns(df, MERGED_COLUMNS)
+    has, rules = set(df.columns), {f"{c} has infinite values": F.abs(F.col(c)) == F.lit(float("inf")) for c in there}
     if "mlt" in has:
-        ranges["mlt is outside [0, 24)"] = (F.col("mlt") < 0) | (F.col("mlt") >= 24)
+        rules["mlt is outside [0, 24)"] = (F.col("mlt") < 0) | (F.col("mlt") >= 24)
     if "kp" in has:
-        ranges["kp is outside [0, 9]"] = (F.col("kp") < 0) | (F.col("kp") > 9)
-    ranges |= {f"{c} is not 0 or 1": ~F.col(c).isin(0, 1) for c in df.columns if c.endswith("_imputed")}
-    return _problems(df, MERGED_COLUMNS, ranges)
+        rules["kp is outside [0, 9]"] = (F.col("kp") < 0) | (F.col("kp") > 9)
+    return out, rules | {f"{c} is not 0 or 1": ~F.col(c).isin(0, 1) for c in df.columns if c.endswith("_imputed")}
+
+
+def feature_rules(df: DataFrame, columns: Sequence[str], target: str = "log_flux_e2") -> tuple[list[str], dict[str, Column]]:
+    out, there = _columns(df, [*dict.fromkeys([*columns, *KNOWN_FUTURE, target])])
+    return out, {f"{c} has infinite values": F.abs(F.col(c)) == F.lit(float("inf")) for c in there}
+
+
+def with_time_rules(df: DataFrame, grid: Grid) -> tuple[DataFrame, dict[str, Column]]:
+    """df with a column `__previous`, the time of the row before, and conditions on it: missing, repeated or odd steps."""
+    d = previous_time(df, grid, "__previous")
+    step = F.unix_seconds(grid.time) - F.unix_seconds("__previous")
+    return d, {"missing times": F.col(grid.time).isNull(), "repeated times": step == 0, f"steps other than {grid.step} s": (step != grid.step) & (step != 0)}
+
+
+def _counted(df: DataFrame, out: list[str], rules: Mapping[str, Column]) -> list[str]:
+    r = df.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(f"c{i}") for i, c in enumerate(rules.values())]).first() if rules else []
+    return out + [f"{name} ({r[i]} rows)" for i, name in enumerate(rules) if r[i]]
+
+
+def validate_merged(df: DataFrame) -> list[str]:
+    """Problems of a merged frame, found in one aggregate pass."""
+    return _counted(df, *merged_rules(df))
 
 
 def validate_features(df: DataFrame, columns: Sequence[str], target: str = "log_flux_e2") -> list[str]:
-    return _problems(df, [*dict.fromkeys([*columns, *KNOWN_FUTURE, target])], {})
+    return _counted(df, *feature_rules(df, columns, target))
 
 
 def merge_pair(left: DataFrame, right: DataFrame, on: Sequence[str] = ("time",), how: str = "inner") -> DataFrame:

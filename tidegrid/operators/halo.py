@@ -36,22 +36,43 @@ def windowed(df: DataFrame, grid: Grid, before: int, after: int, add: Callable[[
     return add(wide, spec(grid, "__chunk")).where(F.col("__home") == F.col("__chunk")).drop("__home", "__chunk")
 
 
+def spread(grid: Grid, *more: str) -> WindowSpec:
+    """As spec(), newest first: looking ahead is looking back in it, and a running value costs one step a row."""
+    keys = [*grid.keys, *more]
+    return (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(F.col(grid.time).desc())
+
+
 def carried(df: DataFrame, grid: Grid, values: dict[str, Column], chunk_steps: int = CHUNK_STEPS, ahead: bool = False) -> DataFrame:
     """For each name the last (with ahead: next) non-null value at or before (after) the row, however far away."""
-    steps = chunk_steps
-    w = spec(grid, "__chunk").rowsBetween(*((0, Window.unboundedFollowing) if ahead else (Window.unboundedPreceding, 0)))
-    pick = (lambda c: F.first(c, ignorenulls=True)) if ahead else (lambda c: F.last(c, ignorenulls=True))
-    df = df.withColumns({f"__v{i}": c for i, c in enumerate(values.values())}).withColumn("__chunk", chunk_of(grid, steps))
+    w = (spread if ahead else spec)(grid, "__chunk").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({f"__v{i}": c for i, c in enumerate(values.values())}).withColumn("__chunk", chunk_of(grid, chunk_steps))
     ends = df.groupBy(*grid.keys, "__chunk").agg(
         *[(F.min_by if ahead else F.max_by)(f"__v{i}", F.when(F.col(f"__v{i}").isNotNull(), F.col(grid.time))).alias(f"__e{i}") for i in range(len(values))]
     )
-    scan = Window.partitionBy(*(grid.keys or [F.lit(0)])).orderBy("__chunk").rowsBetween(*((1, Window.unboundedFollowing) if ahead else (Window.unboundedPreceding, -1)))
-    ends = ends.select(*grid.keys, "__chunk", *[pick(F.col(f"__e{i}")).over(scan).alias(f"__c{i}") for i in range(len(values))])
-    out = df.withColumns({name: pick(F.col(f"__v{i}")).over(w) for i, name in enumerate(values)})
+    scan = Window.partitionBy(*(grid.keys or [F.lit(0)])).orderBy(F.col("__chunk").desc() if ahead else F.col("__chunk").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*grid.keys, "__chunk", *[F.last(F.col(f"__e{i}"), ignorenulls=True).over(scan).alias(f"__c{i}") for i in range(len(values))])
+    out = df.withColumns({name: F.last(F.col(f"__v{i}"), ignorenulls=True).over(w) for i, name in enumerate(values)})
     out = out.join(ends, [*grid.keys, "__chunk"], "left")
     return out.withColumns({name: F.coalesce(F.col(name), F.col(f"__c{i}")) for i, name in enumerate(values)}).drop("__chunk", *[f"__{k}{i}" for k in "vc" for i in range(len(values))])
 
 
+def surrounded(df: DataFrame, grid: Grid, known: Column, chunk_steps: int = CHUNK_STEPS) -> DataFrame:
+    """Adds the times (seconds) of the nearest rows where `known` holds, at or before and at or after each row (__before,
+    __after), and of the first and last row of the series (__first, __last). One value a chunk serves all four, so df is
+    read once for these and once for the rows."""
+    t = F.unix_seconds(F.col(grid.time))
+    d = df.withColumns({"__k": F.when(known, t), "__chunk": chunk_of(grid, chunk_steps)})
+    ends = d.groupBy(*grid.keys, "__chunk").agg(F.min("__k").alias("__lo"), F.max("__k").alias("__hi"), F.min(t).alias("__a"), F.max(t).alias("__b"))
+    by = Window.partitionBy(*(grid.keys or [F.lit(0)]))
+    back = by.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = by.orderBy(F.col("__chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*grid.keys, "__chunk", F.max("__hi").over(back).alias("__p"), F.min("__lo").over(ahead).alias("__q"), F.min("__a").over(by).alias("__first"), F.max("__b").over(by).alias("__last"))
+    upto = (Window.unboundedPreceding, 0)
+    d = d.withColumns({"__before": F.max("__k").over(spec(grid, "__chunk").rowsBetween(*upto)), "__after": F.min("__k").over(spread(grid, "__chunk").rowsBetween(*upto))})
+    d = d.join(ends, [*grid.keys, "__chunk"], "left")
+    return d.withColumns({"__before": F.coalesce("__before", "__p"), "__after": F.coalesce("__after", "__q")}).drop("__k", "__chunk", "__p", "__q")
+
+
 def positioned(df: DataFrame, grid: Grid, name: str = "pos", total: str | None = "n_rows", chunk_steps: int = CHUNK_STEPS, order: Sequence[str] = ()) -> DataFrame:
     """0-based position by time (then `order`) within each series, and the number of rows of the series."""
     df = df.withColumn("__chunk", chunk_of(grid, chunk_steps))

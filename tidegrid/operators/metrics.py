@@ -155,21 +155,51 @@ def by_horizon(df: DataFrame, key: Sequence[str], horizons: Mapping[str, int], c
     return df.select(*key, F.explode(F.array(*rows)).alias("r")).select(*key, "r.*")
 
 
-def evaluate(long: DataFrame, threshold: float, by: Sequence[str] = ("model", "horizon"), taus: Sequence[float] = QUANTILES) -> DataFrame:
-    """All scores of rows (y, pred, ref, p, q10, q50, q90), per group, in one aggregation plus the ranked area."""
+def _scores(threshold: float, taus: Sequence[float]) -> list[Column]:
     y, pred, ref, p = F.col("y"), F.col("pred"), F.col("ref"), F.col("p")
     o, e = (y >= threshold).cast("int"), (pred >= threshold).cast("int")
     qs = [F.col(c) for c in ("q10", "q50", "q90")]
-    agg = [
+    return [
         *regression_report(y, pred), skill(y, pred, ref).alias("skill"), *contingency(o, e), brier(p, o.cast("double")).alias("brier"), brier_skill(p, o.cast("double")).alias("bss"),
         crps(y, qs, taus).alias("crps"), picp(y, qs[0], qs[-1]).alias("picp"),
     ]
-    table = long.groupBy(*by).agg(*agg)
-    table = table.select("*", *event_scores(F.col("hits"), F.col("misses"), F.col("false_alarms"), F.col("correct_negatives")), F.lit(taus[-1] - taus[0]).alias("picp_nominal"))
-    area = roc_auc(long.withColumn("__o", o), "__o", "p", by).select(*by, "roc_auc")
+
+
+def _with_events(table: DataFrame, taus: Sequence[float]) -> DataFrame:
+    return table.select("*", *event_scores(F.col("hits"), F.col("misses"), F.col("false_alarms"), F.col("correct_negatives")), F.lit(taus[-1] - taus[0]).alias("picp_nominal"))
+
+
+def evaluate(long: DataFrame, threshold: float, by: Sequence[str] = ("model", "horizon"), taus: Sequence[float] = QUANTILES) -> DataFrame:
+    """All scores of rows (y, pred, ref, p, q10, q50, q90), per group, in one aggregation plus the ranked area."""
+    table = _with_events(long.groupBy(*by).agg(*_scores(threshold, taus)), taus)
+    area = roc_auc(long.withColumn("__o", (F.col("y") >= threshold).cast("int")), "__o", "p", by).select(*by, "roc_auc")
     return table.join(area, list(by), "left")
 
 
+def with_persistence(long: DataFrame, of: str, threshold: float, name: str = "persistence") -> DataFrame:
+    """Rows of evaluate(), and for each row of the model `of` one of the forecast that the last value stays."""
+    cols = ("model", "pred", "p", "q10", "q50", "q90")
+    ref = F.col("ref")
+    own = F.struct(*[F.col(c) for c in cols])
+    same = F.struct(F.lit(name).alias("model"), ref.alias("pred"), (ref >= threshold).cast("double").alias("p"), *[ref.alias(q) for q in cols[3:]])
+    rest = [c for c in long.columns if c not in cols]
+    return long.select(*rest, F.explode(F.array_compact(F.array(own, F.when(F.col("model") == of, same)))).alias("r")).select(*rest, "r.*")
+
+
+#: Stands for all models or all horizons in a report.
+ALL = "all"
+
+
+def report(long: DataFrame, threshold: float, taus: Sequence[float] = QUANTILES) -> DataFrame:
+    """All scores per model and horizon, per model, per horizon and over all rows, from one pass over the rows by GROUPING SETS."""
+    by = ("model", "horizon")
+    table = long.groupingSets([[F.col(c) for c in s] for s in (by, by[:1], by[1:], ())], *by).agg(*[F.grouping(c).alias(f"__{c}") for c in by], *_scores(threshold, taus))
+    table = table.withColumns({c: F.when(F.col(f"__{c}") == 1, F.lit(ALL)).otherwise(F.col(c)) for c in by}).drop(*[f"__{c}" for c in by])
+    sets = F.explode(F.array(*[F.struct(m.alias("model"), h.alias("horizon")) for m in (F.col("model"), F.lit(ALL)) for h in (F.col("horizon"), F.lit(ALL))]))
+    area = roc_auc(long.select(sets.alias("s"), "p", (F.col("y") >= threshold).cast("int").alias("__o")).select("s.*", "p", "__o"), "__o", "p", by).select(*by, "roc_auc")
+    return _with_events(table, taus).join(area, list(by), "left")
+
+
 def tidy(table: DataFrame, by: Sequence[str] = ("model", "horizon")) -> DataFrame:
     """Scores as rows (metric, value)."""
     cols = [c for c in table.columns if c not in by]

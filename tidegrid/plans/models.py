@@ -9,8 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import ClassVar
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +17,7 @@ from ..functions import gaussian_quantiles, logistic_exceedance, lut_bin, surviv
 from ..operators.quantiles import exact_quantiles
 from ..schema import ALERT_LOG10, HORIZON_STEPS, QUANTILES
 from ..sources.sinks import load_state, save_state
+from . import trees
 
 
 class Forecaster:
@@ -88,23 +88,34 @@ class Climatology(Forecaster):
 
 
 class LinearFilter(Forecaster):
-    """Least squares on a few inputs per horizon, Gaussian residuals."""
+    """Least squares on a few inputs per horizon, Gaussian residuals.
+
+    All horizons come from one aggregate: for each the sums of products of the inputs, the constant and the target over
+    rows that have one, which add up over partitions in any order. Inputs are taken relative to a pilot row, so that sums
+    of large, nearly equal values keep their digits. The driver solves systems of as many unknowns as inputs.
+    """
 
     name = "refm"
 
     def fit(self, df: DataFrame) -> LinearFilter:
-        from pyspark.ml.regression import LinearRegression
-
         self.inputs = list(self.params["inputs"])
+        d = df.na.fill(0.0, self.inputs)
+        ys = [f"y_{h}" for h in self.horizons]
+        seen = d.select(*self.inputs, *ys).where(" OR ".join(f"`{y}` IS NOT NULL" for y in ys)).first()
+        pilot = {c: float(seen[c] or 0.0) if seen else 0.0 for c in [*self.inputs, *ys]}
+        k = len(self.inputs) + 2
+        cells = [F.struct(F.lit(i).alias("h"), F.array(*[F.col(c) - F.lit(pilot[c]) for c in self.inputs], F.lit(1.0), F.col(y) - F.lit(pilot[y])).alias("z")) for i, y in enumerate(ys)]
+        long = d.select(F.explode(F.array(*cells)).alias("r")).select("r.h", "r.z").where(F.col("z")[k - 1].isNotNull())
+        upper = [(i, j) for i in range(k) for j in range(i, k)]
+        found = {r["h"]: r["s"] for r in long.groupBy("h").agg(F.array(*[F.sum(F.col("z")[i] * F.col("z")[j]) for i, j in upper]).alias("s")).collect()}  # a row per horizon
         self.models, self.sigma = {}, {}
-        x = VectorAssembler(inputCols=self.inputs, outputCol="__x").transform(df.na.fill(0.0, self.inputs))
-        for h in self.horizons:
-            train = x.where(F.col(f"y_{h}").isNotNull())
-            m = LinearRegression(featuresCol="__x", labelCol=f"y_{h}", predictionCol="__p", solver="normal").fit(train)
-            self.models[h] = (list(m.coefficients), m.intercept)
-        # all residual spreads in one pass
-        spread = df.na.fill(0.0, self.inputs).agg(*[F.stddev_pop(F.col(f"y_{h}") - self._value(h)).alias(h) for h in self.horizons]).first()
-        self.sigma = {h: spread[h] or 0.0 for h in self.horizons}
+        for n, (h, y) in enumerate(zip(self.horizons, ys, strict=True)):
+            gram = np.zeros((k, k))
+            gram[np.triu_indices(k)] = found.get(n, 0.0)
+            gram += np.triu(gram, 1).T
+            w, sigma = solved(gram)
+            self.models[h] = w[:-1].tolist(), float(w[-1] + pilot[y] - sum(b * pilot[c] for b, c in zip(w[:-1], self.inputs, strict=True)))
+            self.sigma[h] = sigma
         self.fitted = True
         return self
 
@@ -114,56 +125,65 @@ class LinearFilter(Forecaster):
 
     def predict(self, df: DataFrame) -> DataFrame:
         self._require()
-        df = df.na.fill(0.0, self.inputs)
-        for h in self.horizons:
-            df = df.withColumn(f"{h}_pred", self._value(h))
-            q, s = gaussian_quantiles(F.col(f"{h}_pred"), F.lit(self.sigma[h])), F.lit(self.sigma[h])
-            df = df.withColumns(self._columns(h, [q[0], q[1], q[2]], F.col(f"{h}_pred"), survival(self.threshold, F.col(f"{h}_pred"), s)))
-        return df
+        df = df.na.fill(0.0, self.inputs).withColumns({f"{h}_pred": self._value(h) for h in self.horizons})
+        each = F.array(*[F.struct(F.col(f"{h}_pred").alias("mid"), F.lit(float(self.sigma[h])).alias("sigma")) for h in self.horizons])
+        df = df.withColumn("__p", F.transform(each, lambda m: survival(self.threshold, m["mid"], m["sigma"])))
+        for i, h in enumerate(self.horizons):
+            q = gaussian_quantiles(F.col(f"{h}_pred"), F.lit(self.sigma[h]))
+            df = df.withColumns(self._columns(h, [q[0], q[1], q[2]], F.col(f"{h}_pred"), F.col("__p")[i]))
+        return df.drop("__p")
+
+
+def solved(gram: np.ndarray) -> tuple[np.ndarray, float]:
+    """Least-squares weights and the residuals' deviation from sums of products of (inputs, constant, target).
+
+    Inputs that others determine get no weight of their own (the shortest of all solutions, in units of their spread).
+    """
+    n, xx, xy = gram[-2, -2], gram[:-1, :-1], gram[:-1, -1]
+    if n <= 0:
+        return np.zeros(len(xy)), 0.0
+    centre = xx[-1] / n
+    cov = xx[:-1, :-1] - np.outer(centre[:-1], centre[:-1]) * n
+    cross = xy[:-1] - centre[:-1] * xy[-1]
+    unit = np.sqrt(np.maximum(np.diag(cov), 0))
+    unit[unit <= 1e-9 * np.sqrt(np.maximum(np.diag(xx)[:-1], 1e-300))] = np.inf
+    b = np.linalg.lstsq(cov / np.outer(unit, unit), cross / unit, rcond=1e-10)[0] / unit if len(cross) else cross
+    rest = gram[-1, -1] - xy[-1] ** 2 / n - 2 * b @ cross + b @ cov @ b
+    return np.append(b, xy[-1] / n - b @ centre[:-1]), float(np.sqrt(max(rest, 0.0) / n))
 
 
 class BoostedTrees(Forecaster):
-    """Gradient-boosted trees per horizon: median by absolute loss, outer quantiles of residuals per leaf of the first tree, a classifier for exceedance."""
+    """Gradient-boosted trees per horizon: one model for each quantile by its own loss, and a logistic one for exceedance, all grown together."""
 
     name = "lightgbm"
 
     def fit(self, df: DataFrame) -> BoostedTrees:
-        from pyspark.ml.classification import GBTClassifier
-        from pyspark.ml.regression import GBTRegressor
-
-        self.inputs, self.models = list(self.params["inputs"]), {}
-        size = {"maxIter": self.params.get("trees", 20), "maxDepth": self.params.get("depth", 4), "seed": self.params.get("seed", 7)}
-        x = VectorAssembler(inputCols=self.inputs, outputCol="__x").transform(df.na.fill(0.0, self.inputs))
+        self.inputs = list(self.params["inputs"])
+        targets, taus = [], []
         for h in self.horizons:
-            train = x.where(F.col(f"y_{h}").isNotNull()).withColumn("__e", (F.col(f"y_{h}") >= self.threshold).cast("double"))
-            reg = GBTRegressor(featuresCol="__x", labelCol=f"y_{h}", predictionCol="__p", lossType="absolute", leafCol="__leaf", **size).fit(train)
-            leaf = reg.transform(train).select(vector_to_array("__leaf")[0].alias("leaf"), (F.col(f"y_{h}") - F.col("__p")).alias("r"))
-            table = leaf.groupBy("leaf").agg(F.percentile("r", F.array(*[F.lit(t) for t in QUANTILES])).alias("q")).collect()  # as many rows as leaves
-            kinds = train.agg(F.min("__e"), F.max("__e")).first()
-            cls = GBTClassifier(featuresCol="__x", labelCol="__e", predictionCol="__c", **size).setRawPredictionCol("__r").setProbabilityCol("__pr").fit(train) if kinds[0] != kinds[1] else None
-            self.models[h] = reg, {r["leaf"]: r["q"] for r in table}, cls
+            y, reached = F.col(f"y_{h}").cast("double"), (F.col(f"y_{h}") >= self.threshold).cast("double")
+            for tau, value in [*((t, y) for t in QUANTILES), (trees.LOGISTIC, reached)]:
+                targets.append(F.when(y.isNotNull(), F.struct(F.lit(len(taus)).alias("m"), value.alias("y"))))
+                taus.append(tau)
+        size = {"trees": self.params.get("trees", 20), "depth": self.params.get("depth", 4)} | {k: self.params[k] for k in ("bins", "rate", "least") if k in self.params}
+        self.ensemble = trees.fit(df.withColumn("targets", F.array_compact(F.array(*targets))), self.inputs, taus, **size)
         self.fitted = True
         return self
 
     def importance(self, h: str) -> dict[str, float]:
-        return dict(zip(self.inputs, self.models[h][0].featureImportances.toArray().tolist(), strict=True))
+        """Of the median's model."""
+        per = len(QUANTILES) + 1
+        return self.ensemble.importance(list(self.horizons).index(h) * per + QUANTILES.index(0.5))
 
     def predict(self, df: DataFrame) -> DataFrame:
         self._require()
-        x = VectorAssembler(inputCols=self.inputs, outputCol="__x").transform(df.na.fill(0.0, self.inputs))
-        for h in self.horizons:
-            reg, table, cls = self.models[h]
-            x = reg.transform(x)
-            lut = F.create_map(*[v for k, q in table.items() for v in (F.lit(k), F.array(*[F.lit(float(i)) for i in q]))])
-            off = F.coalesce(lut[vector_to_array("__leaf")[0]], F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)))
-            x = x.withColumn("__q", F.array_sort(F.transform(off, lambda r: r + F.col("__p"))))
-            if cls is not None:
-                x = cls.transform(x).withColumn("__e", vector_to_array("__pr")[1])
-            else:
-                x = x.withColumn("__e", (F.col("__q")[1] >= self.threshold).cast("double"))
-            q = F.col("__q")
-            x = x.withColumns(self._columns(h, [q[0], q[1], q[2]], q[1], F.col("__e"))).drop("__p", "__leaf", "__q", "__e", "__c", "__r", "__pr")
-        return x.drop("__x")
+        x, per = df.withColumn("__f", self.ensemble.score()), len(QUANTILES) + 1
+        for k, h in enumerate(self.horizons):
+            at = k * per
+            q = F.array_sort(F.array(*[F.col("__f")[at + i] for i in range(len(QUANTILES))]))
+            x = x.withColumn("__q", q)
+            x = x.withColumns(self._columns(h, [F.col("__q")[i] for i in range(3)], F.col("__q")[1], 1 / (1 + F.exp(-F.col("__f")[at + len(QUANTILES)])))).drop("__q")
+        return x.drop("__f")
 
 
 class Absent(Forecaster):
@@ -184,7 +204,7 @@ REGISTRY |= {n: _absent(n, lib) for n, lib in (("tft", "torch"), ("nhits", "torc
 
 
 def save_model(m: Forecaster, spark: SparkSession, path: str) -> None:
-    """A fitted forecaster as a table of one JSON row, tree ensembles beside it in their own format."""
+    """A fitted forecaster as a table of one JSON row; all of them are of driver size."""
     m._require()
     state = {"name": m.name, "horizons": m.horizons, "threshold": m.threshold, "params": m.params}
     if isinstance(m, Climatology):
@@ -192,19 +212,11 @@ def save_model(m: Forecaster, spark: SparkSession, path: str) -> None:
     elif isinstance(m, LinearFilter):
         state |= {"models": {h: [list(map(float, w)), float(b)] for h, (w, b) in m.models.items()}, "sigma": m.sigma}
     elif isinstance(m, BoostedTrees):
-        state["leaves"] = {h: sorted(map(list, table.items())) for h, (_, table, _) in m.models.items()}
-        state["classified"] = [h for h, (_, _, c) in m.models.items() if c is not None]
-        for h, (reg, _, cls) in m.models.items():
-            reg.write().overwrite().save(f"{path}/trees/{h}/value")
-            if cls is not None:
-                cls.write().overwrite().save(f"{path}/trees/{h}/exceeds")
+        state["ensemble"] = m.ensemble.state()
     save_state(spark, state, f"{path}/state")
 
 
 def load_model(spark: SparkSession, path: str) -> Forecaster:
-    from pyspark.ml.classification import GBTClassificationModel
-    from pyspark.ml.regression import GBTRegressionModel
-
     state = load_state(spark, f"{path}/state")
     m = build_model(state["name"], horizons=state["horizons"], threshold=state["threshold"], **state["params"])
     if isinstance(m, Climatology):
@@ -212,9 +224,7 @@ def load_model(spark: SparkSession, path: str) -> Forecaster:
     elif isinstance(m, LinearFilter):
         m.inputs, m.models, m.sigma = list(m.params["inputs"]), {h: (w, b) for h, (w, b) in state["models"].items()}, state["sigma"]
     elif isinstance(m, BoostedTrees):
-        m.inputs = list(m.params["inputs"])
-        tree = lambda h, kind, cls: cls.load(f"{path}/trees/{h}/{kind}")
-        m.models = {h: (tree(h, "value", GBTRegressionModel), {k: v for k, v in state["leaves"][h]}, tree(h, "exceeds", GBTClassificationModel) if h in state["classified"] else None) for h in m.horizons}
+        m.inputs, m.ensemble = list(m.params["inputs"]), trees.Ensemble(**state["ensemble"])
     m.fitted = True
     return m
 

@@ -18,7 +18,7 @@ from ..operators import metrics as M
 from ..operators import windows as W
 from ..schema import DECODER_STEPS
 from ..sources import cdf, feeds
-from ..sources.folders import scratch
+from ..sources.folders import kept, scratch
 from . import models, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -571,8 +571,13 @@ lt AS (SELECT horizon, bin, avg(y) AS mean, quantile_cont(y, 0.1) AS q10, quanti
   UNION ALL SELECT horizon, NULL, avg(y), quantile_cont(y, 0.1), quantile_cont(y, 0.5), quantile_cont(y, 0.9), avg((y >= {THR})::INT), count(*) FROM tr GROUP BY 1)"""
 
 
+def _split_anchors(spark, d):
+    """Anchors with bins and splits, made once for all that is fitted on them and all that is predicted."""
+    return kept(W.chronological_split(_with_bins(kept(views.anchor_frame(spark, d))), views.FIVE, 0.7, 0.15, 144))
+
+
 def _climatology(spark, d):
-    a = W.chronological_split(_with_bins(views.anchor_frame(spark, d)), views.FIVE, 0.7, 0.15, 144)
+    a = _split_anchors(spark, d)
     return models.Climatology(H, THR).fit(W.select_split(a, "train")), a
 
 
@@ -606,13 +611,18 @@ LINES = ("l_quantity", "l_extendedprice", "l_discount")
 
 
 def _train_lines(spark, d):
-    """First 70 % by ship date: whole days by their running count, and the rows of the day of the cut by rank."""
+    """First 70 % by ship date: days before that of the cut as a whole, and of its rows those of the lowest ranks."""
     li = views.table(spark, d, "lineitem").select("l_shipdate", "l_orderkey", "l_linenumber", *LINES)
-    days = li.groupBy("l_shipdate").agg(F.count("*").alias("k"))
-    n = days.agg(F.sum("k")).first()[0]
-    base = days.select("l_shipdate", F.coalesce(F.sum("k").over(Window.orderBy("l_shipdate").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    pos = F.col("base") + F.row_number().over(Window.partitionBy("l_shipdate").orderBy("l_orderkey", "l_linenumber")) - 1
-    return li.join(base, "l_shipdate").withColumn("pos", pos).where(F.col("pos") < int(n * 0.7))
+    days = kept(li.groupBy("l_shipdate").agg(F.count("*").alias("k")))
+    n = int((days.agg(F.sum("k")).first()[0] or 0) * 0.7)
+    upto = F.sum("k").over(Window.orderBy("l_shipdate").rowsBetween(Window.unboundedPreceding, 0))  # a row per day
+    cut = days.withColumn("upto", upto).where(F.col("upto") > n).orderBy("l_shipdate").limit(1).collect()
+    if not cut:
+        return li
+    day, left = cut[0]["l_shipdate"], n - (cut[0]["upto"] - cut[0]["k"])
+    rank = F.row_number().over(Window.partitionBy("l_shipdate").orderBy("l_orderkey", "l_linenumber"))
+    of_day = li.where(F.col("l_shipdate") == F.lit(day)).withColumn("r", rank).where(F.col("r") <= left).drop("r")
+    return li.where(F.col("l_shipdate") < F.lit(day)).unionByName(of_day)
 
 
 def _scaler_rows(spark, state):
@@ -636,7 +646,7 @@ def tensor_scaler(spark, d):
 
 # ------------------------------------------------------------------ scores
 def _scored(spark, d, model="persistence"):
-    a = W.chronological_split(_with_bins(views.anchor_frame(spark, d)), views.FIVE, 0.7, 0.15, 144)
+    a = _split_anchors(spark, d)
     train, test = W.select_split(a, "train"), W.select_split(a, "test")
     m = models.Climatology(H, THR).fit(train) if model == "climatology" else models.Persistence(H, THR)
     cols = {"y": "y_{h}", "pred": "{h}_pred", "ref": "last", "p": "{h}_p", "q10": "{h}_q10", "q50": "{h}_q50", "q90": "{h}_q90"}
@@ -724,8 +734,8 @@ EVAL_ROWS = "(SELECT 'climatology' AS model, * FROM pc UNION ALL SELECT 'persist
 
 
 def _both(spark, d):
-    """Rows of both models from one frame of test anchors, so that the anchors are computed once to fit and once to predict."""
-    a = W.chronological_split(_with_bins(views.anchor_frame(spark, d)), views.FIVE, 0.7, 0.15, 144)
+    """Rows of both models from one frame of test anchors."""
+    a = _split_anchors(spark, d)
     p = W.select_split(a, "test")
     for m in (models.Persistence(H, THR), models.Climatology(H, THR).fit(W.select_split(a, "train"))):
         p = m.predict(p)
@@ -802,25 +812,6 @@ def daily_fluence(spark, d):
 
 
 # ------------------------------------------------------------------ rows only: iterative, fitted or stateful
-@query()
-def refm_fit(spark, d):
-    x = W.filter_design(views.grid_n(spark, d), views.HOUR, 24, 12, flux="flux_e2", chunk_steps=4096).withColumn("last", F.col("flux_last"))
-    ahead = {"nowcast": 1, "6h": 6, "12h": 12}
-    x = halo.windowed(x, views.HOUR, 0, 12, lambda d, w: d.withColumns({f"y_{h}": F.lead("flux_e2", k).over(w) for h, k in ahead.items()}))
-    m = models.LinearFilter({"nowcast": 1, "6h": 6, "12h": 12}, THR, inputs=["v_last", "v_mean", "v_recent", "v_recent_max", "v_change", "flux_last"]).fit(x)
-    p = m.predict(x)
-    return M.by_horizon(p, ["time"], H, {"y": "y_{h}", "pred": "{h}_pred", "q10": "{h}_q10", "q90": "{h}_q90", "p": "{h}_p"})
-
-
-@query()
-def gbt_quantiles(spark, d):
-    """Fitted on all anchors and predicted for all of them, every horizon."""
-    a = views.anchor_frame(spark, d)
-    x = a.join(W.window_stats(views.filled(spark, d), views.FIVE, ["flux"], L).drop("flux"), "time")
-    m = models.BoostedTrees(H, THR, inputs=["flux_last", "flux_mean", "flux_std", "flux_min", "flux_max"]).fit(x)
-    return m.predict(x).select("time", *[f"{h}_{c}" for h in H for c in ("q10", "q50", "q90", "p")])
-
-
 @query(
     """SELECT event_type AS sat_id, epoch_us(ts) // 1000000 AS t, value AS x, count(*) OVER w AS n, avg(value) OVER w AS mean, stddev_samp(value) OVER w AS std, max(value) OVER w AS high, min(value) OVER w AS low,
  lag(value) OVER (PARTITION BY event_type ORDER BY ts, value) AS lag1 FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, value ROWS BETWEEN 71 PRECEDING AND CURRENT ROW)""",
@@ -852,3 +843,6 @@ def synthetic_series(spark, d):
     from ..sources.synthetic import solar_wind
 
     return solar_wind(spark, days=2, seed=7)
+
+
+from . import model_queries, stream_queries  # noqa: E402, F401  they register themselves with what is above

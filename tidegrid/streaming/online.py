@@ -1,10 +1,10 @@
-"""Online features: state of fixed size per series, equal to the batch windows; event-time grids; latest tables."""
+"""Online features: state of bounded size per series, in order of event time, equal to the batch windows; event-time grids; latest tables."""
 
 from __future__ import annotations
 
 import math
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,8 +16,8 @@ from ..functions import add_coupling, add_cyclic
 from ..operators.clean import forward_fill
 from ..operators.halo import carried, rows_windowed
 from ..operators.windows import LAGS, ROLLING, feature_matrix
-from ..schema import Grid
-from ..sources.folders import read_version, write_version
+from ..schema import CADENCE_S, Grid
+from ..sources.folders import update_version
 
 
 class RingBuffer:
@@ -100,48 +100,151 @@ class MonotonicDeque:
 
 #: Setting that stateful features need; the session's owner makes it.
 ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
-FEATURES = "sat_id string, time timestamp, x double, n long, mean double, std double, high double, low double, lag1 double"
-
-
-def features_of(window: list[float]) -> tuple:
-    """n, mean, sample deviation, maximum, minimum and the value before, of the last samples."""
-    n = len(window)
-    mean = sum(window) / n
-    std = math.sqrt(sum((v - mean) ** 2 for v in window) / (n - 1)) if n > 1 else None
-    return n, mean, std, max(window), min(window), window[-2] if n > 1 else None
-
-
-class OnlineFeatures(StatefulProcessor):
-    """Per series the last samples as list state; a missing sample repeats the last one."""
-
-    def __init__(self, window: int = 72):
-        self.window = window
+FEATURES = ("n", "mean", "std", "high", "low", "lag1")
+
+Rolling = Mapping[str, Sequence[tuple[int, str]]]
+
+
+class Channel:
+    """One channel of a series, a sample at a time: its last values; moments that take values in and out; deques of extremes.
+
+    Moments are summed anew from the kept values once a width, so errors of going in and out do not build up.
+    """
+
+    SCHEMA = "seen long, values array<double>, moments array<double>, sizes array<int>, places array<long>, tops array<double>"
+
+    def __init__(self, lags: Sequence[int], rolling: Sequence[tuple[int, str]], held: tuple | None = None):
+        seen, values, moments, sizes, places, tops = held or (0, [], [], [], [], [])
+        self.seen, self.recent = seen, RingBuffer(max([1, *(k + 1 for k in lags), *(n for n, _ in rolling)]), values)
+        self.moments = {n: Welford() for n in sorted({n for n, s in rolling if s in ("n", "mean", "std")})}
+        for k, m in enumerate(self.moments.values()):
+            if moments:
+                m.n, m.mean, m.m2 = int(moments[3 * k]), moments[3 * k + 1], moments[3 * k + 2]
+        self.extremes = {(n, s): MonotonicDeque(n, s == "max") for n, s in sorted({(n, s) for n, s in rolling if s in ("max", "min")})}
+        at = 0
+        for d, size in zip(self.extremes.values(), sizes, strict=False):
+            d.i, d.items = seen, deque(zip(places[at : at + size], tops[at : at + size], strict=True))
+            at += size
+
+    def state(self) -> tuple:
+        items = [i for d in self.extremes.values() for i in d.items]
+        return (
+            self.seen, self.recent.values(), [float(v) for m in self.moments.values() for v in (m.n, m.mean, m.m2)], [len(d.items) for d in self.extremes.values()], [i for i, _ in items], [x for _, x in items],
+        )
+
+    def push(self, x: float) -> None:
+        for n, m in self.moments.items():
+            if len(self.recent) >= n:
+                m.remove(self.recent[-n])
+            m.update(x)
+        for d in self.extremes.values():
+            d.push(x)
+        self.recent.append(x)
+        self.seen += 1
+        for n, m in self.moments.items():
+            if self.seen % n == 0:
+                m.mean = math.fsum(self.recent[-i] for i in range(1, n + 1)) / n
+                m.m2 = math.fsum((self.recent[-i] - m.mean) ** 2 for i in range(1, n + 1))
+
+    def repeat(self) -> None:
+        """A missing sample repeats the last one."""
+        if len(self.recent):
+            self.push(self.recent[-1])
+
+    def lag(self, k: int) -> float | None:
+        return self.recent[-k - 1] if len(self.recent) > k else None
+
+    def over(self, n: int, stat: str) -> float | None:
+        if not len(self.recent):
+            return None
+        if stat in ("max", "min"):
+            return self.extremes[n, stat].items[0][1]
+        m = self.moments[n]
+        return m.std() if stat == "std" else float(m.n) if stat == "n" else m.mean
+
+
+class OnlineSeries(StatefulProcessor):
+    """Per series the features of every sample, in order of event time, whatever order samples come in.
+
+    Samples wait in spans of event time. When the watermark passes a span, its timer takes them in order of time through
+    the channels, so a late sample stands where it belongs. Samples of one time count once: of each channel the largest
+    value that came. What comes for a span already passed is left out. State of a series is what waits, and per channel
+    the values of the longest lag or width with their moments and extremes.
+    """
+
+    def __init__(self, channels: Sequence[str], lags: Mapping[str, Sequence[int]], rolling: Rolling, span: int):
+        self.channels, self.span = list(channels), span * 1_000_000
+        self.lags, self.rolling = {c: tuple(lags.get(c, ())) for c in channels}, {c: tuple(rolling.get(c, ())) for c in channels}
 
     def init(self, handle) -> None:
-        self.recent = handle.getValueState("recent", "v array<double>")
-
-    def handleInputRows(self, key, rows, timer) -> Iterator[pd.DataFrame]:
-        held = self.recent.get()
-        buf = RingBuffer(self.window, held[0] if held else ())
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "until long", "at array<long>, x array<double>")
+        self.held = handle.getMapState("held", "channel string", Channel.SCHEMA)
+        self.done = handle.getValueState("done", "until long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        done = self.done.get()
+        for part in rows:
+            until = -(-part["us"].to_numpy() // self.span) * self.span
+            for u in np.unique(until):
+                if done is not None and u <= done[0]:
+                    continue
+                new = part[until == u]
+                at, x = new["us"].tolist(), new[self.channels].to_numpy(dtype=float).ravel().tolist()
+                if self.waiting.containsKey((int(u),)):
+                    old = self.waiting.getValue((int(u),))
+                    at, x = [*old[0], *at], [*old[1], *x]
+                else:
+                    self.handle.registerTimer(int(u) // 1000)
+                self.waiting.updateValue((int(u),), (at, x))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        channels = {c: Channel(self.lags[c], self.rolling[c], self.held.getValue((c,)) if self.held.containsKey((c,)) else None) for c in self.channels}
+        for until in sorted(k[0] for k in list(self.waiting.keys()) if k[0] <= now):
+            at, x = self.waiting.getValue((until,))
+            yield self._features(key[0], pd.DataFrame(np.array(x, dtype=float).reshape(-1, len(self.channels)), index=at, columns=self.channels).groupby(level=0, sort=True).max(), channels)
+            self.waiting.removeKey((until,))
+        for name, c in channels.items():
+            self.held.updateValue((name,), c.state())
+        done = self.done.get()
+        self.done.update((max(now, done[0]) if done is not None else now,))
+
+    def _features(self, series: str, samples: pd.DataFrame, channels: dict[str, Channel]) -> pd.DataFrame:
         out = []
-        for part in [pd.concat(list(rows)).sort_values("time")]:
-            for t, x in zip(part["time"], part["x"], strict=True):
-                if pd.isna(x):
-                    if not len(buf):
-                        continue
-                    x = buf[-1]
-                buf.append(float(x))
-                out.append((key[0], t, float(x), *features_of(buf.values())))
-        self.recent.update((buf.values(),))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in FEATURES.split(", ")])
+        for at, *xs in samples.itertuples():
+            row = [series, at]
+            for c, x in zip(channels.values(), xs, strict=True):
+                c.repeat() if math.isnan(x) else c.push(x)
+            row += [c.lag(0) for c in channels.values()]
+            row += [c.lag(k) for name, c in channels.items() for k in self.lags[name]]
+            row += [c.over(n, s) for name, c in channels.items() for n, s in self.rolling[name]]
+            out.append(row)
+        return pd.DataFrame(out, columns=["sat_id", "us", *series_columns(self.channels, self.lags, self.rolling)]).astype(object).where(lambda d: d.notna(), None)
 
     def close(self) -> None:
         pass
 
 
-def stream_features(stream: DataFrame, window: int = 72) -> DataFrame:
-    """Streaming frame (sat_id, time, x) with its features; the session must use the RocksDB state store (ROCKSDB)."""
-    return stream.groupBy("sat_id").transformWithStateInPandas(OnlineFeatures(window), FEATURES, "Append", "None")
+def series_columns(channels: Sequence[str], lags: Mapping[str, Sequence[int]], rolling: Rolling) -> list[str]:
+    return [*channels, *[f"{c}_lag{k}" for c in channels for k in lags.get(c, ())], *[f"{c}_roll{n}_{s}" for c in channels for n, s in rolling.get(c, ())]]
+
+
+def stream_series(stream: DataFrame, channels: Sequence[str], lags: Mapping[str, Sequence[int]], rolling: Rolling, late: str, span: int) -> DataFrame:
+    """Streaming frame (sat_id, time, channels) with lags and rolling values; rows come out once the watermark passes the
+    end of their span of `span` seconds. The session must use the RocksDB state store (ROCKSDB)."""
+    cols = series_columns(channels, lags, rolling)
+    samples = stream.withWatermark("time", late).select("sat_id", "time", F.unix_micros("time").alias("us"), *[F.col(c).cast("double").alias(c) for c in channels])
+    out = samples.groupBy("sat_id").transformWithStateInPandas(OnlineSeries(channels, lags, rolling, span), "sat_id string, us long, " + ", ".join(f"{c} double" for c in cols), "Append", "EventTime")
+    return out.select("sat_id", F.timestamp_micros("us").alias("time"), *cols)
+
+
+def stream_features(stream: DataFrame, window: int = 72, late: str = "10 minutes", span: int = CADENCE_S) -> DataFrame:
+    """Streaming frame (sat_id, time, x) with its features; a series begins with its first value."""
+    named = {"n": F.col(f"x_roll{window}_n").cast("long"), "mean": F.col(f"x_roll{window}_mean"), "std": F.col(f"x_roll{window}_std"), "high": F.col(f"x_roll{window}_max"), "low": F.col(f"x_roll{window}_min"), "lag1": F.col("x_lag1")}
+    out = stream_series(stream, ["x"], {"x": (1,)}, {"x": [(window, s) for s in ("n", "mean", "std", "max", "min")]}, late, span)
+    return out.where("x IS NOT NULL").select("sat_id", "time", "x", *[named[c].alias(c) for c in FEATURES])
 
 
 def batch_replay(df: DataFrame, window: int = 72) -> DataFrame:
@@ -167,15 +270,20 @@ def without_repeats(stream: DataFrame, late: str = "10 minutes", keys: tuple[str
     return stream.withWatermark("time", late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def keep_latest(path: str, keys: tuple[str, ...] = ("sat_id",)):
-    """For foreachBatch: a table with each key's newest row, a new version a batch; a repeated batch changes nothing."""
+def keep_latest(path: str, keys: tuple[str, ...] = ("sat_id",), query: str = "latest"):
+    """For foreachBatch: a table with each key's newest row, a new version a batch.
+
+    The version remembers the last batch of each query by name, so a batch that comes again is left out, and queries of
+    different names may write at the same time. A query that starts anew, without its checkpoint, needs a new name.
+    """
 
     def run(batch: DataFrame, epoch: int) -> None:
-        old = read_version(batch.sparkSession, path)
-        both = batch if old is None else batch.unionByName(old)
-        rest = [c for c in batch.columns if c not in keys]
-        newest = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), "time").alias("r")).select(*keys, "r.*")
-        write_version(newest.select(*batch.columns), path)
+        def change(old: DataFrame | None) -> DataFrame:
+            both = batch if old is None else batch.unionByName(old)
+            rest = [c for c in batch.columns if c not in keys]
+            return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), "time").alias("r")).select(*keys, "r.*").select(*batch.columns)
+
+        update_version(batch.sparkSession, path, change, marks={query: epoch})
 
     return run
 
@@ -184,44 +292,10 @@ def keep_latest(path: str, keys: tuple[str, ...] = ("sat_id",)):
 CHANNELS = ("log_flux_e2", "log_flux_seed", "vsw", "density", "pdyn", "bz_gsm", "bt", "ae", "al", "kp", "sym_h", "f107")
 
 
-def vector_columns(lags=LAGS, rolling=ROLLING) -> list[str]:
-    return [*CHANNELS, *[f"{c}_lag{k}" for c, ks in lags.items() for k in ks], *[f"{c}_roll{n}_{s}" for c, ks in rolling.items() for n, s in ks]]
-
-
-class OnlineVector(StatefulProcessor):
-    """The whole feature vector per series: state is the last samples of all channels, as many as the longest lag or width."""
-
-    def __init__(self, lags=LAGS, rolling=ROLLING):
-        self.lags, self.rolling = dict(lags), dict(rolling)
-        self.reach = max([1, *(k for ks in self.lags.values() for k in ks), *(n for ks in self.rolling.values() for n, _ in ks)])
-
-    def init(self, handle) -> None:
-        self.recent = handle.getValueState("recent", "v binary")
-
-    def handleInputRows(self, key, rows, timer) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values("time", kind="stable")
-        held = self.recent.get()
-        old = np.frombuffer(held[0], dtype="<f8").reshape(-1, len(CHANNELS)) if held else np.empty((0, len(CHANNELS)))
-        x = pd.DataFrame(np.concatenate([old, new[list(CHANNELS)].to_numpy(dtype=float)]), columns=list(CHANNELS)).ffill()
-        self.recent.update((x.to_numpy(dtype="<f8")[-self.reach :].tobytes(),))
-        out = {c: x[c] for c in CHANNELS}
-        out |= {f"{c}_lag{k}": x[c].shift(k) for c, ks in self.lags.items() for k in ks}
-        out |= {f"{c}_roll{n}_{s}": getattr(x[c].rolling(n, min_periods=2 if s == "std" else 1), s)() for c, ks in self.rolling.items() for n, s in ks}
-        done = pd.DataFrame(out).iloc[len(old) :].astype(object).where(lambda d: d.notna(), None)
-        done.insert(0, "time", new["time"].to_numpy())
-        done.insert(0, "sat_id", key[0])
-        yield done
-
-    def close(self) -> None:
-        pass
-
-
-def stream_vector(stream: DataFrame, lags=LAGS, rolling=ROLLING) -> DataFrame:
+def stream_vector(stream: DataFrame, lags=LAGS, rolling=ROLLING, late: str = "10 minutes", span: int = CADENCE_S) -> DataFrame:
     """Streaming frame (sat_id, time, channels) with lags and rolling values from state, coupling and cyclic columns as expressions."""
-    cols = vector_columns(lags, rolling)
     samples = stream.select("sat_id", "time", *[F.col(c).cast("double").alias(c) if c in stream.columns else F.lit(None).cast("double").alias(c) for c in CHANNELS])
-    out = samples.groupBy("sat_id").transformWithStateInPandas(OnlineVector(lags, rolling), "sat_id string, time timestamp, " + ", ".join(f"{c} double" for c in cols), "Append", "None")
-    return add_cyclic(add_coupling(out))
+    return add_cyclic(add_coupling(stream_series(samples, CHANNELS, lags, rolling, late, span)))
 
 
 def batch_vector(df: DataFrame, lags=LAGS, rolling=ROLLING, grid: Grid | None = None) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import alert_level, iso_utc
 from ..plans.models import Forecaster, lut_forecast
-from ..schema import ALERT_LOG10, CADENCE_S, HORIZON_STEPS
+from ..schema import ALERT_LOG10, HORIZON_STEPS
 from ..sources.folders import read_version
 from .online import keep_latest
 
@@ -42,14 +42,27 @@ class ForecastCache:
 
 
 def predict_chain(df: DataFrame, predictors: Sequence[Forecaster], table: Sequence[tuple[float, float]], horizons: Mapping[str, int] | None = None, threshold: float = ALERT_LOG10) -> DataFrame:
-    """Forecast columns of every horizon by the first fitted predictor, else from the fixed table by local time; adds `model`."""
+    """Forecast columns of every horizon, row by row from the first fitted predictor that has all of them for the row, else from the fixed table by local time; adds `model`."""
     horizons = dict(horizons or HORIZON_STEPS)
-    for p in predictors:
-        if p.fitted:
-            return p.predict(df).withColumn("model", F.lit(p.name))
-    mlt = df if "mlt" in df.columns else df.withColumn("mlt", F.lit(None).cast("double"))
+    names = [f"{h}_{c}" for h in horizons for c in ("q10", "q50", "q90", "pred", "p")]
+    own, d, steps = df.columns, df, []
+    for i, p in enumerate(x for x in predictors if x.fitted):
+        d = p.predict(d).withColumnsRenamed({n: f"__{i}_{n}" for n in names})
+        whole = F.lit(True)
+        for n in names:
+            whole = whole & F.col(f"__{i}_{n}").isNotNull()
+        steps.append((whole, p.name, {n: F.col(f"__{i}_{n}") for n in names}))
+    mlt = d if "mlt" in d.columns else d.withColumn("mlt", F.lit(None).cast("double"))
     d = lut_forecast(mlt, table, threshold=threshold)
-    return d.withColumns({f"{h}_{c}": F.col(f) for h in horizons for c, f in (("q10", "q10"), ("q50", "q50"), ("q90", "q90"), ("pred", "q50"), ("p", "p"))}).drop("q10", "q50", "q90", "p").withColumn("model", F.lit("table"))
+    last = {f"{h}_{c}": F.col(f) for h in horizons for c, f in (("q10", "q10"), ("q50", "q50"), ("q90", "q90"), ("pred", "q50"), ("p", "p"))}
+
+    def first(pick) -> Column:
+        out = pick("table", last)
+        for whole, name, columns in reversed(steps):
+            out = F.when(whole, pick(name, columns)).otherwise(out)
+        return out
+
+    return d.select(*own, *[first(lambda name, columns, n=n: columns[n]).alias(n) for n in names], first(lambda name, columns: F.lit(name)).alias("model"))
 
 
 def forecast_rows(df: DataFrame, horizons: Mapping[str, int] | None = None) -> DataFrame:
@@ -108,11 +121,3 @@ def push_changes(send: Callable[[dict], None]):
                 send(r.asDict(recursive=True))
 
     return run
-
-
-def history(df: DataFrame, depth: int = 288, step: int = CADENCE_S) -> DataFrame:
-    """The last `depth` rows of each series, oldest first in time; only rows that a full grid would hold are ranked."""
-    ends = df.groupBy("sat_id").agg(F.max("time").alias("__end"))
-    near = df.join(ends, "sat_id").where(F.unix_seconds("time") > F.unix_seconds("__end") - depth * step).drop("__end")
-    w = Window.partitionBy("sat_id").orderBy(F.col("time").desc())
-    return near.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= depth).drop("__r")
