@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tidegrid.sources.folders import Conflict
 from tidegrid.llm import chunks, jaccard, runs, substring, suffix
 from tidegrid.llm.components import components
 
@@ -47,11 +48,43 @@ def test_substring_returns_texts_and_leaves_others_alone(spark, small_chunks):
 
 def test_index_in_two_batches_equals_one(spark, small_chunks, tmp_path):
     first, second = ROWS[:70], [r for r in ROWS[70:] if r[0] < 900]
-    a = substring.removed_words(frame(spark, first), index=f"file://{tmp_path}/ix").collect()
-    b = substring.removed_words(frame(spark, second), index=f"file://{tmp_path}/ix").collect()
+    index = substring.Index(spark, f"file://{tmp_path}/ix")
+    a = substring.removed_words(frame(spark, first), index=index).collect()
+    index.commit()
+    b = substring.removed_words(frame(spark, second), index=substring.Index(spark, f"file://{tmp_path}/ix")).collect()
     assert sorted(map(tuple, a + b)) == sorted(brute.substring(first + second))
 
 
+def test_index_after_lost_repeated_and_concurrent_calls(spark, small_chunks, tmp_path):
+    """Only committed batches are history; the loser of a race calls again and gets what follows from the winner's batch."""
+    folder = f"file://{tmp_path}/ix"
+    rows = [r for r in ROWS if r[0] < 900]
+    first, second, third = rows[:50], rows[50:90], rows[90:]
+    plan = lambda part, index: sorted(map(tuple, substring.removed_words(frame(spark, part), index=index).collect()))
+    lost = substring.Index(spark, folder)
+    substring.removed_words(frame(spark, first), index=lost)  # planned, its rows never written, never committed
+    index = substring.Index(spark, folder)
+    assert index.runs == [] and plan(first, index) == plan(first, index) == sorted(brute.substring(first))  # called again before the commit
+    index.commit("first")
+    assert substring.Index(spark, folder).known("first") and not substring.Index(spark, folder).known("second")
+    with pytest.raises(Conflict):
+        lost.commit()
+    with pytest.raises(RuntimeError):
+        index.commit()
+    one, two = substring.Index(spark, folder), substring.Index(spark, folder)
+    got = plan(second, one)
+    plan(third, two)
+    one.commit("second")
+    with pytest.raises(Conflict):
+        two.commit("third")
+    again = substring.Index(spark, folder)
+    got += plan(first, index := substring.Index(spark, folder)) and []  # a look without a commit changes nothing
+    got += plan(third, again)
+    again.commit("third")
+    assert sorted(got) == sorted(set(brute.substring(rows)) - set(brute.substring(first)))
+    assert substring.Index(spark, folder).batches == ["first", "second", "third"]
+
+
 def test_suffix(spark, small_chunks):
     same(suffix.removed_bytes(frame(spark, ROWS, extra=True)), brute.suffix(ROWS))
 
@@ -209,12 +242,15 @@ def test_index_that_begins_small_is_dealt_anew(spark, small_chunks, tmp_path):
     parts = [rows[:1], rows[1:40], rows[40:44], rows[44:46], rows[46:]]
     got = []
     for i, part in enumerate(parts):
-        got += substring.removed_words(frame(spark, part), index=folder).collect()
+        lost = substring.Index(spark, folder)
+        lost.prepare(spark.createDataFrame([], "piece int, body binary, proofs binary, n long"), 1, 0)  # a call that was lost before it was done
         index = substring.Index(spark, folder)
-        assert index.version == i + 1 and all(b[2] >= 2 * a[2] for a, b in zip(index.runs, index.runs[1:], strict=False))
-        (tmp_path / f"ix/versions/{index.version + 1:08d}").mkdir()  # a call that was lost before it was done
+        got += substring.removed_words(frame(spark, part), index=index).collect()
+        index.commit()
+        assert index.base == i and all(b[2] >= 2 * a[2] for a, b in zip(index.runs, index.runs[1:], strict=False))
+        lost.pending = None
     assert sorted(map(tuple, got)) == sorted(brute.substring(rows))
-    assert index.runs[-1][1] > 1 and len(list((tmp_path / "ix/runs").iterdir())) == len(index.runs)
+    assert index.runs[-1][1] > 1 and {r[0] for r in index.runs} <= {f.name for f in (tmp_path / "ix/runs").iterdir()}
 
 
 def test_components_of_chains_and_stars(spark):

@@ -11,10 +11,10 @@ key is a 64-bit hash of them, its proof a second one, from the other halves of t
 3. The marks go back to the chunk, which removes each word that a marked window covers, or one that the chunk itself has
    had before. Windows with different words count as equal with odds of 2 to the -128 a pair.
 
-`index` names a folder that keeps windows for later batches: documents of an earlier call count as earlier than all of
-this one, and only new documents are read. The folder holds immutable runs, each a table with a row per key range, and
-versions, each a list of runs; the last complete version counts, so a call that is lost leaves the index as it was. A
-call merge-joins all its windows with the runs there are and adds one run; runs less than twice as long as what is added
+`index`, an Index of a folder, keeps windows for later batches: documents of batches committed before count as earlier than
+all of this one, and only new documents are read. The folder holds immutable runs, each a table with a row per key range,
+and commits, each a list of runs; the last one counts. A call stores its run but does not commit it: the caller writes the
+rows it got and then calls index.commit(), so a call that is lost or made again finds the index as it was. A call merge-joins all its windows with the runs there are and adds one run; runs less than twice as long as what is added
 to them are compacted into it. The number of ranges, a power of two, follows the size of history and batch together;
 runs stored in other ranges are sliced anew as they are read.
 
@@ -35,9 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folders import Conflict, commit, latest
 from . import runs
 from .chunks import by_range, chunked, join_answers
-from .common import children, distinct, documents, double_hashes, pick, plain_names, remove, run_hashes, scratch, stored
+from .common import distinct, documents, double_hashes, pick, plain_names, remove, run_hashes, scratch, stored
 
 WIDTH = 20
 #: Entries of one key range; a task of the merge holds a few times that.
@@ -237,15 +238,26 @@ def _apply(width: int, n_ranges: int, everything: bool, names: list[str], texts_
 
 
 class Index:
-    """Stored runs of a folder, as its last complete version lists them: (name, number of ranges, entries)."""
+    """Stored runs of a folder, as its last commit lists them: (name, number of ranges, entries).
+
+    One call of an operator takes in one batch, as the index stood when this object was made; commit(), once the call's
+    rows have been written, makes the batch part of the history. A call that is lost or repeated before that leaves the
+    index as it was, and of several callers that began from one state the first to commit wins: the others get Conflict
+    and call again. A batch with a name that has been committed is `known`, so that a caller that died in between can
+    tell that its rows were written.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        whole = [v for v in children(spark, f"{folder}/versions") if "_SUCCESS" in children(spark, f"{folder}/versions/{v}")]
-        self.version = max(map(int, whole), default=0)
-        listed = spark.read.parquet(f"{folder}/versions/{self.version:08d}").collect() if whole else []  # a handful of rows
-        self.runs = sorted((tuple(r) for r in listed), key=lambda r: r[2])
+        found = latest(spark, folder)
+        self.base, content = found or (None, {"runs": [], "batches": []})
+        self.runs = sorted((tuple(r) for r in content["runs"]), key=lambda r: r[2])
+        self.batches = list(content["batches"])
         self.entries = sum(r[2] for r in self.runs)
+        self.pending: tuple | None = None
+
+    def known(self, batch: str) -> bool:
+        return batch in self.batches
 
     def compacts(self, new: int) -> int:
         """How many of the shortest runs a run of `new` entries takes in, so that each stays at least twice as long as the next."""
@@ -264,15 +276,32 @@ class Index:
             out = part if out is None else out.unionAll(part)
         return out
 
-    def replace(self, run: DataFrame, n_ranges: int, compacted: int) -> None:
-        """Store a run in place of the shortest ones, then the version that lists it, then delete what no version needs."""
+    def prepare(self, run: DataFrame, n_ranges: int, compacted: int) -> None:
+        """Store a run that is to stand in place of the shortest ones; no one reads it before the commit."""
+        if self.pending:
+            remove(self.spark, f"{self.folder}/runs/{self.pending[0]}")
         name = uuid.uuid4().hex
         run.write.parquet(f"{self.folder}/runs/{name}")
         n = self.spark.read.parquet(f"{self.folder}/runs/{name}").agg(F.sum("n")).first()[0] or 0
-        listed = [*self.runs[compacted:], *([(name, n_ranges, n)] if n else [])]
-        self.spark.createDataFrame(listed, "run string, n_ranges int, entries long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/versions/{self.version + 1:08d}")
+        self.pending = name, n_ranges, n, compacted
+
+    def commit(self, batch: str | None = None) -> None:
+        """Make the last call's batch part of the history, and delete what no version needs any more."""
+        if not self.pending:
+            raise RuntimeError("no call to commit")
+        name, n_ranges, n, compacted = self.pending
+        kept = [*self.runs[compacted:], *([(name, n_ranges, n)] if n else [])]
+        content = {"runs": kept, "batches": [*self.batches, *([batch] if batch is not None else [])]}
+        try:
+            commit(self.spark, self.folder, self.base, content)
+        except Conflict:
+            remove(self.spark, f"{self.folder}/runs/{name}")
+            self.pending = None
+            raise
         for old in {r[0] for r in self.runs[:compacted]} | ({name} if not n else set()):
             remove(self.spark, f"{self.folder}/runs/{old}")
+        self.pending = None
+        self.__init__(self.spark, self.folder)
 
 
 def _slice(n_ranges: int, chunk: int):
@@ -293,12 +322,11 @@ def ranges_for(entries: int) -> int:
     return 1 << max(0, (max(1, entries) - 1) // RANGE_ENTRIES).bit_length()
 
 
-def _marked(docs: DataFrame, rest: list[str], width: int, folder: str | None) -> tuple[DataFrame, int]:
+def _marked(docs: DataFrame, rest: list[str], width: int, index: Index | None) -> tuple[DataFrame, int]:
     """Chunks with the shared keys (answers) and the marks (found) of each, and the number of key ranges."""
     spark, base = docs.sparkSession, scratch(docs.sparkSession)
     table = chunked(docs, rest, ["doc_id", "text"])
     total = table.select("texts").mapInArrow(_count(width), "n long").agg(F.sum("n")).first()[0] or 0
-    index = Index(spark, folder) if folder else None
     n_ranges = ranges_for(total + (index.entries if index else 0))
     if index:
         compacted = index.compacts(total)
@@ -313,17 +341,17 @@ def _marked(docs: DataFrame, rest: list[str], width: int, folder: str | None) ->
         sent = both.where("answers IS NOT NULL").select("chunk", "texts", "answers").mapInArrow(_prove(width, n_ranges, False), ENTRIES)
     marks = stored(by_range(sent, n_ranges).applyInArrow(_merge(bool(index)), MARKS), f"{base}/marks")
     if index:
-        index.replace(marks.where("chunk = -1 AND n > 0").select("piece", "body", "proofs", "n"), n_ranges, compacted)
+        index.prepare(marks.where("chunk = -1 AND n > 0").select("piece", "body", "proofs", "n"), n_ranges, compacted)
     return join_answers(both, marks.where("chunk >= 0"), "found"), n_ranges
 
 
-def removed_words(docs: DataFrame, width: int = WIDTH, index: str | None = None) -> DataFrame:
+def removed_words(docs: DataFrame, width: int = WIDTH, index: Index | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
     chunks, n_ranges = _marked(pick(docs, "doc_id", "text"), ["doc_id"], width, index)
     return chunks.select("texts", "rest", "answers", "found").mapInArrow(_apply(width, n_ranges, bool(index), [], False), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, width: int = WIDTH, index: str | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, width: int = WIDTH, index: Index | None = None) -> DataFrame:
     """docs with repeated words taken out of text (kept words joined by one space; untouched texts stay as they are)."""
     plain = plain_names(docs)
     chunks, n_ranges = _marked(plain, [c for c in plain.columns if c != "text"], width, index)
