@@ -840,9 +840,12 @@ def normal_survival(spark, d):
 
 @query()
 def synthetic_series(spark, d):
+    """A series over the days that the events cover."""
     from ..sources.synthetic import solar_wind
 
-    return solar_wind(spark, days=2, seed=7)
+    ends = views.events(spark, d).agg(F.min("time").cast("date").alias("a"), F.max("time").cast("date").alias("b")).first()
+    days = (ends["b"] - ends["a"]).days + 1 if ends["a"] else 0
+    return solar_wind(spark, days=days, seed=7, start=str(ends["a"]))
 
 
 from . import model_queries, stream_queries  # noqa: E402, F401  they register themselves with what is above
