@@ -14,7 +14,8 @@ window need only be compared with the windows of equal anchors.
    known prefix is read again. The tree yields the suffix array and its common prefix lengths.
 4. A window that starts l bytes left of its anchor equals another if both stand in one stretch of the suffix array with
    common prefixes of 50 - l and agree in the l bytes before the anchor; the first document of each such class keeps it.
-   The answers return to the chunks, which unite the marked windows and cut them out.
+   The answers return to the chunks, which unite the marked windows and cut them out; where the anchors of its entries
+   are, a chunk has sent along to itself, so that it need not find them again.
 
 A passage of very many documents is one entry a chunk. An anchor with more than `HOT` occurrences in all, whose contexts
 may differ, is not left to one range: each window around it is an entry of its own, dealt out by the hash of its 50
@@ -46,8 +47,8 @@ REACH = SPAN - GRAM
 RANGE_ENTRIES = 1 << 20
 #: Occurrences of an anchor beyond which its windows are dealt out one by one.
 HOT = RANGE_ENTRIES // 4
-#: Bytes of text looked at in one go inside a chunk.
-BLOCK = 1 << 20
+#: Bytes of text looked at in one go inside a chunk; hashes are eight times that and should stay in a core's cache.
+BLOCK = 1 << 17
 #: Bytes of a chunk; its shared anchors are Python objects for a while.
 CHUNK_BYTES = 3 << 20
 
@@ -289,11 +290,43 @@ def _unpack(body: bytes):
 
 
 class Group:
-    """Entries of one chunk for one range: distinct (suffix, left) pairs in sorted order, and the anchors they stand for."""
+    """Entries of one chunk for one range, and the anchors they stand for.
 
-    def __init__(self, piece: int, rows: dict[tuple[bytes, bytes], tuple[int, int]], where: list[tuple]):
-        self.piece, self.rows, self.where = piece, rows, where  # rows: entry -> document and least l of its first anchor
-        self.order = sorted(rows)
+    An entry is a distinct (suffix, left) pair; in sorted order each has the document of its first anchor and the least l.
+    Of every anchor `where` has document, place, l of its first and last window, number of its entry, and whether an
+    earlier document of the chunk has the entry.
+    """
+
+    def __init__(self, piece: int, entries: list[tuple[bytes, bytes]], doc: np.ndarray, place: np.ndarray, left: np.ndarray, low: np.ndarray):
+        n = len(entries)
+        first = dict(zip(reversed(entries), range(n - 1, -1, -1), strict=True))
+        self.piece, self.order = piece, sorted(first)
+        at = np.fromiter(map(first.__getitem__, self.order), dtype=np.int64, count=len(first))
+        self.doc, self.low = doc[at], low[at]
+        number = dict(zip(self.order, range(len(first)), strict=True))
+        entry = np.fromiter(map(number.__getitem__, entries), dtype=np.int64, count=n)
+        by = np.argsort(entry, kind="stable")
+        self.where = np.stack([doc, place, left, low, entry, doc > self.doc[entry]])[:, by]
+
+
+def pack_where(groups: list[tuple[int, int, np.ndarray]]) -> bytes:
+    """Anchors of a chunk's groups (range, number of entries, where), small numbers in bytes of their own."""
+    head = np.array([(piece, n, w.shape[1]) for piece, n, w in groups], dtype="<u4")
+    w = np.concatenate([w for _, _, w in groups], axis=1)
+    planes = [np.ascontiguousarray(w[i].astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for i in (0, 1, 4)]
+    whole = b"".join([head.tobytes(), *planes, *[w[i].astype(np.uint8).tobytes() for i in (2, 3, 5)]])
+    return np.array([len(head), w.shape[1], len(whole)], dtype="<u4").tobytes() + pa.compress(whole, "zstd", asbytes=True)
+
+
+def unpack_where(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (range, number of entries, number of anchors) of the groups, and their anchors with entries numbered through all groups."""
+    k, n, size = np.frombuffer(body[:12], dtype="<u4").astype(int)
+    whole = pa.decompress(body[12:], int(size), "zstd", asbytes=True)
+    head = np.frombuffer(whole, dtype="<u4", count=3 * k).reshape(-1, 3).astype(np.int64)
+    wide = [np.ascontiguousarray(np.frombuffer(whole, dtype=np.uint8, count=4 * n, offset=12 * k + 4 * n * i).reshape(4, n).T).view("<u4").ravel().astype(np.int64) for i in range(3)]
+    small = [np.frombuffer(whole, dtype=np.uint8, count=n, offset=12 * k + 12 * n + n * i).astype(np.int64) for i in range(3)]
+    wide[2] += np.repeat(np.cumsum(head[:, 1]) - head[:, 1], head[:, 2])
+    return head, np.stack([wide[0], wide[1], small[0], small[1], wide[2], small[2]])
 
 
 class Entries:
@@ -328,27 +361,38 @@ class Entries:
     def groups(self) -> Iterator[Group]:
         edges = np.flatnonzero(np.diff(self.cols[0], prepend=-1, append=-1))
         for a, b in zip(edges, edges[1:], strict=False):
-            rows, where = {}, []
-            for block, p, lo, hi, doc, start in zip(*self.cols[1:, a:b].tolist(), strict=True):
-                data = self.data[block]
-                entry = data[p : hi + SPAN], data[lo:p]
-                if entry not in rows:
-                    rows[entry] = doc, p - hi
-                where.append((doc, entry, p - start, lo - start, hi - start))
-            yield Group(int(self.cols[0, a]), rows, where)
+            piece, block, p, lo, hi, doc, start = self.cols[:, a:b]
+            cut = zip(map(self.data.__getitem__, block.tolist()), lo.tolist(), p.tolist(), (hi + SPAN).tolist(), strict=True)
+            yield Group(int(piece[0]), [(data[x:z], data[w:x]) for data, w, x, z in cut], doc, p - start, p - lo, p - hi)
 
 
 def _exchange(n_ranges: int):
+    """Runs for the ranges; and for the chunk itself, as a piece beyond the ranges, where the anchors of its entries are."""
     edges = runs.range_edges(n_ranges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                pieces, body = [], []
+                pieces, body, where = [], [], []
+                chunk = b.column("chunk")[i].as_py()
                 for g in Entries(b.column("texts")[i].values, b.column("answers")[i].as_py(), edges).groups():
                     pieces.append(g.piece)
-                    body.append(_pack([e[0] for e in g.order], [e[1] for e in g.order], np.array([g.rows[e][1] for e in g.order]), np.array([g.rows[e][0] for e in g.order])))
-                yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.int32()), pa.array([b.column("chunk")[i].as_py()] * len(body), pa.int64()), pa.array(body, pa.binary())], names=["piece", "chunk", "body"])
+                    body.append(_pack([e[0] for e in g.order], [e[1] for e in g.order], g.low, g.doc))
+                    where.append((g.piece, len(g.order), g.where))
+                if where:
+                    pieces.append(n_ranges + chunk % n_ranges)
+                    body.append(pack_where(where))
+                yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.int32()), pa.array([chunk] * len(body), pa.int64()), pa.array(body, pa.binary())], names=["piece", "chunk", "body"])
+
+    return run
+
+
+def _merged(n_ranges: int):
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        """The answers of a range; what chunks sent to themselves goes on as it is."""
+        if key[0].as_py() < n_ranges:
+            return _merge(key, group)
+        return group.select(["chunk", "piece", "body"])
 
     return run
 
@@ -399,30 +443,30 @@ def _merge(key: tuple, group: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array([chunks[i] for i in order], pa.int64()), "piece": pa.array([key[0].as_py()] * len(body), pa.int32()), "body": pa.array(body, pa.binary())})
 
 
-def _cut(n_ranges: int):
-    edges = runs.range_edges(n_ranges)
+def _gone(found: dict[int, bytes], n_ranges: int) -> np.ndarray:
+    """Document, first byte and end of what the marked windows of a chunk cover."""
+    own = [piece for piece in found if piece >= n_ranges]
+    if not own:
+        return np.empty((3, 0), dtype=np.int64)
+    head, (doc, place, left, low, entry, later) = unpack_where(found[own[0]])
+    each = [np.frombuffer(pa.decompress(found[piece], 4 * n, "zstd", asbytes=True), dtype=np.uint8).reshape(4, -1).T for piece, n, _ in head.tolist()]
+    marks = np.ascontiguousarray(np.concatenate(each)).view("<u4").ravel().astype(np.int64)[entry]
+    every = (np.int64(1) << (left + 1)) - (np.int64(1) << low)
+    whole = (later > 0) | (marks == every)  # all windows of the anchor
+    out = [np.stack([doc, place - left, place - low + SPAN])[:, whole]]
+    part = np.flatnonzero(~whole & (marks > 0))
+    for x in range(REACH + 1):
+        some = part[(marks[part] >> x) & 1 > 0]
+        out.append(np.stack([doc[some], place[some] - x, place[some] - x + SPAN]))
+    return np.concatenate(out, axis=1)
+
 
+def _cut(n_ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 texts = b.column("texts")[i].values
-                found = {a["piece"]: a["body"] for a in b.column("found")[i].as_py() or []}
-                gone = [np.empty((3, 0), dtype=np.int64)]  # document, bytes from .. to that marked windows cover
-                for g in Entries(texts, b.column("answers")[i].as_py(), edges).groups():
-                    m = np.zeros((len(g.order), 4), dtype=np.uint8)
-                    m[:] = np.frombuffer(pa.decompress(found[g.piece], 4 * len(g.order), "zstd", asbytes=True), dtype=np.uint8).reshape(4, -1).T
-                    marks, mine = dict(zip(g.order, m.view("<u4").ravel().tolist(), strict=True)), []
-                    for doc, entry, p, lo, hi in g.where:
-                        if doc > g.rows[entry][0]:
-                            mine.append((doc, lo, hi + SPAN))
-                        elif mark := marks[entry]:
-                            if mark == (1 << (p - lo + 1)) - (1 << (p - hi)):
-                                mine.append((doc, lo, hi + SPAN))
-                            else:
-                                mine += [(doc, s, s + SPAN) for s in range(lo, hi + 1) if mark >> (p - s) & 1]
-                    if mine:
-                        gone.append(np.array(mine, dtype=np.int64).T)
-                gone = np.concatenate(gone, axis=1)
+                gone = _gone({a["piece"]: a["body"] for a in b.column("found")[i].as_py() or []}, n_ranges)
                 gone = gone[:, np.argsort(gone[0], kind="stable")]
                 cut = np.searchsorted(gone[0], np.arange(len(texts) + 1))
                 out = []
@@ -452,9 +496,8 @@ def removed_bytes(docs: DataFrame, hot: int = HOT) -> DataFrame:
     sent = table.select("chunk", "texts").mapInArrow(_send(n_ranges), "piece int, chunk long, body binary, more binary")
     answers = stored(by_range(sent, n_ranges).applyInArrow(_shared(hot), MARKS), f"{base}/shared")
     runs_of = join_answers(table, answers).select("chunk", "texts", "answers").mapInArrow(_exchange(n_ranges), "piece int, chunk long, body binary")
-    found = stored(by_range(runs_of, n_ranges).applyInArrow(_merge, MARKS), f"{base}/found")
-    both = join_answers(join_answers(table, answers), found, "found")
-    return both.select("texts", "rest", "answers", "found").mapInArrow(_cut(n_ranges), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = stored(by_range(runs_of, n_ranges).applyInArrow(_merged(n_ranges), MARKS), f"{base}/found")
+    return join_answers(table, found, "found").select("texts", "rest", "found").mapInArrow(_cut(n_ranges), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
