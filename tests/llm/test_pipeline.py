@@ -102,3 +102,14 @@ def test_texts_without_words_pass_the_substring_stage(spark):
     docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     left = corpus_pipeline.without_repeats(spark, docs, "")
     assert left.columns == docs.columns and sorted((x["doc_id"], x["text"]) for x in left.collect()) == [x for x in rows if x[0] != 6]
+
+
+def test_run_of_an_empty_table(spark, tables, tmp_path):
+    """All five stages in a row, of no documents and of documents without words."""
+    pytest.importorskip("public_tokenizers")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{tables}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns)

@@ -9,7 +9,9 @@ A second pass range-reads each header (33 bytes) to fill the metadata columns, t
 features. Nothing is shuffled, so copies of one text, however many, are no burden.
 
 Shards are reached through `pyarrow.fs`, which opens local, HDFS, S3 and GCS addresses. Null text counts as empty; the
-payload of an empty text is one row of 192 spaces. Repeated rows each get their row, equal texts equal values.
+payload of an empty text is one row of 192 spaces. Repeated rows each get their row, equal texts equal values. Texts of
+any length are stored whole, one at a time; an empty table gives no rows and no shard; only doc_id and text are looked at,
+whatever other columns are called.
 """
 
 from __future__ import annotations
