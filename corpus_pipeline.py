@@ -1,6 +1,9 @@
 """A corpus from documents to packed sequences, stage by stage, each one an operator of tidegrid.llm.
 
 Every stage works on all rows that the one before kept and returns the columns of documents, the last one packed pieces.
+Texts of any length are read whole. Other columns come along unchanged, whatever their names; repeated rows are rows of
+their own, except where a stage says so. Missing values are dealt with as each stage says; of an empty table each stage
+makes an empty one.
 """
 
 from __future__ import annotations
@@ -17,12 +20,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts; null and empty texts are scored like others, as texts without words."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, that of the smallest doc_id (of such, the first one read); a missing
+    doc_id comes before all others. Documents without words are near no other and all stay."""
     return jaccard.one_of_each(docs)
 
 
@@ -34,12 +38,12 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages."""
+    """Documents without benchmark passages; null and empty texts have none."""
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens and where they stand."""
+    """Pieces of at most 2048 tokens and where they stand; a null or empty text is its end token alone."""
     return packing.packed(docs)
 
 
