@@ -113,12 +113,12 @@ def test_interval_jobs_and_refresh_survive_a_replay(spark, tmp_path):
     rows = samples(spark, [("s", 300 * i, float(i)) for i in range(5)])
     rows.write.parquet(f"{tmp_path}/in")
     h = History(spark, f"file://{tmp_path}/h")
-    q = serve.every(spark.readStream.schema(SAMPLES).parquet(f"{tmp_path}/in"), h.append("q"), f"{tmp_path}/cp", 1)
+    q = serve.every(spark.readStream.schema(SAMPLES).parquet(f"{tmp_path}/in"), h.append(), f"{tmp_path}/cp", 1)
     try:
         q.processAllAvailable()
     finally:
         q.stop()
-    assert h.read().count() == 5
+    assert h.read().count() == 5 and [p.name for p in (tmp_path / "h/log").iterdir()] == [q.id]
     run_latest = online.keep_latest(path, query="q")
     run_latest(rows.where("x < 3"), 0)
     run_latest(samples(spark, [("s", 9000, 9.0)]), 0)  # that epoch has been there

@@ -17,7 +17,7 @@ from .plans.models import build_model, load_model, save_model
 from .schema import Grid, Settings, settings_from
 from .session import session
 from .sources import cdf, fetch, sinks, synthetic
-from .streaming import online, serve
+from .streaming import feed, online, serve
 
 CHANNELS = ("flux_e2", "flux_seed", "vsw", "density", "bz_gsm", "bt", "ae", "al", "kp", "sym_h", "f107")
 
@@ -140,7 +140,8 @@ def served(spark, a) -> None:
     samples = spark.readStream.schema(spark.read.parquet(a.source).schema).parquet(a.source)
     rows = online.stream_vector(samples, late=a.late).withColumn("last", F.col("log_flux_e2"))
     q = rows.writeStream.foreachBatch(serve.refresh(a.out, predictors, [(2.0, 0.3)] * 24, s.horizons, s.threshold)).option("checkpointLocation", f"{a.out}.checkpoint")
-    q = (q.trigger(availableNow=True) if a.once else q.trigger(processingTime="60 seconds")).start()
+    with feed.settings(spark, online.ROCKSDB):
+        q = (q.trigger(availableNow=True) if a.once else q.trigger(processingTime="60 seconds")).start()
     q.awaitTermination()
 
 

@@ -110,16 +110,17 @@ def survival(x: float | Column, mean: Column, sigma: Column) -> Column:
     """P(X > x) of a normal law; a step where sigma is not positive.
 
     Spark has no error function. Half the complementary one of |z|/sqrt 2 follows from the continued fraction for
-    large and the power series for small arguments, both unrolled, which keeps the plan free of Python.
+    large and the power series for small arguments, both unrolled from the inside out, a few operations a term, so that
+    the plan is free of Python and its code small enough to be compiled.
     """
     x = F.lit(x) if isinstance(x, (int, float)) else x
     z = (x - mean) / sigma
     a = F.abs(z)
     dens = F.exp(-a * a / 2) / F.lit(math.sqrt(2 * math.pi))
-    series, term = a, a
-    for k in range(1, 40):
-        term = term * a * a / F.lit(2.0 * k + 1)
-        series = series + term
+    series = F.lit(1.0)
+    for k in range(39, 0, -1):
+        series = 1 + a * a / F.lit(2.0 * k + 1) * series
+    series = a * series
     frac = a
     for k in range(30, 0, -1):
         frac = a + F.lit(float(k)) / frac

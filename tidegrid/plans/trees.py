@@ -116,6 +116,7 @@ def _splits(rows: DataFrame, taus: Sequence[float], least: int) -> DataFrame:
     """The best split of each (m, node): input, bin (rows of that bin and lower ones go left) and gain."""
     g, h = _gradients(taus)
     per = rows.select("m", "node", g.alias("g"), h.alias("h"), F.posexplode("bins").alias("j", "b")).groupBy("m", "node", "j", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n"))
+    per = per.repartition("m", "node")  # the histograms, once for all that follows
     by = Window.partitionBy("m", "node", "j")
     upto = by.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
     s = per.select("m", "node", "j", "b", *[F.sum(c).over(upto).alias(f"l{c}") for c in "ghn"], *[F.sum(c).over(by).alias(f"t{c}") for c in "ghn"])

@@ -29,9 +29,12 @@ def fed(spark: SparkSession, arrivals: Iterable[Mapping[str, DataFrame]], plan:
     """What plan(**streams) has put out when all arrivals have been taken in.
 
     Each arrival brings new rows of some of the streams, by name; the first one must bring rows of all. The query keeps its
-    state in the shared folder and goes on from there if it is started again; its rows are written there as well.
+    state in the shared folder and goes on from there if it is started again; its rows are written there as well. State
+    has a partition a core at most, as each one costs every micro-batch a little.
     """
     base = scratch(spark)
+    cores = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    conf = {"spark.sql.shuffle.partitions": str(max(1, cores)), **(conf or {})}
     running = None
     try:
         for arrival in arrivals:
@@ -40,7 +43,7 @@ def fed(spark: SparkSession, arrivals: Iterable[Mapping[str, DataFrame]], plan:
             if running is None:
                 streams = {name: spark.readStream.schema(rows.schema).parquet(f"{base}/in/{name}") for name, rows in arrival.items()}
                 out = plan(**streams)
-                with settings(spark, conf or {}):
+                with settings(spark, conf):
                     running = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").start()
             running.processAllAvailable()
     finally:

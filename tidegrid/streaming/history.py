@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..schema import CADENCE_S
 from ..sources.folders import children, latest, put_new, read_small, read_version, remove, update_version
+from .online import query_id
 
 
 def last_rows(df: DataFrame, depth: int = 288, step: int = CADENCE_S, keys: tuple[str, ...] = ("sat_id",)) -> DataFrame:
@@ -31,18 +32,20 @@ class History:
     def __init__(self, spark: SparkSession, path: str, keys: tuple[str, ...] = ("sat_id",), depth: int = 288, step: int = CADENCE_S):
         self.spark, self.path, self.keys, self.depth, self.step = spark, path, keys, depth, step
 
-    def append(self, query: str) -> Callable[[DataFrame, int], None]:
-        """For foreachBatch of the query of that name; a query that starts anew, without its checkpoint, needs a new name."""
+    def append(self, query: str | None = None) -> Callable[[DataFrame, int], None]:
+        """For foreachBatch; batches are told apart by the query's name, or else the id of its checkpoint, and their epoch.
+        A query with a name that starts anew, without its checkpoint, needs a new one."""
 
         def run(batch: DataFrame, epoch: int) -> None:
-            mark = f"{self.path}/log/{query}/{epoch:012d}"
+            name = query or query_id(batch)
+            mark = f"{self.path}/log/{name}/{epoch:012d}"
             found = latest(self.spark, self.path)
-            if f"{epoch:012d}" in children(self.spark, f"{self.path}/log/{query}") or (found and found[1]["marks"].get(query, -1) >= epoch):
+            if f"{epoch:012d}" in children(self.spark, f"{self.path}/log/{name}") or (found and found[1]["marks"].get(name, -1) >= epoch):
                 return
-            name = uuid.uuid4().hex
-            batch.write.parquet(f"{self.path}/rows/{name}")
-            if not put_new(self.spark, mark, name):
-                remove(self.spark, f"{self.path}/rows/{name}")
+            folder = uuid.uuid4().hex
+            batch.write.parquet(f"{self.path}/rows/{folder}")
+            if not put_new(self.spark, mark, folder):
+                remove(self.spark, f"{self.path}/rows/{folder}")
 
         return run
 

@@ -270,11 +270,17 @@ def without_repeats(stream: DataFrame, late: str = "10 minutes", keys: tuple[str
     return stream.withWatermark("time", late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def keep_latest(path: str, keys: tuple[str, ...] = ("sat_id",), query: str = "latest"):
+def query_id(batch: DataFrame) -> str:
+    """The id, kept in its checkpoint, of the streaming query that a foreachBatch function runs for."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+
+
+def keep_latest(path: str, keys: tuple[str, ...] = ("sat_id",), query: str | None = None):
     """For foreachBatch: a table with each key's newest row, a new version a batch.
 
-    The version remembers the last batch of each query by name, so a batch that comes again is left out, and queries of
-    different names may write at the same time. A query that starts anew, without its checkpoint, needs a new name.
+    The version remembers the last batch of each query, by name or else by the id that its checkpoint gives it, so a batch
+    that comes again is left out, and several queries may write at the same time. A query with a name that starts anew,
+    without its checkpoint, needs a new one.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
@@ -283,7 +289,7 @@ def keep_latest(path: str, keys: tuple[str, ...] = ("sat_id",), query: str = "la
             rest = [c for c in batch.columns if c not in keys]
             return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), "time").alias("r")).select(*keys, "r.*").select(*batch.columns)
 
-        update_version(batch.sparkSession, path, change, marks={query: epoch})
+        update_version(batch.sparkSession, path, change, marks={query or query_id(batch): epoch})
 
     return run
 
