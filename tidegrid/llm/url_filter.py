@@ -34,7 +34,7 @@ Rule = tuple[str, str, str]
 
 BLOCK_BYTES = 16 << 20
 RULES: tuple[Rule, ...] = (
-    ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"),
+    ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"),
 )
 
 
