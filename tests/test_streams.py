@@ -5,6 +5,7 @@ import random
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +57,78 @@ def test_state_is_of_bounded_size():
     assert all(len(v) <= 73 for v in c.state()[1:])
 
 
+@pytest.mark.parametrize("cut", [1, 31, 32, 71, 500])
+def test_many_samples_leave_what_single_ones_leave(cut):
+    r = random.Random(4)
+    xs = np.array([math.nan] * 40 + [r.choice([math.nan, *[r.gauss(0, 5)] * 6]) for _ in range(1960)])
+    lags, rolling = (1, 12), [(n, s) for n in (1, 12, 72) for s in ("n", "mean", "std", "max", "min")]
+    one, many = online.Channel(lags, rolling), online.Channel(lags, rolling)
+    for i in range(0, len(xs), cut):
+        x, back, over = many.take(xs[i : i + cut], lags, rolling)
+        for k, v in enumerate(xs[i : i + cut]):
+            one.repeat() if math.isnan(v) else one.push(v)
+            want = [one.lag(0), *[one.lag(j) for j in lags], *[one.over(n, s) for n, s in rolling]]
+            assert [x[k], *[b[k] for b in back], *[o[k] for o in over]] == pytest.approx([math.nan if w is None else w for w in want], abs=1e-9, nan_ok=True)
+        a, b = one.state(), many.state()
+        assert a[0] == b[0] and a[1] == b[1] and a[2] == pytest.approx(b[2], abs=1e-7) and a[3:] == b[3:]
+        many = online.Channel(lags, rolling, b)
+
+
+class Handle(dict):
+    """State in dictionaries; counts the values that are written to what waits and the keys that are listed."""
+
+    def __init__(self):
+        super().__init__()
+        self.timers, self.written, self.listed = set(), 0, 0
+
+    def getMapState(self, name, *schema):  # noqa: N802
+        h, state = self, self.setdefault(name, {})
+
+        class Map:
+            containsKey, getValue, removeKey = staticmethod(state.__contains__), staticmethod(state.get), staticmethod(state.pop)  # noqa: N815
+
+            def updateValue(self, k, v):  # noqa: N802
+                h.written += sum(map(len, v)) if name == "waiting" else 0
+                state[k] = v
+
+            def keys(self):
+                h.listed += len(state)
+                return iter(list(state))
+
+            def iterator(self):
+                h.listed += len(state)
+                return iter(list(state.items()))
+
+        return Map()
+
+    def getValueState(self, name, *schema):  # noqa: N802
+        state = self.setdefault(name, {})
+        return type("Value", (), {"get": lambda _: state.get(0), "update": lambda _, v: state.update({0: v})})()
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.timers.add(ms)
+
+
+@pytest.mark.parametrize("span", [60, 10_000_000])
+def test_work_of_a_series_grows_with_its_samples(span):
+    """Very many spans that pass at once, and a span that comes in very many parts."""
+    work = {}
+    for size in (500, 1000):
+        h, p = Handle(), online.OnlineSeries(["x"], {"x": (1,)}, {"x": [(3, "mean")]}, span)
+        p.GATHER = 10
+        p.init(h)
+        rows = pd.DataFrame({"us": [60_000_000 * (i + 1) for i in range(size)], "x": [float(i) for i in range(size)]})
+        list(p.handleInputRows(("s",), iter([rows[i : i + 10] for i in range(0, size, 10)]), None))
+        mark, out = max(h.timers), []
+        for t in sorted(h.timers):
+            out += p.handleExpiredTimer(("s",), type("Times", (), {"getCurrentWatermarkInMs": lambda _, m=mark: m})(), type("Info", (), {"getExpiryTimeInMs": lambda _, t=t: t})())
+        out = pd.concat(out)
+        assert out["x"].tolist() == rows["x"].tolist() and out["x_roll3_mean"].tolist()[2:] == pytest.approx([float(i - 1) for i in range(2, size)])
+        assert not h["waiting"] and not h.get("parts")
+        work[size] = h.written + h.listed
+    assert work[1000] <= 2.1 * work[500]
+
+
 # ------------------------------------------------------------------ streams
 def test_late_and_repeated_samples_stand_where_they_belong(spark):
     got = run(spark, [[("s", 0, 1.0), ("s", 300, 2.0), ("s", 900, 4.0)], [("s", 600, 3.0), ("s", 900, 4.0)]])

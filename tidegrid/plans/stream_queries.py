@@ -23,7 +23,7 @@ LATE = DAY
 
 
 def arrivals(df: DataFrame, key: str, parts: int = PARTS) -> Iterator[DataFrame]:
-    """df, cut by time. Of the last half day of each part some rows (by key) come a part later, and some with both."""
+    """df, cut by time and written once, a folder for each part. Of the last half day of each part some rows (by key) come a part later, and some with both."""
     t = F.unix_seconds("time")
     ends = df.agg(F.min(t), F.max(t)).first()
     if ends[0] is None:
@@ -34,6 +34,9 @@ def arrivals(df: DataFrame, key: str, parts: int = PARTS) -> Iterator[DataFrame]
     mix = F.pmod(F.xxhash64(key, "time"), F.lit(12))
     late, again = edge & (mix < 3), edge & (mix >= 10)
     came = df.withColumn("__came", F.explode(F.when(late, F.array(part + 1)).when(again, F.array(part, part + 1)).otherwise(F.array(part))))
+    path = scratch(df.sparkSession)
+    came.write.partitionBy("__came").parquet(path)
+    came = df.sparkSession.read.schema(came.schema).parquet(path)
     for k in range(parts + 1):
         yield came.where(F.col("__came") == k).drop("__came")
 

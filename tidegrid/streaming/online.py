@@ -105,10 +105,42 @@ FEATURES = ("n", "mean", "std", "high", "low", "lag1")
 Rolling = Mapping[str, Sequence[tuple[int, str]]]
 
 
+#: Fewer samples than this are taken one by one.
+FEW = 32
+#: Values of windows that are looked at together.
+BLOCK = 1 << 18
+
+
+def _over_windows(values: np.ndarray, first: int, n: int, stats: Sequence[str]) -> dict[str, np.ndarray]:
+    """Of the last `n` values up to each place from `first` on (fewer at the start), each of `stats`."""
+    total = len(values) - first
+    out = {s: np.full(total, np.nan) for s in stats}
+
+    def put(to: slice, w: np.ndarray) -> None:
+        size = w.shape[1]
+        mean = w.sum(axis=1) / size
+        for s in stats:
+            if s == "std":
+                out[s][to] = np.sqrt(((w - mean[:, None]) ** 2).sum(axis=1) / (size - 1)) if size > 1 else np.nan
+            else:
+                out[s][to] = size if s == "n" else mean if s == "mean" else w.max(axis=1) if s == "max" else w.min(axis=1)
+
+    short = min(total, max(0, n - 1 - first))
+    for i in range(short):
+        put(slice(i, i + 1), values[None, : first + i + 1])
+    if short < total:
+        wide = np.lib.stride_tricks.sliding_window_view(values[first + short - n + 1 :], n)
+        step = max(1, BLOCK // n)
+        for i in range(0, len(wide), step):
+            put(slice(short + i, short + min(i + step, len(wide))), wide[i : i + step])
+    return out
+
+
 class Channel:
-    """One channel of a series, a sample at a time: its last values; moments that take values in and out; deques of extremes.
+    """One channel of a series: its last values; moments that take values in and out; deques of extremes.
 
-    Moments are summed anew from the kept values once a width, so errors of going in and out do not build up.
+    `push` takes one sample; moments are then summed anew from the kept values once a width, so errors of going in and
+    out do not build up. `take` takes many, all windows of a block at a time, and leaves what `push` would have left.
     """
 
     SCHEMA = "seen long, values array<double>, moments array<double>, sizes array<int>, places array<long>, tops array<double>"
@@ -151,6 +183,41 @@ class Channel:
         if len(self.recent):
             self.push(self.recent[-1])
 
+    def take(self, xs: np.ndarray, lags: Sequence[int], rolling: Sequence[tuple[int, str]]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Value, lags and rolling values after each of `xs`; a missing sample repeats the last one. Undefined ones are NaN."""
+        if len(xs) < FEW:
+            rows = []
+            for x in xs.tolist():
+                self.repeat() if math.isnan(x) else self.push(x)
+                rows.append([self.lag(0), *[self.lag(k) for k in lags], *[self.over(n, s) for n, s in rolling]])
+            cols = list(np.array(rows, dtype=float).reshape(len(xs), 1 + len(lags) + len(rolling)).T)
+            return cols[0], cols[1 : 1 + len(lags)], cols[1 + len(lags) :]
+        old = np.array(self.recent.values(), dtype=float)
+        last = np.maximum.accumulate(np.where(np.isnan(xs), -1, np.arange(len(xs))))
+        skip = 0 if len(old) else int((last < 0).sum())  # nothing to repeat yet
+        new = np.where(last >= 0, xs[last], old[-1] if len(old) else np.nan)[skip:]
+        values, first = np.concatenate([old, new]), len(old)
+
+        def placed(col: np.ndarray) -> np.ndarray:
+            return np.concatenate([np.full(len(xs) - len(col), np.nan), col])
+
+        stats = {n: [s for m, s in rolling if m == n] for n, _ in rolling}
+        with np.errstate(invalid="ignore", over="ignore"):
+            over = {n: _over_windows(values, first, n, of) for n, of in stats.items()}
+        out = placed(new), [placed(values[max(0, first - k) : max(0, len(values) - k)]) for k in lags], [placed(over[n][s]) for n, s in rolling]
+        self.recent, self.seen = RingBuffer(self.recent.data.maxlen, values[-self.recent.data.maxlen :].tolist()), self.seen + len(new)
+        for n, m in self.moments.items():
+            w = values[-n:]
+            m.n, m.mean = len(w), float(w.mean()) if len(w) else 0.0
+            m.m2 = float(((w - m.mean) ** 2).sum())
+        for (n, _), d in self.extremes.items():
+            w = values[-n:].tolist()
+            d.items.clear()
+            d.i = self.seen - len(w)
+            for x in w:
+                d.push(x)
+        return out
+
     def lag(self, k: int) -> float | None:
         return self.recent[-k - 1] if len(self.recent) > k else None
 
@@ -166,62 +233,91 @@ class Channel:
 class OnlineSeries(StatefulProcessor):
     """Per series the features of every sample, in order of event time, whatever order samples come in.
 
-    Samples wait in spans of event time. When the watermark passes a span, its timer takes them in order of time through
-    the channels, so a late sample stands where it belongs. Samples of one time count once: of each channel the largest
-    value that came. What comes for a span already passed is left out. State of a series is what waits, and per channel
-    the values of the longest lag or width with their moments and extremes.
+    Samples wait in spans of event time. When the watermark passes a span, its timer takes them, and those of all other
+    spans passed, in order of time through the channels, so a late sample stands where it belongs. Samples of one time
+    count once: of each channel the largest value that came. What comes for a span already passed is left out. State of
+    a series is what waits, in parts as it came, so that what waits is never written twice; and per channel the values of
+    the longest lag or width with their moments and extremes.
     """
 
+    #: Values that are gathered before they are put into the state, or go through the channels together.
+    GATHER = 1 << 18
+
     def __init__(self, channels: Sequence[str], lags: Mapping[str, Sequence[int]], rolling: Rolling, span: int):
         self.channels, self.span = list(channels), span * 1_000_000
         self.lags, self.rolling = {c: tuple(lags.get(c, ())) for c in channels}, {c: tuple(rolling.get(c, ())) for c in channels}
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "until long", "at array<long>, x array<double>")
+        self.parts = handle.getMapState("parts", "until long", "n int")
+        self.waiting = handle.getMapState("waiting", "until long, part int", "at binary, x binary")
         self.held = handle.getMapState("held", "channel string", Channel.SCHEMA)
         self.done = handle.getValueState("done", "until long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         done = self.done.get()
+        came, n = [], 0
         for part in rows:
-            until = -(-part["us"].to_numpy() // self.span) * self.span
-            for u in np.unique(until):
-                if done is not None and u <= done[0]:
-                    continue
-                new = part[until == u]
-                at, x = new["us"].tolist(), new[self.channels].to_numpy(dtype=float).ravel().tolist()
-                if self.waiting.containsKey((int(u),)):
-                    old = self.waiting.getValue((int(u),))
-                    at, x = [*old[0], *at], [*old[1], *x]
-                else:
-                    self.handle.registerTimer(int(u) // 1000)
-                self.waiting.updateValue((int(u),), (at, x))
+            at, x = part["us"].to_numpy(dtype="int64"), part[self.channels].to_numpy(dtype=float)
+            came.append((at, x))
+            n += x.size
+            if n >= self.GATHER:
+                self._wait(came, done)
+                came, n = [], 0
+        if came:
+            self._wait(came, done)
         return iter(())
 
+    def _wait(self, came: list[tuple[np.ndarray, np.ndarray]], done: tuple | None) -> None:
+        """Samples into the spans they belong to, a part more for each."""
+        at, x = np.concatenate([a for a, _ in came]), np.concatenate([v for _, v in came])
+        until = -(-at // self.span) * self.span
+        order = np.argsort(until, kind="stable")
+        at, x, until = at[order], x[order], until[order]
+        starts = np.flatnonzero(np.diff(until, prepend=until[:1] - 1))
+        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(at)], strict=True):
+            u = int(until[i])
+            if done is not None and u <= done[0]:
+                continue
+            k = int(self.parts.getValue((u,))[0]) if self.parts.containsKey((u,)) else 0
+            if not k:
+                self.handle.registerTimer(u // 1000)
+            self.waiting.updateValue((u, k), (at[i:j].tobytes(), x[i:j].tobytes()))
+            self.parts.updateValue((u,), (k + 1,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        now, done = expiredTimerInfo.getExpiryTimeInMs() * 1000, self.done.get()
+        if done is not None and now <= done[0]:
+            return  # an earlier timer has taken this span along
+        passed = max(now, timerValues.getCurrentWatermarkInMs() * 1000)
+        due = sorted((int(k[0]), int(v[0])) for k, v in list(self.parts.iterator()) if k[0] <= passed)
         channels = {c: Channel(self.lags[c], self.rolling[c], self.held.getValue((c,)) if self.held.containsKey((c,)) else None) for c in self.channels}
-        for until in sorted(k[0] for k in list(self.waiting.keys()) if k[0] <= now):
-            at, x = self.waiting.getValue((until,))
-            yield self._features(key[0], pd.DataFrame(np.array(x, dtype=float).reshape(-1, len(self.channels)), index=at, columns=self.channels).groupby(level=0, sort=True).max(), channels)
-            self.waiting.removeKey((until,))
+        came, n = [], 0
+        for until, parts in due:
+            for k in range(parts):
+                at, x = self.waiting.getValue((until, k))
+                came.append((np.frombuffer(at, dtype="int64"), np.frombuffer(x, dtype=float).reshape(-1, len(self.channels))))
+                n += came[-1][1].size
+                self.waiting.removeKey((until, k))
+            self.parts.removeKey((until,))
+            if n >= self.GATHER:
+                yield self._features(key[0], came, channels)
+                came, n = [], 0
+        if came:
+            yield self._features(key[0], came, channels)
         for name, c in channels.items():
             self.held.updateValue((name,), c.state())
-        done = self.done.get()
-        self.done.update((max(now, done[0]) if done is not None else now,))
-
-    def _features(self, series: str, samples: pd.DataFrame, channels: dict[str, Channel]) -> pd.DataFrame:
-        out = []
-        for at, *xs in samples.itertuples():
-            row = [series, at]
-            for c, x in zip(channels.values(), xs, strict=True):
-                c.repeat() if math.isnan(x) else c.push(x)
-            row += [c.lag(0) for c in channels.values()]
-            row += [c.lag(k) for name, c in channels.items() for k in self.lags[name]]
-            row += [c.over(n, s) for name, c in channels.items() for n, s in self.rolling[name]]
-            out.append(row)
-        return pd.DataFrame(out, columns=["sat_id", "us", *series_columns(self.channels, self.lags, self.rolling)]).astype(object).where(lambda d: d.notna(), None)
+        self.done.update((max([now, *[u for u, _ in due]]),))
+
+    def _features(self, series: str, came: list[tuple[np.ndarray, np.ndarray]], channels: dict[str, Channel]) -> pd.DataFrame:
+        at, x = np.concatenate([a for a, _ in came]), np.concatenate([v for _, v in came])
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        starts = np.flatnonzero(np.diff(at, prepend=at[:1] - 1))
+        x = np.fmax.reduceat(x[order], starts, axis=0)
+        taken = [c.take(x[:, i], self.lags[name], self.rolling[name]) for i, (name, c) in enumerate(channels.items())]
+        cols = [*[v for v, _, _ in taken], *[v for _, lags, _ in taken for v in lags], *[v for _, _, rolling in taken for v in rolling]]
+        return pd.DataFrame(dict(zip(["sat_id", "us", *series_columns(self.channels, self.lags, self.rolling)], [[series] * len(starts), at[starts], *cols], strict=True)))
 
     def close(self) -> None:
         pass
