@@ -292,3 +292,26 @@ def test_linear_filter_equals_least_squares(spark):
     w = np.linalg.lstsq(a, y, rcond=None)[0]
     np.testing.assert_allclose([*m.models["6h"][0], m.models["6h"][1]], w, atol=1e-8)
     assert m.sigma["6h"] == pytest.approx((y - a @ w).std(), abs=1e-9)
+
+
+def _sent(spark, run):
+    """Records that the stages of run() write to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        found = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), None)
+        return {s.stageId(): s.shuffleWriteRecords() for s in map(found.apply, range(found.size()))}
+
+    before = max(stages(), default=-1)
+    run()
+    return sum(n for k, n in stages().items() if k > before)
+
+
+def test_what_a_tree_sends_follows_the_model_and_not_the_rows(spark):
+    """Shuffled records of two trees more, for rows and four times as many; all targets differ."""
+    sent = {}
+    for n in (4000, 16000):
+        rows = spark.range(n).select((F.col("id") % 64).cast("double").alias("a"), F.array(*[F.struct(F.lit(m).alias("m"), (F.rand(m) / 10).alias("y")) for m in range(3)]).alias("targets")).localCheckpoint()
+        one, three = (_sent(spark, lambda t=t, rows=rows: trees_module.fit(rows, ["a"], [0.1, 0.5, 0.9], trees=t, depth=2, bins=8)) for t in (1, 3))
+        sent[n] = three - one
+    assert 0 < sent[16000] < 2 * sent[4000], sent

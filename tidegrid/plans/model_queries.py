@@ -16,7 +16,7 @@ from ..operators import metrics as M
 from ..operators import windows as W
 from ..schema import Settings
 from ..sources import shards, sinks
-from ..sources.folders import read_version, scratch
+from ..sources.folders import kept, read_version, scratch
 from . import models, views
 from .queries import EVAL_ROWS, G1F, GN, TEST, THR, H, L, _scored, query
 
@@ -61,7 +61,7 @@ def refm_fit(spark: SparkSession, d: str) -> DataFrame:
 def gbt_quantiles(spark: SparkSession, d: str) -> DataFrame:
     """Fitted on all anchors and predicted for all of them, every horizon."""
     a = views.anchor_frame(spark, d)
-    x = a.join(W.window_stats(views.filled(spark, d), views.FIVE, ["flux"], L).drop("flux"), "time")
+    x = kept(a.join(W.window_stats(views.filled(spark, d), views.FIVE, ["flux"], L).drop("flux"), "time"))
     m = models.BoostedTrees(H, THR, inputs=["flux_last", "flux_mean", "flux_std", "flux_min", "flux_max"], trees=8, depth=3).fit(x)
     return m.predict(x).select("time", *[f"{h}_{c}" for h in H for c in ("q10", "q50", "q90", "p")])
 
